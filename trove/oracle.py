@@ -91,3 +91,152 @@ WHERE r.rank <= {limit}
 SQL: dict[str, str] = {}
 
 SQL["keyword_search"] = q(_kw_result("TRUE"))
+
+
+# ------------------------------------------------------------------ vectors
+
+def sqdist(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(list_zip({a}, {b}), lambda p: "
+            f"(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))")
+
+
+def knn_ctes(modality: str, n: int = 20, name: str = "hits", queries: str = "vec_queries") -> str:
+    """Top n vectors of a modality per query, with relative and absolute similarity."""
+    return f"""
+{name}_pairs AS (
+  SELECT q.query_id, v.vec_id, v.item_id, v.review_id, {sqdist('q.embedding', 'v.embedding')} AS dist
+  FROM {queries} q, item_vectors v WHERE v.modality = '{modality}'),
+{name}_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM {name}_pairs),
+{name} AS (
+  SELECT *, CASE WHEN max(dist) OVER (PARTITION BY query_id) = 0 THEN 1.0
+                 ELSE 1.0 - dist / max(dist) OVER (PARTITION BY query_id) END AS rel_sim,
+         1.0 - dist AS abs_sim
+  FROM {name}_ranked WHERE rank <= {n})"""
+
+
+def knn_report(modality: str, absolute: bool = False) -> str:
+    sim = "abs_sim" if absolute else "rel_sim"
+    rid = " review_id," if modality == "review" else ""
+    return q(knn_ctes(modality) + f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, item_id,{rid}
+       round(dist, 6) AS dist, round({sim}, 6) AS similarity FROM hits""")
+
+
+SQL["knn_descriptions"] = knn_report("description")
+SQL["knn_reviews"] = knn_report("review", absolute=True)
+SQL["knn_covers"] = knn_report("cover")
+SQL["knn_screenshots"] = knn_report("screenshot")
+SQL["knn_by_vector"] = knn_report("screenshot")
+SQL["similarity_relative"] = q(knn_ctes("description") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, round(rel_sim, 6) AS similarity FROM hits""")
+SQL["similarity_absolute"] = q(knn_ctes("review") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, round(abs_sim, 6) AS similarity FROM hits""")
+SQL["hit_list_max"] = q(knn_ctes("description") + """
+SELECT query_id, round(max(dist), 6) AS max_dist FROM hits GROUP BY query_id""")
+SQL["dedupe_hits"] = q(knn_ctes("review") + """,
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY dist, vec_id) AS rn FROM hits)
+SELECT query_id, item_id, vec_id, round(dist, 6) AS dist FROM best WHERE rn = 1""")
+SQL["union_modalities"] = q("""
+x AS (SELECT 1)
+SELECT modality, CAST(count(*) AS BIGINT) AS vectors, CAST(count(DISTINCT item_id) AS BIGINT) AS items
+FROM item_vectors GROUP BY modality""")
+SQL["modality_coverage"] = q("""
+x AS (SELECT 1)
+SELECT item_id, modality, CAST(count(*) AS BIGINT) AS vectors FROM item_vectors GROUP BY item_id, modality""")
+
+# ------------------------------------------------------------------ models
+
+TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+def tokens(x: str) -> str:
+    return TOKENS.format(x=x)
+
+
+def rerank(qtext: str, passage: str) -> str:
+    qt = f"list_distinct({tokens(qtext)})"
+    pt = f"({tokens(passage)})[1:512]"
+    return (f"CASE WHEN len({qt}) > 0 THEN CAST(len(list_intersect({qt}, {pt})) AS DOUBLE) / len({qt}) "
+            f"ELSE 0.0 END")
+
+
+SQL["encode_text_batch"] = q(f"""
+toks AS (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents),
+cnt AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, count(*) AS c
+        FROM toks GROUP BY ALL),
+nrm AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM cnt GROUP BY doc_id)
+SELECT cnt.doc_id, bucket, round(c / n, 6) AS weight FROM cnt JOIN nrm USING (doc_id)""")
+
+SEM_CTES = knn_ctes("description", n=999999) + f""",
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY dist, vec_id) AS rn
+                        FROM hits) WHERE rn = 1),
+cand AS (
+  SELECT b.query_id, b.rel_sim AS vec_score, i.*, q.text AS q_text
+  FROM best b JOIN items i ON i.item_id = b.item_id JOIN vec_queries q ON q.query_id = b.query_id
+  WHERE {{where}}),
+fused AS (SELECT *, {rerank('q_text', 'description')} AS rerank_score FROM cand),
+fused2 AS (SELECT *, {{fuse}} AS relevance_score FROM fused),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, score DESC NULLS LAST,
+                                      item_id) AS rank FROM fused2)"""
+
+
+def semantic(where: str = "TRUE", k: int = 10, select: str = "", fuse: str = "vec_score * 0.7 + rerank_score * 0.3",
+             reviews: bool = False) -> str:
+    ctes = SEM_CTES.replace("{where}", where).replace("{fuse}", fuse).replace("rank <= 999999", f"rank <= {2 * k}")
+    sel = select or """SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.item_id, t.title, t.description,
+       strftime(t.release_date, '%Y-%m-%d') AS release_date, t.score,
+       array_to_string(t.platforms, ', ') AS platforms, array_to_string(t.genres, ', ') AS genres,
+       round(t.relevance_score, 6) AS relevance_score"""
+    if reviews:
+        sel += f""",
+       CAST(coalesce(ra.review_count, 0) AS BIGINT) AS review_count, {REVIEWS_STR} AS reviews
+FROM top t LEFT JOIN rev_agg ra ON ra.item_id = t.item_id WHERE t.rank <= {k}"""
+    else:
+        sel += f"\nFROM top t WHERE t.rank <= {k}"
+    return q(ctes + "\n" + sel)
+
+
+SQL["rerank_score_batch"] = q(knn_ctes("description") + f"""
+SELECT h.query_id, h.item_id, round({rerank('q.text', 'i.description')}, 6) AS rerank_score
+FROM hits h JOIN items i ON i.item_id = h.item_id JOIN vec_queries q ON q.query_id = h.query_id""")
+SQL["semantic_search"] = semantic()
+SQL["rerank_fuse"] = semantic(select="SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.item_id, "
+                                     "round(t.relevance_score, 6) AS relevance_score")
+SQL["top_k_per_query"] = semantic(k=5, select="SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.item_id")
+SQL["overfetch_then_cut"] = semantic(where="i.score >= 5.0",
+                                     select="SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.item_id, t.score")
+SQL["rerank_fallback"] = semantic(fuse="vec_score",
+                                  select="SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.item_id, "
+                                         "round(t.relevance_score, 6) AS relevance_score")
+SQL["semantic_search_display"] = semantic(k=5, reviews=True)
+SQL["rerank_join_back"] = semantic(select="SELECT t.query_id, CAST(count(*) AS BIGINT) AS results, "
+                                          "CAST(count(DISTINCT t.item_id) AS BIGINT) AS distinct_items").replace(
+    "WHERE t.rank <= 10", "WHERE t.rank <= 10 GROUP BY t.query_id")
+SQL["search_summary"] = semantic(select="SELECT t.query_id, count(*) AS n").replace(
+    "\nSELECT t.query_id, count(*) AS n\nFROM top t WHERE t.rank <= 10", """,
+res AS (SELECT query_id, count(*) AS n FROM top WHERE rank <= 10 GROUP BY query_id)
+SELECT q.query_id, q.text AS query, CAST(coalesce(res.n, 0) AS BIGINT) AS total,
+       'platform=None; genre=None; min_score=None; min_year=None; scored_only=false' AS filters
+FROM vec_queries q LEFT JOIN res ON res.query_id = q.query_id""")
+
+
+def image(modality: str, where: str = "TRUE") -> str:
+    return q(knn_ctes(modality) + f""",
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY dist, vec_id) AS rn
+                        FROM hits) WHERE rn = 1),
+cand AS (SELECT b.query_id, b.rel_sim AS relevance_score, i.* FROM best b JOIN items i ON i.item_id = b.item_id
+         WHERE {where}),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, score DESC NULLS LAST,
+                                      item_id) AS rank FROM cand)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, title, score, round(relevance_score, 6) AS relevance_score
+FROM top WHERE rank <= 10""")
+
+
+SQL["image_search_by_text"] = image("cover")
+SQL["image_search_by_vector"] = image("screenshot", "i.score IS NOT NULL")
+SQL["hits_join_catalogue"] = q(knn_ctes("cover") + """
+SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.item_id, i.title FROM hits h JOIN items i ON i.item_id = h.item_id""")
+SQL["attach_hit_score"] = q(knn_ctes("review") + """,
+per_item AS (SELECT item_id, max(abs_sim) AS s FROM hits GROUP BY item_id)
+SELECT i.item_id, round(coalesce(p.s, 0.0), 6) AS vec_score FROM items i LEFT JOIN per_item p ON p.item_id = i.item_id""")

@@ -90,3 +90,110 @@ def fetch_by_ids(items: DataFrame, reviews: DataFrame, ids: DataFrame,
     else:
         extra = []
     return project_result(ranked, extra=["query_id", "rank", *extra])
+
+
+# ------------------------------------------------------------ vector searches
+
+FETCH_FACTOR = 2            # fixed value: vector hits fetched per wanted result
+SEMANTIC_K = 10             # fixed value: default result size (API asks for 20)
+DISPLAY_K = 5               # fixed value: result size of the display / RAG form
+
+
+def _vector_hits(queries: DataFrame, item_vectors: DataFrame, modality: str, fetch: int,
+                 items: DataFrame, filters: Optional[Filters], filter_mode: str) -> DataFrame:
+    """Top ``fetch`` vectors per query with relative similarity, best hit per
+    item (query_id, item_id, dist, vec_score)."""
+    from ..operators.knn import dedupe_hits, knn, modality_corpus, similarity_relative
+    corpus = modality_corpus(item_vectors, modality)
+    if filter_mode == "pre":
+        if filters is None:
+            raise ValueError("filter_mode='pre' needs a Filters value shared by all queries")
+        corpus = corpus.join(items.where(filters.predicate()).select("item_id"), "item_id", "left_semi")
+    elif filter_mode != "post":
+        raise ValueError("filter_mode must be 'post' or 'pre'")
+    hits = knn(queries, corpus, fetch, carry=["item_id"])
+    hits = hits.withColumn("vec_score", similarity_relative(F.col("dist")))
+    return dedupe_hits(hits).select("query_id", "item_id", "dist", "vec_score")
+
+
+def _hits_with_items(hits: DataFrame, items: DataFrame, q: DataFrame) -> DataFrame:
+    """Hits joined to the catalogue (inner: hits without an item drop out)
+    and filtered per query. Hits are queries x fetch rows, so AQE turns the
+    join into a broadcast of the hits side when it measures them small."""
+    j = hits.join(items, "item_id").join(_prefixed_filters(q), "query_id")
+    return j.where(batch_predicate("q_", ""))
+
+
+def semantic_search(items: DataFrame, reviews: DataFrame, item_vectors: DataFrame, queries: DataFrame,
+                    k: int = SEMANTIC_K, filters: Optional[Filters] = None, filter_mode: str = "post",
+                    scorer=None, with_reviews: bool = False, fetch_factor: int = FETCH_FACTOR) -> DataFrame:
+    """Vector search over description vectors, filters, rerank fusion, top k.
+
+    ``queries``: query_id, text, embedding[, filter columns]. The candidate
+    list is the ``fetch_factor`` x k nearest vectors; with ``filter_mode='post'``
+    the filters run after the fetch, so fewer than k results may come back.
+    Relevance = 0.7 x relative vector similarity + 0.3 x rerank score, also
+    for a single candidate; ties keep catalogue order (score desc, id).
+    """
+    from ..operators.models import rerank_fuse, rerank_score_batch
+    q = with_filter_columns(queries, filters)
+    hits = _vector_hits(q.select("query_id", "embedding"), item_vectors, "description",
+                        fetch_factor * k, items, filters, filter_mode)
+    cand = _hits_with_items(hits, items, q)
+    cand = cand.join(q.select("query_id", F.col("text").alias("q_text")), "query_id")
+    cand = rerank_score_batch(cand, "q_text", "description", scorer=scorer)
+    cand = cand.withColumn("relevance_score", rerank_fuse(F.col("vec_score"), F.col("rerank_score")))
+    order = [F.col("relevance_score").desc(), *order_by_score()]
+    top = top_k_per_query(cand, k, order)
+    extra = ["query_id", "rank", "relevance_score"]
+    if with_reviews:
+        top = attach_reviews(top, reviews)
+        top = top.withColumn("reviews", review_objects(F.col("reviews_array")))
+        extra += ["review_count", "reviews"]
+    return project_result(top, extra=extra)
+
+
+def semantic_search_display(items, reviews, item_vectors, queries, k: int = DISPLAY_K, **kw) -> DataFrame:
+    """The display / RAG form: k = 5 and reviews included."""
+    return semantic_search(items, reviews, item_vectors, queries, k=k, with_reviews=True, **kw)
+
+
+def image_search(items: DataFrame, item_vectors: DataFrame, queries: DataFrame, search_type: str = "covers",
+                 k: int = SEMANTIC_K, filters: Optional[Filters] = None, fetch_factor: int = FETCH_FACTOR,
+                 scored_only_allowed: bool = True) -> DataFrame:
+    """Image search for query vectors (text-encoded or image-encoded) against
+    cover or screenshot vectors: relevance = relative similarity, top k.
+
+    Query vectors must have the corpus dimension; a mismatch raises.
+    """
+    from ..operators.knn import search_type_modality
+    modality = search_type_modality(search_type)
+    q = with_filter_columns(queries, filters)
+    if not scored_only_allowed:
+        q = q.withColumn("scored_only", F.lit(False))
+    hits = _vector_hits(q.select("query_id", "embedding"), item_vectors, modality,
+                        fetch_factor * k, items, filters, "post")
+    cand = _hits_with_items(hits, items, q).withColumn("relevance_score", F.col("vec_score"))
+    order = [F.col("relevance_score").desc(), *order_by_score()]
+    top = top_k_per_query(cand, k, order)
+    return project_result(top, extra=["query_id", "rank", "relevance_score"])
+
+
+def image_search_by_text(items, item_vectors, queries, search_type: str = "covers", **kw) -> DataFrame:
+    """Text-query form: no ``scored_only`` filter."""
+    return image_search(items, item_vectors, queries, search_type, scored_only_allowed=False, **kw)
+
+
+def image_search_by_vector(items, item_vectors, queries, search_type: str = "covers", **kw) -> DataFrame:
+    return image_search(items, item_vectors, queries, search_type, scored_only_allowed=True, **kw)
+
+
+def search_summary(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """Per query: total results, the query text and the filters it asked
+    for (echoed as given). Queries without results report 0."""
+    q = with_filter_columns(queries)
+    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("total"))
+    return q.join(counts, "query_id", "left").select(
+        "query_id", F.col("text").alias("query"), F.coalesce(F.col("total"), F.lit(0)).cast("bigint").alias("total"),
+        *FILTER_COLUMNS)
+
