@@ -67,8 +67,8 @@ def filter_keyword(title: Column, description: Column, query, wildcards: bool =
     lq = F.lower(q)
     if wildcards:
         pat = F.concat(F.lit("%"), lq, F.lit("%"))
-        hit_t = F.lower(title).like(pat)
-        hit_d = F.lower(description).like(pat)
+        hit_t = F.like(F.lower(title), pat)
+        hit_d = F.like(F.lower(description), pat)
     else:
         hit_t = F.contains(F.lower(title), lq)
         hit_d = F.contains(F.lower(description), lq)

@@ -266,3 +266,7 @@ def q_search_summary(spark, d):
     echo = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None")))
                                for c in ("platform", "genre", "min_score", "min_year", "scored_only")])
     return out.select("query_id", "query", "total", echo.alias("filters"))
+
+
+# Further query groups register themselves on import.
+from . import catalogue_queries  # noqa: E402,F401
