@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # then ">" (Python's '.' stops only at '\n'); white space stripped at both
 # ends is the ASCII set Python's strip() removes for this data.
 TAG_PATTERN = r"<[^\n]*?>"
-EDGE_SPACE_PATTERN = r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$"
+EDGE_SPACE_PATTERN = r"\A[ \t\n\r\f\v]+|[ \t\n\r\f\v]+\z"
 # Accepted date layouts, tried in this order.
 DATE_FORMATS = ("yyyy-M-d", "yyyy", "M/d/yyyy", "d/M/yyyy")
 
