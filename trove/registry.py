@@ -271,3 +271,4 @@ def q_search_summary(spark, d):
 # Further query groups register themselves on import.
 from . import catalogue_queries  # noqa: E402,F401
 from . import rag_queries  # noqa: E402,F401
+from . import ingest_queries  # noqa: E402,F401
