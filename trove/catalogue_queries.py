@@ -11,7 +11,7 @@ from .functions import filters as FL
 from .functions import shape as S
 from .functions.filters import Filters
 from .operators import catalogue as CAT
-from .oracle import SQL, REVIEWS_STR, q
+from .oracle import SQL, REVIEWS_STR, q, semantic
 from .plans import search as SE
 from .registry import list_str, register, result_report, reviews_str
 from .sources import fixtures as fx
@@ -657,3 +657,99 @@ SELECT item_id,
        array_to_string(CASE WHEN local THEN ['assets/' || CAST(item_id AS VARCHAR) || '/screenshot_1.jpg']
                             ELSE screenshot_urls END, ', ') AS screenshots
 FROM j""")
+
+
+# ------------------------------------------------------- remaining inventory
+
+@register("safe_list")
+def q_safe_list(spark, d):
+    p = fx.table(spark, d, "part")
+    raw = F.array(F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")), F.lit(""), F.lit(None).cast("string"),
+                  F.col("p_name"), F.lit("  "))
+    return p.select("p_partkey", list_str(C.safe_list(raw)).alias("items"),
+                    F.size(C.safe_list(F.lit(None).cast("array<string>"))).alias("from_null"))
+
+
+SQL["safe_list"] = q(f"""
+x AS (SELECT 1)
+SELECT p_partkey, array_to_string(list_filter(list_transform([' ' || p_type || ' ', '', NULL, p_name, '  '],
+                                                          lambda v: trim(v, {WS})), lambda v: v IS NOT NULL AND v <> ''), ', ') AS items,
+       0 AS from_null FROM part""")
+
+
+def _semantic_results(spark, d):
+    return SE.semantic_search(fx.items(spark, d), fx.reviews(spark, d), fx.item_vectors(spark, d),
+                              fx.vector_queries(spark, d))
+
+
+@register("format_result_line")
+def q_format_result_line(spark, d):
+    r = _semantic_results(spark, d)
+    line = S.format_result_line(F.col("title"), F.col("release_date").cast("date"), F.col("score"),
+                                F.col("platforms"), F.col("genres"), F.col("relevance_score"), F.col("description"))
+    return r.select("query_id", "item_id", F.length(line).alias("chars"), F.md5(line).alias("line_md5"))
+
+
+def _line_sql() -> str:
+    desc = ("CASE WHEN length(t.description) > 300 THEN substring(t.description, 1, 300) || '...' "
+            "ELSE t.description END")
+    return ("'🎮 ' || coalesce(t.title, 'Unknown') || ' (' || coalesce(CAST(year(t.release_date) AS VARCHAR), 'Unknown') "
+            "|| ')' || chr(10) || '📊 Score: ' || coalesce(CAST(t.score AS VARCHAR), 'None') || '/10' || chr(10) "
+            "|| '🖥️ Platforms: ' || array_to_string(coalesce(t.platforms, []::VARCHAR[]), ', ') || chr(10) "
+            "|| '🎯 Genres: ' || array_to_string(coalesce(t.genres, []::VARCHAR[]), ', ') || chr(10) "
+            "|| CASE WHEN coalesce(t.relevance_score, 0) <> 0 THEN '🔍 Relevance: ' || printf('%.3f', t.relevance_score) || chr(10) ELSE '' END "
+            f"|| CASE WHEN coalesce(t.description, '') <> '' THEN '📝 ' || {desc} || chr(10) ELSE '' END")
+
+
+SQL["format_result_line"] = semantic(select=f"SELECT t.query_id, t.item_id, CAST(length({_line_sql()}) AS INTEGER) AS chars, "
+                                            f"md5({_line_sql()}) AS line_md5")
+
+
+@register("display_score")
+def q_display_score(spark, d):
+    r = _semantic_results(spark, d)
+    return r.select("query_id", "item_id", S.display_score(F.col("relevance_score"), F.lit(None).cast("double"),
+                                                           F.col("score")).alias("display_score"))
+
+
+SQL["display_score"] = semantic(select="""SELECT t.query_id, t.item_id,
+       coalesce(printf('%.2f', coalesce(nullif(t.relevance_score, 0), nullif(t.score, 0))), 'N/A') AS display_score""")
+
+
+@register("knn_cross")
+def q_knn_cross(spark, d):
+    from .operators import knn as K
+    hits = K.knn(fx.vector_queries(spark, d), fx.item_vectors(spark, d), 10, carry=["modality"])
+    return hits.select("query_id", "rank", "vec_id", "modality", F.round("dist", 6).alias("dist"))
+
+
+SQL["knn_cross"] = q("""
+pairs AS (SELECT q.query_id, v.vec_id, v.modality,
+                 list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p:
+                     (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS dist
+          FROM vec_queries q, item_vectors v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, modality, round(dist, 6) AS dist FROM r WHERE rank <= 10""")
+
+
+@register("count_rows")
+def q_count_rows(spark, d):
+    return _items(spark, d).agg(F.count(F.lit(1)).cast("bigint").alias("items"))
+
+
+SQL["count_rows"] = q("""
+x AS (SELECT 1)
+SELECT CAST(count(*) AS BIGINT) AS items FROM items""")
+
+
+@register("count_not_null")
+def q_count_not_null(spark, d):
+    i = _items(spark, d)
+    return i.agg(*[F.count(c).cast("bigint").alias(f"{c}_n") for c in ("score", "cover_url", "release_date", "screenshot_urls")])
+
+
+SQL["count_not_null"] = q("""
+x AS (SELECT 1)
+SELECT CAST(count(score) AS BIGINT) AS score_n, CAST(count(cover_url) AS BIGINT) AS cover_url_n,
+       CAST(count(release_date) AS BIGINT) AS release_date_n, CAST(count(screenshot_urls) AS BIGINT) AS screenshot_urls_n
+FROM items""")

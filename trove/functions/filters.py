@@ -46,10 +46,14 @@ def filter_min_score(score: Column, min_score, scored_only) -> Column:
 
 
 def filter_min_year(release_date: Column, min_year) -> Column:
-    """Release year >= y. Written as a date comparison so Parquet min/max
-    statistics can prune; NULL dates fail."""
+    """Release year >= y. Written as a bare date comparison (no coalesce) so
+    Catalyst can push it into the Parquet scan and min/max statistics can
+    prune; NULL dates give NULL, which a WHERE drops."""
     y = min_year if isinstance(min_year, Column) else F.lit(min_year)
-    return F.coalesce(release_date >= F.make_date(y.cast("int"), F.lit(1), F.lit(1)), F.lit(False))
+    if not isinstance(min_year, Column):
+        import datetime as _dt
+        return release_date >= F.lit(_dt.date(int(min_year), 1, 1))
+    return release_date >= F.make_date(y.cast("int"), F.lit(1), F.lit(1))
 
 
 def like_escape(q: Column) -> Column:

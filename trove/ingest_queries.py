@@ -121,7 +121,8 @@ SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count_if(trim(value, {WS}) <> '')
 @register("check_primary_key")
 def q_check_primary_key(spark, d):
     lines = catalogue_lines(spark, d)
-    ids = lines.select(F.try_variant_get(F.try_parse_json("value"), "$.id", "bigint").alias("id")).where("id IS NOT NULL")
+    ids = J._parsed(lines, ("id",)).where("_ok").select(F.col("_r.id").try_cast("bigint").alias("id")) \
+        .where("id IS NOT NULL")
     return V.check_primary_key(ids, "id")
 
 

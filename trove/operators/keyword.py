@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.filters import filter_keyword
+from ..session import ship_package
 from .sizing import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, hash_slices, measure, slice_count
 
 try:  # optional fast path
@@ -50,9 +51,10 @@ def _automaton(key, patterns):
     return a
 
 
-def _match_automaton(items: DataFrame, queries: DataFrame, carry: list[str]) -> DataFrame:
-    pats = [(int(r["query_id"]), r["text"].lower())
-            for r in queries.select("query_id", "text").collect()]
+def _match_automaton(items: DataFrame, queries: DataFrame, carry: list[str], rows=None) -> DataFrame:
+    ship_package(items.sparkSession)
+    rows = rows if rows is not None else queries.select("query_id", "text").collect()
+    pats = [(int(r["query_id"]), r["text"].lower()) for r in rows]
     pats = [(q, t) for q, t in pats if t]
     bc = items.sparkSession.sparkContext.broadcast(pats)
     key = id(bc)
@@ -98,13 +100,19 @@ def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str],
     """(query_id, *carry) for every item whose title or description contains
     the query text, case-insensitively. Blank queries match nothing."""
     queries = queries.where(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")
-    size = measure(queries.select("query_id", "text"))
-    n = slice_count(size, max_rows, max_bytes)
+    # One bounded collect proves the size (at most max_rows + 1 rows read);
+    # only a larger query set is measured and processed in hash slices.
+    head = queries.select("query_id", "text").limit(max_rows + 1).collect()
+    head_bytes = sum(len(r["text"].encode("utf-8")) + 16 for r in head)
+    fits = len(head) <= max_rows and head_bytes <= max_bytes
+    n = 1 if fits else slice_count(measure(queries.select("query_id", "text")), max_rows, max_bytes)
     if method == "auto":
         method = "automaton" if (ahocorasick is not None and not wildcards
-                                 and size.rows >= AUTOMATON_MIN_QUERIES) else "join"
+                                 and len(head) >= AUTOMATON_MIN_QUERIES) else "join"
     if method == "automaton" and (ahocorasick is None or wildcards):
         method = "join"
+    if fits and method == "automaton":
+        return _match_automaton(items, queries, carry, rows=head)
     parts = []
     for qs in hash_slices(queries, "query_id", n):
         if method == "automaton":

@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .sizing import DEFAULT_MAX_BYTES, hash_slices, measure, slice_count
 
 METRICS = ("sqeuclidean", "l2", "cosine", "ip")
 # Rows of query vectors per broadcast slice (bounded so a task holds
 # Q x batch distances comfortably).
 MAX_QUERY_ROWS = 50_000
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 512       # queries per distance block: 512 x 10k-row batch x 8 B = 40 MB
 
 
 class DimensionMismatch(ValueError):
@@ -121,10 +122,17 @@ def _keep_k(tbl: pa.Table, id_col: str, k: int) -> pa.Table:
     return tbl.filter(pa.array(rank < k))
 
 
+def _query_table(queries: DataFrame, qid: str, qvec: str, limit: int | None = None) -> pa.Table:
+    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("v"))
+    return (q.limit(limit) if limit is not None else q).toArrow()
+
+
 def _knn_slice(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: str, cid: str,
-               cvec: str, carry: Sequence[str], metric: str) -> DataFrame:
+               cvec: str, carry: Sequence[str], metric: str, qtab: pa.Table | None = None) -> DataFrame:
     spark = corpus.sparkSession
-    qtab = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("v")).toArrow()
+    ship_package(spark)
+    if qtab is None:
+        qtab = _query_table(queries, qid, qvec)
     qids = qtab.column("qid").to_numpy()
     Q = _to_matrix(qtab.column("v"), None, "query")
     dim = Q.shape[1] if Q.size else None
@@ -171,10 +179,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id",
         raise ValueError(f"metric must be one of {METRICS}")
     if k <= 0:
         raise ValueError("k must be positive")
-    size = measure(queries.select(qid, qvec))
-    n = slice_count(size, max_query_rows, max_query_bytes)
-    parts = [_knn_slice(qs, corpus, k, qid, qvec, cid, cvec, carry, metric)
-             for qs in hash_slices(queries, qid, n)]
+    # One bounded collect proves the size: at most max_query_rows + 1 rows are
+    # read; only a query set above the bound is measured and sliced.
+    head = _query_table(queries, qid, qvec, max_query_rows + 1)
+    if head.num_rows <= max_query_rows and head.nbytes <= max_query_bytes:
+        parts = [_knn_slice(queries, corpus, k, qid, qvec, cid, cvec, carry, metric, qtab=head)]
+    else:
+        size = measure(queries.select(qid, qvec))
+        n = slice_count(size, max_query_rows, max_query_bytes)
+        parts = [_knn_slice(qs, corpus, k, qid, qvec, cid, cvec, carry, metric)
+                 for qs in hash_slices(queries, qid, n)]
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -251,6 +265,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits:
     ``cogroup.applyInPandas``, emitting k rows per query and group; a final
     ``row_number() <= k`` merges. Recall is measured against ``knn``.
     """
+    ship_package(corpus.sparkSession)
     H = _hyperplanes(dim, bits, seed)
     Hb = corpus.sparkSession.sparkContext.broadcast(H)
     flips = [0] + ([1 << b for b in range(bits)] if probes else [])

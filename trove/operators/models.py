@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 # Fusion weights and the reranker input limit.
 VECTOR_WEIGHT = 0.7
 RERANK_WEIGHT = 0.3
@@ -61,6 +63,7 @@ def encode_text_batch(df: DataFrame, id_col: str, text_col: str,
     (n, dim) array and runs in ``mapInPandas``; default: hashed term counts."""
     if encoder is None:
         return encode_text_default(df, id_col, text_col, dim)
+    ship_package(df.sparkSession)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
@@ -91,6 +94,7 @@ def encode_image_batch(df: DataFrame, id_col: str, bytes_col: str,
     RGB is the encoder's job) and runs in ``mapInPandas`` on Arrow batches;
     default: 64-bin byte histogram."""
     encoder = encoder or byte_histogram
+    ship_package(df.sparkSession)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
@@ -134,6 +138,7 @@ def rerank_score_batch(pairs: DataFrame, query_col: str = "q_text", passage_col:
     """
     if scorer is None:
         return pairs.withColumn(out_col, rerank_default(F.col(query_col), F.col(passage_col)))
+    ship_package(pairs.sparkSession)
     schema = T.StructType(pairs.schema.fields + [T.StructField(out_col, T.DoubleType())])
 
     def fn(it):
@@ -163,6 +168,7 @@ def generate_answers_batch(prompts: DataFrame, fallback_col: str, prompt_col: st
     template answer from ``fallback_col``."""
     if generator is None:
         return prompts.withColumn(out_col, F.col(fallback_col))
+    ship_package(prompts.sparkSession)
     schema = T.StructType(prompts.schema.fields + [T.StructField(out_col, T.StringType())])
 
     def fn(it):

@@ -73,3 +73,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trove`` importable in the Python workers (once per context).
+
+    Operators that run Python on executors (Arrow batch kernels, pluggable
+    models) pickle functions of this package by reference; the package is
+    zipped once and added with ``addPyFile`` — what ``--py-files`` does for
+    a submitted job — so workers import it whatever their working folder.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import trove
+    root = os.path.dirname(os.path.abspath(trove.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="trove-pkg-"), "trove.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.join("trove", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

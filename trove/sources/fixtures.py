@@ -23,6 +23,8 @@ REVIEW_ID_STRIDE = 100        # review_id = conv_id * 100 + turn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from ..session import ship_package
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -39,23 +39,41 @@ def count_input_lines(lines: DataFrame) -> DataFrame:
                      F.count_if(C.py_strip(F.col("value")) != "").cast("bigint").alias("non_blank"))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
+CORRUPT = "_corrupt"
+
+
+def _parsed(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Parse each line as a JSON object with every field read as text.
+
+    ``from_json`` (Jackson, streaming) returns scalars as their text and
+    lists / objects as their raw JSON; lines that are not one JSON object
+    land in the corrupt-record column. Adds ``_r`` (the struct), ``_ok``
+    (parsed as an object) and ``_blank``.
+    """
     v = C.py_strip(F.col("value"))
-    return lines.select("*", F.try_parse_json(v).alias("_v"), (v == "").alias("_blank"))
+    schema = ", ".join([f"`{f}` string" for f in fields] + [f"{CORRUPT} string"])
+    r = F.from_json(v, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    out = lines.select("*", r.alias("_r"), (v == "").alias("_blank"))
+    return out.withColumn("_ok", F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull() & ~F.col("_blank"))
 
 
-def _get(path: str, typ: str) -> Column:
-    return F.try_variant_get(F.col("_v"), path, typ)
+def _get(field: str) -> Column:
+    return F.col(f"_r.`{field}`")
 
 
-def _json_list(path: str) -> Column:
+def _json_list(field: str) -> Column:
     """A JSON field that may be a list, a scalar or null -> list of strings
     (safe_list: trimmed, blanks dropped)."""
-    arr = _get(path, "array<string>")
-    scalar = _get(path, "string")
-    return C.safe_list(F.when(arr.isNotNull(), arr)
-                        .when(scalar.isNotNull(), F.array(scalar))
-                        .otherwise(F.array().cast("array<string>")))
+    raw = _get(field)
+    is_list = F.startswith(F.ltrim(raw), F.lit("["))
+    return C.safe_list(F.when(raw.isNull(), F.array().cast("array<string>"))
+                        .when(is_list, F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>")))
+                        .otherwise(F.array(raw)))
+
+
+def _list_or_null(field: str) -> Column:
+    raw = _get(field)
+    return F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.from_json(raw, "array<string>"))
 
 
 def latest_by_key(df: DataFrame, key: str, order: str = "line_no") -> DataFrame:
@@ -74,17 +92,18 @@ def read_catalogue_jsonl(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine). Records: one per truthy id, last line wins.
     Quarantine: line_no, value, reason ('bad_json' or 'missing_id');
     blank lines are neither (they are not records)."""
-    p = _parsed(lines)
-    rid = _get("$.id", "bigint")
-    good = p.where(F.col("_v").isNotNull() & C.truthy_id(rid))
+    lists = ("platforms", "genres", "developers", "publishers")
+    p = _parsed(lines, ("id", *CATALOGUE_FIELDS, *lists, "sample_screenshot_urls"))
+    rid = _get("id").try_cast("bigint")
+    good = p.where(F.col("_ok") & C.truthy_id(rid))
     rec = good.select(
         rid.alias("id"), "line_no",
-        *[_get(f"$.{f}", "string").alias(f) for f in CATALOGUE_FIELDS],
-        *[_json_list(f"$.{f}").alias(f) for f in ("platforms", "genres", "developers", "publishers")],
-        _get("$.sample_screenshot_urls", "array<string>").alias("sample_screenshot_urls"))
+        *[_get(f).alias(f) for f in CATALOGUE_FIELDS],
+        *[_json_list(f).alias(f) for f in lists],
+        _list_or_null("sample_screenshot_urls").alias("sample_screenshot_urls"))
     records = latest_by_key(rec, "id")
-    bad = p.where(~F.col("_blank") & (F.col("_v").isNull() | ~C.truthy_id(rid))).select(
-        "line_no", "value", F.when(F.col("_v").isNull(), "bad_json").otherwise("missing_id").alias("reason"))
+    bad = p.where(~F.col("_blank") & (~F.col("_ok") | ~F.coalesce(C.truthy_id(rid), F.lit(False)))).select(
+        "line_no", "value", F.when(~F.col("_ok"), "bad_json").otherwise("missing_id").alias("reason"))
     return records, bad
 
 
@@ -120,12 +139,12 @@ def read_reviews_jsonl(lines: DataFrame) -> DataFrame:
     that is present but not an integer). Blank lines are dropped, as the
     reference never counts them.
     """
-    p = _parsed(lines).where(~F.col("_blank"))
-    rid_raw, gid_raw = _get("$.review_id", "string"), _get("$.game_id", "string")
+    p = _parsed(lines, ("review_id", "game_id", "citation")).where(~F.col("_blank"))
+    rid_raw, gid_raw = _get("review_id"), _get("game_id")
     rid, gid = rid_raw.try_cast("bigint"), gid_raw.try_cast("bigint")
-    cit = C.strip_html(_get("$.citation", "string"))
+    cit = C.strip_html(_get("citation"))
     falsy = lambda raw: raw.isNull() | raw.isin("", "0", "false")
-    reason = (F.when(F.col("_v").isNull(), "bad_json")
+    reason = (F.when(~F.col("_ok"), "bad_json")
                .when(falsy(rid_raw) | falsy(gid_raw) | (cit == ""), "missing_field")
                .when(rid.isNull() | gid.isNull(), "bad_int"))
     outcome = F.when(reason.isNull(), "accepted").when(reason == "bad_int", "failed").otherwise("skipped")
@@ -135,12 +154,12 @@ def read_reviews_jsonl(lines: DataFrame) -> DataFrame:
 
 def read_asset_patch_jsonl(lines: DataFrame) -> DataFrame:
     """id -> (cover URL, screenshot URLs), truthy ids, last line wins."""
-    p = _parsed(lines)
-    rid = _get("$.id", "bigint")
-    rec = p.where(F.col("_v").isNotNull() & C.truthy_id(rid)).select(
+    p = _parsed(lines, ("id", "sample_cover_url", "sample_screenshot_urls"))
+    rid = _get("id").try_cast("bigint")
+    rec = p.where(F.col("_ok") & C.truthy_id(rid)).select(
         rid.alias("item_id"), "line_no",
-        _get("$.sample_cover_url", "string").alias("cover_url"),
-        _get("$.sample_screenshot_urls", "array<string>").alias("screenshot_urls"))
+        _get("sample_cover_url").alias("cover_url"),
+        _list_or_null("sample_screenshot_urls").alias("screenshot_urls"))
     return latest_by_key(rec, "item_id")
 
 

@@ -55,6 +55,8 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
     one is the table. Local paths are used for the version listing, so on a
     cluster ``target_path`` is a mounted shared folder.
     """
+    from ..session import ship_package
+    ship_package(spark)
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "stream-upsert-" + os.path.basename(target_path.rstrip("/")))
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
            .load(source_dir)
