@@ -44,16 +44,16 @@ def encode_text_default(df: DataFrame, id_col: str, text_col: str, dim: int = DE
     how long the text is. Texts without tokens get the zero vector.
     """
     base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    ex = base.select("_id", F.explode(tokens(F.col("_t"))).alias("tok"))
-    counts = ex.groupBy("_id", token_bucket(F.col("tok"), dim).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # explode_outer keeps token-less texts (one NULL token) in the same
+    # aggregation, so no join back to the ids is needed.
+    ex = base.select("_id", F.explode_outer(tokens(F.col("_t"))).alias("tok"))
+    counts = ex.groupBy("_id", token_bucket(F.col("tok"), dim).alias("b")).agg(F.count("tok").alias("c"))
     per = counts.groupBy("_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"),
+        F.map_from_entries(F.collect_list(F.when(F.col("c") > 0, F.struct("b", "c")))).alias("m"),
         F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double") / F.col("norm"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    out = base.select("_id").join(per.select("_id", vec.alias("embedding")), "_id", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce(F.col("embedding"), zero).alias("embedding"))
+                      lambda i: F.coalesce(F.try_divide(F.col("m")[i].cast("double"), F.col("norm")), F.lit(0.0)))
+    return per.select(F.col("_id").alias(id_col), vec.alias("embedding"))
 
 
 def encode_text_batch(df: DataFrame, id_col: str, text_col: str,

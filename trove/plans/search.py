@@ -60,11 +60,11 @@ def keyword_search(items: DataFrame, reviews: DataFrame, queries: DataFrame,
     -> full records and reviews fetched for the surviving hits only.
     """
     q = with_filter_columns(queries, filters)
-    carry = ["item_id", "score", "platforms", "genres", "release_date"]
-    m = keyword_matches(items, q, carry, method=method, wildcards=wildcards)
+    # Whole records ride along with the matches (only matching rows leave
+    # the match task), so the catalogue is scanned once and not re-joined.
+    m = keyword_matches(items, q, list(items.columns), method=method, wildcards=wildcards)
     m = m.join(_prefixed_filters(q), "query_id").where(batch_predicate("q_", ""))
-    top = top_k_per_query(m.select("query_id", "item_id", "score"), limit, order_by_score())
-    full = top.select("query_id", "rank", "item_id").join(items, "item_id")
+    full = top_k_per_query(m, limit, order_by_score())
     if with_reviews:
         full = attach_reviews(full, reviews)
         full = full.withColumn("reviews", review_objects(F.col("reviews_array")))

@@ -22,6 +22,25 @@ REVIEW_ITEM_MODULUS = 50      # review vectors point at item vec_id % 50 (severa
 REVIEW_ID_STRIDE = 100        # review_id = conv_id * 100 + turn
 
 
+_PLANS: dict = {}
+
+
+def _memo(fn):
+    """Reuse the (lazy, immutable) DataFrame built for the same session and
+    folder: saves repeated file listing and analysis on the driver. No data
+    is cached; every action still reads the tables."""
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (spark.sparkContext.applicationId, id(spark), fn.__name__, sf_dir.rstrip("/"), args)
+        df = _PLANS.get(key)
+        if df is None:
+            df = _PLANS[key] = fn(spark, sf_dir, *args)
+        return df
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@_memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from ..session import ship_package
     ship_package(spark)
@@ -32,6 +51,7 @@ def first_line(c: Column) -> Column:
     return F.substring_index(c, "\n", 1)
 
 
+@_memo
 def item_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct nation names per part over lineitem -> supplier -> nation.
 
@@ -49,6 +69,7 @@ def item_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.array_sort(F.collect_set("n_name")).alias("platforms")))
 
 
+@_memo
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item per document (schema of SURVEY §1.4, without audit timestamps)."""
     docs = table(spark, sf_dir, "documents").select(
@@ -81,6 +102,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(
@@ -97,6 +119,7 @@ def modality_of(label: Column) -> Column:
     return expr
 
 
+@_memo
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     mod = modality_of(F.col("label"))
@@ -110,6 +133,7 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query set for vector search: every review-modality vector, with the
     title of the same-numbered document as its text (NULL if none)."""
@@ -121,6 +145,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("query_id", "text", "embedding"))
 
 
+@_memo
 def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query set for keyword search: every benchmark passage, whole."""
     b = table(spark, sf_dir, "benchmark")
