@@ -100,19 +100,15 @@ def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str],
     """(query_id, *carry) for every item whose title or description contains
     the query text, case-insensitively. Blank queries match nothing."""
     queries = queries.where(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")
-    # One bounded collect proves the size (at most max_rows + 1 rows read);
-    # only a larger query set is measured and processed in hash slices.
-    head = queries.select("query_id", "text").limit(max_rows + 1).collect()
-    head_bytes = sum(len(r["text"].encode("utf-8")) + 16 for r in head)
-    fits = len(head) <= max_rows and head_bytes <= max_bytes
-    n = 1 if fits else slice_count(measure(queries.select("query_id", "text")), max_rows, max_bytes)
+    # The size is proven in Spark (one aggregate, one row back) before any
+    # query text reaches the driver; above the bound the queries are sliced.
+    size = measure(queries.select("query_id", "text"))
+    n = slice_count(size, max_rows, max_bytes)
     if method == "auto":
         method = "automaton" if (ahocorasick is not None and not wildcards
-                                 and len(head) >= AUTOMATON_MIN_QUERIES) else "join"
+                                 and size.rows >= AUTOMATON_MIN_QUERIES) else "join"
     if method == "automaton" and (ahocorasick is None or wildcards):
         method = "join"
-    if fits and method == "automaton":
-        return _match_automaton(items, queries, carry, rows=head)
     parts = []
     for qs in hash_slices(queries, "query_id", n):
         if method == "automaton":

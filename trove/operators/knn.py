@@ -179,16 +179,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id",
         raise ValueError(f"metric must be one of {METRICS}")
     if k <= 0:
         raise ValueError("k must be positive")
-    # One bounded collect proves the size: at most max_query_rows + 1 rows are
-    # read; only a query set above the bound is measured and sliced.
-    head = _query_table(queries, qid, qvec, max_query_rows + 1)
-    if head.num_rows <= max_query_rows and head.nbytes <= max_query_bytes:
-        parts = [_knn_slice(queries, corpus, k, qid, qvec, cid, cvec, carry, metric, qtab=head)]
-    else:
-        size = measure(queries.select(qid, qvec))
-        n = slice_count(size, max_query_rows, max_query_bytes)
-        parts = [_knn_slice(qs, corpus, k, qid, qvec, cid, cvec, carry, metric)
-                 for qs in hash_slices(queries, qid, n)]
+    # The query side is measured in Spark (rows and bytes, one row back)
+    # before any vector reaches the driver; above the bound it is sliced.
+    size = measure(queries.select(qid, qvec))
+    n = slice_count(size, max_query_rows, max_query_bytes)
+    parts = [_knn_slice(qs, corpus, k, qid, qvec, cid, cvec, carry, metric)
+             for qs in hash_slices(queries, qid, n)]
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
