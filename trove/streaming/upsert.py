@@ -24,16 +24,31 @@ from ..sources import jsonl as J
 VERSION_PREFIX = "v"
 
 
-def _versions(path: str) -> list[str]:
-    if not os.path.isdir(path):
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem for ``path`` (local, HDFS or object store)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete version folders (with a _SUCCESS marker), oldest first."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
         return []
-    return sorted(d for d in os.listdir(path)
-                  if d.startswith(VERSION_PREFIX) and os.path.exists(os.path.join(path, d, "_SUCCESS")))
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+    return sorted(n for n in names if n.startswith(VERSION_PREFIX)
+                  and _exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS"))
 
 
 def latest_version(spark: SparkSession, path: str) -> Optional[DataFrame]:
-    v = _versions(path)
-    return spark.read.parquet(os.path.join(path, v[-1])) if v else None
+    v = _versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{v[-1]}") if v else None
 
 
 def catalogue_batch(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,20 +67,20 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
     """Start the stream; returns the StreamingQuery.
 
     ``target_path`` holds version folders ``v<epoch>``; the newest complete
-    one is the table. Local paths are used for the version listing, so on a
-    cluster ``target_path`` is a mounted shared folder.
+    one (with its _SUCCESS marker) is the table. Listing goes through the
+    Hadoop FileSystem of the path, so it may live on HDFS or object storage.
     """
     from ..session import ship_package
     ship_package(spark)
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "stream-upsert-" + os.path.basename(target_path.rstrip("/")))
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-upsert-{os.path.basename(target_path.rstrip('/'))}"
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
            .load(source_dir)
            .select("value", F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_block")))
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        out_dir = os.path.join(target_path, f"{VERSION_PREFIX}{epoch_id:012d}")
-        if os.path.exists(os.path.join(out_dir, "_SUCCESS")):
+        out_dir = f"{target_path.rstrip('/')}/{VERSION_PREFIX}{epoch_id:012d}"
+        if _exists(batch.sparkSession, f"{out_dir}/_SUCCESS"):
             return  # replayed epoch: already applied
         lines = batch.select("value", F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
                                                F.monotonically_increasing_id().alias("pos")).alias("line_no"))
