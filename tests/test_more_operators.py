@@ -95,3 +95,15 @@ def test_hash_slices_partition_rows(spark):
     parts = hash_slices(df, "query_id", 4)
     ids = sorted(r[0] for p in parts for r in p.collect())
     assert ids == list(range(1000))
+
+
+def test_review_positions_hot_item(spark):
+    # one item holds most reviews and is spread over many partitions
+    hot = [(i, 7, f"r{i}") for i in range(2000)]
+    cold = [(5000 + i, i % 3, " " if i == 1 else f"c{i}") for i in range(6)]
+    df = spark.createDataFrame(hot + cold, "review_id long, item_id long, citation string").repartition(9)
+    pos = {(r["item_id"], r["review_id"]): r["position"] for r in CAT.review_positions(df).collect()}
+    assert all(pos[(7, i)] == i + 1 for i in range(2000))
+    ex = CAT.explode_reviews(df).where("item_id = 1").collect()
+    # item 1 has reviews 5001 (blank, dropped) and 5004: the second keeps position 2
+    assert [(r["source"], r["review"]) for r in ex] == [("Critic 2", "c4")]

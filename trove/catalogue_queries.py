@@ -417,10 +417,10 @@ SELECT item_id, title, strftime(release_date, '%Y-%m-%d') AS release_date, score
 
 @register("explode_reviews")
 def q_explode_reviews(spark, d):
-    v = _iwr(spark, d).select("item_id", S.review_objects(F.col("reviews_array")).alias("r"))
-    ex = v.select("item_id", F.explode("r").alias("o"))
-    return ex.select("item_id", F.col("o.source").alias("source"), F.col("o.score").alias("score"),
-                     F.col("o.review").alias("review"))
+    # Long form: positions come from a distributed row number, so no item's
+    # reviews are gathered into one task; only reviews of catalogue items.
+    revs = fx.reviews(spark, d).join(_items(spark, d).select("item_id"), "item_id", "left_semi")
+    return CAT.explode_reviews(revs)
 
 
 SQL["explode_reviews"] = q(f"""

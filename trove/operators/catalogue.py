@@ -130,3 +130,29 @@ def project_result(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
             F.col("score").cast("double").alias("score"),
             "platforms", "genres", "developers", "publishers", "cover_url", "screenshot_urls"]
     return df.select(*cols, *extra)
+
+
+def review_positions(reviews: DataFrame) -> DataFrame:
+    """Every review with its 1-based position among its item's reviews
+    (ordered by review id), computed without gathering any item's reviews
+    into one task: a global row number over the unique (item_id, review_id)
+    order — range partitions split even an item holding a third of all
+    reviews — minus the item's first row number (a partial min aggregate)."""
+    from .tables import global_row_number
+    numbered = global_row_number(reviews, [F.col("item_id").asc(), F.col("review_id").asc()], "_rn")
+    first = numbered.groupBy("item_id").agg(F.min("_rn").alias("_first"))
+    return numbered.join(first, "item_id").withColumn(
+        "position", (F.col("_rn") - F.col("_first") + 1).cast("int")).drop("_rn", "_first")
+
+
+def explode_reviews(reviews: DataFrame) -> DataFrame:
+    """Long form of the review objects: item_id, source ('Critic i' with
+    the position among the item's reviews kept), score '' and the stripped
+    review; blank or NULL reviews are dropped after positions are set."""
+    from ..functions.clean import py_strip
+    from ..functions.shape import CRITIC_LABEL
+    p = review_positions(reviews)
+    txt = py_strip(F.col("citation"))
+    return p.where(txt.isNotNull() & (txt != "")).select(
+        "item_id", F.concat(F.lit(CRITIC_LABEL), F.col("position").cast("string")).alias("source"),
+        F.lit("").alias("score"), txt.alias("review"))
