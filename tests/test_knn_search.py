@@ -126,3 +126,16 @@ def test_keyword_search_reviews_and_order(spark):
     assert [r["item_id"] for r in res] == [1, 2]
     assert [x["source"] for x in res[0]["reviews"]] == ["Critic 1"]
     assert res[0]["review_count"] == 2
+
+
+def test_knn_approx_splits_hot_bucket(spark):
+    # every vector points the same way (one bucket); tiny groups force many salts
+    rng = np.random.default_rng(9)
+    C = (np.abs(rng.standard_normal((300, 6))) + 5.0).astype(np.float32)
+    Q = C[:5] + 0.001
+    corpus = vec_df(spark, list(enumerate(C)))
+    queries = vec_df(spark, list(enumerate(Q)), "query_id")
+    exact = {(r["query_id"], r["vec_id"]) for r in K.knn(queries, corpus, 4).collect()}
+    approx = {(r["query_id"], r["vec_id"]) for r in
+              K.knn_approx(queries, corpus, 4, dim=6, bits=4, max_group_rows=25).collect()}
+    assert approx == exact

@@ -249,15 +249,18 @@ def _bucket_codes(M: np.ndarray, H: np.ndarray) -> np.ndarray:
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits: int = 8,
-               probes: int = 1, salts: int = 4, seed: int = 7, qid: str = "query_id",
+               probes: int = 1, max_group_rows: int = 50_000, seed: int = 7, qid: str = "query_id",
                qvec: str = "embedding", cid: str = "vec_id", cvec: str = "embedding",
                metric: str = "sqeuclidean") -> DataFrame:
     """Approximate k nearest neighbours by random-hyperplane buckets.
 
     Each corpus vector goes to one bucket (sign pattern of ``bits`` fixed
-    random hyperplanes) and one of ``salts`` sub-groups; each query visits
-    its own bucket and the ``probes`` x bits buckets at Hamming distance 1,
-    in every salt. Groups are searched with the exact block kernel inside
+    random hyperplanes). Buckets are counted (at most 2^bits rows, a bounded
+    broadcast) and a bucket with n vectors is split into ceil(n /
+    max_group_rows) salted sub-groups, so a bucket holding a third of the
+    corpus becomes many bounded groups. Each query visits its own bucket and
+    the bits buckets at Hamming distance 1 (``probes``), in every salt of
+    those buckets. Groups are searched with the exact block kernel inside
     ``cogroup.applyInPandas``, emitting k rows per query and group; a final
     ``row_number() <= k`` merges. Recall is measured against ``knn``.
     """
@@ -286,10 +289,15 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits:
 
     cschema = T.StructType(corpus.select(cid, cvec).schema.fields + [T.StructField("bucket", T.LongType())])
     qschema = T.StructType(queries.select(qid, qvec).schema.fields + [T.StructField("bucket", T.LongType())])
-    cb = corpus.select(cid, cvec).mapInPandas(code_c, cschema) \
-        .withColumn("salt", F.pmod(F.xxhash64(F.col(cid)), F.lit(salts)).cast("int"))
-    qb = queries.select(qid, qvec).mapInPandas(code_q, qschema) \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    coded = corpus.select(cid, cvec).mapInPandas(code_c, cschema)
+    counts = coded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        "bucket", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_group_rows))).cast("int").alias("salts"))
+    # counts has at most 2^bits rows: a bounded broadcast on both sides.
+    counts_b = F.broadcast(counts)
+    cb = coded.join(counts_b, "bucket").withColumn(
+        "salt", F.pmod(F.xxhash64(F.col(cid)), F.col("salts")).cast("int")).drop("salts")
+    qb = queries.select(qid, qvec).mapInPandas(code_q, qschema).join(counts_b, "bucket") \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(cid, T.StringType()),
                                T.StructField("dist", T.DoubleType())])
 
