@@ -103,3 +103,11 @@ def test_scan_asset_inventory(spark, tmpdir_fresh):
     assert list(inv) == [12]
     assert inv[12]["cover_path"].endswith("12/cover.jpg")
     assert [p.rsplit("/", 1)[1] for p in inv[12]["screenshot_paths"]] == ["screenshot_1.jpg", "screenshot_2.jpg"]
+
+
+def test_upsert_both_plans_agree(spark):
+    t = spark.createDataFrame([(i, f"t{i}", f"c{i}") for i in range(50)], "id long, title string, cover string")
+    s = spark.createDataFrame([(i, f"new{i}") for i in range(40, 60)], "id long, title string")
+    small = sorted(tuple(r) for r in TB.upsert(t, s, "id", ["title"]).collect())
+    big = sorted(tuple(r) for r in TB.upsert(t, s, "id", ["title"], broadcast_rows=0).collect())
+    assert small == big and len(small) == 60
