@@ -3,7 +3,7 @@ next to its DuckDB oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import clean as C
@@ -11,9 +11,9 @@ from .functions import filters as FL
 from .functions import shape as S
 from .functions.filters import Filters
 from .operators import catalogue as CAT
-from .oracle import SQL, REVIEWS_STR, q, semantic
+from .oracle import SQL, q, semantic
 from .plans import search as SE
-from .registry import list_str, register, result_report, reviews_str
+from .registry import list_str, register, reviews_str
 from .sources import fixtures as fx
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"

@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path
 
 
 def dedupe_first(df: DataFrame, key: str, order: str | None) -> DataFrame:
@@ -216,5 +216,4 @@ def result_json(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 __all__ = ["upsert", "merge_into", "insert_ignore", "patch_columns", "patch_counts", "match_before_update",
            "delete_by_key", "cascade_delete", "global_row_number", "page_slice", "one_page",
-           "reassign_surrogate_key", "copy_table", "write_vectors", "write_version", "result_json",
-           "checkpoint_dir"]
+           "reassign_surrogate_key", "copy_table", "write_vectors", "write_version", "result_json"]
