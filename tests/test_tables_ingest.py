@@ -111,3 +111,10 @@ def test_upsert_both_plans_agree(spark):
     small = sorted(tuple(r) for r in TB.upsert(t, s, "id", ["title"]).collect())
     big = sorted(tuple(r) for r in TB.upsert(t, s, "id", ["title"], broadcast_rows=0).collect())
     assert small == big and len(small) == 60
+
+
+def test_one_page_matches_page_slice(spark):
+    df = spark.range(0, 250).select((F.col("id") * 37 % 251).alias("k"))
+    page2 = [r["k"] for r in TB.one_page(df, [F.col("k")], 100, 2).collect()]
+    sliced = TB.page_slice(df, [F.col("k")], 100).where("page = 2").orderBy("pos_in_page")
+    assert page2 == [r["k"] for r in sliced.collect()] and len(page2) == 50

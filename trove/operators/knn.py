@@ -248,8 +248,9 @@ def _bucket_codes(M: np.ndarray, H: np.ndarray) -> np.ndarray:
     return (bits * (1 << np.arange(H.shape[0]))).sum(1).astype(np.int64)
 
 
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits: int = 8,
-               probes: int = 1, max_group_rows: int = 50_000, seed: int = 7, qid: str = "query_id",
+def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits: int | None = None,
+               target_bucket: int = 256, probes: int = 1, max_group_rows: int = 50_000, seed: int = 7,
+               qid: str = "query_id",
                qvec: str = "embedding", cid: str = "vec_id", cvec: str = "embedding",
                metric: str = "sqeuclidean") -> DataFrame:
     """Approximate k nearest neighbours by random-hyperplane buckets.
@@ -263,8 +264,15 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits:
     those buckets. Groups are searched with the exact block kernel inside
     ``cogroup.applyInPandas``, emitting k rows per query and group; a final
     ``row_number() <= k`` merges. Recall is measured against ``knn``.
+
+    ``bits`` defaults from the corpus size (one count) so that a bucket holds
+    about ``target_bucket`` vectors: log2(n / target_bucket), at least 1.
     """
     ship_package(corpus.sparkSession)
+    if bits is None:
+        import math
+        n = corpus.count()
+        bits = max(1, min(24, int(round(math.log2(max(n, 1) / target_bucket)))))
     H = _hyperplanes(dim, bits, seed)
     Hb = corpus.sparkSession.sparkContext.broadcast(H)
     flips = [0] + ([1 << b for b in range(bits)] if probes else [])
