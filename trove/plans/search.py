@@ -116,11 +116,14 @@ def _vector_hits(queries: DataFrame, item_vectors: DataFrame, modality: str, fet
     return dedupe_hits(hits).select("query_id", "item_id", "dist", "vec_score")
 
 
-def _hits_with_items(hits: DataFrame, items: DataFrame, q: DataFrame) -> DataFrame:
+def _hits_with_items(hits: DataFrame, items: DataFrame, q: DataFrame, with_text: bool = False) -> DataFrame:
     """Hits joined to the catalogue (inner: hits without an item drop out)
     and filtered per query. Hits are queries x fetch rows, so AQE turns the
-    join into a broadcast of the hits side when it measures them small."""
-    j = hits.join(items, "item_id").join(_prefixed_filters(q), "query_id")
+    join into a broadcast of the hits side when it measures them small. The
+    query's filters (and text, for reranking) come in one join."""
+    extra = [F.col("text").alias("q_text")] if with_text else []
+    qcols = q.select("query_id", *[F.col(c).alias(f"q_{c}") for c in FILTER_COLUMNS], *extra)
+    j = hits.join(items, "item_id").join(qcols, "query_id")
     return j.where(batch_predicate("q_", ""))
 
 
@@ -139,8 +142,7 @@ def semantic_search(items: DataFrame, reviews: DataFrame, item_vectors: DataFram
     q = with_filter_columns(queries, filters)
     hits = _vector_hits(q.select("query_id", "embedding"), item_vectors, "description",
                         fetch_factor * k, items, filters, filter_mode)
-    cand = _hits_with_items(hits, items, q)
-    cand = cand.join(q.select("query_id", F.col("text").alias("q_text")), "query_id")
+    cand = _hits_with_items(hits, items, q.select("query_id", "text", *FILTER_COLUMNS), with_text=True)
     cand = rerank_score_batch(cand, "q_text", "description", scorer=scorer)
     cand = cand.withColumn("relevance_score", rerank_fuse(F.col("vec_score"), F.col("rerank_score")))
     order = [F.col("relevance_score").desc(), *order_by_score()]
