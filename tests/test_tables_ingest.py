@@ -118,3 +118,12 @@ def test_one_page_matches_page_slice(spark):
     page2 = [r["k"] for r in TB.one_page(df, [F.col("k")], 100, 2).collect()]
     sliced = TB.page_slice(df, [F.col("k")], 100).where("page = 2").orderBy("pos_in_page")
     assert page2 == [r["k"] for r in sliced.collect()] and len(page2) == 50
+
+
+def test_observe_outcomes_live_metrics(spark):
+    lines = spark.createDataFrame([(1, json.dumps({"review_id": 5, "game_id": 1, "citation": "ok"})),
+                                   (2, "not json")], "line_no long, value string")
+    df, obs = V.observe_outcomes(J.read_reviews_jsonl(lines))
+    df.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    assert (m["total"], m["successful"], m["skipped"]) == (2, 1, 1)

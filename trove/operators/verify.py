@@ -124,3 +124,21 @@ def ingest_outcome_stats(outcomes: DataFrame, outcome_col: str = "outcome") -> D
                        F.count_if(o == "failed").cast("bigint").alias("failed"),
                        F.count_if(o == "skipped").cast("bigint").alias("skipped"))
     return agg.withColumn("success_pct", F.round(F.try_divide(F.col("successful") * 100.0, F.col("total")), 1))
+
+
+def observe_outcomes(outcomes: DataFrame, name: str = "ingest", outcome_col: str = "outcome"):
+    """Attach live load metrics to a per-line outcome frame.
+
+    Returns ``(frame, observation)``: the counts (total, successful, failed,
+    skipped) are collected by ``DataFrame.observe`` as the frame is written
+    — no second pass over the input — and read with ``observation.get``
+    after the action.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    o = F.col(outcome_col)
+    df = outcomes.observe(obs, F.count(F.lit(1)).alias("total"),
+                          F.count_if(o == "accepted").alias("successful"),
+                          F.count_if(o == "failed").alias("failed"),
+                          F.count_if(o == "skipped").alias("skipped"))
+    return df, obs
