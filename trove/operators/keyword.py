@@ -51,9 +51,9 @@ def _automaton(key, patterns):
     return a
 
 
-def _match_automaton(items: DataFrame, queries: DataFrame, carry: list[str], rows=None) -> DataFrame:
+def _match_automaton(items: DataFrame, queries: DataFrame, carry: list[str]) -> DataFrame:
     ship_package(items.sparkSession)
-    rows = rows if rows is not None else queries.select("query_id", "text").collect()
+    rows = queries.select("query_id", "text").collect()  # a measured, bounded slice
     pats = [(int(r["query_id"]), r["text"].lower()) for r in rows]
     pats = [(q, t) for q, t in pats if t]
     bc = items.sparkSession.sparkContext.broadcast(pats)

@@ -122,17 +122,16 @@ def _keep_k(tbl: pa.Table, id_col: str, k: int) -> pa.Table:
     return tbl.filter(pa.array(rank < k))
 
 
-def _query_table(queries: DataFrame, qid: str, qvec: str, limit: int | None = None) -> pa.Table:
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("v"))
-    return (q.limit(limit) if limit is not None else q).toArrow()
+def _query_table(queries: DataFrame, qid: str, qvec: str) -> pa.Table:
+    """The (measured, bounded) query slice as one Arrow table on the driver."""
+    return queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("v")).toArrow()
 
 
 def _knn_slice(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: str, cid: str,
-               cvec: str, carry: Sequence[str], metric: str, qtab: pa.Table | None = None) -> DataFrame:
+               cvec: str, carry: Sequence[str], metric: str) -> DataFrame:
     spark = corpus.sparkSession
     ship_package(spark)
-    if qtab is None:
-        qtab = _query_table(queries, qid, qvec)
+    qtab = _query_table(queries, qid, qvec)
     qids = qtab.column("qid").to_numpy()
     Q = _to_matrix(qtab.column("v"), None, "query")
     dim = Q.shape[1] if Q.size else None
