@@ -47,7 +47,14 @@ def items_with_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
 def attach_reviews(hits: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviews for a small result set: reviews are first cut to the hit ids
     (semi join; AQE broadcasts the id set when it proves small), then
-    aggregated, so the full review table is never grouped for a search."""
+    aggregated, so the full review table is never grouped for a search.
+
+    The hits feed both the id set and the join; they are a bounded result
+    set, so they are checkpointed into the shared checkpoint folder first
+    and the search that produced them runs once (otherwise each branch would
+    recompute it)."""
+    from ..session import cut_lineage
+    hits = cut_lineage(hits)
     ids = hits.select("item_id").distinct()
     r = reviews_by_item(reviews.join(ids, "item_id", "left_semi"))
     out = hits.join(r, "item_id", "left")

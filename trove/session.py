@@ -70,9 +70,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never a local checkpoint)."""
+    """Reliable checkpoint into the shared folder (never a local checkpoint).
+
+    The frame is persisted first so the checkpoint write reads the computed
+    blocks instead of computing the frame a second time; the cache is
+    released once the checkpoint files exist."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 _SHIPPED: set = set()
