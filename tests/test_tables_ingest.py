@@ -127,3 +127,18 @@ def test_observe_outcomes_live_metrics(spark):
     df.write.format("noop").mode("overwrite").save()
     m = obs.get
     assert (m["total"], m["successful"], m["skipped"]) == (2, 1, 1)
+
+
+def test_cut_lineage_computes_once(spark):
+    from trove.session import cut_lineage
+    acc = spark.sparkContext.accumulator(0)
+
+    def count_rows(it):
+        for pdf in it:
+            acc.add(len(pdf))
+            yield pdf
+
+    df = spark.range(0, 1000, numPartitions=4).mapInPandas(count_rows, "id long")
+    cp = cut_lineage(df)
+    assert cp.count() == 1000 and cp.where("id < 10").count() == 10
+    assert acc.value == 1000   # computed once: not again for the checkpoint write or later reads
