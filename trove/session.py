@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,11 +63,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    sub = tempfile.mkdtemp(prefix=f"{name}-", dir=base) if base.startswith("/") else \
-        f"{base.rstrip('/')}/{name}-{os.getpid()}-{id(object())}"
-    return sub
+    """A fresh folder name below the shared checkpoint folder for a written table.
+
+    The name is unique (uuid4), nothing is created here: Spark's writers make
+    the folder through the Hadoop FileSystem, so any scheme works and no
+    driver-local folder is ever touched."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through the Hadoop FileSystem."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it
+    back: the lineage is cut, a lost executor costs nothing, and every later
+    branch reads the stored rows instead of computing them again."""
+    path = scratch_path(df.sparkSession, name)
+    w = df.write.option("compression", "zstd")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -74,13 +94,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The frame is persisted first so the checkpoint write reads the computed
     blocks instead of computing the frame a second time; the cache is
-    released once the checkpoint files exist."""
+    released in any case, also when the checkpoint fails."""
     from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 _SHIPPED: set = set()
