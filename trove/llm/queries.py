@@ -48,3 +48,32 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 def op10(spark: SparkSession, d: str) -> DataFrame:
     from .bpe_codec import bpe_digests
     return bpe_digests(read_table(spark, d, "documents"))
+
+
+@register("op1_topk_search")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk_search import topk_search
+    return topk_search(read_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+SQL["op1_topk_search"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@register("op2_simhash_dedup")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    from .simhash import near_duplicates
+    return near_duplicates(read_table(spark, d, "documents"), words=3, max_bits=2)
