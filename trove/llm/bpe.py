@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import regex
@@ -359,3 +360,37 @@ class PairIndexEncoder:
                     runs.append(x)
             out.append(runs)
         return out
+
+
+class ByteEncoder:
+    """Token ids of a byte-level vocabulary, as its own library gives them.
+
+    Plain pieces are merged by the rank file of the same vocabulary (the ids
+    are the ranks) and remembered; other text goes to the library whole."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        import tiktoken
+        self.v = vocabulary
+        apart = set(vocabulary.special.values())
+        ranks = {from_letters(t): i for t, i in vocabulary.ids.items() if i not in apart}
+        self.merge = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.inner = _Memo(lambda piece: array("I", self.merge(" " + piece)).tobytes())
+        self.first = _Memo(lambda piece: array("I", self.merge(piece)).tobytes())
+
+    def encode(self, text: str):
+        import numpy as np
+        out: list[bytes] = []
+        for k, part in enumerate(self.v.parts(text)):
+            if k % 2:
+                out.append(array("I", [self.v.special[part]]).tobytes())
+            elif not part:
+                continue
+            elif spaced_plainly(part):
+                pieces = part.split(" ")
+                out.append(self.first[pieces[0]])
+                out.extend(map(self.inner.__getitem__, pieces[1:]))
+            else:
+                out.append(array("I", self.v.library.encode(part, add_special_tokens=False).ids).tobytes())
+        self.inner.trim()
+        self.first.trim()
+        return np.frombuffer(b"".join(out), dtype=np.uint32)

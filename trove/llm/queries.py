@@ -77,3 +77,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op2(spark: SparkSession, d: str) -> DataFrame:
     from .simhash import near_duplicates
     return near_duplicates(read_table(spark, d, "documents"), words=3, max_bits=2)
+
+
+@register("op3_packing")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    from .packing import pack
+    return pack(read_table(spark, d, "documents"), window=2048, end_id=1)
+
+
+@register("op6_quality")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    from .quality import classify
+    return classify(read_table(spark, d, "documents"), read_table(spark, d, "labels"), threshold=0.3)
