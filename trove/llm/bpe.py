@@ -227,6 +227,7 @@ class PairIndexEncoder:
         self.v = vocabulary
         self.find = regex.compile(WORD_PATTERN).findall
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.word_runs: dict[bytes, tuple[int, str, str]] = {}
 
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of every word: one linked list over all words, one index
@@ -315,8 +316,9 @@ class PairIndexEncoder:
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
         """For each text its runs (number of ids, ids joined by a space, tokens
         joined by a space)."""
-        if len(self.known) > MEMO_LIMIT:
-            self.known.clear()
+        for memo in (self.known, self.word_runs):
+            if len(memo) > MEMO_LIMIT:
+                memo.clear()
         plan: list[list] = []
         new: dict[str, list[bytes]] = {}
         for text in texts:
@@ -340,13 +342,18 @@ class PairIndexEncoder:
         for piece in wanted.difference(self.known):
             if piece not in new:
                 new[piece] = self.words(piece)
-        flat = [w for ws in new.values() for w in ws]
-        ids_of = iter(self.merge_all(flat))
+        runs_of = self.word_runs
+        fresh_words = list({w for ws in new.values() for w in ws}.difference(runs_of))
         token_of = self.v.token_of
+        for w, ids in zip(fresh_words, self.merge_all(fresh_words)):
+            runs_of[w] = (len(ids), " ".join(map(str, ids)), " ".join(map(token_of.__getitem__, ids)))
         fresh = {}
         for piece, ws in new.items():
-            ids = [i for _ in ws for i in next(ids_of)]
-            fresh[piece] = (len(ids), " ".join(map(str, ids)), " ".join(map(token_of.__getitem__, ids)))
+            if len(ws) == 1:
+                fresh[piece] = runs_of[ws[0]]
+            else:
+                own = [r for r in map(runs_of.__getitem__, ws) if r[0]]
+                fresh[piece] = (sum(r[0] for r in own), " ".join([r[1] for r in own]), " ".join([r[2] for r in own]))
         known = self.known
         known.update({k: x for k, x in fresh.items() if k[0] != "\0"})
         out = []

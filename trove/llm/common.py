@@ -14,7 +14,7 @@ from ..session import ship_package
 #: The ASCII white space of the contracts: space and 0x09-0x0D.
 WHITE = b" \t\n\x0b\f\r"
 #: Entries kept in a worker's per-word memo before it starts afresh.
-MEMO_LIMIT = 250_000
+MEMO_LIMIT = 600_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
