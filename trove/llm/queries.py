@@ -89,3 +89,21 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 def op6(spark: SparkSession, d: str) -> DataFrame:
     from .quality import classify
     return classify(read_table(spark, d, "documents"), read_table(spark, d, "labels"), threshold=0.3)
+
+
+@register("op4_substring_dedup")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+    return substring_dedup(read_table(spark, d, "documents"), length=50)
+
+
+@register("op8_pii")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    from .pii import find_and_replace
+    return find_and_replace(read_table(spark, d, "documents"), key=b"trove sample key")
+
+
+@register("op9_lm_scoring")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    from .lm_scoring import is_good, lm_scores
+    return lm_scores(read_table(spark, d, "documents"), is_good(read_table(spark, d, "labels")), order=4)
