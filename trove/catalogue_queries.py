@@ -249,7 +249,7 @@ SELECT item_id, title FROM items WHERE item_id IN (SELECT doc_id FROM labels)"""
 @register("filter_keyword")
 def q_filter_keyword(spark, d):
     from .operators.keyword import keyword_matches
-    m = keyword_matches(_items(spark, d), fx.keyword_queries(spark, d), ["item_id"], method="join", wildcards=True)
+    m = keyword_matches(_items(spark, d), fx.keyword_queries(spark, d), ["item_id"], wildcards=True)
     return m.select("query_id", "item_id")
 
 
@@ -524,7 +524,7 @@ def q_result_card(spark, d):
         F.coalesce(F.col("score").cast("string"), F.lit(S.NOT_AVAILABLE)).alias("score"),
         S.truncate_text(F.col("description"), S.DESC_CUT_CARD).alias("short_description"),
         F.coalesce("cover_url", F.lit("")).alias("cover_url"),
-        F.size(S.slice_assets(F.col("screenshot_urls"), 1000000)).alias("n_screenshots"),
+        F.size(F.coalesce(F.col("screenshot_urls"), F.array().cast("array<string>"))).alias("n_screenshots"),
         F.when(bad_id, F.lit("Game ID is missing or invalid")).alias("error"))
 
 

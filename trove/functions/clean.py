@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 # A tag is "<" then the shortest run of non-newline characters
 # then ">" (Python's '.' stops only at '\n'); white space stripped at both
-# ends is the ASCII set Python's strip() removes for this data.
+# ends is the set Python's strip() removes.
 TAG_PATTERN = r"<[^\n]*?>"
 # Accepted date layouts, tried in this order.
 DATE_FORMATS = ("yyyy-M-d", "yyyy", "M/d/yyyy", "d/M/yyyy")
 
 
-EDGE_SPACE_CHARS = " \t\n\r\x0b\x0c"
+EDGE_SPACE_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+                    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# Fixed value: texts that Python's float() reads as a number.
+FLOAT_PATTERN = (r"^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+                 r"|^[+-]?(?i:inf|infinity|nan)$")
 
 
 def py_strip(c: Column) -> Column:
     """Strip leading/trailing white space like Python's ``str.strip`` (the
-    ASCII set above; ``btrim`` with a character set, no regex)."""
+    set above; ``btrim`` with a character set, no regex)."""
     return F.btrim(c, F.lit(EDGE_SPACE_CHARS))
 
 
@@ -28,9 +32,10 @@ def strip_html(c: Column) -> Column:
 
 
 def safe_float(c: Column) -> Column:
-    """NULL, '' or unparsable -> NULL; numbers pass through."""
-    s = F.trim(c.cast("string"))
-    return F.when(s == "", F.lit(None).cast("double")).otherwise(s.try_cast("double"))
+    """NULL, '' or unparsable -> NULL; numbers pass through (digits grouped by
+    single underscores too, type suffixes like '5d' not)."""
+    s = py_strip(c.cast("string"))
+    return F.when(s.rlike(FLOAT_PATTERN), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def safe_list(c: Column) -> Column:

@@ -198,7 +198,7 @@ def review_lines(spark, d) -> DataFrame:
     c = fx.table(spark, d, "conversations")
     rid = (c.conv_id * 100 + c.turn).cast("string")
     # 'system' turns carry a review id that is not an integer (a failed row).
-    rid_json = F.when(c.role == "system", F.to_json(F.array(F.concat(F.lit("R-"), rid))).substr(2, 10**6)) \
+    rid_json = F.when(c.role == "system", F.to_json(F.array(F.concat(F.lit("R-"), rid))).substr(F.lit(2), F.length(rid) + 4)) \
                 .otherwise(rid)
     rid_json = F.regexp_replace(rid_json, r"\]$", "")
     good = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), F.to_json(F.struct(
@@ -339,7 +339,7 @@ def _item_source(spark, d) -> DataFrame:
         (F.col("score") + F.lit(0.5)).alias("score"), "platforms", "genres", "developers", "publishers", "source_url")
     b = fx.table(spark, d, "benchmark")
     new = b.select((F.col("item_id") + NEW_ID_BASE).alias("item_id"),
-                   F.substring(fx.first_line(F.col("text")), 1, 80).alias("title"), F.col("text").alias("description"),
+                   fx.first_line(F.col("text")).alias("title"), F.col("text").alias("description"),
                    F.lit(None).cast("date").alias("release_date"), F.lit(None).cast("double").alias("score"),
                    F.lit(None).cast("array<string>").alias("platforms"), F.lit(None).cast("array<string>").alias("genres"),
                    F.lit(None).cast("array<string>").alias("developers"), F.lit(None).cast("array<string>").alias("publishers"),
@@ -362,7 +362,7 @@ src AS (
   SELECT i.item_id, 'v2 ' || i.title AS title, i.score + 0.5 AS score, i.platforms FROM items i
   WHERE i.item_id IN (SELECT doc_id FROM labels)
   UNION ALL
-  SELECT item_id + {NEW_ID_BASE}, substring(split_part(text, chr(10), 1), 1, 80), NULL, NULL FROM benchmark)
+  SELECT item_id + {NEW_ID_BASE}, split_part(text, chr(10), 1), NULL, NULL FROM benchmark)
 SELECT coalesce(i.item_id, s.item_id) AS item_id, CASE WHEN s.item_id IS NOT NULL THEN s.title ELSE i.title END AS title,
        CASE WHEN s.item_id IS NOT NULL THEN s.score ELSE i.score END AS score, i.cover_url,
        CAST(coalesce(len(CASE WHEN s.item_id IS NOT NULL THEN s.platforms ELSE i.platforms END), -1) AS INTEGER) AS n_platforms

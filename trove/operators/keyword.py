@@ -1,121 +1,88 @@
 """Batch keyword matching: which queries occur (case-insensitively) in which items.
 
-Two physical forms of one operator:
-
-* ``join``: broadcast the (size-checked) queries and evaluate
-  ``contains(lower(text), lower(q))`` in the JVM — Q substring scans per item,
-  best for a handful of queries and the only form supporting LIKE wildcards.
-* ``automaton``: one Aho-Corasick pass per text finds every query it contains
-  at once (cost independent of the number of queries), run with
-  ``mapInPandas`` over the item partitions. Only matching (query, item)
-  pairs leave the task.
-
-Query sets above the broadcast bound are processed in hash slices.
+One plan of equi-joins for any number of queries and any id type; nothing is
+collected. A query can only occur in an item that holds the query's words, so
+each query is keyed by one thing of its own that the item must have:
+
+* a query with a word between two white-space runs must meet that word whole:
+  its rarest such word is joined with the words of the items;
+* a shorter query lies inside the words of the item: its longest fragment is
+  joined by its rarest piece of up to three characters with the vocabulary
+  (distinct words), and the words that contain it with the items.
+
+The candidates are then checked against the whole text (``contains``, or
+``LIKE`` with wildcards). Rarity is measured on the items. Frequent words
+meet in a join that AQE can split.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.clean import py_strip
 from ..functions.filters import filter_keyword
-from ..session import ship_package
-from .sizing import DEFAULT_MAX_BYTES, DEFAULT_MAX_ROWS, hash_slices, measure, slice_count
-
-try:  # optional fast path
-    import ahocorasick  # type: ignore
-except Exception:  # pragma: no cover
-    ahocorasick = None
-
-AUTOMATON_MIN_QUERIES = 32
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(key, patterns):
-    a = _AUTOMATA.get(key)
-    if a is None:
-        a = ahocorasick.Automaton()
-        grouped: dict[str, list[int]] = {}
-        for qid, text in patterns:
-            grouped.setdefault(text, []).append(qid)
-        for text, ids in grouped.items():
-            a.add_word(text, tuple(ids))
-        a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = a
-    return a
-
-
-def _match_automaton(items: DataFrame, queries: DataFrame, carry: list[str]) -> DataFrame:
-    ship_package(items.sparkSession)
-    rows = queries.select("query_id", "text").collect()  # a measured, bounded slice
-    pats = [(int(r["query_id"]), r["text"].lower()) for r in rows]
-    pats = [(q, t) for q, t in pats if t]
-    bc = items.sparkSession.sparkContext.broadcast(pats)
-    key = id(bc)
-    fields = [T.StructField("query_id", T.LongType(), False)] + \
-             [f for f in items.schema.fields if f.name in carry]
-    out_schema = T.StructType(fields)
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = _automaton(key, bc.value)
-        for pdf in batches:
-            rows_idx, qids = [], []
-            titles = pdf["title"].tolist()
-            descs = pdf["description"].tolist()
-            for i in range(len(pdf)):
-                found = set()
-                for txt in (titles[i], descs[i]):
-                    if txt:
-                        for _, ids in auto.iter(txt.lower()):
-                            found.update(ids)
-                for q in found:
-                    rows_idx.append(i)
-                    qids.append(q)
-            if not qids:
-                continue
-            sub = pdf.iloc[rows_idx][carry].reset_index(drop=True)
-            sub.insert(0, "query_id", pd.Series(qids, dtype="int64"))
-            yield sub
-
-    cols = list(dict.fromkeys(["item_id", "title", "description", *carry]))
-    return items.select(*cols).mapInPandas(fn, out_schema)
-
-
-def _match_join(items: DataFrame, queries: DataFrame, carry: list[str], wildcards: bool) -> DataFrame:
-    q = F.broadcast(queries.select(F.col("query_id"), F.col("text").alias("_q")))
-    cond = filter_keyword(F.col("title"), F.col("description"), F.col("_q"), wildcards=wildcards)
-    cols = list(dict.fromkeys(["item_id", "title", "description", *carry]))
-    return items.select(*cols).join(q, cond, "inner").select("query_id", *carry)
-
-
-def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str],
-                    method: str = "auto", wildcards: bool = False,
-                    max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+from ..session import write_scratch
+
+GRAM = 3
+
+
+def _words(c: Column) -> Column:
+    return F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")
+
+
+def _rarest(keys: DataFrame, index: DataFrame, n: str = "key") -> DataFrame:
+    """(query_id, key): the key of each query that ``index`` has least often
+    (a key it lacks counts 0: such a query matches nothing)."""
+    counts = index.groupBy(n).agg(F.count(F.lit(1)).alias("n"))
+    return (keys.join(counts, n, "left").groupBy("query_id")
+            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col(n))).alias("best"))
+            .select("query_id", F.col(f"best.{n}").alias(n)))
+
+
+def _grams(word: Column) -> Column:
+    """Distinct pieces of one to GRAM characters."""
+    at = F.sequence(F.lit(1), F.length(word))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(
+        *[F.substring(word, i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+
+
+def candidates(items: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
+    """(query_id, item_id) pairs that may match; every match is among them.
+    ``queries``: query_id, _q (lower-case text)."""
+    special = F.col("x").rlike(r"[%_\\]") if wildcards else F.lit(False)
+    parts = F.split("_q", r"\s+", -1)
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
+    keyed = queries.select("query_id", F.explode(inner).alias("x")).where(~special).select("query_id", F.col("x").alias("word"))
+    keyed = write_scratch(keyed.distinct(), "keyword-keys")
+    words = items.select("item_id", F.explode(F.array_distinct(F.concat(_words(F.col("title")), _words(F.col("description"))))).alias("word"))
+    held = write_scratch(words.join(keyed.select("word").distinct(), "word", "left_semi"), "keyword-words")
+    out = _rarest(keyed, held, "word").join(held, "word").select("query_id", "item_id")
+
+    short = queries.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
+    if short.isEmpty():
+        return out
+    pieces = F.filter(F.split("_q", r"[\s%_\\]+" if wildcards else r"\s+"), lambda x: x != "")
+    short = short.select("query_id", F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("piece"))
+    some = short.where("piece is not null")
+    own = some.select("query_id", "piece", F.explode(F.filter(_grams(F.col("piece")), lambda g: F.length(g) == F.least(F.length("piece"), F.lit(GRAM)))).alias("key"))
+    vocabulary = words.where("word <> ''").select("word").distinct()
+    index = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("key"))
+    index = write_scratch(index.join(own.select("key").distinct(), "key", "left_semi"), "keyword-pieces")
+    meant = (_rarest(own.select("query_id", "key"), index).join(index, "key").join(some, "query_id")
+             .where(F.contains("word", "piece")).select("query_id", "word"))
+    out = out.union(meant.join(words, "word").select("query_id", "item_id"))
+    if wildcards:       # no literal at all ('%', '_'): every item is asked for
+        everything = short.where("piece is null").select("query_id", F.lit(1).alias("any"))
+        out = out.union(items.select("item_id", F.lit(1).alias("any")).join(everything, "any").select("query_id", "item_id"))
+    return out.distinct()
+
+
+def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str], wildcards: bool = False) -> DataFrame:
     """(query_id, *carry) for every item whose title or description contains
-    the query text, case-insensitively. Blank queries match nothing."""
-    queries = queries.where(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")
-    # The size is proven in Spark (one aggregate, one row back) before any
-    # query text reaches the driver; above the bound the queries are sliced.
-    size = measure(queries.select("query_id", "text"))
-    n = slice_count(size, max_rows, max_bytes)
-    if method == "auto":
-        method = "automaton" if (ahocorasick is not None and not wildcards
-                                 and size.rows >= AUTOMATON_MIN_QUERIES) else "join"
-    if method == "automaton" and (ahocorasick is None or wildcards):
-        method = "join"
-    parts = []
-    for qs in hash_slices(queries, "query_id", n):
-        if method == "automaton":
-            parts.append(_match_automaton(items, qs, carry))
-        else:
-            parts.append(_match_join(items, qs, carry, wildcards))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    the query text, case-insensitively. Queries of white space only match nothing."""
+    q = queries.where(py_strip(F.coalesce(F.col("text"), F.lit(""))) != "").select("query_id", F.lower("text").alias("_q"))
+    cols = list(dict.fromkeys(["item_id", "title", "description", *carry]))
+    found = candidates(items, q, wildcards).join(q, "query_id")
+    hit = filter_keyword(F.col("title"), F.col("description"), F.col("_q"), wildcards=wildcards)
+    return found.join(items.select(*cols), "item_id").where(hit).select("query_id", *carry)

@@ -65,14 +65,6 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: Sequence
     return merged(target.join(s, key, "full_outer"))
 
 
-def merge_into(target_table: str, source: DataFrame, key: str, update_cols: Sequence[str]) -> None:
-    """The same upsert as ``MERGE INTO`` for a table format that supports it
-    (a V2 catalogue table); not available for plain Parquet paths."""
-    set_clause = {c: F.col(f"s.{c}") for c in update_cols}
-    (source.alias("s").mergeInto(target_table, F.col(f"t.{key}") == F.col(f"s.{key}"))
-     .whenMatched().update(set_clause).whenNotMatched().insertAll().merge())
-
-
 def insert_ignore(target: DataFrame, source: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """INSERT ... ON CONFLICT DO NOTHING: source rows whose key is new (first
     occurrence within the source wins) are appended."""
@@ -185,17 +177,21 @@ def copy_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_vectors(vectors: DataFrame, path: str, dims: dict[str, int] | None = None) -> DataFrame:
-    """Write item vectors partitioned by modality (first row per vec_id
-    kept; a vector of the wrong length for its modality raises)."""
+    """Write item vectors partitioned by modality. Ids are unique within a
+    modality: of rows that share both, the smallest (by the other columns in
+    order) is kept; a vector of the wrong length for its modality raises."""
     v = vectors
     if dims:
         expected = None
         for m, d in dims.items():
             expected = F.when(F.col("modality") == m, F.lit(d)) if expected is None else \
                 expected.when(F.col("modality") == m, F.lit(d))
-        v = v.withColumn("_bad", F.when(F.size("embedding") != expected,
-                                        F.raise_error(F.lit("vector of wrong length")))).drop("_bad")
-    first = v.dropDuplicates(["vec_id"])
+        # a filter on the check itself: the optimizer cannot drop it
+        v = v.where(F.when(F.size("embedding") != expected,
+                           F.raise_error(F.lit("vector of wrong length")).cast("boolean")).otherwise(F.lit(True)))
+    others = [c for c in v.columns if c not in ("modality", "vec_id")]
+    first = v.groupBy("modality", "vec_id").agg(F.min(F.struct(*others)).alias("_r")) \
+        .select(*[F.col(f"_r.{c}").alias(c) if c in others else F.col(c) for c in v.columns])
     first.write.mode("errorifexists").partitionBy("modality").parquet(path)
     return first.sparkSession.read.parquet(path)
 
@@ -214,6 +210,6 @@ def result_json(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols)).alias("json"))
 
 
-__all__ = ["upsert", "merge_into", "insert_ignore", "patch_columns", "patch_counts", "match_before_update",
+__all__ = ["upsert", "insert_ignore", "patch_columns", "patch_counts", "match_before_update",
            "delete_by_key", "cascade_delete", "global_row_number", "page_slice", "one_page",
            "reassign_surrogate_key", "copy_table", "write_vectors", "write_version", "result_json"]

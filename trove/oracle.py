@@ -15,7 +15,7 @@ plat AS (
   GROUP BY l.l_partkey),
 items AS (
   SELECT d.doc_id AS item_id,
-         substring(split_part(d.text, chr(10), 1), 1, 80) AS title,
+         split_part(d.text, chr(10), 1) AS title,
          d.text AS description,
          CAST(o.o_orderdate AS DATE) AS release_date,
          CASE WHEN lb.doc_id IS NOT NULL THEN CAST(p.p_size AS DOUBLE) / 5.0 END AS score,
@@ -41,7 +41,7 @@ rev_agg AS (
   FROM reviews GROUP BY item_id),
 item_vectors AS (
   SELECT CAST(vec_id AS VARCHAR) AS vec_id,
-         CASE WHEN label >= 8 THEN vec_id % 50 ELSE vec_id END AS item_id,
+         CASE WHEN label >= 8 THEN vec_id // 5 ELSE vec_id END AS item_id,
          CASE WHEN label >= 8 THEN vec_id END AS review_id,
          CASE WHEN label <= 3 THEN 'description' WHEN label <= 5 THEN 'cover'
               WHEN label <= 7 THEN 'screenshot' ELSE 'review' END AS modality,
@@ -50,7 +50,7 @@ item_vectors AS (
 kw_queries AS (
   SELECT item_id AS query_id, text FROM benchmark WHERE trim(coalesce(text, '')) <> ''),
 vec_queries AS (
-  SELECT v.review_id AS query_id, substring(split_part(d.text, chr(10), 1), 1, 80) AS text, v.embedding
+  SELECT v.review_id AS query_id, split_part(d.text, chr(10), 1) AS text, v.embedding
   FROM item_vectors v LEFT JOIN documents d ON d.doc_id = v.review_id
   WHERE v.modality = 'review')
 """

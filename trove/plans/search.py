@@ -52,17 +52,20 @@ def search_by_values(items: DataFrame, values: DataFrame, column: str, n: int =
 
 def keyword_search(items: DataFrame, reviews: DataFrame, queries: DataFrame,
                    limit: int = DEFAULT_LIMIT, filters: Optional[Filters] = None,
-                   method: str = "auto", wildcards: bool = False, with_reviews: bool = True) -> DataFrame:
+                   wildcards: bool = False, with_reviews: bool = True) -> DataFrame:
     """Keyword search for every row of ``queries`` (query_id, text[, filters]).
 
-    Plan: match -> per-query filters (row predicate after an equi-join on
+    Plan: shared ``filters`` on the catalogue (pushed to its scans) -> match
+    -> per-query filters (row predicate after an equi-join on
     query_id) -> top ``limit`` per query by score desc NULLS LAST, item id
     -> full records and reviews fetched for the surviving hits only.
     """
-    q = with_filter_columns(queries, filters)
+    q = with_filter_columns(queries)
+    if filters is not None:
+        items = items.where(filters.predicate())
     # Whole records ride along with the matches (only matching rows leave
     # the match task), so the catalogue is scanned once and not re-joined.
-    m = keyword_matches(items, q, list(items.columns), method=method, wildcards=wildcards)
+    m = keyword_matches(items, q, list(items.columns), wildcards=wildcards)
     m = m.join(_prefixed_filters(q), "query_id").where(batch_predicate("q_", ""))
     full = top_k_per_query(m, limit, order_by_score())
     if with_reviews:

@@ -18,7 +18,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 MODALITY_BY_LABEL = {0: "description", 1: "description", 2: "description", 3: "description",
                      4: "cover", 5: "cover", 6: "screenshot", 7: "screenshot",
                      8: "review", 9: "review"}
-REVIEW_ITEM_MODULUS = 50      # review vectors point at item vec_id % 50 (several hits per item)
+REVIEW_ITEM_STRIDE = 5        # review vectors point at item vec_id div 5 (several hits per item)
 REVIEW_ID_STRIDE = 100        # review_id = conv_id * 100 + turn
 
 
@@ -88,7 +88,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     name_words = F.split(F.col("p_name"), " ")
     return j.select(
         "item_id",
-        F.substring(first_line(F.col("text")), 1, 80).alias("title"),
+        first_line(F.col("text")).alias("title"),
         F.col("text").alias("description"),
         "release_date",
         F.when(F.col("has_label"), F.col("p_size").cast("double") / F.lit(5.0)).alias("score"),
@@ -126,7 +126,7 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_review = F.col("label") >= 8
     return e.select(
         F.col("vec_id").cast("string").alias("vec_id"),
-        F.when(is_review, F.col("vec_id") % REVIEW_ITEM_MODULUS).otherwise(F.col("vec_id")).alias("item_id"),
+        F.when(is_review, F.floor(F.col("vec_id") / REVIEW_ITEM_STRIDE)).otherwise(F.col("vec_id")).alias("item_id"),
         F.when(is_review, F.col("vec_id")).cast("bigint").alias("review_id"),
         mod.alias("modality"),
         F.col("embedding"),
@@ -139,7 +139,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     title of the same-numbered document as its text (NULL if none)."""
     v = item_vectors(spark, sf_dir).where(F.col("modality") == "review")
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"), F.substring(first_line(F.col("text")), 1, 80).alias("text"))
+        F.col("doc_id").alias("query_id"), first_line(F.col("text")).alias("text"))
     return (v.select(F.col("review_id").alias("query_id"), "embedding")
              .join(docs, "query_id", "left")
              .select("query_id", "text", "embedding"))

@@ -39,22 +39,21 @@ def count_input_lines(lines: DataFrame) -> DataFrame:
                      F.count_if(C.py_strip(F.col("value")) != "").cast("bigint").alias("non_blank"))
 
 
-CORRUPT = "_corrupt"
-
-
 def _parsed(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Parse each line as a JSON object with every field read as text.
 
     ``from_json`` (Jackson, streaming) returns scalars as their text and
-    lists / objects as their raw JSON; lines that are not one JSON object
-    land in the corrupt-record column. Adds ``_r`` (the struct), ``_ok``
-    (parsed as an object) and ``_blank``.
+    lists / objects as their raw JSON. The line is read as the only element
+    of an array, so that anything after the object (or a second object) makes
+    it invalid; single quotes are not JSON. Adds ``_r`` (the struct), ``_ok``
+    (parsed as one object) and ``_blank``.
     """
     v = C.py_strip(F.col("value"))
-    schema = ", ".join([f"`{f}` string" for f in fields] + [f"{CORRUPT} string"])
-    r = F.from_json(v, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    out = lines.select("*", r.alias("_r"), (v == "").alias("_blank"))
-    return out.withColumn("_ok", F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull() & ~F.col("_blank"))
+    schema = "array<struct<" + ", ".join(f"`{f}`: string" for f in fields) + ">>"
+    r = F.from_json(F.concat(F.lit("["), v, F.lit("]")), schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    out = lines.select("*", r.alias("_all"), (v == "").alias("_blank"))
+    one = F.startswith(v, F.lit("{")) & (F.size("_all") == 1) & F.get("_all", F.lit(0)).isNotNull()
+    return out.withColumn("_r", F.get("_all", F.lit(0))).withColumn("_ok", F.coalesce(one, F.lit(False))).drop("_all")
 
 
 def _get(field: str) -> Column:
@@ -141,9 +140,10 @@ def read_reviews_jsonl(lines: DataFrame) -> DataFrame:
     """
     p = _parsed(lines, ("review_id", "game_id", "citation")).where(~F.col("_blank"))
     rid_raw, gid_raw = _get("review_id"), _get("game_id")
-    rid, gid = rid_raw.try_cast("bigint"), gid_raw.try_cast("bigint")
+    whole = lambda raw: F.regexp_replace(raw, r"^(-?\d+)\.0+$", "$1").try_cast("bigint")  # noqa: E731  int(6.0) is 6
+    rid, gid = whole(rid_raw), whole(gid_raw)
     cit = C.strip_html(_get("citation"))
-    falsy = lambda raw: raw.isNull() | raw.isin("", "0", "false")
+    falsy = lambda raw: raw.isNull() | raw.isin("", "false") | raw.rlike(r"^-?0+(\.0+)?$")
     reason = (F.when(~F.col("_ok"), "bad_json")
                .when(falsy(rid_raw) | falsy(gid_raw) | (cit == ""), "missing_field")
                .when(rid.isNull() | gid.isNull(), "bad_int"))

@@ -4,13 +4,16 @@ versioned Parquet table as they arrive.
 File-source ``readStream`` -> ``foreachBatch``: each micro-batch is parsed
 with the batch readers (bad lines quarantined), duplicates inside the batch
 resolved by last line, then upserted into the latest table version and
-written as a new version folder named by the epoch. A retried epoch finds
-its folder already complete and is skipped, so the sink is idempotent; the
-stream's progress lives in a checkpoint under the shared checkpoint folder.
+written as a new version folder named by its number, the stream's id and the
+epoch. A retried epoch of the same stream finds its folder already complete
+and is skipped, so the sink is idempotent; another stream (a new checkpoint
+has a new id) that starts again at epoch 0 is applied. The stream's progress
+lives in a checkpoint under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from typing import Callable, Optional, Sequence
 
@@ -46,6 +49,11 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
                   and _exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS"))
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a stream's checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
 def latest_version(spark: SparkSession, path: str) -> Optional[DataFrame]:
     v = _versions(spark, path)
     return spark.read.parquet(f"{path.rstrip('/')}/{v[-1]}") if v else None
@@ -66,7 +74,7 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
                   available_now: bool = True, max_files_per_trigger: int = 1000):
     """Start the stream; returns the StreamingQuery.
 
-    ``target_path`` holds version folders ``v<epoch>``; the newest complete
+    ``target_path`` holds version folders ``v<number>-<stream>-<epoch>``; the newest complete
     one (with its _SUCCESS marker) is the table. Listing goes through the
     Hadoop FileSystem of the path, so it may live on HDFS or object storage.
     """
@@ -79,9 +87,12 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
                    F.col("_metadata.file_block_start").alias("_block")))
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        out_dir = f"{target_path.rstrip('/')}/{VERSION_PREFIX}{epoch_id:012d}"
-        if _exists(batch.sparkSession, f"{out_dir}/_SUCCESS"):
-            return  # replayed epoch: already applied
+        done = _versions(batch.sparkSession, target_path)
+        mark = f"-{_stream_id(batch.sparkSession, ckpt)}-{epoch_id}"
+        if any(n.endswith(mark) for n in done):
+            return  # replayed epoch of this stream: already applied
+        number = int(done[-1][len(VERSION_PREFIX):].split("-")[0]) + 1 if done else 0
+        out_dir = f"{target_path.rstrip('/')}/{VERSION_PREFIX}{number:012d}{mark}"
         lines = batch.select("value", F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
                                                F.monotonically_increasing_id().alias("pos")).alias("line_no"))
         prepared, bad = prepare(lines)
