@@ -186,6 +186,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
               .select("fp", "text_sha256", "group_size",
                       F.when(F.col("low") == F.col("high"), F.col("best"))
                       .otherwise(F.raise_error(F.lit("texts of one SHA-256 differ in their bytes"))).alias("best")))
+    groups = write_scratch(groups, "exact-groups")       # its own exchange, so that a hot group's rows can be split
     joined = meta.join(groups, ["fp", "text_sha256"], "left")
     keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
