@@ -56,12 +56,17 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp of every row."""
+    """doc_id, fp and text_key (a hash that tells texts of one id apart) of every row."""
     def run(batches):
+        import xxhash
         for b in batches:
-            fp = [fingerprint(t, words) for _, texts in text_slices(b) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
-    return map_batches(texts_of(docs, id_col, text_col), run, "doc_id long, fp long")
+            fp, key = [], []
+            for _, texts in text_slices(b):
+                fp += [fingerprint(t, words) for t in texts]
+                key += [xxhash.xxh64_intdigest(t.encode("utf-8"), 42) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64))],
+                                             names=["doc_id", "fp", "text_key"])
+    return map_batches(texts_of(docs, id_col, text_col), run, "doc_id long, fp long, text_key long")
 
 
 def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -69,7 +74,8 @@ def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
     place of the bit and the other bits of the segment, without hashing."""
     segments = max_bits // 2 + 1                     # one of them differs by at most one bit
     size = -(-64 // segments)
-    places = fps.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # each row becomes 64
+    places = fps.repartition(spread, "fp").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
     segment = F.floor(F.col("p") / size).cast("int")
     value = F.expr(f"shiftrightunsigned(fp, cast(floor(p / {size}) as int) * {size})").bitwiseAND(F.lit((1 << size) - 1))
     without = value.bitwiseAND(F.expr(f"~shiftleft(1L, cast(p % {size} as int))"))
@@ -82,21 +88,24 @@ def _near(a: str, b: str, max_bits: int):
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): links that connect every two fingerprints within ``max_bits``."""
+    """(a, b): links that connect every two fingerprints within ``max_bits``
+    (2 or more; the way for crowded variants is for 2 bits, for more bits the
+    self-join takes every variant)."""
+    if max_bits < 2:
+        raise ValueError("max_bits must be 2 or more")
+    limit = BUCKET if max_bits == 2 else 1 << 40
     variants = _variants(fps, max_bits)
     buckets = write_scratch(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                             .where(F.col("n") > 1), "variants")
     pairs = buckets.where(F.col("n") == 2).where(_near("a", "b", max_bits)).select("a", "b").distinct()
-    some = variants.join(buckets.where(F.col("n").between(3, BUCKET)).select("key"), "key", "left_semi")
+    some = variants.join(buckets.where(F.col("n").between(3, limit)).select("key"), "key", "left_semi")
     joined = (some.select("key", F.col("fp").alias("a"))
               .join(some.select("key", F.col("fp").alias("b")), "key")
               .where((F.col("a") < F.col("b")) & _near("a", "b", max_bits)).select("a", "b").distinct())
     out = pairs.union(joined)
-    crowded = buckets.where(F.col("n") > BUCKET).select("key")
-    if max_bits == 2 and not crowded.isEmpty():
+    crowded = buckets.where(F.col("n") > limit).select("key")
+    if not crowded.isEmpty():
         out = out.union(_two_left_out(variants.join(crowded, "key", "left_semi").select("fp").distinct()))
-    elif max_bits != 2 and not crowded.isEmpty():
-        raise ValueError("crowded variants are resolved for a distance of 2 bits only")
     return out.distinct()
 
 
@@ -113,7 +122,8 @@ def _two_left_out(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable),
+    text_key (XXH64 of the text, as F.xxhash64 gives it)."""
     own = write_scratch(fingerprints(docs, words, id_col, text_col), "simhash")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = connected_components(links(nodes.select("fp"), max_bits))
@@ -121,4 +131,4 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col:
               .withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
