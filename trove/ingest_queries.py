@@ -317,15 +317,15 @@ def q_match_before_update(spark, d):
     p = J.read_asset_patch_jsonl(patch_lines(spark, d))
     m = TB.match_before_update(fx.items(spark, d), p, "item_id")
     c = TB.patch_counts(p, ["cover_url", "screenshot_urls"])
-    return m.unionByName(c.select(F.col("updated").alias("matched"))).agg(
-        F.max("matched").alias("max_value"), F.min("matched").alias("min_value"))
+    both = m.select(F.lit("matched").alias("count_of"), F.col("matched").alias("rows"))
+    return both.unionByName(c.select(F.lit("with_value").alias("count_of"), F.col("updated").alias("rows")))
 
 
 SQL["match_before_update"] = q(PATCH_SQL + """,
-m AS (SELECT CAST(count(*) AS BIGINT) AS v FROM items WHERE item_id IN (SELECT item_id FROM patch)
+m AS (SELECT 'matched' AS count_of, CAST(count(*) AS BIGINT) AS rows FROM items WHERE item_id IN (SELECT item_id FROM patch)
       UNION ALL
-      SELECT CAST(count_if((cover_url IS NOT NULL AND cover_url <> '') OR (screenshot_urls IS NOT NULL AND len(screenshot_urls) > 0)) AS BIGINT) FROM patch)
-SELECT max(v) AS max_value, min(v) AS min_value FROM m""")
+      SELECT 'with_value', CAST(count_if((cover_url IS NOT NULL AND cover_url <> '') OR (screenshot_urls IS NOT NULL AND len(screenshot_urls) > 0)) AS BIGINT) FROM patch)
+SELECT count_of, rows FROM m""")
 
 
 # ------------------------------------------------------------ table upkeep
@@ -571,6 +571,11 @@ def q_write_vectors(spark, d):
     return out.groupBy("modality").agg(F.count(F.lit(1)).cast("bigint").alias("vectors"))
 
 
+SQL["write_vectors"] = q("""
+x AS (SELECT 1)
+SELECT modality, CAST(count(*) AS BIGINT) AS vectors FROM item_vectors GROUP BY modality""")
+
+
 @register("result_json")
 def q_result_json(spark, d):
     from .plans import search as SE

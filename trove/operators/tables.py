@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, write_scratch
 
 
 def dedupe_first(df: DataFrame, key: str, order: str | None) -> DataFrame:
@@ -173,7 +173,8 @@ def reassign_surrogate_key(df: DataFrame, old_key: str, new_key: str) -> DataFra
 
 
 def copy_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)
+    """A copy of the columns, written as Parquet in the shared folder and read back."""
+    return write_scratch(df.select(*columns), "copy")
 
 
 def write_vectors(vectors: DataFrame, path: str, dims: dict[str, int] | None = None) -> DataFrame:
