@@ -31,7 +31,7 @@ def test_exact_knn_matches_brute_force(spark, slices):
     cids = [str(i) for i in range(len(C))]
     corpus = vec_df(spark, list(enumerate(C))).repartition(5)
     queries = vec_df(spark, list(enumerate(Q)), "query_id")
-    kw = {"max_query_rows": slices} if slices else {}
+    kw = {"tile_rows": slices, "block_rows": 40} if slices else {}
     got = K.knn(queries, corpus, 12, **kw).collect()
     want = brute(Q, C, cids, 12)
     for qi in range(len(Q)):

@@ -146,9 +146,7 @@ SELECT min(score) AS min_score, max(score) AS max_score, CAST(min(year(release_d
 
 @register("review_coverage")
 def q_review_coverage(spark, d):
-    v = _iwr(spark, d)
-    return v.agg(F.count_if(F.size("reviews_array") > 0).cast("bigint").alias("items_with_reviews"),
-                 F.sum(F.size("reviews_array")).cast("bigint").alias("total_reviews"))
+    return CAT.review_coverage(fx.items(spark, d), fx.reviews(spark, d))
 
 
 SQL["review_coverage"] = q("""
@@ -302,12 +300,7 @@ SELECT item_id, title, score FROM items ORDER BY score DESC NULLS LAST, item_id
 
 
 def _by_values(spark, d, column: str, alias: str):
-    items = _items(spark, d)
-    vals = CAT.facet_values(items, column, "value")
-    # Query ids for the distinct values: dense rank over the (small, distinct) facet set.
-    from pyspark.sql import Window
-    vals = vals.select(F.dense_rank().over(Window.orderBy("value")).cast("bigint").alias("query_id"), "value")
-    res = SE.search_by_values(items, vals, column)
+    res = SE.search_by_values(_items(spark, d), None, column)
     return res.select(F.col("value").alias(alias), "rank", "item_id", "score")
 
 
@@ -539,8 +532,9 @@ SELECT item_id, coalesce(title, 'Unknown Title') AS title, split_part(strftime(r
 
 @register("result_detail")
 def q_result_detail(spark, d):
-    v = _iwr(spark, d)
-    revs = F.slice(S.review_objects(F.col("reviews_array")), 1, S.REVIEWS_DETAIL)
+    first = CAT.first_reviews(fx.reviews(spark, d), S.REVIEWS_DETAIL)
+    v = _items(spark, d).join(first, "item_id", "left")
+    revs = F.coalesce(F.col("reviews"), F.array().cast(first.schema["reviews"].dataType))
     return v.select(
         "item_id", F.substring(S.date_str(F.col("release_date")), 1, 4).alias("year"),
         S.join_list_default(F.col("platforms")).alias("platforms"),

@@ -67,7 +67,7 @@ def slice_assets(c: Column, n: int) -> Column:
 
 
 def fmt3(x: Column) -> Column:
-    return F.format_string("%.3f", x)
+    return F.call_function("format_number", x, F.lit("0.000"))
 
 
 def format_result_line(title: Column, release_date: Column, score: Column, platforms: Column,
@@ -96,7 +96,7 @@ def display_score(relevance: Column, similarity: Column, score: Column) -> Colum
     """First truthy of relevance, similarity, catalogue score, 2 decimals; else N/A."""
     first = F.coalesce(F.nullif(relevance, F.lit(0.0)), F.nullif(similarity, F.lit(0.0)),
                        F.nullif(score, F.lit(0.0)))
-    return F.when(first.isNull(), F.lit(NOT_AVAILABLE)).otherwise(F.format_string("%.2f", first))
+    return F.when(first.isNull(), F.lit(NOT_AVAILABLE)).otherwise(F.call_function("format_number", first, F.lit("0.00")))
 
 
 def review_objects(citations: Column) -> Column:

@@ -73,14 +73,11 @@ def facet_values(items: DataFrame, column: str, alias: str) -> DataFrame:
 
 def facet_choices(items: DataFrame, column: str, alias: str) -> DataFrame:
     """Facet values with 'All' first; ``pos`` gives the display order."""
+    from .tables import global_row_number
     vals = facet_values(items, column, alias)
-    first = vals.sparkSession.range(1).select(F.lit(FACET_ALL).alias(alias), F.lit(0).alias("_k"))
-    rest = vals.select(alias, F.lit(1).alias("_k"))
-    w = Window.orderBy("_k", alias)
-    # Facets are a few hundred names at most: this single-partition window
-    # runs on the already distinct, tiny value set.
-    return first.unionByName(rest).select(
-        (F.row_number().over(w) - 1).cast("int").alias("pos"), alias)
+    first = vals.sparkSession.range(1).select(F.lit(0).alias("pos"), F.lit(FACET_ALL).alias(alias))
+    rest = global_row_number(vals, [F.col(alias).asc()], "_rn")
+    return first.unionByName(rest.select(F.col("_rn").cast("int").alias("pos"), alias))
 
 
 def score_year_ranges(items: DataFrame) -> DataFrame:
@@ -125,9 +122,15 @@ def top_k_per_query(df: DataFrame, k, order: Sequence[Column], key: str = "query
 
 def rank_results(df: DataFrame, order: Sequence[Column], key: str = "query_id",
                  rank_col: str = "rank") -> DataFrame:
-    """1-based position of every row in its query's result list."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w).cast("int"))
+    """1-based position of every row in its query's result list.
+
+    A global row number over (key, order), minus that of the key's first row:
+    range partitions split a query that holds a third of all rows."""
+    from .tables import global_row_number
+    numbered = global_row_number(df, [F.col(key).asc(), *order], "_rn")
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_rn").alias("_first"))
+    return numbered.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(
+        rank_col, (F.col("_rn") - F.col("_first") + 1).cast("int")).drop("_rn", "_key", "_first")
 
 
 def project_result(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -141,15 +144,8 @@ def project_result(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 def review_positions(reviews: DataFrame) -> DataFrame:
     """Every review with its 1-based position among its item's reviews
-    (ordered by review id), computed without gathering any item's reviews
-    into one task: a global row number over the unique (item_id, review_id)
-    order — range partitions split even an item holding a third of all
-    reviews — minus the item's first row number (a partial min aggregate)."""
-    from .tables import global_row_number
-    numbered = global_row_number(reviews, [F.col("item_id").asc(), F.col("review_id").asc()], "_rn")
-    first = numbered.groupBy("item_id").agg(F.min("_rn").alias("_first"))
-    return numbered.join(first, "item_id").withColumn(
-        "position", (F.col("_rn") - F.col("_first") + 1).cast("int")).drop("_rn", "_first")
+    (ordered by review id), without gathering an item's reviews into one task."""
+    return rank_results(reviews, [F.col("review_id").asc()], key="item_id", rank_col="position")
 
 
 def explode_reviews(reviews: DataFrame) -> DataFrame:
@@ -163,3 +159,28 @@ def explode_reviews(reviews: DataFrame) -> DataFrame:
     return p.where(txt.isNotNull() & (txt != "")).select(
         "item_id", F.concat(F.lit(CRITIC_LABEL), F.col("position").cast("string")).alias("source"),
         F.lit("").alias("score"), txt.alias("review"))
+
+
+def first_reviews(reviews: DataFrame, n: int) -> DataFrame:
+    """item_id and ``reviews``: its first n review objects (blank ones left
+    out, labels counting all). At most n rows per item and task are shuffled."""
+    from ..functions.clean import py_strip
+    from ..functions.shape import CRITIC_LABEL
+    txt = py_strip(F.col("citation"))
+    # positions need ids alone; the texts of the first n join them afterwards
+    shown = reviews.where(txt.isNotNull() & (txt != ""))
+    top = top_k_per_query(shown, n, [F.col("review_id").asc()], key="item_id", rank_col="_nth")
+    place = review_positions(reviews.select("item_id", "review_id"))
+    obj = F.struct(F.col("_nth"), F.concat(F.lit(CRITIC_LABEL), F.col("position").cast("string")).alias("source"),
+                   F.lit("").alias("score"), txt.alias("review"))
+    rows = top.join(place, ["item_id", "review_id"]).groupBy("item_id").agg(F.array_sort(F.collect_list(obj)).alias("_r"))
+    return rows.select("item_id", F.transform("_r", lambda r: F.struct(
+        r["source"].alias("source"), r["score"].alias("score"), r["review"].alias("review"))).alias("reviews"))
+
+
+def review_coverage(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Items with reviews and the number of their reviews: counts of counts."""
+    n = reviews.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.select("item_id").join(n, "item_id", "left").agg(
+        F.count("n").cast("bigint").alias("items_with_reviews"),
+        F.sum(F.coalesce("n", F.lit(0))).cast("bigint").alias("total_reviews"))

@@ -1,24 +1,26 @@
 """Nearest-neighbour search for many queries at once.
 
-Exact search (``knn``): the query vectors are measured, and broadcast only if
-they fit the bound (else processed in hash slices that do). The corpus is
-never shuffled: each task takes its corpus partition in Arrow batches,
-computes the query x batch distance block with one matrix product, keeps a
-running top-k per query (ties broken by corpus id) and emits only those
-rows. A final ``row_number() <= k`` per query merges the per-partition
-lists, so the shuffle carries partitions x queries x k rows, never the pair
-space.
+Both sides stay in DataFrames. The queries are cut into tiles and the corpus
+into blocks by a hash of their ids, and every (tile, block) pair is one key of
+one shuffle: a tile is copied once per block and a block once per tile, so
+each pair costs a bounded tile of queries against a stream of corpus rows.
+Within a partition the rows are sorted by pair, queries first; the kernel
+keeps one tile, one Arrow batch and a running top k per query in memory,
+whatever the size of a block. Only k rows per query and block leave it, and a
+final ``row_number() <= k`` per query merges them.
 
 Distances of the candidates are recomputed exactly from the differences, so
 the result does not depend on the matrix-product shortcut.
 
-Approximate search (``knn_approx``): random-hyperplane buckets with
-multi-probe; queries and corpus are co-grouped by (bucket, salt) and each
-group is searched as a block, hot buckets split by salting.
+Approximate search (``knn_approx``) uses the same kernel with the bucket of a
+random-hyperplane code as part of the pair key.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -28,14 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
-from .sizing import DEFAULT_MAX_BYTES, hash_slices, measure, slice_count
+from ..session import ship_package, write_scratch
+from .sizing import DEFAULT_MAX_BYTES, SideSize, measure, slice_count
 
 METRICS = ("sqeuclidean", "l2", "cosine", "ip")
-# Rows of query vectors per broadcast slice (bounded so a task holds
-# Q x batch distances comfortably).
-MAX_QUERY_ROWS = 50_000
+TILE_ROWS = 4_096               # queries of one (tile, block) pair
+TILE_BYTES = 32 * 1024 * 1024   # and their vectors' bytes
+BLOCK_ROWS = 65_536             # corpus rows of one pair, on average
 QUERY_BLOCK = 512       # queries per distance block: 512 x 10k-row batch x 8 B = 40 MB
+PAIR = ["_group", "_tile", "_block"]
 
 
 class DimensionMismatch(ValueError):
@@ -87,10 +90,9 @@ def _approx_block(Q, qn, C, cn, metric):
         return np.where(den > 0, 1.0 - g / den, 1.0)
 
 
-def _block_topk(qids, Q, qn, rb: pa.RecordBatch, vec_col: str, dim: int, k: int, metric: str):
-    """Candidates (query_id, row index, exact distance) covering the top k of
+def _block_topk(Q, qn, C, k: int, metric: str):
+    """Candidates (query row, corpus row, exact distance) covering the top k of
     every query within one corpus batch, ties at the k-th distance included."""
-    C = _to_matrix(rb.column(vec_col), dim, "corpus")
     cn = np.einsum("ij,ij->i", C, C)
     n = C.shape[0]
     out_q, out_i = [], []
@@ -105,91 +107,139 @@ def _block_topk(qids, Q, qn, rb: pa.RecordBatch, vec_col: str, dim: int, k: int,
             qi, ci = np.nonzero(np.ones_like(D, dtype=bool))
         out_q.append(qi + s)
         out_i.append(ci)
-    qi = np.concatenate(out_q) if out_q else np.zeros(0, dtype=np.int64)
-    ci = np.concatenate(out_i) if out_i else np.zeros(0, dtype=np.int64)
-    dist = _exact(Q[qi], C[ci], metric) if len(qi) else np.zeros(0)
-    return qids[qi], ci, dist
+    qi, ci = np.concatenate(out_q), np.concatenate(out_i)
+    return qi, ci, _exact(Q[qi], C[ci], metric)
 
 
 def _keep_k(tbl: pa.Table, id_col: str, k: int) -> pa.Table:
     if tbl.num_rows == 0:
         return tbl
-    tbl = tbl.sort_by([("query_id", "ascending"), ("dist", "ascending"), (id_col, "ascending")])
-    q = tbl.column("query_id").to_numpy()
+    tbl = tbl.sort_by([("_row", "ascending"), ("dist", "ascending"), (id_col, "ascending")])
+    q = tbl.column("_row").to_numpy()
     starts = np.r_[0, np.nonzero(q[1:] != q[:-1])[0] + 1]
     group_start = np.repeat(starts, np.diff(np.r_[starts, len(q)]))
     rank = np.arange(len(q)) - group_start
     return tbl.filter(pa.array(rank < k))
 
 
-def _query_table(queries: DataFrame, qid: str, qvec: str) -> pa.Table:
-    """The (measured, bounded) query slice as one Arrow table on the driver."""
-    return queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("v")).toArrow()
+class _Pair:
+    """The state of one (group, tile, block): its queries and their best rows."""
 
+    def __init__(self, k: int, cid: str, keep: list[str], metric: str):
+        self.k, self.cid, self.keep, self.metric = k, cid, keep, metric
+        self.ids, self.vectors = [], []
+        self.Q = self.best = None
 
-def _knn_slice(queries: DataFrame, corpus: DataFrame, k: int, qid: str, qvec: str, cid: str,
-               cvec: str, carry: Sequence[str], metric: str) -> DataFrame:
-    spark = corpus.sparkSession
-    ship_package(spark)
-    qtab = _query_table(queries, qid, qvec)
-    qids = qtab.column("qid").to_numpy()
-    Q = _to_matrix(qtab.column("v"), None, "query")
-    dim = Q.shape[1] if Q.size else None
-    bc = spark.sparkContext.broadcast((qids, Q, dim))
-    cols = list(dict.fromkeys([cid, cvec, *carry]))
-    src = corpus.select(*cols)
-    keep = [f for f in src.schema.fields if f.name != cvec]
-    out_schema = T.StructType([T.StructField("query_id", T.LongType(), False),
-                               T.StructField("dist", T.DoubleType(), False), *keep])
-    keep_names = [f.name for f in keep]
+    def add_queries(self, rb: pa.RecordBatch) -> None:
+        dim = self.vectors[0].shape[1] if self.vectors else None
+        self.ids.append(rb.column("query_id"))
+        self.vectors.append(_to_matrix(rb.column("_vec"), dim, "query"))
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids_, Q_, dim_ = bc.value
-        if dim_ is None:
+    def add_corpus(self, rb: pa.RecordBatch) -> None:
+        if not self.ids:
             return
-        qn = np.einsum("ij,ij->i", Q_, Q_)
-        best = None
+        if self.Q is None:
+            self.Q = np.concatenate(self.vectors)
+            self.qn = np.einsum("ij,ij->i", self.Q, self.Q)
+        C = _to_matrix(rb.column("_vec"), self.Q.shape[1], "corpus")
+        qi, ci, dist = _block_topk(self.Q, self.qn, C, self.k, self.metric)
+        cand = pa.Table.from_batches([rb.select(self.keep).take(pa.array(ci, pa.int64()))]) \
+            .add_column(0, "_row", pa.array(qi, pa.int64())).add_column(1, "dist", pa.array(dist, pa.float64()))
+        best = cand if self.best is None else pa.concat_tables([self.best, cand])
+        self.best = _keep_k(best, self.cid, self.k)
+
+    def result(self) -> list[pa.RecordBatch]:
+        if self.best is None:
+            return []
+        ids = pa.chunked_array(self.ids).take(self.best.column("_row"))
+        out = self.best.drop_columns(["_row"]).add_column(0, "query_id", ids)
+        return out.combine_chunks().to_batches()
+
+
+def _search_pairs(tiles: DataFrame, blocks: DataFrame, k: int, cid: str, keep: list[str], metric: str) -> DataFrame:
+    """k nearest rows within every (group, tile, block) pair.
+
+    ``tiles`` holds PAIR, query_id, _vec; ``blocks`` holds PAIR, _vec and the
+    ``keep`` columns. Rows of a pair meet through one shuffle on PAIR.
+    """
+    ship_package(tiles.sparkSession)
+    rows = tiles.withColumn("_side", F.lit(0)).unionByName(blocks.withColumn("_side", F.lit(1)),
+                                                          allowMissingColumns=True)
+    rows = rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "_side")
+    schema = T.StructType([T.StructField("query_id", tiles.schema["query_id"].dataType),
+                           T.StructField("dist", T.DoubleType()),
+                           *[T.StructField(c, blocks.schema[c].dataType) for c in keep]])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pair = None, None
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            qsel, rows, dist = _block_topk(qids_, Q_, qn, rb, cvec, dim_, k, metric)
-            part = rb.select(keep_names).take(pa.array(rows, type=pa.int64()))
-            cand = pa.Table.from_batches([part]).add_column(0, "query_id", pa.array(qsel, pa.int64())) \
-                     .add_column(1, "dist", pa.array(dist, pa.float64()))
-            best = cand if best is None else pa.concat_tables([best, cand])
-            best = _keep_k(best, cid, k)
-        if best is not None and best.num_rows:
-            yield from best.to_batches()
-
-    return src.mapInArrow(fn, out_schema)
+            cols = [rb.column(c).to_numpy(zero_copy_only=False) for c in [*PAIR, "_side"]]
+            change = np.zeros(rb.num_rows, dtype=bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.r_[0, np.nonzero(change)[0], rb.num_rows]
+            for s, e in zip(starts[:-1], starts[1:]):
+                here = tuple(c[s] for c in cols[:-1])
+                if here != key:
+                    if pair is not None:
+                        yield from pair.result()
+                    key, pair = here, _Pair(k, cid, keep, metric)
+                part = rb.slice(s, e - s)
+                if cols[-1][s] == 0:
+                    pair.add_queries(part)
+                else:
+                    pair.add_corpus(part)
+        if pair is not None:
+            yield from pair.result()
+
+    return rows.mapInArrow(fn, schema)
+
+
+def _spread(n: Column, *by: str) -> Column:
+    """Number of a tile or block out of ``n`` from a hash of ``by``."""
+    return F.pmod(F.xxhash64(*by), n).cast("int")
+
+
+def _copies(n: Column) -> Column:
+    """One row for each of the numbers 0 .. n - 1."""
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+
+
+def _merge(cand: DataFrame, k: int, cid: str, carry: Sequence[str] = ()) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("dist").asc(), F.col(cid).asc())
+    ranked = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", cid, "dist", *[c for c in carry if c != cid])
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id", qvec: str = "embedding",
         cid: str = "vec_id", cvec: str = "embedding", carry: Sequence[str] = (),
-        metric: str = "sqeuclidean", max_query_rows: int = MAX_QUERY_ROWS,
-        max_query_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+        metric: str = "sqeuclidean", by: str | None = None, tile_rows: int = TILE_ROWS,
+        tile_bytes: int = TILE_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest corpus rows for every query.
 
     Returns query_id, rank (1-based), the corpus id, dist and ``carry``
     columns. Order: distance, then corpus id. Vectors of a length other than
-    the queries' raise ``DimensionMismatch``.
+    the queries' raise ``DimensionMismatch``. With ``by``, a column of both
+    sides, a query meets only the corpus rows with its value of that column.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if k <= 0:
         raise ValueError("k must be positive")
-    # The query side is measured in Spark (rows and bytes, one row back)
-    # before any vector reaches the driver; above the bound it is sliced.
-    size = measure(queries.select(qid, qvec))
-    n = slice_count(size, max_query_rows, max_query_bytes)
-    parts = [_knn_slice(qs, corpus, k, qid, qvec, cid, cvec, carry, metric)
-             for qs in hash_slices(queries, qid, n)]
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("dist").asc(), F.col(cid).asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", cid, "dist", *[c for c in carry if c != cid])
+    # Two counting jobs (one row back each) give the number of tiles and blocks.
+    tiles = slice_count(measure(queries.select(qid, qvec)), tile_rows, tile_bytes)
+    blocks = slice_count(SideSize(corpus.count(), 0), block_rows, DEFAULT_MAX_BYTES)
+    group = (F.col(by) if by else F.lit("")).cast("string").alias("_group")
+    keep = list(dict.fromkeys([cid, *carry]))
+    left = queries.select(group, _spread(F.lit(tiles), qid).alias("_tile"), _copies(F.lit(blocks)).alias("_block"),
+                          F.col(qid).alias("query_id"), F.col(qvec).alias("_vec"))
+    right = corpus.select(group, _copies(F.lit(tiles)).alias("_tile"),
+                          _spread(F.lit(blocks), cid, cvec).alias("_block"), F.col(cvec).alias("_vec"), *keep)
+    if by:
+        left, right = left.where("_group is not null"), right.where("_group is not null")
+    return _merge(_search_pairs(left, right, k, cid, keep, metric), k, cid, carry)
 
 
 def similarity_relative(dist: Column | None = None, key: str = "query_id") -> Column:
@@ -236,98 +286,83 @@ def search_type_modality(search_type: str) -> str:
         raise ValueError("search_type must be 'covers' or 'screenshots'") from None
 
 
+def search_type_column(search_type: Column) -> Column:
+    """The modality of a search type given per row; other values raise."""
+    out = None
+    for name, modality in MODALITY_OF_SEARCH_TYPE.items():
+        out = (F if out is None else out).when(search_type == name, F.lit(modality))
+    return out.otherwise(F.raise_error(F.lit("search_type must be 'covers' or 'screenshots'")))
+
+
 # ---------------------------------------------------------------- approximate
 
 def _hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((bits, dim))
+    """Random planes with components +1 or -1, a rule that SQL can repeat: the
+    sign is the top bit of md5('seed:plane:component')."""
+    sign = lambda b, j: 1.0 if hashlib.md5(f"{seed}:{b}:{j}".encode()).digest()[0] < 128 else -1.0
+    return np.array([[sign(b, j) for j in range(dim)] for b in range(bits)])
 
 
-def _bucket_codes(M: np.ndarray, H: np.ndarray) -> np.ndarray:
-    bits = (M @ H.T) >= 0
-    return (bits * (1 << np.arange(H.shape[0]))).sum(1).astype(np.int64)
+def _with_bucket(df: DataFrame, vec: str, planes: np.ndarray) -> DataFrame:
+    """``df`` with its vectors' bucket: bit b is set on plane b's positive side."""
+    ship_package(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField("_bucket", T.LongType())])
+    weights = 1 << np.arange(planes.shape[0], dtype=np.int64)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            M = _to_matrix(rb.column(vec), planes.shape[1], "vector")
+            code = ((M @ planes.T >= 0) * weights).sum(1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(code, pa.int64())],
+                                             names=[*rb.schema.names, "_bucket"])
+
+    return df.mapInArrow(fn, schema)
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits: int | None = None,
-               target_bucket: int = 256, probes: int = 1, max_group_rows: int = 50_000, seed: int = 7,
-               qid: str = "query_id",
-               qvec: str = "embedding", cid: str = "vec_id", cvec: str = "embedding",
-               metric: str = "sqeuclidean") -> DataFrame:
+               target_bucket: int = 256, probes: int = 2, max_group_rows: int = BLOCK_ROWS,
+               tile_rows: int = TILE_ROWS, seed: int = 7, qid: str = "query_id", qvec: str = "embedding",
+               cid: str = "vec_id", cvec: str = "embedding", metric: str = "sqeuclidean") -> DataFrame:
     """Approximate k nearest neighbours by random-hyperplane buckets.
 
-    Each corpus vector goes to one bucket (sign pattern of ``bits`` fixed
-    random hyperplanes). Buckets are counted (at most 2^bits rows, a bounded
-    broadcast) and a bucket with n vectors is split into ceil(n /
-    max_group_rows) salted sub-groups, so a bucket holding a third of the
-    corpus becomes many bounded groups. Each query visits its own bucket and
-    the bits buckets at Hamming distance 1 (``probes``), in every salt of
-    those buckets. Groups are searched with the exact block kernel inside
-    ``cogroup.applyInPandas``, emitting k rows per query and group; a final
-    ``row_number() <= k`` merges. Recall is measured against ``knn``.
+    Each corpus vector goes to one bucket (its side of ``bits`` fixed
+    hyperplanes); a query visits every bucket within ``probes`` differing
+    bits of its own. A bucket of n vectors is split into ceil(n /
+    max_group_rows) blocks and its m visiting queries into ceil(m /
+    tile_rows) tiles, so neither side of a hot bucket is gathered. Queries
+    whose buckets hold fewer than k vectors are answered by exact search, so
+    no list is short. Recall is measured against ``knn``.
 
     ``bits`` defaults from the corpus size (one count) so that a bucket holds
     about ``target_bucket`` vectors: log2(n / target_bucket), at least 1.
     """
-    ship_package(corpus.sparkSession)
+    n = corpus.count()
     if bits is None:
-        import math
-        n = corpus.count()
-        bits = max(1, min(24, int(round(math.log2(max(n, 1) / target_bucket)))))
-    H = _hyperplanes(dim, bits, seed)
-    Hb = corpus.sparkSession.sparkContext.broadcast(H)
-    flips = [0] + ([1 << b for b in range(bits)] if probes else [])
-
-    def code_c(it):
-        for pdf in it:
-            M = np.stack(pdf[cvec].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
-            pdf = pdf.assign(bucket=_bucket_codes(M, Hb.value) if len(pdf) else np.zeros(0, np.int64))
-            yield pdf
-
-    def code_q(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            M = np.stack(pdf[qvec].to_numpy()).astype(np.float64)
-            b = _bucket_codes(M, Hb.value)
-            rows = []
-            for f in flips:
-                rows.append(pdf.assign(bucket=b ^ f))
-            import pandas as pd
-            yield pd.concat(rows, ignore_index=True)
-
-    cschema = T.StructType(corpus.select(cid, cvec).schema.fields + [T.StructField("bucket", T.LongType())])
-    qschema = T.StructType(queries.select(qid, qvec).schema.fields + [T.StructField("bucket", T.LongType())])
-    coded = corpus.select(cid, cvec).mapInPandas(code_c, cschema)
-    counts = coded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "bucket", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_group_rows))).cast("int").alias("salts"))
-    # counts has at most 2^bits rows: a bounded broadcast on both sides.
-    counts_b = F.broadcast(counts)
-    cb = coded.join(counts_b, "bucket").withColumn(
-        "salt", F.pmod(F.xxhash64(F.col(cid)), F.col("salts")).cast("int")).drop("salts")
-    qb = queries.select(qid, qvec).mapInPandas(code_q, qschema).join(counts_b, "bucket") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(cid, T.StringType()),
-                               T.StructField("dist", T.DoubleType())])
-
-    def search(qpdf, cpdf):
-        import pandas as pd
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 cid: pd.Series([], dtype="object"), "dist": pd.Series([], dtype="float64")})
-        Q = np.stack(qpdf[qvec].to_numpy()).astype(np.float64)
-        C = np.stack(cpdf[cvec].to_numpy()).astype(np.float64)
-        qn, cn = (Q * Q).sum(1), (C * C).sum(1)
-        D = _approx_block(Q, qn, C, cn, metric)
-        kk = min(k, C.shape[0])
-        idx = np.argpartition(D, kk - 1, axis=1)[:, :kk] if C.shape[0] > kk else \
-            np.tile(np.arange(C.shape[0]), (Q.shape[0], 1))
-        qi = np.repeat(np.arange(Q.shape[0]), idx.shape[1])
-        ci = idx.reshape(-1)
-        d = _exact(Q[qi], C[ci], metric)
-        return pd.DataFrame({"query_id": qpdf[qid].to_numpy()[qi].astype("int64"),
-                             cid: cpdf[cid].astype(str).to_numpy()[ci], "dist": d})
-
-    cand = qb.groupBy("bucket", "salt").cogroup(cb.groupBy("bucket", "salt")).applyInPandas(search, out_schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("dist").asc(), F.col(cid).asc())
-    cand = cand.dropDuplicates(["query_id", cid])
-    return cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k) \
-               .select("query_id", "rank", cid, "dist")
+        bits = max(1, math.floor(math.log2(max(n, 1) / target_bucket) + 0.5))
+    planes = _hyperplanes(dim, bits, seed)
+    flips = [sum(1 << b for b in chosen)
+             for r in range(probes + 1) for chosen in itertools.combinations(range(bits), r)]
+    # The corpus is coded once; bucket sizes and search read the stored codes.
+    coded = write_scratch(_with_bucket(corpus.select(cid, cvec), cvec, planes), "knn-codes")
+    own = _with_bucket(queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("_vec")), "_vec", planes)
+    visits = write_scratch(own.withColumn("_bucket", F.explode(F.array(
+        *[F.col("_bucket").bitwiseXOR(F.lit(f).cast("long")) for f in flips]))), "knn-visits")
+    many = lambda rows, name: F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)
+    sizes = write_scratch(coded.groupBy("_bucket").agg(many(max_group_rows, "_blocks")).join(
+        visits.groupBy("_bucket").agg(many(tile_rows, "_tiles")), "_bucket"), "knn-buckets")
+    if measure(sizes).fits():
+        sizes = F.broadcast(sizes)
+    group = F.col("_bucket").cast("string").alias("_group")
+    left = visits.join(sizes, "_bucket").select(
+        group, _spread(F.col("_tiles"), "query_id").alias("_tile"), _copies(F.col("_blocks")).alias("_block"),
+        "query_id", "_vec")
+    right = coded.join(sizes, "_bucket").select(
+        group, _copies(F.col("_tiles")).alias("_tile"), _spread(F.col("_blocks"), cid, cvec).alias("_block"),
+        F.col(cvec).alias("_vec"), cid)
+    hits = write_scratch(_merge(_search_pairs(left, right, k, cid, [cid], metric), k, cid), "knn-hits")
+    full = hits.where(F.col("rank") == min(k, n)).select(F.col("query_id").alias("_full"))
+    short = queries.join(full, F.col(qid) == F.col("_full"), "left_anti")
+    if n == 0 or short.isEmpty():
+        return hits
+    return hits.join(full, F.col("query_id") == F.col("_full"), "left_semi").unionByName(
+        knn(short, corpus, k, qid=qid, qvec=qvec, cid=cid, cvec=cvec, metric=metric))

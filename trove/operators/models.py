@@ -11,6 +11,8 @@ from typing import Callable, Iterator, Optional
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ RERANK_WEIGHT = 0.3
 RERANK_MAX_TOKENS = 512
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 DEFAULT_DIM = 64
+STEPS = 1 << 20     # resolution of the default text vectors
 HIST_BINS = 64
 
 
@@ -36,43 +39,54 @@ def token_bucket(tok: Column, dim: int = DEFAULT_DIM) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
-def encode_text_default(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Hashed term counts, L2-normalised: (id, embedding array<double>).
+def _bucket_vectors(buckets: pa.Array, dim: int) -> np.ndarray:
+    """L2-normalised counts of the bucket numbers in each row's list, in steps
+    of 2**-20: sums of their products are exact, so equal distances tie
+    whatever the order of summation."""
+    n = len(buckets)
+    lens = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(n), lens) * dim + flat, minlength=n * dim).reshape(n, dim)
+    norm = np.sqrt((counts * counts).sum(1))
+    return np.floor(counts / np.where(norm > 0, norm, 1.0)[:, None] * STEPS + 0.5) / STEPS
 
-    Tokens are exploded and counted per (id, bucket) with map-side partial
-    aggregation, so a document's state is at most ``dim`` counters no matter
-    how long the text is. Texts without tokens get the zero vector.
+
+def with_text_embedding(df: DataFrame, text_col: str = "text", encoder: Optional[Callable[[list], np.ndarray]] = None,
+                        dim: int = DEFAULT_DIM, out_col: str = "embedding") -> DataFrame:
+    """Every row with the vector of its whole text; row-local, no shuffle.
+
+    ``encoder`` maps a list of texts to an (n, dim) array. Default: hashed
+    term counts, L2-normalised; texts without tokens (or null) get zeros. The
+    tokens are hashed in column expressions and counted per Arrow batch.
     """
-    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    # explode_outer keeps token-less texts (one NULL token) in the same
-    # aggregation, so no join back to the ids is needed.
-    ex = base.select("_id", F.explode_outer(tokens(F.col("_t"))).alias("tok"))
-    counts = ex.groupBy("_id", token_bucket(F.col("tok"), dim).alias("b")).agg(F.count("tok").alias("c"))
-    per = counts.groupBy("_id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("c") > 0, F.struct("b", "c")))).alias("m"),
-        F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.try_divide(F.col("m")[i].cast("double"), F.col("norm")), F.lit(0.0)))
-    return per.select(F.col("_id").alias(id_col), vec.alias("embedding"))
+    ship_package(df.sparkSession)
+    given = "__encoder_input__"
+    value = F.coalesce(F.col(text_col), F.lit("")) if encoder else \
+        F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, dim))
+    src = df.withColumn(given, value)
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    names = df.columns
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            if encoder:
+                vecs = np.asarray(encoder(rb.column(given).to_pylist()), dtype=np.float64).reshape(rb.num_rows, -1)
+            else:
+                vecs = _bucket_vectors(rb.column(given), dim)
+            offsets = pa.array(np.arange(rb.num_rows + 1) * vecs.shape[1], pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(vecs.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in names], lists], names=[*names, out_col])
+
+    return src.mapInArrow(fn, schema)
 
 
 def encode_text_batch(df: DataFrame, id_col: str, text_col: str,
                       encoder: Optional[Callable[[list], np.ndarray]] = None,
                       dim: int = DEFAULT_DIM) -> DataFrame:
-    """text -> vector for every row. ``encoder`` maps a list of texts to an
-    (n, dim) array and runs in ``mapInPandas``; default: hashed term counts."""
-    if encoder is None:
-        return encode_text_default(df, id_col, text_col, dim)
-    ship_package(df.sparkSession)
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("embedding", T.ArrayType(T.FloatType()))])
-
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            vecs = np.asarray(encoder(pdf[text_col].fillna("").tolist()), dtype=np.float32)
-            yield pd.DataFrame({id_col: pdf[id_col], "embedding": list(vecs)})
-
-    return df.select(id_col, text_col).mapInPandas(fn, schema)
+    """text -> vector for every row: (id, embedding)."""
+    return with_text_embedding(df.select(id_col, text_col), text_col, encoder, dim).select(id_col, "embedding")
 
 
 def byte_histogram(blobs: list, bins: int = HIST_BINS) -> np.ndarray:
@@ -88,23 +102,29 @@ def byte_histogram(blobs: list, bins: int = HIST_BINS) -> np.ndarray:
     return out
 
 
-def encode_image_batch(df: DataFrame, id_col: str, bytes_col: str,
-                       encoder: Optional[Callable[[list], np.ndarray]] = None) -> DataFrame:
-    """bytes -> vector. ``encoder`` gets a list of byte strings (decoding to
-    RGB is the encoder's job) and runs in ``mapInPandas`` on Arrow batches;
-    default: 64-bin byte histogram."""
+def with_image_embedding(df: DataFrame, bytes_col: str = "bytes",
+                         encoder: Optional[Callable[[list], np.ndarray]] = None,
+                         out_col: str = "embedding") -> DataFrame:
+    """Every row with the vector of its bytes, in place of the bytes.
+    ``encoder`` gets a list of byte strings (decoding to RGB is the encoder's
+    job); default: 64-bin byte histogram, zeros for null or empty bytes."""
     encoder = encoder or byte_histogram
     ship_package(df.sparkSession)
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    names = [c for c in df.columns if c != bytes_col]
+    schema = T.StructType([*df.select(*names).schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def fn(it):
         for pdf in it:
             vecs = np.asarray(encoder(pdf[bytes_col].tolist()), dtype=np.float32)
-            vecs = vecs.reshape(len(pdf), -1)
-            yield pd.DataFrame({id_col: pdf[id_col], "embedding": list(vecs)})
+            yield pdf[names].assign(**{out_col: list(vecs.reshape(len(pdf), -1))})
+
+    return df.mapInPandas(fn, schema)
 
-    return df.select(id_col, bytes_col).mapInPandas(fn, schema)
+
+def encode_image_batch(df: DataFrame, id_col: str, bytes_col: str,
+                       encoder: Optional[Callable[[list], np.ndarray]] = None) -> DataFrame:
+    """bytes -> vector for every row: (id, embedding)."""
+    return with_image_embedding(df.select(id_col, bytes_col), bytes_col, encoder)
 
 
 def rerank_default(query: Column, passage: Column) -> Column:

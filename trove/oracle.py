@@ -127,7 +127,34 @@ SQL["knn_descriptions"] = knn_report("description")
 SQL["knn_reviews"] = knn_report("review", absolute=True)
 SQL["knn_covers"] = knn_report("cover")
 SQL["knn_screenshots"] = knn_report("screenshot")
-SQL["knn_by_vector"] = knn_report("screenshot")
+SQL["knn_by_vector"] = q("""
+even AS (SELECT * FROM vec_queries WHERE query_id % 2 = 0),
+odd AS (SELECT * FROM vec_queries WHERE query_id % 2 <> 0),
+""" + knn_ctes("cover", name="c", queries="even").strip() + "," + knn_ctes("screenshot", name="s", queries="odd") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, item_id, round(dist, 6) AS dist,
+       round(rel_sim, 6) AS similarity FROM (SELECT * FROM c UNION ALL SELECT * FROM s)""")
+# Buckets by the sides of seeded planes; queries with fewer than 20 vectors in
+# the buckets within two bits of their own are searched exactly.
+SQL["knn_approx"] = q(f"""
+corpus AS (SELECT vec_id, embedding FROM item_vectors WHERE modality = 'description'),
+size AS (SELECT count(*) AS n,
+                greatest(1, CAST(floor(log2(greatest(count(*), 1) / 256.0) + 0.5) AS BIGINT)) AS bits FROM corpus),
+planes AS (SELECT b, list(CASE WHEN md5('7:' || b || ':' || j)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY j) AS h
+           FROM (SELECT unnest(range(bits)) AS b FROM size), (SELECT unnest(range(64)) AS j) GROUP BY b),
+vecs AS (SELECT 'c' AS side, vec_id AS id, embedding FROM corpus
+         UNION ALL SELECT 'q', CAST(query_id AS VARCHAR), embedding FROM vec_queries),
+codes AS (SELECT side, id, CAST(sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), h) >= 0
+                                         THEN 1 << b ELSE 0 END) AS BIGINT) AS code
+          FROM vecs, planes GROUP BY side, id),
+pairs AS (
+  SELECT q.query_id, c.vec_id, bit_count(xor(qc.code, cc.code)) <= 2 AS near,
+         {sqdist('q.embedding', 'c.embedding')} AS dist
+  FROM vec_queries q JOIN codes qc ON qc.side = 'q' AND qc.id = CAST(q.query_id AS VARCHAR),
+       corpus c JOIN codes cc ON cc.side = 'c' AND cc.id = c.vec_id),
+enough AS (SELECT query_id, count_if(near) >= least(20, count(*)) AS full FROM pairs GROUP BY query_id),
+ranked AS (SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY dist, vec_id) AS rank
+           FROM pairs p JOIN enough e ON e.query_id = p.query_id WHERE near OR NOT e.full)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM ranked WHERE rank <= 20""")
 SQL["similarity_relative"] = q(knn_ctes("description") + """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, round(rel_sim, 6) AS similarity FROM hits""")
 SQL["similarity_absolute"] = q(knn_ctes("review") + """
@@ -166,7 +193,36 @@ toks AS (SELECT doc_id, unnest({tokens('text')}) AS tok FROM documents),
 cnt AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, count(*) AS c
         FROM toks GROUP BY ALL),
 nrm AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM cnt GROUP BY doc_id)
-SELECT cnt.doc_id, bucket, round(c / n, 6) AS weight FROM cnt JOIN nrm USING (doc_id)""")
+SELECT cnt.doc_id, bucket, round(floor(c / n * 1048576 + 0.5) / 1048576, 6) AS weight FROM cnt JOIN nrm USING (doc_id)""")
+
+
+
+def text_vectors(name: str, key: str, text: str, source: str) -> str:
+    """CTE ``name`` (id, embedding): L2-normalised counts of hashed tokens in steps of 2**-20."""
+    return f"""
+{name}_t AS (SELECT {key} AS id, {tokens(text)} AS toks FROM {source}),
+{name}_b AS (SELECT id, list_transform(toks, lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS INTEGER)) AS bs
+             FROM {name}_t),
+{name}_c AS (SELECT id, list_transform(range(64), lambda i: CAST(len(list_filter(bs, lambda b: b = i)) AS DOUBLE)) AS cs
+             FROM {name}_b),
+{name} AS (SELECT id, list_transform(cs, lambda c: CASE WHEN list_sum(list_transform(cs, lambda y: y * y)) = 0 THEN 0.0
+               ELSE floor(c / sqrt(list_sum(list_transform(cs, lambda y: y * y))) * 1048576 + 0.5) / 1048576 END) AS embedding FROM {name}_c)"""
+
+
+def byte_vectors(name: str, key: str, text: str, source: str) -> str:
+    """CTE ``name`` (id, embedding): share of bytes in each of 64 ranges of 4."""
+    return f"""
+{name}_h AS (SELECT {key} AS id, hex(encode(coalesce({text}, ''))) AS hx FROM {source}),
+{name}_b AS (SELECT id, list_transform(range(length(hx) // 2), lambda i:
+                 CAST(('0x' || substr(hx, 2 * i + 1, 2))::INTEGER // 4 AS INTEGER)) AS bs FROM {name}_h),
+{name} AS (SELECT id, list_transform(range(64), lambda i: CASE WHEN len(bs) = 0 THEN 0.0::FLOAT
+               ELSE CAST(CAST(len(list_filter(bs, lambda b: b = i)) AS DOUBLE) / len(bs) AS FLOAT) END) AS embedding
+           FROM {name}_b)"""
+
+
+SQL["encode_image_batch"] = q(byte_vectors("enc", "page_id", "html", "pages").strip() + """,
+long AS (SELECT id, unnest(range(64)) AS bin, unnest(embedding) AS share FROM enc)
+SELECT id AS page_id, CAST(bin AS INTEGER) AS bin, round(CAST(share AS DOUBLE), 6) AS share FROM long WHERE share > 0""")
 
 SEM_CTES = knn_ctes("description", n=999999) + f""",
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY dist, vec_id) AS rn
@@ -240,3 +296,26 @@ SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.item_id, i.title FROM hits
 SQL["attach_hit_score"] = q(knn_ctes("review") + """,
 per_item AS (SELECT item_id, max(abs_sim) AS s FROM hits GROUP BY item_id)
 SELECT i.item_id, round(coalesce(p.s, 0.0), 6) AS vec_score FROM items i LEFT JOIN per_item p ON p.item_id = i.item_id""")
+
+# End-to-end searches: the same SQL on vectors encoded from texts or bytes.
+_OWN = """,
+item_vectors2 AS (SELECT CAST(id AS VARCHAR) AS vec_id, id AS item_id, CAST(NULL AS BIGINT) AS review_id,
+                         '{modality}' AS modality, embedding FROM side),
+vec_queries2 AS (SELECT s.id AS query_id, {text} AS text, s.embedding FROM asked s {join}),
+"""
+
+
+def _own_vectors(sql: str, vectors: str, modality: str, text: str = "''", join: str = "") -> str:
+    head, body = sql[:len(q(""))], sql[len(q("")):]
+    body = body.replace("item_vectors", "item_vectors2").replace("vec_queries", "vec_queries2")
+    return head + vectors.strip() + _OWN.format(modality=modality, text=text, join=join).rstrip() + "\n" + body.strip()
+
+
+SQL["semantic_search_text"] = _own_vectors(
+    SQL["rerank_fuse"], text_vectors("side", "item_id", "description", "items") + "," +
+    text_vectors("asked", "query_id", "text", "vec_queries"), "description",
+    "v.text", "JOIN vec_queries v ON v.query_id = s.id")
+SQL["image_search_by_bytes"] = _own_vectors(
+    image("cover"), byte_vectors("side", "page_id", "html", "pages") + "," +
+    byte_vectors("asked", "item_id", "text", "benchmark"), "cover").replace(
+    "rank, item_id, title, score, round(", "rank, item_id, round(")

@@ -41,11 +41,14 @@ def search_by_value(items: DataFrame, column: str, value: str, n: int = DEFAULT_
     return top_by_score(items.where(pred), n)
 
 
-def search_by_values(items: DataFrame, values: DataFrame, column: str, n: int = DEFAULT_LIMIT) -> DataFrame:
+def search_by_values(items: DataFrame, values: Optional[DataFrame], column: str, n: int = DEFAULT_LIMIT) -> DataFrame:
     """Batch form: for every row (query_id, value), the top n items whose
     ``column`` holds the value. Items are exploded once and equi-joined on
-    the value (no per-query scan)."""
+    the value (no per-query scan). Without ``values`` every value that occurs
+    is searched, and is its own query."""
     ex = items.select("item_id", "score", F.explode(F.array_distinct(column)).alias("value"))
+    if values is None:
+        return top_k_per_query(ex.where(F.col("value").isNotNull()), n, order_by_score(), key="value")
     hits = ex.join(values.select("query_id", "value"), "value")
     return top_k_per_query(hits, n, order_by_score())
 
@@ -102,19 +105,31 @@ SEMANTIC_K = 10             # fixed value: default result size (API asks for 20)
 DISPLAY_K = 5               # fixed value: result size of the display / RAG form
 
 
-def _vector_hits(queries: DataFrame, item_vectors: DataFrame, modality: str, fetch: int,
+def with_embedding(queries: DataFrame, text_encoder=None, image_encoder=None) -> DataFrame:
+    """Queries with an ``embedding`` column: given ready, or encoded here from
+    the query's image bytes (``bytes``), else from its whole ``text``."""
+    from ..operators.models import with_image_embedding, with_text_embedding
+    if "embedding" in queries.columns:
+        return queries
+    if "bytes" in queries.columns:
+        return with_image_embedding(queries, "bytes", image_encoder)
+    return with_text_embedding(queries, "text", text_encoder)
+
+
+def _vector_hits(queries: DataFrame, item_vectors: DataFrame, modality: Optional[str], fetch: int,
                  items: DataFrame, filters: Optional[Filters], filter_mode: str) -> DataFrame:
     """Top ``fetch`` vectors per query with relative similarity, best hit per
-    item (query_id, item_id, dist, vec_score)."""
+    item (query_id, item_id, dist, vec_score). Without ``modality`` each query
+    names its own in a column."""
     from ..operators.knn import dedupe_hits, knn, modality_corpus, similarity_relative
-    corpus = modality_corpus(item_vectors, modality)
+    corpus = modality_corpus(item_vectors, modality) if modality else item_vectors
     if filter_mode == "pre":
         if filters is None:
             raise ValueError("filter_mode='pre' needs a Filters value shared by all queries")
         corpus = corpus.join(items.where(filters.predicate()).select("item_id"), "item_id", "left_semi")
     elif filter_mode != "post":
         raise ValueError("filter_mode must be 'post' or 'pre'")
-    hits = knn(queries, corpus, fetch, carry=["item_id"])
+    hits = knn(queries, corpus, fetch, carry=["item_id"], by=None if modality else "modality")
     hits = hits.withColumn("vec_score", similarity_relative(F.col("dist")))
     return dedupe_hits(hits).select("query_id", "item_id", "dist", "vec_score")
 
@@ -132,17 +147,19 @@ def _hits_with_items(hits: DataFrame, items: DataFrame, q: DataFrame, with_text:
 
 def semantic_search(items: DataFrame, reviews: DataFrame, item_vectors: DataFrame, queries: DataFrame,
                     k: int = SEMANTIC_K, filters: Optional[Filters] = None, filter_mode: str = "post",
-                    scorer=None, with_reviews: bool = False, fetch_factor: int = FETCH_FACTOR) -> DataFrame:
+                    scorer=None, with_reviews: bool = False, fetch_factor: int = FETCH_FACTOR,
+                    encoder=None) -> DataFrame:
     """Vector search over description vectors, filters, rerank fusion, top k.
 
-    ``queries``: query_id, text, embedding[, filter columns]. The candidate
+    ``queries``: query_id, text[, embedding][, filter columns]; texts without
+    a ready embedding are encoded by ``encoder``. The candidate
     list is the ``fetch_factor`` x k nearest vectors; with ``filter_mode='post'``
     the filters run after the fetch, so fewer than k results may come back.
     Relevance = 0.7 x relative vector similarity + 0.3 x rerank score, also
     for a single candidate; ties keep catalogue order (score desc, id).
     """
     from ..operators.models import rerank_fuse, rerank_score_batch
-    q = with_filter_columns(queries, filters)
+    q = with_embedding(with_filter_columns(queries, filters), encoder)
     hits = _vector_hits(q.select("query_id", "embedding"), item_vectors, "description",
                         fetch_factor * k, items, filters, filter_mode)
     cand = _hits_with_items(hits, items, q.select("query_id", "text", *FILTER_COLUMNS), with_text=True)
@@ -163,21 +180,24 @@ def semantic_search_display(items, reviews, item_vectors, queries, k: int = DISP
     return semantic_search(items, reviews, item_vectors, queries, k=k, with_reviews=True, **kw)
 
 
-def image_search(items: DataFrame, item_vectors: DataFrame, queries: DataFrame, search_type: str = "covers",
+def image_search(items: DataFrame, item_vectors: DataFrame, queries: DataFrame, search_type: Optional[str] = "covers",
                  k: int = SEMANTIC_K, filters: Optional[Filters] = None, fetch_factor: int = FETCH_FACTOR,
-                 scored_only_allowed: bool = True) -> DataFrame:
-    """Image search for query vectors (text-encoded or image-encoded) against
+                 scored_only_allowed: bool = True, encoder=None) -> DataFrame:
+    """Image search for queries (ready vectors, image bytes or texts) against
     cover or screenshot vectors: relevance = relative similarity, top k.
 
-    Query vectors must have the corpus dimension; a mismatch raises.
+    With ``search_type=None`` each query names its own in the column
+    ``search_type``. Query vectors must have the corpus dimension; a mismatch
+    raises.
     """
-    from ..operators.knn import search_type_modality
-    modality = search_type_modality(search_type)
-    q = with_filter_columns(queries, filters)
+    from ..operators.knn import search_type_column, search_type_modality
+    modality = search_type_modality(search_type) if search_type else None
+    q = with_embedding(with_filter_columns(queries, filters), encoder, encoder)
     if not scored_only_allowed:
         q = q.withColumn("scored_only", F.lit(False))
-    hits = _vector_hits(q.select("query_id", "embedding"), item_vectors, modality,
-                        fetch_factor * k, items, filters, "post")
+    vectors = q.select("query_id", "embedding") if modality else q.select(
+        "query_id", "embedding", search_type_column(F.col("search_type")).alias("modality"))
+    hits = _vector_hits(vectors, item_vectors, modality, fetch_factor * k, items, filters, "post")
     cand = _hits_with_items(hits, items, q).withColumn("relevance_score", F.col("vec_score"))
     order = [F.col("relevance_score").desc(), *order_by_score()]
     top = top_k_per_query(cand, k, order)

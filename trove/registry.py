@@ -88,7 +88,12 @@ def q_knn_screenshots(spark, d):
 
 @register("knn_by_vector")
 def q_knn_by_vector(spark, d):
-    return _knn_report(spark, d, K.search_type_modality("screenshots"))
+    # each query names its own search type: covers for even ids, else screenshots
+    q = _vq(spark, d).withColumn("modality", K.search_type_column(
+        F.when(F.col("query_id") % 2 == 0, F.lit("covers")).otherwise(F.lit("screenshots"))))
+    hits = K.knn(q, fx.item_vectors(spark, d), FETCH, carry=["item_id"], by="modality")
+    return hits.select("query_id", "rank", "vec_id", "item_id", F.round("dist", 6).alias("dist"),
+                       F.round(K.similarity_relative(F.col("dist")), 6).alias("similarity"))
 
 
 @register("similarity_relative")
@@ -150,8 +155,9 @@ def q_encode_text_batch(spark, d):
 def q_encode_image_batch(spark, d):
     pages = fx.table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("bytes"))
     enc = M.encode_image_batch(pages, "page_id", "bytes")
-    return enc.select("page_id", F.size("embedding").alias("dim"),
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
+    bins = enc.select("page_id", F.posexplode("embedding").alias("bin", "share")).where("share > 0")
+    return bins.select("page_id", F.col("bin").cast("int").alias("bin"),
+                       F.round(F.col("share").cast("double"), 6).alias("share"))
 
 
 def _semantic(spark, d, **kw):
@@ -203,6 +209,33 @@ def q_rerank_fallback(spark, d):
     return res.select("query_id", "rank", "item_id", F.round("relevance_score", 6).alias("relevance_score"))
 
 
+@register("semantic_search_text")
+def q_semantic_search_text(spark, d):
+    # End to end from texts: descriptions and query texts are encoded, no ready vectors.
+    from .plans import search as S
+    items = fx.items(spark, d)
+    vectors = M.with_text_embedding(items.select(
+        F.col("item_id").cast("string").alias("vec_id"), "item_id", F.lit("description").alias("modality"),
+        "description"), "description").drop("description")
+    queries = _vq(spark, d).select("query_id", "text")
+    res = S.semantic_search(items, fx.reviews(spark, d), vectors, queries)
+    return res.select("query_id", "rank", "item_id", F.round("relevance_score", 6).alias("relevance_score"))
+
+
+@register("image_search_by_bytes")
+def q_image_search_by_bytes(spark, d):
+    # End to end from bytes: every page is the cover of its item, every
+    # benchmark passage's bytes the query image.
+    from .plans import search as S
+    pages = fx.table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("vec_id"), F.col("page_id").alias("item_id"),
+        F.lit("cover").alias("modality"), F.col("html").cast("binary").alias("bytes"))
+    queries = fx.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").cast("binary").alias("bytes"))
+    res = S.image_search_by_vector(fx.items(spark, d), M.with_image_embedding(pages), queries, "covers")
+    return res.select("query_id", "rank", "item_id", F.round("relevance_score", 6).alias("relevance_score"))
+
+
 @register("semantic_search_display")
 def q_semantic_search_display(spark, d):
     from .plans import search as S
