@@ -139,3 +139,73 @@ def test_knn_approx_splits_hot_bucket(spark):
     approx = {(r["query_id"], r["vec_id"]) for r in
               K.knn_approx(queries, corpus, 4, dim=6, bits=4, max_group_rows=25).collect()}
     assert approx == exact
+
+
+def test_knn_by_column_meets_only_its_group(spark):
+    rng = np.random.default_rng(5)
+    C = rng.standard_normal((60, 4)).astype(np.float32)
+    corpus = vec_df(spark, list(enumerate(C))).withColumn(
+        "kind", F.when(F.col("vec_id").cast("int") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")))
+    q = vec_df(spark, [(0, C[0]), (1, C[1])], "query_id").withColumn(
+        "kind", F.when(F.col("query_id") == 0, F.lit("odd")).otherwise(F.lit("even")))
+    got = K.knn(q, corpus, 3, by="kind", block_rows=7, tile_rows=1).collect()
+    for qi, parity in ((0, 1), (1, 0)):
+        ids = [i for i in range(60) if i % 2 == parity]
+        want = brute([C[qi]], C[ids], [str(i) for i in ids], 3)[0]
+        rows = sorted((r for r in got if r["query_id"] == qi), key=lambda r: r["rank"])
+        assert [(r["vec_id"], round(r["dist"], 9)) for r in rows] == want
+
+
+def test_knn_string_query_ids_and_empty_sides(spark):
+    corpus = vec_df(spark, [(0, [0, 0]), (1, [1, 0])])
+    q = spark.createDataFrame([("a", [0.9, 0.0])], "query_id string, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"]) for r in K.knn(q, corpus, 1).collect()] == [("a", "1")]
+    assert K.knn(q.limit(0), corpus, 1).count() == 0
+    assert K.knn(q, corpus.limit(0), 1).count() == 0
+    assert K.knn_approx(q, corpus.limit(0), 1, dim=2).count() == 0
+
+
+def test_knn_approx_lists_are_never_short(spark):
+    rng = np.random.default_rng(8)
+    C = rng.standard_normal((200, 8)).astype(np.float32)
+    corpus = vec_df(spark, list(enumerate(C)))
+    q = vec_df(spark, list(enumerate(C[:15] * -1.0)), "query_id")
+    got = K.knn_approx(q, corpus, 12, dim=8, bits=7, probes=0, tile_rows=4).groupBy("query_id").count().collect()
+    assert len(got) == 15 and all(r["count"] == 12 for r in got)
+
+
+def test_search_encodes_texts_and_types_per_row(spark):
+    items, _, reviews = catalogue(spark)
+    from trove.operators.models import with_text_embedding
+    vecs = with_text_embedding(items.select(F.col("item_id").cast("string").alias("vec_id"), "item_id",
+                                            F.lit("description").alias("modality"), "description"), "description")
+    q = spark.createDataFrame([(7, "dragon"), (8, None)], "query_id long, text string")
+    res = SE.semantic_search(items, reviews, vecs, q, k=2).collect()
+    assert [r["item_id"] for r in sorted(res, key=lambda r: r["rank"]) if r["query_id"] == 7][0] == 3
+    covers = spark.createDataFrame([("1", 1, "cover", [0.0, 0.0]), ("2", 2, "screenshot", [0.0, 0.0])],
+                                   "vec_id string, item_id long, modality string, embedding array<float>")
+    q = spark.createDataFrame([(1, "covers", [0.0, 1.0]), (2, "screenshots", [0.0, 1.0])],
+                              "query_id long, search_type string, embedding array<float>")
+    res = SE.image_search(items, covers, q, search_type=None).collect()
+    assert {(r["query_id"], r["item_id"]) for r in res} == {(1, 1), (2, 2)}
+    with pytest.raises(Exception):
+        SE.image_search(items, covers, q.withColumn("search_type", F.lit("x")), search_type=None).collect()
+
+
+def test_first_reviews_and_ranks_of_a_hot_key(spark):
+    from trove.operators import catalogue as CAT
+    reviews = spark.createDataFrame([(i, 1, None if i % 3 == 0 else f"r{i}") for i in range(30)] + [(99, 2, " ")],
+                                    "review_id long, item_id long, citation string")
+    rows = CAT.first_reviews(reviews, 3).collect()
+    assert [(r["item_id"], [(x["source"], x["review"]) for x in r["reviews"]]) for r in rows] == \
+        [(1, [("Critic 2", "r1"), ("Critic 3", "r2"), ("Critic 5", "r4")])]
+    pos = CAT.rank_results(reviews, [F.col("review_id").desc()], key="item_id").collect()
+    assert {r["rank"] for r in pos if r["item_id"] == 1} == set(range(1, 31))
+
+
+def test_display_score_rounds_the_binary_value(spark):
+    from trove.functions.shape import display_score
+    df = spark.createDataFrame([(0.075,), (0.125,), (0.376,)], "x double")
+    none = F.lit(None).cast("double")
+    got = [r[0] for r in df.select(display_score(F.col("x"), none, none)).collect()]
+    assert got == [f"{v:.2f}" for v in (0.075, 0.125, 0.376)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import shape as S
 from .operators import tables as TB
 from .operators import verify as V
-from .oracle import SQL, q
+from .oracle import SQL, q, with_body
 from .registry import list_str, register
 from .sources import fixtures as fx
 from .sources import jsonl as J
@@ -479,7 +479,7 @@ UNION ALL SELECT 'reviews', CAST(count(*) AS BIGINT) FROM reviews""")
 @register("verify_copy")
 def q_verify_copy(spark, d):
     items, reviews = fx.items(spark, d), fx.reviews(spark, d)
-    copy = TB.copy_table(items, ["item_id", "title", "cover_url", "screenshot_urls"])
+    copy = TB.copy_table(items, ["item_id", "title", "description", "cover_url", "screenshot_urls"])
     return V.verify_copy(items, reviews, copy, TB.copy_table(reviews, ["item_id", "citation"]))
 
 
@@ -487,7 +487,9 @@ SQL["verify_copy"] = q("""
 m AS (SELECT 'items' AS metric, CAST(count(*) AS BIGINT) AS v FROM items
       UNION ALL SELECT 'with_cover', CAST(count(cover_url) AS BIGINT) FROM items
       UNION ALL SELECT 'with_screenshots', CAST(count(screenshot_urls) AS BIGINT) FROM items
-      UNION ALL SELECT 'reviews', CAST(count(*) AS BIGINT) FROM reviews)
+      UNION ALL SELECT 'item_bytes', CAST(coalesce(sum(strlen(coalesce(title, '')) + strlen(coalesce(description, ''))), 0) AS BIGINT) FROM items
+      UNION ALL SELECT 'reviews', CAST(count(*) AS BIGINT) FROM reviews
+      UNION ALL SELECT 'review_bytes', CAST(coalesce(sum(strlen(coalesce(citation, ''))), 0) AS BIGINT) FROM reviews)
 SELECT metric, v AS source, v AS target, true AS match FROM m""")
 
 
@@ -581,3 +583,48 @@ def q_result_json(spark, d):
     from .plans import search as SE
     res = SE.keyword_search(fx.items(spark, d), fx.reviews(spark, d), fx.keyword_queries(spark, d), with_reviews=False)
     return TB.result_json(res.select("query_id", "rank", "item_id", "title", "release_date", "score"))
+
+
+SQL["result_json"] = with_body("""
+m AS (
+  SELECT q.query_id, i.* FROM kw_queries q JOIN items i
+    ON (contains(lower(i.title), lower(q.text)) OR contains(lower(i.description), lower(q.text)))),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, item_id) AS rank FROM m)""", """
+SELECT '{' || concat_ws(',', '"query_id":' || query_id, '"rank":' || rank, '"item_id":' || item_id,
+                        '"title":' || CAST(to_json(title) AS VARCHAR),
+                        '"release_date":"' || strftime(release_date, '%Y-%m-%d') || '"',
+                        '"score":' || CAST(score AS VARCHAR)) || '}' AS json
+FROM r WHERE rank <= 20""")
+
+
+def _asset_paths(spark, d):
+    """File paths of local assets: a cover for every page, two screenshots for
+    every label, and files that are no assets."""
+    pages, labels = fx.table(spark, d, "pages"), fx.table(spark, d, "labels")
+    path = lambda c, name: F.concat(F.lit("assets/"), F.col(c).cast("string"), F.lit("/" + name)).alias("path")
+    out = pages.select(path("page_id", "cover.jpg"))
+    for name in ("screenshot_2.jpg", "screenshot_1.jpg", "notes.txt"):
+        out = out.unionByName(labels.select(path("doc_id", name)))
+    return out.unionByName(labels.select(F.concat(F.lit("assets/x"), F.col("doc_id").cast("string"),
+                                                  F.lit("/cover.jpg")).alias("path")))
+
+
+ASSETS_SQL = """
+ids AS (SELECT page_id AS item_id FROM pages UNION SELECT doc_id FROM labels),
+inv AS (SELECT item_id,
+               CASE WHEN item_id IN (SELECT page_id FROM pages) THEN 'assets/' || item_id || '/cover.jpg' END AS cover_path,
+               CASE WHEN item_id IN (SELECT doc_id FROM labels)
+                    THEN ['assets/' || item_id || '/screenshot_1.jpg', 'assets/' || item_id || '/screenshot_2.jpg']
+                    ELSE [] END AS screenshot_paths FROM ids)
+"""
+
+
+@register("scan_asset_inventory")
+def q_scan_asset_inventory(spark, d):
+    inv = J.asset_inventory(_asset_paths(spark, d))
+    return inv.select("item_id", "cover_path", list_str(F.col("screenshot_paths")).alias("screenshots"))
+
+
+SQL["scan_asset_inventory"] = q(ASSETS_SQL + """
+SELECT item_id, cover_path, array_to_string(screenshot_paths, ', ') AS screenshots FROM inv""")

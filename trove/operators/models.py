@@ -25,7 +25,6 @@ RERANK_WEIGHT = 0.3
 RERANK_MAX_TOKENS = 512
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 DEFAULT_DIM = 64
-STEPS = 1 << 20     # resolution of the default text vectors
 HIST_BINS = 64
 
 
@@ -40,15 +39,13 @@ def token_bucket(tok: Column, dim: int = DEFAULT_DIM) -> Column:
 
 
 def _bucket_vectors(buckets: pa.Array, dim: int) -> np.ndarray:
-    """L2-normalised counts of the bucket numbers in each row's list, in steps
-    of 2**-20: sums of their products are exact, so equal distances tie
-    whatever the order of summation."""
+    """L2-normalised counts of the bucket numbers in each row's list."""
     n = len(buckets)
     lens = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
     counts = np.bincount(np.repeat(np.arange(n), lens) * dim + flat, minlength=n * dim).reshape(n, dim)
     norm = np.sqrt((counts * counts).sum(1))
-    return np.floor(counts / np.where(norm > 0, norm, 1.0)[:, None] * STEPS + 0.5) / STEPS
+    return counts / np.where(norm > 0, norm, 1.0)[:, None]
 
 
 def with_text_embedding(df: DataFrame, text_col: str = "text", encoder: Optional[Callable[[list], np.ndarray]] = None,

@@ -89,20 +89,31 @@ def _long(m: DataFrame, side: str) -> DataFrame:
         F.array(*[F.lit(c) for c in m.columns]), F.array(*[F.col(c) for c in m.columns]))).alias("metric", side))
 
 
-def load_metrics(items: DataFrame, reviews: DataFrame, side: str = "value") -> DataFrame:
+def _text_bytes(df: DataFrame, texts: Sequence[str]):
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts if c in df.columns),
+               F.lit(0).cast("bigint"))
+    return F.coalesce(F.sum(size), F.lit(0)).cast("bigint")
+
+
+def load_metrics(items: DataFrame, reviews: DataFrame, side: str = "value",
+                 texts: Sequence[str] = ("title", "description", "citation")) -> DataFrame:
     """(metric, value) rows: total items, with cover, with screenshots
-    (one aggregate pass over items) and total reviews."""
+    (one aggregate pass over items), total reviews and the bytes of their
+    ``texts`` columns, so a cut text shows."""
     i = items.agg(F.count(F.lit(1)).cast("bigint").alias("items"),
                   F.count("cover_url").cast("bigint").alias("with_cover"),
-                  F.count("screenshot_urls").cast("bigint").alias("with_screenshots"))
-    r = reviews.agg(F.count(F.lit(1)).cast("bigint").alias("reviews"))
+                  F.count("screenshot_urls").cast("bigint").alias("with_screenshots"),
+                  _text_bytes(items, texts).alias("item_bytes"))
+    r = reviews.agg(F.count(F.lit(1)).cast("bigint").alias("reviews"), _text_bytes(reviews, texts).alias("review_bytes"))
     return _long(i, side).unionByName(_long(r, side))
 
 
 def verify_copy(src_items: DataFrame, src_reviews: DataFrame, dst_items: DataFrame, dst_reviews: DataFrame) -> DataFrame:
-    """metric, source, target, match — source and target metrics side by side."""
-    s = load_metrics(src_items, src_reviews, "source")
-    t = load_metrics(dst_items, dst_reviews, "target")
+    """metric, source, target, match — source and target metrics side by side;
+    bytes are those of the copied text columns."""
+    copied = [c for c in ("title", "description", "citation") if c in {*dst_items.columns, *dst_reviews.columns}]
+    s = load_metrics(src_items, src_reviews, "source", copied)
+    t = load_metrics(dst_items, dst_reviews, "target", copied)
     return s.join(t, "metric", "full_outer").withColumn("match", F.col("source") == F.col("target"))
 
 

@@ -143,6 +143,16 @@ def q_generate_answers_batch(spark, d):
     return R.rag_answers(_queries(spark, d), _display(spark, d), generator=generator)
 
 
+SQL["generate_answers_batch"] = _with(_display_sql(), f""",
+blocks AS (SELECT query_id, count(*) AS n, string_agg({_block_sql()}, '' ORDER BY rank) AS b FROM disp GROUP BY query_id),
+p AS (SELECT blocks.query_id, n, {_template_sql(R.PROMPT_HEADER, query="coalesce(vq.text, '')", n='n')} || b || {_sql_lit(R.PROMPT_FOOTER)} AS prompt
+      FROM blocks JOIN vec_queries vq ON vq.query_id = blocks.query_id)
+SELECT vq.query_id, CAST(coalesce(p.n, 0) AS BIGINT) AS n_games,
+       CASE WHEN p.n IS NULL THEN {_template_sql(R.EMPTY_ANSWER, query="coalesce(vq.text, '')")}
+            ELSE 'Read ' || length(p.prompt) || ' characters.' END AS response
+FROM vec_queries vq LEFT JOIN p ON p.query_id = vq.query_id""")
+
+
 @register("drop_repeated_sentences")
 def q_drop_repeated_sentences(spark, d):
     docs = fx.table(spark, d, "documents")

@@ -211,13 +211,16 @@ def q_rerank_fallback(spark, d):
 
 @register("semantic_search_text")
 def q_semantic_search_text(spark, d):
-    # End to end from texts: descriptions and query texts are encoded, no ready vectors.
+    # End to end from texts: descriptions and query texts are encoded, no ready
+    # vectors. Components are kept in steps of 2**-20: sums of their products
+    # are exact, so equal distances tie whatever the order of summation.
     from .plans import search as S
+    steps = F.transform("embedding", lambda x: F.floor(x * (1 << 20) + 0.5) / (1 << 20)).alias("embedding")
     items = fx.items(spark, d)
     vectors = M.with_text_embedding(items.select(
         F.col("item_id").cast("string").alias("vec_id"), "item_id", F.lit("description").alias("modality"),
-        "description"), "description").drop("description")
-    queries = _vq(spark, d).select("query_id", "text")
+        "description"), "description").select("vec_id", "item_id", "modality", steps)
+    queries = S.with_embedding(_vq(spark, d).select("query_id", "text")).select("query_id", "text", steps)
     res = S.semantic_search(items, fx.reviews(spark, d), vectors, queries)
     return res.select("query_id", "rank", "item_id", F.round("relevance_score", 6).alias("relevance_score"))
 

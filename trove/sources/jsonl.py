@@ -206,14 +206,18 @@ def read_query_params(raw: DataFrame) -> DataFrame:
         F.when(qtext == "", "Query parameter is required").alias("error"))
 
 
-def scan_asset_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Per all-digit folder under ``root``: its id, cover file (if any) and
-    sorted screenshot files. Lists files only (content not read)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(root).select(F.col("path")))
-    m = F.regexp_extract("path", r"/(\d+)/(cover\.jpg|screenshot_[^/]*\.jpg)$", 1)
-    name = F.regexp_extract("path", r"/(\d+)/(cover\.jpg|screenshot_[^/]*\.jpg)$", 2)
-    f = files.select(m.alias("folder"), name.alias("name"), "path").where(F.col("folder") != "")
-    return f.groupBy(F.col("folder").cast("bigint").alias("item_id")).agg(
+def asset_inventory(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """Per all-digit folder among the paths: its id, cover file (if any) and
+    sorted screenshot files; other files are left out."""
+    pattern = r"/(\d+)/(cover\.jpg|screenshot_[^/]*\.jpg)$"
+    f = paths.select(F.regexp_extract(path_col, pattern, 1).alias("folder"),
+                     F.regexp_extract(path_col, pattern, 2).alias("name"), F.col(path_col).alias("path"))
+    return f.where(F.col("folder") != "").groupBy(F.col("folder").cast("bigint").alias("item_id")).agg(
         F.max(F.when(F.col("name") == "cover.jpg", F.col("path"))).alias("cover_path"),
         F.array_sort(F.collect_list(F.when(F.col("name") != "cover.jpg", F.col("path")))).alias("screenshot_paths"))
+
+
+def scan_asset_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Asset inventory of the files under ``root``: listed only, contents not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return asset_inventory(files)
