@@ -69,13 +69,19 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return map_batches(texts_of(docs, id_col, text_col), run, "doc_id long, fp long, text_key long")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """``fps`` over all shuffle partitions before each row becomes many. By a
+    hash of fp, not fp itself: Spark would take the exchange of the aggregate
+    below for it, which is coalesced to a task or two as its rows are few."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+
+
 def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
     """(key, fp): every segment with one bit left out; the key holds segment,
     place of the bit and the other bits of the segment, without hashing."""
     segments = max_bits // 2 + 1                     # one of them differs by at most one bit
     size = -(-64 // segments)
-    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # each row becomes 64
-    places = fps.repartition(spread, "fp").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    places = _spread(fps).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
     segment = F.floor(F.col("p") / size).cast("int")
     value = F.expr(f"shiftrightunsigned(fp, cast(floor(p / {size}) as int) * {size})").bitwiseAND(F.lit((1 << size) - 1))
     without = value.bitwiseAND(F.expr(f"~shiftleft(1L, cast(p % {size} as int))"))
@@ -112,7 +118,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 def _two_left_out(fps: DataFrame) -> DataFrame:
     """Links among ``fps`` within two bits: at most four share a variant with
     two of the 64 bits left out, and those are all within two bits."""
-    both = (fps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(62))))
+    both = (_spread(fps).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(62))))
             .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(63)))))
     rest = both.select("fp", "i", "j", F.col("fp").bitwiseAND(F.expr("~(shiftleft(1L, i) | shiftleft(1L, j))")).alias("x"))
     shared = rest.groupBy("i", "j", "x").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
