@@ -395,6 +395,34 @@ def test_topk_search(spark):
     assert topk_search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_search_keeps_every_finite_row(spark):
+    from pyspark.sql import functions as F
+
+    from trove.llm.topk_search import topk_search
+    inf = float("inf")
+    rows = [(0, [1.0, -2.0]), (20, [5e6, 1.0]), (40, [-3e7, 0.5]), (1, [-inf, 0.0]), (2, [inf, -inf]), (3, [4.2e6, 3.0]),
+            (4, [2.0, 2.0]), (4, [-7.0, 9.0]), (4, [-7.0, 9.0]), (60, [1.0, 1.0]), (60, [-1.0, 3.0]), (5, [2e15, 1.0]), (6, [-2e15, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ok = {(i, *[math.floor(64 * x) for x in v]) for i, v in rows if all(map(math.isfinite, v))}
+
+    def best(ok, k):
+        pairs = defaultdict(list)
+        for a in ok:
+            for b in ok:
+                if a[0] % 20 == 0 and a[0] != b[0]:
+                    pairs[a[0]].append((-sum(x * y for x, y in zip(a[1:], b[1:])), b[0]))
+        return Counter((q, r, i, -s) for q, found in pairs.items() for r, (s, i) in enumerate(sorted(found)[:k], 1))
+    fits = {r for r in ok if r[0] not in (5, 6)}
+    small = df.where("vec_id not in (5, 6)")
+    for k in (3, 20):
+        assert Counter(map(tuple, topk_search(small, F.col("vec_id") % 20 == 0, k=k).collect())) == best(fits, k)
+    near = {r for r in ok if r[0] not in (20, 40)}                # scores close to a long's limits
+    got = topk_search(df.where("vec_id not in (20, 40)"), (F.col("vec_id") % 20 == 0), k=20).collect()
+    assert Counter(map(tuple, got)) == best(near, 20)
+    with pytest.raises(Exception, match="no long"):
+        topk_search(df, F.col("vec_id") % 20 == 0, k=20).collect()
+
+
 def test_connected_components(spark):
     from trove.llm.components import connected_components
     rng = random.Random(10)

@@ -12,11 +12,13 @@ equi-join on (length, block, shard), blocks in at most ``MAX_SHARDS`` copies.
 Per tile and block at most k rows a query come back, so the final ranking
 sees k rows per query and block whatever ties the table holds.
 
-Defined results: vectors that are null or empty, or hold a null, non-finite or
-out-of-range component (over 2**28 after scaling, where a score could pass a
-long) take no part, nor do rows without an id. If rows share an id, the
-smallest quantised vector stands for it. Only vectors of equal length are
-compared. Extra columns are left behind.
+Defined results: vectors that are null or empty, or hold a null or non-finite
+component, or a finite one that is no long after scaling, take no part, nor do
+rows without an id. Sums are as wide as they need to be; a score in the result
+that is no long raises. Rows that share an id all take part, as queries (their
+rows are ranked together) and as candidates; only a row that repeats both id
+and quantised vector counts once. Only vectors of equal length are compared.
+Extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -35,23 +37,24 @@ BLOCK_ROWS = 1 << 16
 TILE_ROWS = 256
 #: Copies of a block, so that the tiles of one block spread over tasks.
 MAX_SHARDS = 16
-LIMIT = 1 << 28
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """(vec_id, q, dim): q holds floor(scale * x) of each component as long."""
     v = F.col(f"`{vec_col}`")
 
+    def scaled(x: Column) -> Column:
+        return F.lit(float(scale)) * x.cast("double")
+
     def whole(x: Column) -> Column:
-        x = x.cast("double")
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(F.lit(float(scale)) * x)) < LIMIT)
+        # On the double: the floor of an infinity is the smallest long, whose abs raises. False for NaN, too.
+        return x.isNotNull() & (scaled(x) >= F.lit(-2.0 ** 63)) & (scaled(x) < F.lit(2.0 ** 63))
 
     return (vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
             .where(F.forall("v", whole))
-            .select("vec_id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("q"))
-            .groupBy("vec_id").agg(F.min("q").alias("q"))
-            .withColumn("dim", F.size("q")))
+            .select("vec_id", F.transform("v", lambda x: F.floor(scaled(x)).cast("long")).alias("q"))
+            .distinct().withColumn("dim", F.size("q")))
 
 
 class BitSlices:
@@ -63,12 +66,12 @@ class BitSlices:
         self.ids, self.n = ids, n
         self.words = -(-n // 64)
         self.low = matrix.min(axis=0)
-        spread = matrix.max(axis=0) - self.low
+        spread = matrix.max(axis=0).view(np.uint64) - self.low.view(np.uint64)      # may pass a long
         self.width = [int(x).bit_length() for x in spread]
         self.first = np.concatenate([[0], np.cumsum(self.width)]).astype(int).tolist()
         self.slices = np.zeros((max(1, self.first[-1]), self.words * 8), dtype=np.uint8)
         for d in range(dims):
-            x = (matrix[:, d] - self.low[d]).astype(np.uint64)
+            x = matrix[:, d].astype(np.uint64) - self.low[d].astype(np.uint64)
             for b in range(self.width[d]):
                 packed = np.packbits(((x >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little")
                 self.slices[self.first[d] + b, :len(packed)] = packed
@@ -138,8 +141,11 @@ class BitSlices:
         """(row places, scores) of the k best rows other than the query's own."""
         slices, constant = self.scores(query)
         equal = self.valid.copy()
-        for p in range(int(np.searchsorted(self.ids, own)), int(np.searchsorted(self.ids, own, "right"))):
-            equal[p >> 6] &= ~np.uint64(1 << (p & 63))
+        first, end = (int(np.searchsorted(self.ids, own, side)) for side in ("left", "right"))
+        if first < end:
+            mine = np.zeros(self.words * 64, dtype=np.uint8)
+            mine[first:end] = 1
+            equal &= ~np.packbits(mine, bitorder="little").view(np.uint64)
         sure = np.zeros(self.words, np.uint64)
         for s in reversed(slices):                      # from the most significant slice downward
             higher = equal & s
@@ -155,10 +161,14 @@ class BitSlices:
         if len(chosen) < k:                             # the boundary: equal scores, smallest ids first
             tied = np.flatnonzero(np.unpackbits(equal.view(np.uint8), bitorder="little"))
             chosen = np.concatenate([chosen, tied[:k - len(chosen)]])
-        score = np.full(len(chosen), constant, dtype=np.int64)
+        wide = len(slices) > 62 or abs(constant) >= 1 << 62      # then with Python's integers
+        score = np.full(len(chosen), constant, dtype=object if wide else np.int64)
         for p, s in enumerate(slices):
-            score += ((s[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << p
-        return chosen, score
+            bit = ((s[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+            score += bit.astype(score.dtype) << p
+        if any(not -1 << 63 <= x < 1 << 63 for x in score if wide):
+            raise OverflowError(f"a score of the row {own} is no long")
+        return chosen, score.astype(np.int64)
 
 
 def _runs(frames: Iterator[pd.DataFrame], key: list[str], rows: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
@@ -224,7 +234,7 @@ def topk_search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     shards = min(n_tiles, MAX_SHARDS)
 
     def placed(df: DataFrame, name: str, n: int) -> DataFrame:
-        return (df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)))
+        return (df.withColumn(name, F.pmod(F.xxhash64("vec_id", "q", F.lit(name)), F.lit(n)))
                 .repartition(n, "dim", name).sortWithinPartitions("dim", name, "vec_id"))
 
     blocks = placed(rows, "b", n_blocks).mapInPandas(
