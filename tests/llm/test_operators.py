@@ -326,6 +326,31 @@ def test_pii(spark):
     assert pii.find_and_replace(frame(spark, []), b"k").count() == 0
 
 
+def test_pii_cuts_what_follows_a_value():
+    from trove.llm import pii
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    for value, tail, kind in (
+            ("4111 1111 1111 1111", " 123", "card"), ("4111 1111 1111 1111", " 12/26", "card"), ("4111-1111-1111-1111", "-123", "card"),
+            ("ES9121000418450200051332", " I paid", "iban"), ("BE68 5390 0754 7034", " BIC GEBABEBB", "iban"),
+            ("AT61 1904 3002 3457 3201", " PAID NOW", "iban"), ("+49 30 1234 5678", " 2024", "phone")):
+        new = p.replace(f"see {value}{tail}")
+        assert p.found == {kind: 1} and value not in new and new.endswith(tail), (value, new)
+        assert new == p.replace(f"see {value}.")[:-1] + tail                        # the same pseudonym as alone
+        assert back.replace(new) == f"see {value}{tail}"
+    for head in ("AB12 ", "1234 ", "+1 "):                                          # a failed match starts before the card
+        assert p.replace(head + "4111 1111 1111 1111") == head + p.replace("4111 1111 1111 1111")
+    rng = random.Random(4)
+    for _ in range(300):                                                            # cuts stay where they are
+        body = f"{rng.randrange(10 ** 15):015d}"
+        digits = body + pii.luhn_digit(body)
+        text = f"{' '.join(digits[i:i + 4] for i in range(0, 16, 4))} {rng.randrange(1000):03d}"
+        assert back.replace(p.replace(text)) == text
+        body = f"{rng.randrange(10 ** 18):018d}"
+        digits = body + pii.luhn_digit(body)
+        text = " ".join(digits[i:i + 4] for i in range(0, 19, 4))
+        assert back.replace(p.replace(text)) == text != p.replace(text)
+
+
 def test_lm_scoring(spark, monkeypatch):
     from trove.llm import lm_scoring as lm
     rng = random.Random(8)

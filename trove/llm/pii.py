@@ -9,9 +9,17 @@ cycle-walking, so it is one-to-one: equal values stay equal in every document
 (however they are spaced or cased), different values stay different, and the
 holder of the key can undo it.
 
+A match may take in a word or number that follows the value. So a card is cut
+to its shortest grouping that passes, an IBAN to its country's length, a phone
+number to its longest grouping that passes; if none does, the search goes on
+just after the start of the match. Whether the shorter grouping passes is a
+property that the permutation keeps, so undoing cuts at the same place.
+
 Numbers that fail their check (a 16-digit number with a wrong Luhn digit, the
 date 2021-02-30) are not personal data and stay as they are. Row-local: no
-shuffle, no state.
+shuffle, no state. Not undone with certainty: a value that directly follows
+digits in its own format (for a card one case in ten), as its pseudonym may
+pass together with them.
 
 Defined results: null text becomes empty; repeated rows each give a row; null
 ids pass; texts without personal data come back byte for byte; extra columns
@@ -53,9 +61,21 @@ PATTERN = re.compile(r"""
    |(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w))
  |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
 """, re.X)
+#: Places where a match that failed may end sooner: before a separator.
+_CUT = re.compile(r"[ -]")
+#: Lengths of the IBANs of each country.
+IBAN_LENGTH = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 33: "LC RU"}.items() for c in countries.split()}
 _MAYBE = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
 
+CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}")
+PHONE = re.compile(r"\+\d{1,3}(?:[ .-]\d{2,4}){2,4}")
+
+
 class Feistel:
     """A keyed permutation of 0 .. n-1 for any n."""
 
@@ -100,6 +120,17 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _short_card(digits: str) -> bool:
+    """A longer number whose first 16 digits are a card by themselves."""
+    return len(digits) > 16 and luhn_digit(digits[:15]) == digits[15]
+
+
+def _short_iban(bare: str) -> bool:
+    """A longer text that starts with an IBAN of its country's length."""
+    n = IBAN_LENGTH.get(bare[:2], len(bare))
+    return n < len(bare) and _mod97(bare[4:n] + bare[:4]) == 1
+
+
 def _poured(shape: str, chars: str) -> str:
     """``chars`` in the places of the letters and digits of ``shape``."""
     it = iter(chars)
@@ -115,7 +146,7 @@ class Pseudonyms:
     def _number(self, kind: str, n: int, x: int, valid=lambda y: True) -> int:
         return self.f.permute(kind, n, x, valid, self.undo)
 
-    def _word(self, kind: str, word: str, hexadecimal: bool = False) -> str:
+    def _word(self, kind: str, word: str, hexadecimal: bool = False, valid=lambda word: True) -> str:
         """Letters, accented letters and digits permuted within their class;
         case and all other characters stay in place."""
         low = word.lower()
@@ -126,12 +157,14 @@ class Pseudonyms:
         n = math.prod(map(len, sets))
         for c, s in zip(low, sets):
             x = x * len(s) + s.index(c)
-        x = self._number(kind, n, x)
-        out = []
-        for s in reversed(sets):
-            x, at = divmod(x, len(s))
-            out.append(s[at])
-        return "".join(c.upper() if w.isupper() and len(c.upper()) == 1 else c for c, w in zip(reversed(out), word))
+
+        def spelled(x: int) -> str:
+            out = []
+            for s in reversed(sets):
+                x, at = divmod(x, len(s))
+                out.append(s[at])
+            return "".join(c.upper() if w.isupper() and len(c.upper()) == 1 else c for c, w in zip(reversed(out), word))
+        return spelled(self._number(kind, n, x, lambda y: valid(spelled(y))))
 
     def secret(self, v: str) -> str:
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", v) is not None
@@ -149,8 +182,10 @@ class Pseudonyms:
         bare = v.replace(" ", "")
         if not 15 <= len(bare) <= 34 or _mod97(bare[4:] + bare[:4]) != 1:
             return None
-        body = self._word("iban", bare[4:])
-        return _poured(v, f"{bare[:2]}{98 - _mod97(body + bare[:2] + '00'):02d}{body}")
+        def whole(body: str) -> str:
+            return f"{bare[:2]}{98 - _mod97(body + bare[:2] + '00'):02d}{body}"
+        short = _short_iban(bare)
+        return _poured(v, whole(self._word("iban", bare[4:], valid=lambda body: _short_iban(whole(body)) == short)))
 
     def ip(self, v: str) -> str | None:
         parts = [int(x) for x in v.split(".")]
@@ -221,8 +256,35 @@ class Pseudonyms:
         body = digits[:-1]
         if not 13 <= len(digits) <= 19 or luhn_digit(body) != digits[-1]:
             return None
-        body = f"{self._number('card', 10 ** len(body), int(body)):0{len(body)}d}"
-        return _poured(v, body + luhn_digit(body))
+        def whole(x: int) -> str:
+            new = f"{x:0{len(body)}d}"
+            return new + luhn_digit(new)
+        short = _short_card(digits)
+        return _poured(v, whole(self._number("card", 10 ** len(body), int(body), lambda x: _short_card(whole(x)) == short)))
+
+    def _cut(self, kind: str, v: str) -> tuple[int, str] | None:
+        """(characters used, pseudonym) of the match or, where it has taken in
+        what follows the value, of its first groups; None if nothing passes."""
+        ends = [m.start() for m in _CUT.finditer(v)] + [len(v)]
+        if kind == "iban":
+            n = IBAN_LENGTH.get(v[:2])
+            ends = [e for e in ends if len(v[:e].replace(" ", "")) == n] + [len(v)] if n else ends
+        elif kind == "phone":
+            # A shorter number only where no other value starts inside the match.
+            new = self.phone(v)
+            if new is not None:
+                return len(v), new
+            inner = (CARD.match(v, c.end()) for c in _CUT.finditer(v))
+            if any(m and self._cut("card", m[0]) for m in inner):
+                return None
+            ends = [e for e in reversed(ends[:-1]) if PHONE.fullmatch(v[:e])]
+        elif kind != "card":
+            ends = ends[-1:]
+        for e in ends:
+            new = getattr(self, kind)(v[:e])
+            if new is not None:
+                return e, new
+        return None
 
     def replace(self, text: str) -> str:
         """The text with every validated value replaced."""
@@ -230,14 +292,17 @@ class Pseudonyms:
         if _MAYBE.search(text) is None:
             return text
 
-        def one(m: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while (m := PATTERN.search(text, at)) is not None:
             kind = m.lastgroup
-            new = getattr(self, kind)(m[kind])
-            if new is None:
-                return m[0]
+            got = self._cut(kind, m[kind])
+            if got is None:
+                at = m.start() + 1                          # another value may start inside the match
+                continue
             self.found["date" if kind in ("iso", "dotted", "slashed") else kind] += 1
-            return (m["lead"] or "") + new
-        return PATTERN.sub(one, text)
+            out += [text[done:m.start(kind)], got[1]]
+            done = at = m.start(kind) + got[0]
+        return "".join([*out, text[done:]])
 
 
 def find_and_replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
