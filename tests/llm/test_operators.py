@@ -351,6 +351,25 @@ def test_pii_cuts_what_follows_a_value():
         assert back.replace(p.replace(text)) == text != p.replace(text)
 
 
+def test_pii_letters_of_every_script():
+    from trove.llm import pii
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    for local in ("иван.Петров", "γιώργος", "ΝΙΚΟΣ", "王小明", "たなか", "タナカ", "김철수", "łukasz", "Čapek", "İnci", "محمد", "ivan٣", "ﬁona"):
+        new = p.replace(f"to {local}@example.com!")
+        image = new[3:-len("@example.com!")]
+        assert p.found == {"email": 1} and len(image) == len(local) and back.replace(new) == f"to {local}@example.com!", (local, new)
+        assert sum(a == b for a, b in zip(image, local) if a.isalnum()) < sum(map(str.isalnum, local)) and image != local
+        assert [c.isupper() for c in image] == [c.isupper() for c in local] and p.replace(new) != new
+    shared = [[a for a, b in zip("łčžğżśćń", p.replace(f"łčžğżśćń{i}@example.com")) if a == b] for i in range(20)]
+    assert sum(map(len, shared)) < 8                                                # no letter stays by rule
+    for one in ("_@example.com", "__%+-@example.com"):
+        assert p.replace(one) == one and not p.found
+    sets = pii._alphabets()
+    assert all(sets[d] is sets[c] for c in "жω王かł" for d in sets[c])               # closed
+    assert min(map(len, sets.values())) > 1
+    assert all(len(c.upper()) == 1 and c.upper().lower() == c for c in sets["ж"] + sets["ł"])
+
+
 def test_lm_scoring(spark, monkeypatch):
     from trove.llm import lm_scoring as lm
     rng = random.Random(8)

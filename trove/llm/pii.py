@@ -21,6 +21,11 @@ shuffle, no state. Not undone with certainty: a value that directly follows
 digits in its own format (for a card one case in ten), as its pseudonym may
 pass together with them.
 
+Letters and digits of every script are permuted among those of their own script
+and kind (as the worker's Unicode tables list them; key holders need the same
+version to undo). A value without any such character, as in "_@example.com",
+has only itself as an image and is not counted.
+
 Defined results: null text becomes empty; repeated rows each give a row; null
 ids pass; texts without personal data come back byte for byte; extra columns
 are left behind by ``find_and_replace`` and kept by ``pseudonymise``.
@@ -32,7 +37,10 @@ import datetime
 import hashlib
 import math
 import re
-from collections import Counter
+import sys
+import unicodedata
+from collections import Counter, defaultdict
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,6 +139,34 @@ def _short_iban(bare: str) -> bool:
     return n < len(bare) and _mod97(bare[4:n] + bare[:4]) == 1
 
 
+@cache
+def _alphabets() -> dict[str, str]:
+    """Every letter and digit that stands in words as a lower-case or uncased
+    character -> the characters of its script and kind, itself among them.
+    Cased ones have a capital of one character that leads back to them."""
+    kinds = defaultdict(list)
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if not c.isalnum() or c in _ACCENTED or (len(c.lower()) == 1 and c.lower() != c):
+            continue
+        cased = c.upper() != c and len(c.upper()) == 1 and c.upper().lower() == c
+        script = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+        kind = (script, unicodedata.category(c), cased, unicodedata.normalize("NFKC", c) == c)
+        kinds[("CJK", "Lo", False, True) if c == "〇" else kind].append(c)
+    for k in [k for k, members in kinds.items() if len(members) == 1]:              # single ones share an alphabet
+        kinds[("LATIN", "Ll", True, True) if k[2] else ("", k[1], False, False)] += kinds.pop(k)
+    return {c: alphabet for alphabet in map("".join, kinds.values()) for c in alphabet}
+
+
+@cache
+def _places(alphabet: str) -> dict[str, int]:
+    return {c: i for i, c in enumerate(alphabet)}
+
+
+def _alphabet(c: str) -> str:
+    return next((s for s in (_LETTERS, _DIGITS, _ACCENTED) if c in s), None) or (c if c < "\x80" else _alphabets().get(c, c))
+
+
 def _poured(shape: str, chars: str) -> str:
     """``chars`` in the places of the letters and digits of ``shape``."""
     it = iter(chars)
@@ -146,17 +182,16 @@ class Pseudonyms:
     def _number(self, kind: str, n: int, x: int, valid=lambda y: True) -> int:
         return self.f.permute(kind, n, x, valid, self.undo)
 
-    def _word(self, kind: str, word: str, hexadecimal: bool = False, valid=lambda word: True) -> str:
-        """Letters, accented letters and digits permuted within their class;
-        case and all other characters stay in place."""
-        low = word.lower()
-        if len(low) != len(word):
-            low = word
-        sets = [_HEX if hexadecimal else next((s for s in (_LETTERS, _DIGITS, _ACCENTED) if c in s), c) for c in low]
-        n = x = 0
-        n = math.prod(map(len, sets))
+    def _word(self, kind: str, word: str, hexadecimal: bool = False, valid=lambda word: True) -> str | None:
+        """Letters and digits permuted within their class; case and all other
+        characters stay in place. None if that leaves only the word itself."""
+        low = [c.lower() if len(c.lower()) == 1 else c for c in word]
+        sets = [_HEX if hexadecimal else _alphabet(c) for c in low]
+        x, n = 0, math.prod(map(len, sets))
+        if n == 1:
+            return None
         for c, s in zip(low, sets):
-            x = x * len(s) + s.index(c)
+            x = x * len(s) + (s.index(c) if len(s) < 64 else _places(s)[c])
 
         def spelled(x: int) -> str:
             out = []
@@ -166,7 +201,7 @@ class Pseudonyms:
             return "".join(c.upper() if w.isupper() and len(c.upper()) == 1 else c for c, w in zip(reversed(out), word))
         return spelled(self._number(kind, n, x, lambda y: valid(spelled(y))))
 
-    def secret(self, v: str) -> str:
+    def secret(self, v: str) -> str | None:
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", v) is not None
         if not hexadecimal:
             return self._word("secret", v)
@@ -174,9 +209,10 @@ class Pseudonyms:
         out = self._word("secret", v.lower(), True)
         return out.upper() if upper else out
 
-    def email(self, v: str) -> str:
+    def email(self, v: str) -> str | None:
         local, _, domain = v.partition("@")
-        return f"{self._word('email@' + domain.lower(), local)}@{domain}"
+        new = self._word("email@" + domain.lower(), local)
+        return new and f"{new}@{domain}"
 
     def iban(self, v: str) -> str | None:
         bare = v.replace(" ", "")
