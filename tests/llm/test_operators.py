@@ -416,6 +416,34 @@ def test_lm_scoring(spark, monkeypatch):
     assert lm.lm_scores(frame(spark, []), targets).count() == 0
 
 
+def test_lm_scoring_holds_a_bounded_model(spark, monkeypatch):
+    import pandas as pd
+
+    from trove.llm import lm_scoring as lm
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("abcdefé ", k=rng.randint(0, 300)))) for i in range(40)] + [(7, "aab"), (None, "abc"), (50, None), (51, "xyz" * 5000)]
+    targets = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
+    want = sorted(map(tuple, lm.lm_scores(frame(spark, rows), targets, order=3).collect()), key=str)
+    seen = []
+    inner = type(spark.range(0)).toPandas
+
+    def spy(self):
+        out = inner(self)
+        seen.append(len(out))
+        assert isinstance(out, pd.DataFrame)
+        return out
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", spy)
+    monkeypatch.setattr(lm, "CHUNK", 1000)                       # documents in several parts
+    for limit in (0, 50):
+        monkeypatch.setattr(lm, "MODEL_ROWS", limit)
+        seen.clear()
+        got = sorted(map(tuple, lm.lm_scores(frame(spark, rows), targets, order=3).collect()), key=str)
+        assert sum(seen) <= limit                                # all that passes the driver
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        for g, w in zip(got, want):
+            assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(g[2:], w[2:]))
+
+
 def test_topk_search(spark):
     from pyspark.sql import functions as F
 

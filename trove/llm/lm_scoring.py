@@ -10,9 +10,12 @@ more like the target).
 Counts are exact and cover every document: n-grams are packed into 63 bits
 without hashing, pre-aggregated per batch, and summed by a shuffle. The
 probabilities (Witten-Bell, from order 1 up) are DataFrame joins over the
-n-gram tables. For scoring, the table of losses is broadcast when its measured
-size is within ``MODEL_ROWS``; a larger one is broadcast in slices by n-gram,
-one after the other through the same pass over the texts, with the same sums.
+n-gram tables. For scoring, the losses of at most ``MODEL_ROWS`` n-grams, the
+most frequent ones, are broadcast: all that the driver and a worker hold of the
+model, however large the corpus. The texts are read once. Occurrences of rarer
+n-grams leave that pass as (row, n-gram, count) per chunk of a document, meet
+their losses in an equi-join and are summed by row. Hot keys are all among the
+broadcast ones, so no key of the join is hot.
 
 Defined results: null and empty texts have 0 tokens, losses and score 0;
 repeated rows count and score as often as they occur; null ids are never
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import write_scratch
 from .common import map_batches, text_slices, texts_of
 
-#: Entries of the loss table per broadcast (16 bytes each).
+#: Entries of the loss table that are broadcast (16 bytes each).
 MODEL_ROWS = 2_000_000
 #: Characters whose n-grams are made at a time.
 CHUNK = 1 << 20
@@ -87,8 +90,21 @@ def _count(docs: DataFrame, symbols, order: int) -> DataFrame:
     return map_batches(docs, run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
+def _frequent(counts: DataFrame) -> tuple[int, int]:
+    """The least background count so that at most MODEL_ROWS n-grams have it or
+    more (to a tenth; found from 10 classes an octave), and the number of rarer n-grams."""
+    band = F.floor(F.log2("b") * 10).cast("int").alias("band")
+    bands = sorted(counts.groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least")).collect(), reverse=True)   # 640 at most
+    held, least = 0, 1 << 62
+    for r in bands:
+        if held + r["n"] > MODEL_ROWS:
+            break
+        held, least = held + r["n"], r["least"]
+    return least, sum(r["n"] for r in bands) - held
+
+
 def _losses(counts: DataFrame, order: int, vocabulary: int) -> DataFrame:
-    """(key, lt, lb): negative log probability of the last symbol of every
+    """(key, b, lt, lb): background count and negative log probability of the last symbol of every
     counted n-gram under both models, by Witten-Bell smoothing."""
     def shorter(df: DataFrame, n: int) -> DataFrame:
         return df.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * n) - 1)).alias("key")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
@@ -104,12 +120,12 @@ def _losses(counts: DataFrame, order: int, vocabulary: int) -> DataFrame:
         if p is None:
             lower = {m: F.lit(1.0 / max(1, vocabulary)) for m in "tb"}
         else:
-            own = own.withColumn("tail", F.col("key").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))).join(p.withColumnRenamed("key", "tail"), "tail")
+            own = own.withColumn("tail", F.col("key").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))).join(p.select(F.col("key").alias("tail"), "p_t", "p_b"), "tail")
             lower = {m: F.col("p_" + m) for m in "tb"}
         new = {m: F.when(F.col(m + "_all") == 0, lower[m]).otherwise(
             (F.col(m) + F.col(m + "_kinds") * lower[m]) / (F.col(m + "_all") + F.col(m + "_kinds"))) for m in "tb"}
-        p = write_scratch(own.select("key", new["t"].alias("p_t"), new["b"].alias("p_b")), "lm-probability")
-    return p.select("key", (-F.log("p_t")).cast("float").alias("lt"), (-F.log("p_b")).cast("float").alias("lb"))
+        p = write_scratch(own.select("key", "b", new["t"].alias("p_t"), new["b"].alias("p_b")), "lm-probability")
+    return p.select("key", "b", (-F.log("p_t")).cast("float").alias("lt"), (-F.log("p_b")).cast("float").alias("lb"))
 
 
 def lm_scores(docs: DataFrame, targets: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,43 +143,85 @@ def lm_scores(docs: DataFrame, targets: DataFrame, order: int = 4, id_col: str =
     symbols = sc.broadcast(table)                                  # one number per Unicode code point
     counts = write_scratch(_count(marked, symbols, order), "lm-counts")
     model = _losses(counts, order, vocabulary)
-    slices = max(1, -(-counts.count() // MODEL_ROWS))
-    out = src.withColumn("n_tokens", F.length("text").cast("long")).withColumn("lt", F.lit(0.0)).withColumn("lb", F.lit(0.0))
-    for s in range(slices):
-        part = model if slices == 1 else model.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == s)
-        got = part.toPandas().sort_values("key")                   # MODEL_ROWS entries or so: measured
-        entries = sc.broadcast((got["key"].to_numpy(np.int64), got["lt"].to_numpy(np.float64), got["lb"].to_numpy(np.float64)))
-        out = map_batches(out, _add(symbols, entries, order), "doc_id long, text string, n_tokens long, lt double, lb double")
+    least, rare = _frequent(counts)
+    got = model.where(F.col("b") >= least).toPandas().sort_values("key")          # MODEL_ROWS entries at most
+    entries = sc.broadcast((got["key"].to_numpy(np.int64), got["lt"].to_numpy(np.float64), got["lb"].to_numpy(np.float64)))
+    scored = src.withColumn("n_tokens", F.length("text").cast("long"))
+    if not rare:
+        out = map_batches(scored, _add(symbols, entries, order), "doc_id long, n_tokens long, lt double, lb double")
+    else:
+        # Row numbers are fixed by the write; a document has a further part for each CHUNK of its text.
+        parts = write_scratch(map_batches(
+            scored.withColumn("row", F.monotonically_increasing_id()), _add(symbols, entries, order, True),
+            "row long, doc_id long, n_tokens long, lt double, lb double, keys array<long>, ns array<int>"), "lm-parts")
+        left = parts.select("row", F.explode(F.arrays_zip("keys", "ns")).alias("g")).select("row", F.col("g.keys").alias("key"), F.col("g.ns").alias("n"))
+        late = left.join(model.where(F.col("b") < least), "key").select("row", *[(F.col("n") * F.col(c).cast("double")).alias(c) for c in ("lt", "lb")])
+        none = lambda kind: F.lit(None).cast(kind)
+        out = (parts.select("row", "doc_id", "n_tokens", "lt", "lb")
+               .unionByName(late.withColumns({"doc_id": none("long"), "n_tokens": none("long")}))
+               .groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb")))
     mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0) for c in ("lt", "lb")}
     return out.select("doc_id", "n_tokens", mean["lt"].alias("loss_target"), mean["lb"].alias("loss_background"),
                       (mean["lt"] - mean["lb"]).alias("score"))
 
 
-def _add(symbols, entries, order: int):
-    """Adds the losses of the n-grams of one slice to each document's sums."""
-    def run(batches):
+def _add(symbols, entries, order: int, rare: bool = False):
+    """The sums of the broadcast losses of each document; with ``rare`` also
+    the other n-grams and their counts, for each chunk of a document."""
+    def sums(runs):
+        """(lt, lb, keys, ns) of each run."""
         key, lt, lb = entries.value
+        distinct, place = np.unique(np.concatenate(runs), return_inverse=True)
+        if len(key):
+            found = np.minimum(np.searchsorted(key, distinct), len(key) - 1)
+            hit = key[found] == distinct
+            each = [np.where(hit, loss[found], 0.0)[place] for loss in (lt, lb)]
+        else:
+            hit, each = np.zeros(len(distinct), bool), [np.zeros(len(place))] * 2
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]]).astype(np.int64)
+        keys, ns = [None] * len(runs), [None] * len(runs)
+        if rare:
+            for k, (s, r) in enumerate(zip(starts, runs)):
+                at = place[s:s + len(r)]
+                keys[k], ns[k] = np.unique(distinct[at[~hit[at]]], return_counts=True)
+        return np.add.reduceat(each[0], starts), np.add.reduceat(each[1], starts), keys, ns
+
+    def parts(batches):
+        for b in batches:
+            row, ids, n = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("row", "doc_id", "n_tokens"))
+            for at, texts in text_slices(b):
+                runs, owner = [], []
+                for k, t in enumerate(texts, at):
+                    own = list(_runs(t, symbols.value, order)) or [np.zeros(0, np.int64)]
+                    runs += own
+                    owner += [k] * len(own)
+                full = [i for i, r in enumerate(runs) if len(r)]
+                none = np.zeros(0, np.int64)
+                lt, lb, keys, ns = np.zeros(len(runs)), np.zeros(len(runs)), [none] * len(runs), [none] * len(runs)
+                if full:
+                    lt[full], lb[full], some, many = sums([runs[i] for i in full])
+                    for i, x, y in zip(full, some, many):
+                        keys[i], ns[i] = x, y
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[k] for k in owner], pa.int64()) for x in (row, ids, n)] + [pa.array(lt), pa.array(lb),
+                     pa.array(keys, pa.list_(pa.int64())), pa.array([x.astype(np.int32) for x in ns], pa.list_(pa.int32()))],
+                    names=["row", "doc_id", "n_tokens", "lt", "lb", "keys", "ns"])
+
+    def whole(batches):
         for b in batches:
-            add = {"lt": np.zeros(b.num_rows), "lb": np.zeros(b.num_rows)}
+            add = [np.zeros(b.num_rows), np.zeros(b.num_rows)]
             for at, texts in text_slices(b):
                 runs, owner = [], []
                 for k, t in enumerate(texts, at):
                     for r in _runs(t, symbols.value, order):
                         runs.append(r)
                         owner.append(k)
-                if not runs or not len(key):
-                    continue
-                distinct, place = np.unique(np.concatenate(runs), return_inverse=True)
-                found = np.minimum(np.searchsorted(key, distinct), len(key) - 1)
-                hit = key[found] == distinct
-                starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]]).astype(np.int64)
-                for name, loss in (("lt", lt), ("lb", lb)):
-                    each = np.where(hit, loss[found], 0.0)[place]
-                    np.add.at(add[name], owner, np.add.reduceat(each, starts))
-            cols = [b.column(0), b.column(1), b.column(2),
-                    *[pa.array(b.column(i).to_numpy(zero_copy_only=False) + add[n]) for i, n in ((3, "lt"), (4, "lb"))]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_tokens", "lt", "lb"])
-    return run
+                if runs:
+                    lt, lb, _, _ = sums(runs)
+                    np.add.at(add[0], owner, lt)
+                    np.add.at(add[1], owner, lb)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(add[0]), pa.array(add[1])], names=["doc_id", "n_tokens", "lt", "lb"])
+    return parts if rare else whole
 
 
 def is_good(labels: DataFrame) -> DataFrame:
