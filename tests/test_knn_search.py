@@ -165,6 +165,34 @@ def test_knn_string_query_ids_and_empty_sides(spark):
     assert K.knn_approx(q, corpus.limit(0), 1, dim=2).count() == 0
 
 
+@pytest.mark.parametrize("n, spread", [(6_000, 0.15), (24_000, 0.15), (24_000, 0.5), (24_000, None)])
+def test_knn_approx_recall_holds_as_the_corpus_grows(spark, monkeypatch, n, spread):
+    rng = np.random.default_rng(n)
+    if spread:                                                    # groups of 30 around centres of their own
+        centres = rng.standard_normal((n // 30, 64))
+        draw = lambda m: centres[rng.integers(0, len(centres), m)] + spread * rng.standard_normal((m, 64))
+    else:                                                         # no structure at all
+        draw = lambda m: rng.standard_normal((m, 64))
+    C, Q = draw(n).astype(np.float32), draw(400).astype(np.float32)
+    corpus = vec_df(spark, list(enumerate(C)))
+    queries = vec_df(spark, list(enumerate(Q)), "query_id")
+    used = []
+    inner = K._measured_probes
+    monkeypatch.setattr(K, "_measured_probes", lambda *a, **kw: used.append((inner(*a, **kw), len(a[3]))) or used[-1][0])
+    got = {(r["query_id"], int(r["vec_id"])) for r in K.knn_approx(queries, corpus, 10, dim=64).collect()}
+    dist = (C.astype(float) ** 2).sum(1)[None] - 2 * Q.astype(float) @ C.astype(float).T
+    true = {(q, int(i)) for q, row in enumerate(np.argpartition(dist, 10, axis=1)[:, :10]) for i in row}
+    recall = len(got & true) / len(true)
+    (probes, bits), = used
+    share = None if probes is None else sum(K.math.comb(bits, r) for r in range(probes + 1)) / 2 ** bits
+    print(f"n {n}, spread {spread}: {bits} bits, probes {probes}, buckets visited {share}, recall {recall:.3f}")
+    assert recall >= 0.9 and len(got) == 4_000
+    if spread == 0.15:
+        assert share < 0.4
+    else:                                                         # neighbours lie all over the buckets: exact search
+        assert share is None and recall == 1
+
+
 def test_knn_approx_lists_are_never_short(spark):
     rng = np.random.default_rng(8)
     C = rng.standard_normal((200, 8)).astype(np.float32)

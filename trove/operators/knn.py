@@ -38,6 +38,8 @@ TILE_ROWS = 4_096               # queries of one (tile, block) pair
 TILE_BYTES = 32 * 1024 * 1024   # and their vectors' bytes
 BLOCK_ROWS = 65_536             # corpus rows of one pair, on average
 QUERY_BLOCK = 512       # queries per distance block: 512 x 10k-row batch x 8 B = 40 MB
+RECALL = 0.95           # share of a sample's true neighbours that the visited buckets of approximate search must hold
+SAMPLE_QUERIES = 256    # queries of that sample
 PAIR = ["_group", "_tile", "_block"]
 
 
@@ -319,15 +321,41 @@ def _with_bucket(df: DataFrame, vec: str, planes: np.ndarray) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def _measured_probes(queries: DataFrame, corpus: DataFrame, coded: DataFrame, planes: np.ndarray, k: int, *,
+                     qid: str, qvec: str, cid: str, cvec: str, metric: str) -> int | None:
+    """The least number of differing bits within which a sample of the queries
+    finds RECALL of its exact neighbours; None if half of the buckets or more
+    lie within it, so that exact search does less."""
+    bits = planes.shape[0]
+    sample = write_scratch(queries.select(qid, qvec).orderBy(F.xxhash64(qid, F.lit(bits))).limit(SAMPLE_QUERIES), "knn-sample")
+    own = _with_bucket(sample.select(F.col(qid).alias("query_id"), F.col(qvec).alias("_vec")), "_vec", planes) \
+        .select("query_id", F.col("_bucket").alias("_own"))
+    true = knn(sample, corpus, k, qid=qid, qvec=qvec, cid=cid, cvec=cvec, metric=metric)
+    found = true.join(own, "query_id").join(coded.select(cid, "_bucket"), cid).groupBy(
+        F.bit_count(F.col("_bucket").bitwiseXOR(F.col("_own"))).alias("r")).count().collect()     # bits + 1 rows at most
+    within, total = 0, sum(r["count"] for r in found)
+    for probes in range(bits + 1):
+        within += sum(r["count"] for r in found if r["r"] == probes)
+        if 2 * sum(math.comb(bits, r) for r in range(probes + 1)) >= 1 << bits:
+            return None
+        if within >= RECALL * total:
+            return probes
+    return None
+
+
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits: int | None = None,
-               target_bucket: int = 256, probes: int = 2, max_group_rows: int = BLOCK_ROWS,
+               target_bucket: int = 256, probes: int | None = None, max_group_rows: int = BLOCK_ROWS,
                tile_rows: int = TILE_ROWS, seed: int = 7, qid: str = "query_id", qvec: str = "embedding",
                cid: str = "vec_id", cvec: str = "embedding", metric: str = "sqeuclidean") -> DataFrame:
     """Approximate k nearest neighbours by random-hyperplane buckets.
 
     Each corpus vector goes to one bucket (its side of ``bits`` fixed
     hyperplanes); a query visits every bucket within ``probes`` differing
-    bits of its own. A bucket of n vectors is split into ceil(n /
+    bits of its own. Without ``probes``, up to 2 bits are all visited; with
+    more the number comes from the exact neighbours of a bounded sample of the
+    queries, of which the visited buckets must hold RECALL, so recall does not
+    fall as the corpus grows. Vectors whose neighbours lie in half of the
+    buckets or more are searched exactly. A bucket of n vectors is split into ceil(n /
     max_group_rows) blocks and its m visiting queries into ceil(m /
     tile_rows) tiles, so neither side of a hot bucket is gathered. Queries
     whose buckets hold fewer than k vectors are answered by exact search, so
@@ -340,10 +368,15 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, dim: int, bits:
     if bits is None:
         bits = max(1, math.floor(math.log2(max(n, 1) / target_bucket) + 0.5))
     planes = _hyperplanes(dim, bits, seed)
-    flips = [sum(1 << b for b in chosen)
-             for r in range(probes + 1) for chosen in itertools.combinations(range(bits), r)]
     # The corpus is coded once; bucket sizes and search read the stored codes.
     coded = write_scratch(_with_bucket(corpus.select(cid, cvec), cvec, planes), "knn-codes")
+    if probes is None:
+        names = {"qid": qid, "qvec": qvec, "cid": cid, "cvec": cvec, "metric": metric}
+        probes = 2 if bits <= 2 or n == 0 else _measured_probes(queries, corpus, coded, planes, k, **names)
+        if probes is None:
+            return knn(queries, corpus, k, **names)
+    flips = [sum(1 << b for b in chosen)
+             for r in range(probes + 1) for chosen in itertools.combinations(range(bits), r)]
     own = _with_bucket(queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("_vec")), "_vec", planes)
     visits = write_scratch(own.withColumn("_bucket", F.explode(F.array(
         *[F.col("_bucket").bitwiseXOR(F.lit(f).cast("long")) for f in flips]))), "knn-visits")
