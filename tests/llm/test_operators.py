@@ -290,6 +290,21 @@ def test_quality(spark):
     assert ((f.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_quality_fits_one_row_of_each_id(spark, monkeypatch):
+    from trove.llm import quality as op
+    rows = [(i, f"{'good words here ' * (i % 7 + 1)}{i}") for i in range(60)] + [(2, f"copy {k} of many") for k in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    ids = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    fitted, inner, grown = [], type(labels).toPandas, op.grow
+    monkeypatch.setattr(type(labels), "toPandas", lambda self: fitted.append(inner(self)) or fitted[-1])
+    monkeypatch.setattr(op, "grow", lambda x, y: fitted.append(len(x)) or grown(x, y))
+    op.fit(frame(spark, rows), labels)
+    assert sorted(fitted[0]["doc_id"]) == sorted(ids) and fitted[1] == len(ids)
+    fitted.clear()
+    op.fit(frame(spark, rows), labels, max_train=20)
+    assert len(fitted[0]) == fitted[1] == 20 and fitted[0]["doc_id"].nunique() == 20
+
+
 def test_pii(spark):
     from trove.llm import pii
     p = pii.Pseudonyms(b"k")

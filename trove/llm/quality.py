@@ -163,7 +163,9 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         max_train: int = MAX_TRAIN) -> Forest:
-    """A forest from at most ``max_train`` labelled rows that are not held out.
+    """A forest from at most ``max_train`` labelled ids that are not held out,
+    with one row each: of rows that share an id the one with the least
+    statistics.
 
     The sample of ids is bounded by ``max_train`` and therefore broadcast; the
     statistics are computed on the executors, and max_train rows of numbers
@@ -180,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(stats, pa.list_(pa.float64()))],
                                              names=["doc_id", "label", "x"])
 
-    got = map_batches(rows, run, "doc_id long, label int, x array<double>").toPandas()
-    got = got.sort_values("doc_id").head(max_train)                  # repeated document rows count within the bound
+    one = map_batches(rows, run, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
+    got = one.toPandas().sort_values("doc_id")                       # max_train rows at most, however often an id repeats
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, N_STATISTICS)
     return grow(x, (got["label"].to_numpy() == 1).astype(np.float64))
 
