@@ -308,3 +308,4 @@ def q_search_summary(spark, d):
 from . import catalogue_queries  # noqa: E402,F401
 from . import rag_queries  # noqa: E402,F401
 from . import ingest_queries  # noqa: E402,F401
+from . import change_queries  # noqa: E402,F401

@@ -1,13 +1,15 @@
 """Continuous catalogue ingest: new JSON-lines files are upserted into a
-versioned Parquet table as they arrive.
+keyed table as they arrive.
 
 File-source ``readStream`` -> ``foreachBatch``: each micro-batch is parsed
 with the batch readers (bad lines quarantined), duplicates inside the batch
-resolved by last line, then upserted into the latest table version and
-written as a new version folder named by its number, the stream's id and the
-epoch. A retried epoch of the same stream finds its folder already complete
-and is skipped, so the sink is idempotent; another stream (a new checkpoint
-has a new id) that starts again at epoch 0 is applied. The stream's progress
+resolved by last line, then appended to the table as one change: an epoch
+writes its own rows, however large the table is. Buckets that have gathered
+many changes are merged now and then; no other file is written again. The
+commit carries the stream's id and epoch, so a retried epoch is applied once,
+and another stream (a new checkpoint has a new id) that starts again at epoch
+0 is applied too. Quarantined lines are written before the commit, into a
+folder of their stream and epoch that a retry replaces. The stream's progress
 lives in a checkpoint under the shared checkpoint folder.
 """
 
@@ -20,34 +22,10 @@ from typing import Callable, Optional, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import upsert
-from ..session import checkpoint_dir
+from ..operators.keyed_table import KeyedTable
+from ..session import checkpoint_dir, write_scratch
 from ..sources import jsonl as J
 
-VERSION_PREFIX = "v"
-
-
-def _fs(spark: SparkSession, path: str):
-    """Hadoop FileSystem for ``path`` (local, HDFS or object store)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Complete version folders (with a _SUCCESS marker), oldest first."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-    return sorted(n for n in names if n.startswith(VERSION_PREFIX)
-                  and _exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS"))
-
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark keeps in a stream's checkpoint."""
@@ -55,8 +33,9 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def latest_version(spark: SparkSession, path: str) -> Optional[DataFrame]:
-    v = _versions(spark, path)
-    return spark.read.parquet(f"{path.rstrip('/')}/{v[-1]}") if v else None
+    """The table of ``stream_upsert`` as of now; None before the first epoch."""
+    table = KeyedTable(spark, path)
+    return table.read() if table.exists() else None
 
 
 def catalogue_batch(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,12 +50,13 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
                                                 "cover_url", "screenshot_urls"),
                   prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = catalogue_batch,
                   quarantine_path: Optional[str] = None, checkpoint: Optional[str] = None,
-                  available_now: bool = True, max_files_per_trigger: int = 1000):
+                  available_now: bool = True, max_files_per_trigger: int = 1000, buckets: int = 64):
     """Start the stream; returns the StreamingQuery.
 
-    ``target_path`` holds version folders ``v<number>-<stream>-<epoch>``; the newest complete
-    one (with its _SUCCESS marker) is the table. Listing goes through the
-    Hadoop FileSystem of the path, so it may live on HDFS or object storage.
+    ``target_path`` holds a ``KeyedTable``; the first epoch of any stream
+    creates it with the columns of ``prepare`` and ``buckets`` buckets.
+    Listing goes through the Hadoop FileSystem of the path, so it may live on
+    HDFS or object storage. ``prepare`` returns one row a key.
     """
     from ..session import ship_package
     ship_package(spark)
@@ -87,25 +67,26 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
                    F.col("_metadata.file_block_start").alias("_block")))
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        done = _versions(batch.sparkSession, target_path)
-        mark = f"-{_stream_id(batch.sparkSession, ckpt)}-{epoch_id}"
-        if any(n.endswith(mark) for n in done):
+        session = batch.sparkSession
+        stream = _stream_id(session, ckpt)
+        table = KeyedTable(session, target_path)
+        if table.exists() and table.state().epochs.get(stream, -1) >= epoch_id:
             return  # replayed epoch of this stream: already applied
-        number = int(done[-1][len(VERSION_PREFIX):].split("-")[0]) + 1 if done else 0
-        out_dir = f"{target_path.rstrip('/')}/{VERSION_PREFIX}{number:012d}{mark}"
         lines = batch.select("value", F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
                                                F.monotonically_increasing_id().alias("pos")).alias("line_no"))
-        prepared, bad = prepare(lines)
-        current = latest_version(batch.sparkSession, target_path)
-        if current is None:
-            new = prepared
-        else:
-            new = upsert(current, prepared.select(key, *[c for c in update_cols if c in prepared.columns]),
-                         key, [c for c in update_cols if c in prepared.columns and c in current.columns])
-        new.write.mode("overwrite").parquet(out_dir)
+        prepared, bad = prepare(write_scratch(lines, "stream-lines"))
         if quarantine_path:
-            bad.withColumn("epoch", F.lit(epoch_id)).withColumn("line_no", F.to_json("line_no")) \
-               .write.mode("append").parquet(quarantine_path)
+            bad.withColumn("line_no", F.to_json("line_no")).write.mode("overwrite") \
+               .parquet(f"{quarantine_path.rstrip('/')}/stream={stream}/epoch={epoch_id}")
+        if not table.exists():
+            try:
+                KeyedTable.create(session, target_path, prepared.limit(0), key, buckets)
+            except FileExistsError:
+                pass    # another stream was first
+        first = not table.state().epochs
+        cols = [c for c in prepared.columns if c != key and (first or c in update_cols)]
+        table.append(prepared.select(key, *cols), cols, stream=stream, epoch=epoch_id)
+        table.compact()
 
     w = raw.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
