@@ -366,6 +366,81 @@ def test_pii_cuts_what_follows_a_value():
         assert back.replace(p.replace(text)) == text != p.replace(text)
 
 
+def test_pii_long_secrets_and_other_digits():
+    from trove.llm import pii
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    rng = random.Random(12)
+    for n in (16, 96, 97, 120, 128, 129, 500, 5000):
+        for letters in ("abcdefgh0123XYZ_-/+", "0123456789abcdef"):
+            v = "".join(rng.choices(letters, k=n - 1)) + "z0"[letters[0] == "0"]
+            text = f"api_key={v} and more"
+            new = p.replace(text)
+            kept = sum(a == b for a, b in zip(v, new[8:]) if a.isalnum())
+            assert p.found == {"secret": 1} and len(new) == len(text) and kept < 0.3 * n + 4 and back.replace(new) == text
+            assert p.replace(text.upper()).lower() == p.replace(text).lower()
+    jwt = ".".join("".join(rng.choices("abcXYZ019_-", k=k)) for k in (36, 90, 43))
+    new = p.replace(f"token: {jwt}. Next")
+    assert all(a != b for a, b in zip(jwt.split("."), new[7:-6].split("."))) and new.endswith(". Next") and back.replace(new) == f"token: {jwt}. Next"
+    for other in ("١٩٩٠-٠٥-١٧ x1", "١٩٩٠-٠٥-١٧", "४१११ १११११ 1", "１９９０-０５-１７ 7"):
+        assert p.replace(other) == other and not p.found
+
+
+def test_pii_finds_what_hand_written_rules_find():
+    """Random texts of valid and broken values between plain words, against
+    rules written without the operator's patterns."""
+    import ipaddress
+    from datetime import date
+
+    from trove.llm import pii
+    rng = random.Random(13)
+    num = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def luhn(d):
+        odd, even = d[-1::-2], d[-2::-2]
+        return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
+
+    def card():
+        d = num(16)
+        return d, luhn(d)
+
+    def iban():
+        body = num(18)
+        check = num(2) if rng.random() < .5 else f"{98 - int(body + '131400') % 97:02d}"
+        return f"DE{check}{body}", int(body + "1314" + check) % 97 == 1 and 2 <= int(check) <= 98
+
+    def ip():
+        v = ".".join(str(rng.randrange(0, 400)) for _ in range(4))
+        try:
+            return v, bool(ipaddress.ip_address(v))
+        except ValueError:
+            return v, False
+
+    def iso():
+        v = f"{rng.choice([1899, 1900, 1987, 2024, 2099, 2100])}-{rng.randrange(0, 14):02d}-{rng.randrange(0, 33):02d}"
+        try:
+            return v, 1900 <= date.fromisoformat(v).year <= 2099
+        except ValueError:
+            return v, False
+
+    def ssn():
+        a, b, c = num(3), num(2), num(4)
+        return f"{a}-{b}-{c}", a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
+
+    def email():
+        return rng.choice([("ann.b@example.org", True), ("a@b", False), ("@example.org", False), ("x-1@mail.example.co", True)])
+    p = pii.Pseudonyms(b"k")
+    for _ in range(400):
+        parts = [rng.choice([card, iban, ip, iso, ssn, email])() for _ in range(rng.randint(0, 6))]
+        plain = [" ".join(rng.choices(["word", "see", "ünd", "no", "(x)", "a-b"], k=rng.randint(1, 4))) for _ in range(len(parts) + 1)]
+        text = plain[0] + "".join(f" {v} {w}" for (v, _), w in zip(parts, plain[1:]))
+        out = p.replace(text)
+        assert sum(p.found.values()) == sum(ok for _, ok in parts), text
+        for (v, ok), w in zip(parts, plain[1:]):
+            if not ok:
+                assert f" {v} {w}" in out, (text, out)
+        assert len(out) == len(text) or any("." in v and ok for v, ok in parts)
+
+
 def test_pii_letters_of_every_script():
     from trove.llm import pii
     p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)

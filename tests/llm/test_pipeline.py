@@ -101,5 +101,33 @@ def test_empty_tables(spark, tmpdir_fresh):
 def test_registration():
     import __spark_entry__ as entry
     names = list(entry.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
     assert "pipeline" in names
+
+
+def test_dedup_stages_keep_unrelated_texts_that_share_an_id(spark):
+    import corpus_pipeline as cp
+    rng = random.Random(7)
+    fresh = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c, d, e = (fresh() for _ in range(5))
+    rows = [(5, a), (5, b), (6, a), (7, c), (7, c), (8, c + " "), (None, d), (None, d), (None, d), (None, e), (9, e), (10, None), (None, ""), (11, " "),
+            (12, None), (12, None)]
+    extra = "__doc_id__ string, text_key int, root int, kept string, row int, best string"
+    df = spark.createDataFrame([(*r, "x", 1, 2, "y", 3, "z") for r in rows], f"doc_id long, text string, {extra}")
+    for stage, want in ((cp.exact_stage, {(5, a), (5, b), (7, c), (None, d), (9, e)}), (cp.near_stage, {(5, a), (5, b), (7, c), (None, d), (9, e)})):
+        got = stage(spark, df.drop("__doc_id__"), "")
+        assert got.columns == [x for x in df.columns if x != "__doc_id__"]
+        out = [(r.doc_id, r.text) for r in got.collect()]
+        # 8 is the longer copy of 7 for exact dedup; the smaller id stands for near copies
+        if stage is cp.exact_stage:
+            want = (want - {(7, c)}) | {(8, c + " "), (11, " ")}
+        else:
+            want = want | {(10, None)}
+        assert len(out) == len(want) and set(out) == want, (stage, out)
+    # every way of joining the key tables keeps the same rows
+    broadcast, cp.BROADCAST_ROWS = cp.BROADCAST_ROWS, 0
+    try:
+        out = [(r.doc_id, r.text) for r in cp.near_stage(spark, df.drop("__doc_id__"), "").collect()]
+        assert len(out) == len(want) and set(out) == want
+    finally:
+        cp.BROADCAST_ROWS = broadcast

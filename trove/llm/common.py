@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -30,6 +30,15 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        *[F.col(f"`{c}`") for c in others])
 
 
+#: Names of the two 64-bit hashes that stand for a text.
+TEXT_KEYS = ["text_key", "text_key2"]
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits of a text, as two hashes of the JVM."""
+    return [F.xxhash64(text).alias(TEXT_KEYS[0]), F.xxhash64(F.lit(1), text).alias(TEXT_KEYS[1])]
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """mapInArrow with this package shipped to the workers."""

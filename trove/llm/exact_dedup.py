@@ -12,9 +12,9 @@ and a range holds one entry per filter and distinct fingerprint, so a text
 that makes up a third of the rows stays small everywhere.
 
 Defined results: null text counts as empty, all empty texts are one group; a
-null id is a row like any other and is kept only if its text is the longest;
-rows that repeat id and text of the kept row are marked kept as well (they are
-the same document). Extra columns are left behind.
+null id is a row like any other and comes last among equally long texts; of
+rows that repeat id and length exactly one is marked kept, so one row of every
+group stays. Extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import WHITE, map_batches, text_slices, texts_of
+from .common import TEXT_KEYS, WHITE, map_batches, text_keys, text_slices, texts_of
 
 #: Fingerprints per filter before a partition starts the next one.
 FILTER_ROWS = 1 << 19
@@ -118,7 +118,7 @@ def _fingerprints(batches):
                 sha.append(hashlib.sha256(bare).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(n_chars, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)),
-             pa.array(sha, pa.string())], names=["doc_id", "n_chars", "fp", "text_sha256"])
+             pa.array(sha, pa.string()), *b.columns[2:]], names=["doc_id", "n_chars", "fp", "text_sha256", "row", *TEXT_KEYS])
 
 
 def _build_filters(range_bits: int, quotient_bits: int):
@@ -167,29 +167,29 @@ def repeated_fingerprints(meta: DataFrame, n_rows: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, n_chars per row.
+    """doc_id, keep_id, group_size, kept, text_sha256, n_chars and the text's
+    keys (``common.text_keys``) per row.
 
     Of equal texts the row with the most code points stays, then the smallest
     id."""
     src = texts_of(docs, id_col, text_col)
-    meta = write_scratch(map_batches(src, _fingerprints, "doc_id long, n_chars long, fp long, text_sha256 string"), "exact-meta")
+    rows = src.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), *text_keys(F.col("text")))
+    # the row number is stored here, and read from here only
+    meta = write_scratch(map_batches(rows, _fingerprints, f"doc_id long, n_chars long, fp long, text_sha256 string, row long, "
+                                     f"{', '.join(f'{k} long' for k in TEXT_KEYS)}"), "exact-meta")
     repeated = write_scratch(repeated_fingerprints(meta, meta.count()), "exact-repeated")
     n_repeated = repeated.count()
     hit = repeated.select("fp")
-    bare = src.select("doc_id", normalised(F.col("text")).alias("bare"), F.length("text").cast("long").alias("n_chars")) \
-        .withColumn("fp", F.xxhash64("bare"))
-    routed = bare.join(F.broadcast(hit) if n_repeated <= BROADCAST_ROWS else hit, "fp", "left_semi")
-    best = F.min(F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
-    groups = (routed.groupBy("fp", F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"))
-              .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"),
-                   F.min("bare").alias("low"), F.max("bare").alias("high"))
-              .select("fp", "text_sha256", "group_size",
-                      F.when(F.col("low") == F.col("high"), F.col("best"))
-                      .otherwise(F.raise_error(F.lit("texts of one SHA-256 differ in their bytes"))).alias("best")))
-    groups = write_scratch(groups, "exact-groups")       # its own exchange, so that a hot group's rows can be split
+    hit = F.broadcast(hit) if n_repeated <= BROADCAST_ROWS else hit
+    bare = src.select(normalised(F.col("text")).alias("bare")).withColumn("fp", F.xxhash64("bare"))
+    verified = (bare.join(hit, "fp", "left_semi").groupBy("fp", F.sha2(F.col("bare").cast("binary"), 256).alias("text_sha256"))
+                .agg(F.count(F.lit(1)).alias("group_size"), F.min("bare").alias("low"), F.max("bare").alias("high"))
+                .select("fp", "text_sha256", F.when(F.col("low") == F.col("high"), F.col("group_size"))
+                        .otherwise(F.raise_error(F.lit("texts of one SHA-256 differ in their bytes"))).alias("group_size")))
+    first = (meta.join(hit, "fp", "left_semi").groupBy("fp", "text_sha256")
+             .agg(F.min(F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *TEXT_KEYS, "row")).alias("best")))
+    groups = write_scratch(verified.join(first, ["fp", "text_sha256"]), "exact-groups")   # its own exchange, so that a hot group's rows can be split
     joined = meta.join(groups, ["fp", "text_sha256"], "left")
-    keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id"))
+    keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-                         (F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.id"))
-                                                    & (F.col("n_chars") == -F.col("best.neg")))).alias("kept"),
-                         "text_sha256", "n_chars")
+                         (F.col("best").isNull() | (F.col("row") == F.col("best.row"))).alias("kept"), "text_sha256", "n_chars", *TEXT_KEYS)

@@ -16,7 +16,8 @@ just after the start of the match. Whether the shorter grouping passes is a
 property that the permutation keeps, so undoing cuts at the same place.
 
 Numbers that fail their check (a 16-digit number with a wrong Luhn digit, the
-date 2021-02-30) are not personal data and stay as they are. Row-local: no
+date 2021-02-30) are not personal data and stay as they are, and so do numbers
+in digits of other scripts than 0-9: the checks are made for those. Row-local: no
 shuffle, no state. Not undone with certainty: a value that directly follows
 digits in its own format (for a card one case in ten), as its pseudonym may
 pass together with them.
@@ -57,17 +58,17 @@ _ACCENTED = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 #: Fixed patterns, tried in this order at each place.
 PATTERN = re.compile(r"""
-  (?i:\b(?P<lead>(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?))(?P<secret>[A-Za-z0-9+/_-]{16,96})(?![A-Za-z0-9+/_-])
+  (?i:\b(?P<lead>(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?))(?P<secret>[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{16,})*)(?![A-Za-z0-9+/_-])
  |(?P<email>(?<![\w.%+-])\w[\w.%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
- |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
- |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
- |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
- |(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))
- |(?P<dotted>(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d))
- |(?P<slashed>(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/]))
- |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)
-   |(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w))
- |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
+ |(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
+ |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
+ |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
+ |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-]))
+ |(?P<dotted>(?<![\w.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\w|\.[0-9]))
+ |(?P<slashed>(?<![\w/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![\w/]))
+ |(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)
+   |(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?!\w))
+ |(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-]))
 """, re.X)
 #: Places where a match that failed may end sooner: before a separator.
 _CUT = re.compile(r"[ -]")
@@ -77,11 +78,13 @@ IBAN_LENGTH = {c: n for n, countries in {
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
     25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 33: "LC RU"}.items() for c in countries.split()}
+#: Secrets up to LONGEST_WORD characters are permuted as one number, longer ones in pieces.
+LONGEST_WORD, PIECE = 96, 64
 _MAYBE = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
 
-CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}")
-PHONE = re.compile(r"\+\d{1,3}(?:[ .-]\d{2,4}){2,4}")
+CARD = re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}")
+PHONE = re.compile(r"\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}")
 
 
 class Feistel:
@@ -204,10 +207,25 @@ class Pseudonyms:
     def secret(self, v: str) -> str | None:
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", v) is not None
         if not hexadecimal:
-            return self._word("secret", v)
+            return self._long("secret", v, False)
         upper = any(c.isupper() for c in v)
-        out = self._word("secret", v.lower(), True)
-        return out.upper() if upper else out
+        out = self._long("secret", v.lower(), True)
+        return out and (out.upper() if upper else out)
+
+    def _long(self, kind: str, v: str, hexadecimal: bool) -> str | None:
+        """``_word`` for a value of any length: beyond PIECE characters it goes
+        piece by piece, each under a permutation that the pseudonym before
+        it selects, so that it stays one-to-one and can be undone."""
+        if len(v) <= LONGEST_WORD:
+            return self._word(kind, v, hexadecimal)
+        out, before, changed = [], f"{kind}|{len(v)}", False
+        for at in range(0, len(v), PIECE):
+            piece = v[at:at + PIECE]
+            new = self._word(before, piece, hexadecimal)
+            changed |= new is not None
+            out.append(piece if new is None else new)
+            before = f"{kind}|{(piece if self.undo else out[-1]).lower()}"
+        return "".join(out) if changed else None
 
     def email(self, v: str) -> str | None:
         local, _, domain = v.partition("@")
@@ -278,7 +296,7 @@ class Pseudonyms:
         return lambda d: d.day < 10 or d.month < 10
 
     def phone(self, v: str) -> str | None:
-        code = re.match(r"\+\d{1,3}", v)
+        code = re.match(r"\+[0-9]{1,3}", v)
         lead = code[0] if code else ""
         rest = v[len(lead):]
         digits = re.sub(r"\D", "", rest)

@@ -24,7 +24,7 @@ def register(name: str):
 @register("op5_exact_dedup")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     from .exact_dedup import exact_dedup
-    return exact_dedup(read_table(spark, d, "documents")).drop("n_chars")
+    return exact_dedup(read_table(spark, d, "documents")).drop("n_chars", "text_key", "text_key2")
 
 
 SQL["op5_exact_dedup"] = r"""

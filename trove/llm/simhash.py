@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import map_batches, text_slices, texts_of
+from .common import TEXT_KEYS, map_batches, text_keys, text_slices, texts_of
 from .components import connected_components
 
 #: Fingerprints of one variant up to which its pairs are compared directly:
@@ -58,15 +58,12 @@ def fingerprint(text: str, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and text_key (a hash that tells texts of one id apart) of every row."""
     def run(batches):
-        import xxhash
         for b in batches:
-            fp, key = [], []
-            for _, texts in text_slices(b):
-                fp += [fingerprint(t, words) for t in texts]
-                key += [xxhash.xxh64_intdigest(t.encode("utf-8"), 42) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64))],
-                                             names=["doc_id", "fp", "text_key"])
-    return map_batches(texts_of(docs, id_col, text_col), run, "doc_id long, fp long, text_key long")
+            fp = [fingerprint(t, words) for _, texts in text_slices(b) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2), b.column(3)],
+                                             names=["doc_id", "fp", *TEXT_KEYS])
+    return map_batches(texts_of(docs, id_col, text_col).select("doc_id", "text", *text_keys(F.col("text"))), run,
+                       f"doc_id long, fp long, {', '.join(f'{k} long' for k in TEXT_KEYS)}")
 
 
 def _spread(fps: DataFrame) -> DataFrame:
@@ -129,12 +126,17 @@ def _two_left_out(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable),
-    text_key (XXH64 of the text, as F.xxhash64 gives it)."""
+    the text's keys (``common.text_keys``), and kept: whether the row has the id
+    and text that stand for its component, which are those of the smallest id
+    (no id comes last), then of the smallest keys. A component is known by its
+    smallest fingerprint, so rows that share an id may lie in several."""
     own = write_scratch(fingerprints(docs, words, id_col, text_col), "simhash")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *TEXT_KEYS)
+    nodes = own.groupBy("fp").agg(F.min(name).alias("low"))
     found = connected_components(links(nodes.select("fp"), max_bits))
     rooted = (nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
+    least = rooted.groupBy("root").agg(F.min("low").alias("best"))
+    of_fp = rooted.join(least, "root").select("fp", "best")
+    return own.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                                        F.col("best.doc_id").alias("component_id"), *TEXT_KEYS, (name == F.col("best")).alias("kept"))
