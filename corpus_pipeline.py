@@ -6,10 +6,11 @@ all but the last return the columns of ``docs``. ``run`` writes each stage's
 rows as Parquet in the shared folder and reads them back for the next.
 
 Defined results: documents are rows; a stage never needs ids to be unique or
-present. Rows that repeat id and text of a kept row are one document and stay
-once. Rows without an id are dropped as copies of a document with an id, never
-because of each other's missing id. Null texts count as empty, and leave the
-personal-data stage as empty texts. Empty tables give empty tables.
+present. Unrelated texts that share an id all stay. Rows that repeat id and
+text are one document and stay once. One row stays of a group of copies, with
+or without ids, and one with an id comes before one without. Null texts count
+as empty, and leave the personal-data stage as empty texts. Empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.llm import exact_dedup, packing, pii, quality, simhash
-from trove.llm.common import read_table
+from trove.llm.common import TEXT_KEYS, read_table, text_keys
 from trove.session import write_scratch
 
 #: Rows of a key table (up to 100 bytes each) up to which it is broadcast.
@@ -26,24 +27,38 @@ BROADCAST_ROWS = 1 << 18
 #: The pseudonym key of the sample pipeline; a deployment passes its own.
 KEY = b"trove sample key"
 SCORE = "__quality_score__"
-
-
-def _without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
-    """``docs`` without the rows whose ``keys`` (name -> expression) are among
-    ``dropped``; nulls compare as equal. The key table is broadcast if its
-    measured size allows it, otherwise the same anti-join shuffles."""
-    dropped = write_scratch(dropped.distinct(), "dropped")
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    on = None
-    for name, expression in keys.items():
-        same = expression.eqNullSafe(dropped_column(dropped, name))
-        on = same if on is None else on & same
-    return docs.join(dropped, on, "left_anti")
-
-
-def dropped_column(dropped: DataFrame, name: str):
-    return dropped[name]
+#: Columns that name a document: its id and the keys of its text.
+KEYS = ["__doc_id__", "__text_key__", "__text_key2__"]
+
+
+def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a dedup operator keeps.
+
+    ``rows`` has doc_id, the text's keys and kept of every row of ``docs``. A
+    key is an id (or none) together with 128 bits of the text, so texts that
+    share an id, or have none, are told apart. Rows of a key are one document:
+    they stay once if any is kept, and texts are shuffled for that only where
+    a kept key has several rows. Key tables are broadcast if their measured
+    size allows it, otherwise the same joins shuffle."""
+    own = dict(zip(KEYS, (docs["doc_id"].cast("long"), *text_keys(_text(docs)))))
+    keys = write_scratch(rows.groupBy("doc_id", *TEXT_KEYS).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+                         .where("not kept or n > 1").select(*[F.col(c).alias(k) for c, k in zip(("doc_id", *TEXT_KEYS), KEYS)], "kept"), "dedup-keys")
+    sizes = {r["kept"]: r["count"] for r in keys.groupBy("kept").count().collect()}          # two rows at most
+
+    def some(kept: bool) -> DataFrame:
+        found = keys.where(F.col("kept") == kept).drop("kept")
+        return F.broadcast(found) if sizes.get(kept, 0) <= BROADCAST_ROWS else found
+
+    def same(df: DataFrame, found: DataFrame):
+        on = [own[k].eqNullSafe(found[k]) for k in KEYS]
+        return on[0] & on[1] & on[2]
+    dropped = some(False)
+    kept = docs.join(dropped, same(docs, dropped), "left_anti")
+    if not sizes.get(True):
+        return kept
+    again, single = some(True), some(True)
+    once = docs.join(again, same(docs, again), "left_semi").withColumns(own).dropDuplicates(KEYS).drop(*KEYS)
+    return kept.join(single, same(kept, single), "left_anti").unionByName(once)
 
 
 def _text(docs: DataFrame):
@@ -58,33 +73,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts equal up to white space."""
-    rows = write_scratch(exact_dedup.exact_dedup(docs), "exact-rows")
-    kept = _without(docs, rows.where(~F.col("kept")).select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("n_chars").alias("k_len")),
-                    {"k_id": docs["doc_id"].cast("long"), "k_sha": F.sha2(exact_dedup.normalised(_text(docs)).cast("binary"), 256),
-                     "k_len": F.length(_text(docs)).cast("long")})
-    return _once(kept, rows.where("kept").select("doc_id", "text_sha256"),
-                 [F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))).cast("binary"), 256)])
+    return _kept(docs, exact_dedup.exact_dedup(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near copies."""
-    rows = write_scratch(simhash.near_duplicates(docs, words=3, max_bits=2), "near-rows")
-    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = _without(docs, gone.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")),
-                    {"k_id": docs["doc_id"].cast("long"), "k_text": F.xxhash64(_text(docs))})
-    return _once(kept, rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component_id"), [])
-
-
-def _once(kept: DataFrame, rows: DataFrame, more: list) -> DataFrame:
-    """Rows that repeat an id within a group stay once; texts are shuffled for
-    it only if the (small) table of decisions shows that there are any."""
-    with_id = rows.where(F.col("doc_id").isNotNull())
-    if with_id.groupBy(*rows.columns).count().where("count > 1").isEmpty():
-        return kept
-    names = [f"__once_{i}__" for i in range(len(more))]
-    df = kept.withColumns(dict(zip(names, more)))
-    again = df.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", *names])
-    return again.unionByName(df.where(F.col("doc_id").isNull())).drop(*names)
+    return _kept(docs, simhash.near_duplicates(docs, words=3, max_bits=2))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
