@@ -1,88 +1,53 @@
 """Batch keyword matching: which queries occur (case-insensitively) in which items.
 
-One plan of equi-joins for any number of queries and any id type; nothing is
-collected. A query can only occur in an item that holds the query's words, so
-each query is keyed by one thing of its own that the item must have:
-
-* a query with a word between two white-space runs must meet that word whole:
-  its rarest such word is joined with the words of the items;
-* a shorter query lies inside the words of the item: its longest fragment is
-  joined by its rarest piece of up to three characters with the vocabulary
-  (distinct words), and the words that contain it with the items.
-
-The candidates are then checked against the whole text (``contains``, or
-``LIKE`` with wildcards). Rarity is measured on the items. Frequent words
-meet in a join that AQE can split.
+The items' texts are indexed once (``postings``): a query set reads the
+postings of its rarest character triples, which gives the candidates, and only
+these are checked against the texts (``contains``, or ``LIKE`` with
+wildcards). An index that is kept serves any number of query sets and is
+extended by new items only; without one a scratch index is made for the call.
+
+A query without any literal character ("%") asks for every item: it meets the
+items block by block, and no other way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import py_strip
 from ..functions.filters import filter_keyword
-from ..session import write_scratch
-
-GRAM = 3
-
-
-def _words(c: Column) -> Column:
-    return F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")
-
+from ..session import scratch_path, write_scratch
+from .postings import BLOCK_ITEMS, PostingIndex
 
-def _rarest(keys: DataFrame, index: DataFrame, n: str = "key") -> DataFrame:
-    """(query_id, key): the key of each query that ``index`` has least often
-    (a key it lacks counts 0: such a query matches nothing)."""
-    counts = index.groupBy(n).agg(F.count(F.lit(1)).alias("n"))
-    return (keys.join(counts, n, "left").groupBy("query_id")
-            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col(n))).alias("best"))
-            .select("query_id", F.col(f"best.{n}").alias(n)))
 
-
-def _grams(word: Column) -> Column:
-    """Distinct pieces of one to GRAM characters."""
-    at = F.sequence(F.lit(1), F.length(word))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(
-        *[F.substring(word, i, F.lit(n)) for n in range(1, GRAM + 1)]))))
-
-
-def candidates(items: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
+def candidates(items: DataFrame, queries: DataFrame, wildcards: bool = False, index: PostingIndex | None = None) -> DataFrame:
     """(query_id, item_id) pairs that may match; every match is among them.
     ``queries``: query_id, _q (lower-case text)."""
-    special = F.col("x").rlike(r"[%_\\]") if wildcards else F.lit(False)
-    parts = F.split("_q", r"\s+", -1)
-    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
-    keyed = queries.select("query_id", F.explode(inner).alias("x")).where(~special).select("query_id", F.col("x").alias("word"))
-    keyed = write_scratch(keyed.distinct(), "keyword-keys")
-    words = items.select("item_id", F.explode(F.array_distinct(F.concat(_words(F.col("title")), _words(F.col("description"))))).alias("word"))
-    held = write_scratch(words.join(keyed.select("word").distinct(), "word", "left_semi"), "keyword-words")
-    out = _rarest(keyed, held, "word").join(held, "word").select("query_id", "item_id")
-
-    short = queries.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
-    if short.isEmpty():
-        return out
-    pieces = F.filter(F.split("_q", r"[\s%_\\]+" if wildcards else r"\s+"), lambda x: x != "")
-    short = short.select("query_id", F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("piece"))
-    some = short.where("piece is not null")
-    own = some.select("query_id", "piece", F.explode(F.filter(_grams(F.col("piece")), lambda g: F.length(g) == F.least(F.length("piece"), F.lit(GRAM)))).alias("key"))
-    vocabulary = words.where("word <> ''").select("word").distinct()
-    index = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("key"))
-    index = write_scratch(index.join(own.select("key").distinct(), "key", "left_semi"), "keyword-pieces")
-    meant = (_rarest(own.select("query_id", "key"), index).join(index, "key").join(some, "query_id")
-             .where(F.contains("word", "piece")).select("query_id", "word"))
-    out = out.union(meant.join(words, "word").select("query_id", "item_id"))
-    if wildcards:       # no literal at all ('%', '_'): every item is asked for
-        everything = short.where("piece is null").select("query_id", F.lit(1).alias("any"))
-        out = out.union(items.select("item_id", F.lit(1).alias("any")).join(everything, "any").select("query_id", "item_id"))
-    return out.distinct()
-
-
-def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str], wildcards: bool = False) -> DataFrame:
+    index = index or PostingIndex(items.sparkSession, scratch_path(items.sparkSession, "keyword-index")).add(items)
+    special = r"[%_\\]+"
+    parts = F.filter(F.split("_q", special, -1), lambda x: x != "") if wildcards else F.array("_q")
+    # all pieces of three characters or more, else the longest one
+    long = F.filter(parts, lambda x: F.length(x) >= 3)
+    longest = F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    asked = queries.select("query_id", F.when(F.size(long) > 0, long).when(longest.isNotNull(), F.array(longest)).alias("pieces"))
+    out = index.candidates(asked.select("query_id", F.explode("pieces").alias("piece")))
+    everything = asked.where("pieces is null").select("query_id")
+    if wildcards and not everything.isEmpty():
+        blocks = max(1, items.count() // BLOCK_ITEMS)
+        own = items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block"))
+        every = everything.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        out = out.unionByName(own.join(every, "block").select("query_id", "item_id"))
+    return out
+
+
+def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str], wildcards: bool = False,
+                    index: PostingIndex | None = None) -> DataFrame:
     """(query_id, *carry) for every item whose title or description contains
-    the query text, case-insensitively. Queries of white space only match nothing."""
+    the query text, case-insensitively. Queries of white space only match
+    nothing. ``index`` must hold the items' titles and descriptions."""
     q = queries.where(py_strip(F.coalesce(F.col("text"), F.lit(""))) != "").select("query_id", F.lower("text").alias("_q"))
     cols = list(dict.fromkeys(["item_id", "title", "description", *carry]))
-    found = candidates(items, q, wildcards).join(q, "query_id")
+    found = write_scratch(candidates(items, q, wildcards, index), "keyword-candidates").join(q, "query_id")
     hit = filter_keyword(F.col("title"), F.col("description"), F.col("_q"), wildcards=wildcards)
     return found.join(items.select(*cols), "item_id").where(hit).select("query_id", *carry)

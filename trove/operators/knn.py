@@ -127,8 +127,8 @@ def _keep_k(tbl: pa.Table, id_col: str, k: int) -> pa.Table:
 class _Pair:
     """The state of one (group, tile, block): its queries and their best rows."""
 
-    def __init__(self, k: int, cid: str, keep: list[str], metric: str):
-        self.k, self.cid, self.keep, self.metric = k, cid, keep, metric
+    def __init__(self, k: int, cid: str, keep: list[str], metric: str, decode=None):
+        self.k, self.cid, self.keep, self.metric, self.decode = k, cid, keep, metric, decode
         self.ids, self.vectors = [], []
         self.Q = self.best = None
 
@@ -143,7 +143,9 @@ class _Pair:
         if self.Q is None:
             self.Q = np.concatenate(self.vectors)
             self.qn = np.einsum("ij,ij->i", self.Q, self.Q)
-        C = _to_matrix(rb.column("_vec"), self.Q.shape[1], "corpus")
+        C = self.decode(rb) if self.decode else _to_matrix(rb.column("_vec"), self.Q.shape[1], "corpus")
+        if C.shape[1] != self.Q.shape[1]:
+            raise DimensionMismatch(f"query: vector of length {self.Q.shape[1]}, expected {C.shape[1]}")
         qi, ci, dist = _block_topk(self.Q, self.qn, C, self.k, self.metric)
         cand = pa.Table.from_batches([rb.select(self.keep).take(pa.array(ci, pa.int64()))]) \
             .add_column(0, "_row", pa.array(qi, pa.int64())).add_column(1, "dist", pa.array(dist, pa.float64()))
@@ -158,11 +160,14 @@ class _Pair:
         return out.combine_chunks().to_batches()
 
 
-def _search_pairs(tiles: DataFrame, blocks: DataFrame, k: int, cid: str, keep: list[str], metric: str) -> DataFrame:
+def _search_pairs(tiles: DataFrame, blocks: DataFrame, k: int, cid: str, keep: list[str], metric: str,
+                  decode=None) -> DataFrame:
     """k nearest rows within every (group, tile, block) pair.
 
     ``tiles`` holds PAIR, query_id, _vec; ``blocks`` holds PAIR, _vec and the
-    ``keep`` columns. Rows of a pair meet through one shuffle on PAIR.
+    ``keep`` columns. Rows of a pair meet through one shuffle on PAIR. With
+    ``decode``, a function of a batch of blocks, the blocks' vectors are what
+    it returns, and they need no _vec.
     """
     ship_package(tiles.sparkSession)
     rows = tiles.withColumn("_side", F.lit(0)).unionByName(blocks.withColumn("_side", F.lit(1)),
@@ -187,7 +192,7 @@ def _search_pairs(tiles: DataFrame, blocks: DataFrame, k: int, cid: str, keep: l
                 if here != key:
                     if pair is not None:
                         yield from pair.result()
-                    key, pair = here, _Pair(k, cid, keep, metric)
+                    key, pair = here, _Pair(k, cid, keep, metric, decode)
                 part = rb.slice(s, e - s)
                 if cols[-1][s] == 0:
                     pair.add_queries(part)

@@ -133,27 +133,45 @@ odd AS (SELECT * FROM vec_queries WHERE query_id % 2 <> 0),
 """ + knn_ctes("cover", name="c", queries="even").strip() + "," + knn_ctes("screenshot", name="s", queries="odd") + """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, item_id, round(dist, 6) AS dist,
        round(rel_sim, 6) AS similarity FROM (SELECT * FROM c UNION ALL SELECT * FROM s)""")
-# Buckets by the sides of seeded planes; queries with fewer than 20 vectors in
-# the buckets within two bits of their own are searched exactly.
+# Product quantiser: 32 subspaces of 2 dimensions, up to 256 words each, three
+# rounds of training on the sample; the 160 nearest codes are ranked exactly.
+
+
+def _own_word(rows: str, words: str) -> str:
+    return (f"SELECT r.s, r.vec_id, r.x, r.y, c.w, c.x AS cx, c.y AS cy FROM {rows} r JOIN {words} c ON c.s = r.s "
+            "QUALIFY row_number() OVER (PARTITION BY r.s, r.vec_id ORDER BY (r.x - c.x) * (r.x - c.x) + (r.y - c.y) * (r.y - c.y), c.w) = 1")
+
+
+def _rounds(n: int) -> str:
+    out = []
+    for i in range(n):
+        out.append(f"""
+a{i} AS MATERIALIZED ({_own_word('sampled', f'c{i}')}),
+c{i + 1} AS MATERIALIZED (
+  SELECT c.s, c.w, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y
+  FROM c{i} c LEFT JOIN (SELECT s, w, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM a{i} GROUP BY s, w) m ON m.s = c.s AND m.w = c.w),""")
+    return "".join(out)
+
+
 SQL["knn_approx"] = q(f"""
-corpus AS (SELECT vec_id, embedding FROM item_vectors WHERE modality = 'description'),
-size AS (SELECT count(*) AS n,
-                greatest(1, CAST(floor(log2(greatest(count(*), 1) / 256.0) + 0.5) AS BIGINT)) AS bits FROM corpus),
-planes AS (SELECT b, list(CASE WHEN md5('7:' || b || ':' || j)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY j) AS h
-           FROM (SELECT unnest(range(bits)) AS b FROM size), (SELECT unnest(range(64)) AS j) GROUP BY b),
-vecs AS (SELECT 'c' AS side, vec_id AS id, embedding FROM corpus
-         UNION ALL SELECT 'q', CAST(query_id AS VARCHAR), embedding FROM vec_queries),
-codes AS (SELECT side, id, CAST(sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), h) >= 0
-                                         THEN 1 << b ELSE 0 END) AS BIGINT) AS code
-          FROM vecs, planes GROUP BY side, id),
-pairs AS (
-  SELECT q.query_id, c.vec_id, bit_count(xor(qc.code, cc.code)) <= 2 AS near,
-         {sqdist('q.embedding', 'c.embedding')} AS dist
-  FROM vec_queries q JOIN codes qc ON qc.side = 'q' AND qc.id = CAST(q.query_id AS VARCHAR),
-       corpus c JOIN codes cc ON cc.side = 'c' AND cc.id = c.vec_id),
-enough AS (SELECT query_id, count_if(near) >= least(20, count(*)) AS full FROM pairs GROUP BY query_id),
-ranked AS (SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY dist, vec_id) AS rank
-           FROM pairs p JOIN enough e ON e.query_id = p.query_id WHERE near OR NOT e.full)
+corpus AS MATERIALIZED (SELECT vec_id, embedding FROM item_vectors WHERE modality = 'description'),
+ordered AS (SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id), vec_id) - 1 AS w FROM corpus),
+sub AS MATERIALIZED (
+  SELECT vec_id, s, CAST(embedding[2 * s + 1] AS DOUBLE) AS x, CAST(embedding[2 * s + 2] AS DOUBLE) AS y
+  FROM corpus, (SELECT unnest(range(32)) AS s)),
+sampled AS MATERIALIZED (SELECT sub.*, o.w FROM sub JOIN ordered o USING (vec_id) WHERE o.w < 4096),
+c0 AS MATERIALIZED (SELECT s, w, x, y FROM sampled WHERE w < 256),{_rounds(3)}
+codes AS MATERIALIZED (
+  SELECT vec_id, list(cx ORDER BY s) AS xs, list(cy ORDER BY s) AS ys FROM ({_own_word('sub', 'c3')}) GROUP BY vec_id),
+asked AS MATERIALIZED (
+  SELECT query_id, embedding, list_transform(range(32), lambda s: CAST(embedding[2 * s + 1] AS DOUBLE)) AS xs,
+         list_transform(range(32), lambda s: CAST(embedding[2 * s + 2] AS DOUBLE)) AS ys FROM vec_queries),
+near AS (
+  SELECT a.query_id, a.embedding, c.vec_id FROM asked a, codes c
+  QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY
+    list_sum(list_transform(list_zip(a.xs, c.xs, a.ys, c.ys), lambda z: (z[1] - z[2]) * (z[1] - z[2]) + (z[3] - z[4]) * (z[3] - z[4]))), c.vec_id) <= 160),
+pairs AS (SELECT n.query_id, n.vec_id, {sqdist('n.embedding', 'c.embedding')} AS dist FROM near n JOIN corpus c USING (vec_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM pairs)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM ranked WHERE rank <= 20""")
 SQL["similarity_relative"] = q(knn_ctes("description") + """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, round(rel_sim, 6) AS similarity FROM hits""")

@@ -136,9 +136,10 @@ def q_modality_coverage(spark, d):
 
 @register("knn_approx")
 def q_knn_approx(spark, d):
+    from .operators.pq import knn_pq
     iv = fx.item_vectors(spark, d)
-    return K.knn_approx(_vq(spark, d), K.modality_corpus(iv, "description"), FETCH, dim=64) \
-            .select("query_id", "rank", "vec_id", F.round("dist", 6).alias("dist"))
+    return knn_pq(_vq(spark, d), K.modality_corpus(iv, "description"), FETCH) \
+        .select("query_id", "rank", "vec_id", F.round("dist", 6).alias("dist"))
 
 
 # ------------------------------------------------------------------ models
