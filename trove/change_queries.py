@@ -1,5 +1,5 @@
-"""Registered queries of tables that change in place and of fuzzy titles,
-each next to its DuckDB oracle."""
+"""Registered queries of tables that change in place, of stored indexes and of
+fuzzy titles, each next to its DuckDB oracle."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .ingest_queries import (CAT_LINES_SQL, NEW_ID_BASE, UPDATE_COLS, _item_source, _prep_sql, catalogue_lines, patch_lines)
 from .operators import fuzzy as FZ
+from .operators.bitmaps import BitmapIndex
 from .operators.keyed_table import KeyedTable
-from .oracle import SQL, q
+from .operators.keyword import keyword_matches
+from .operators.postings import PostingIndex
+from .oracle import SQL, q, sqdist
 from .registry import list_str, register
 from .session import scratch_path
 from .sources import fixtures as fx
@@ -156,3 +159,110 @@ SQL["stream_upsert"] = q(CAT_LINES_SQL + "," + _prep_sql() + f"""
 SELECT item_id, title, score, cover_url, array_to_string(platforms, ', ') AS platforms FROM prep
 UNION ALL
 SELECT item_id + {NEW_ID_BASE}, trim(split_part(text, chr(10), 1), ' ' || chr(9) || chr(10) || chr(13)), NULL, NULL, '' FROM benchmark""")
+
+
+# ------------------------------------------------------------ stored indexes
+
+
+@register("keyword_index_search")
+def q_keyword_index_search(spark, d):
+    """One index, made from the items with even ids and extended by the others,
+    answers two query sets: the passages, and every twentieth item's title."""
+    items = fx.items(spark, d).select("item_id", "title", "description")
+    index = PostingIndex(spark, scratch_path(spark, "posting-index"))
+    index.add(items.where(F.col("item_id") % 2 == 0)).add(items.where(F.col("item_id") % 2 != 0))
+    titles = items.where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("title").alias("text"))
+    first = keyword_matches(items, fx.keyword_queries(spark, d), ["item_id"], index=index).withColumn("query_set", F.lit("passages"))
+    return first.unionByName(keyword_matches(items, titles, ["item_id"], index=index).withColumn("query_set", F.lit("titles")))
+
+
+SQL["keyword_index_search"] = q("""
+asked AS (
+  SELECT 'passages' AS query_set, query_id, text FROM kw_queries
+  UNION ALL SELECT 'titles', item_id, title FROM items
+  WHERE item_id % 20 = 0 AND trim(coalesce(title, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> '')
+SELECT a.query_id, i.item_id, a.query_set FROM asked a JOIN items i
+  ON contains(lower(i.title), lower(a.text)) OR contains(lower(i.description), lower(a.text))""")
+
+
+def filter_rows(spark, d):
+    """A filter row per customer: its nation's name, a part's type, a least
+    score and a least year, each set for some of them."""
+    c = fx.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    n = F.broadcast(fx.table(spark, d, "nation").select("n_nationkey", "n_name"))         # 25 rows by definition of the schema
+    p = fx.table(spark, d, "part").select("p_partkey", "p_type")
+    k = F.col("c_custkey")
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(p, k == F.col("p_partkey"), "left")
+    return j.select(k.alias("query_id"), F.when(k % 2 == 0, F.col("n_name")).alias("platform"), F.when(k % 7 == 0, F.col("p_type")).alias("genre"),
+                    F.when(k % 3 == 0, (k % 10).cast("double")).alias("min_score"), F.when(k % 5 != 0, (k % 7 + 1992).cast("int")).alias("min_year"),
+                    (k % 4 == 0).alias("scored_only"),
+                    F.when(k % 11 == 0, F.array(F.lit("FRANCE"), F.lit("CHINA"), F.col("n_name"))).alias("platforms_any"))
+
+
+def _filter_index(spark, d) -> BitmapIndex:
+    return BitmapIndex.build(fx.items(spark, d).select("item_id", "platforms", "genres", "score", "release_date"), scratch_path(spark, "bitmap-index"))
+
+
+@register("filter_batch_counts")
+def q_filter_batch_counts(spark, d):
+    return _filter_index(spark, d).counts(filter_rows(spark, d))
+
+
+@register("filter_batch_items")
+def q_filter_batch_items(spark, d):
+    return _filter_index(spark, d).matches(filter_rows(spark, d).where(F.col("query_id") % 20 == 0))
+
+
+def _passes(f: str, i: str) -> str:
+    """The filter row ``f`` on the item ``i``."""
+    return f"""
+  ({f}.platform IS NULL OR coalesce(list_contains({i}.platforms, {f}.platform), false))
+  AND ({f}.genre IS NULL OR coalesce(list_contains({i}.genres, {f}.genre), false))
+  AND (CASE WHEN {f}.min_score IS NULL THEN NOT {f}.scored_only OR {i}.score IS NOT NULL
+       ELSE coalesce({i}.score >= {f}.min_score, false) OR (NOT {f}.scored_only AND {i}.score IS NULL) END)
+  AND ({f}.min_year IS NULL OR coalesce(year({i}.release_date) >= {f}.min_year, false))"""
+
+
+_FILTER_ROWS = """
+asked AS (
+  SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS platform,
+         CASE WHEN c_custkey % 7 = 0 THEN p_type END AS genre, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 10 AS DOUBLE) END AS min_score,
+         CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 7 + 1992 END AS min_year, c_custkey % 4 = 0 AS scored_only,
+         CASE WHEN c_custkey % 11 = 0 THEN ['FRANCE', 'CHINA', n_name] END AS platforms_any
+  FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON p_partkey = c_custkey),
+it AS (SELECT item_id, platforms, genres, score, release_date FROM items),
+hit AS (
+  SELECT a.query_id, i.item_id FROM asked a JOIN it i ON """ + _passes("a", "i") + """
+  AND (a.platforms_any IS NULL OR coalesce(list_has_any(i.platforms, a.platforms_any), false)))"""
+SQL["filter_batch_counts"] = q(_FILTER_ROWS + """
+SELECT a.query_id, count(h.item_id) AS matches FROM asked a LEFT JOIN hit h ON h.query_id = a.query_id GROUP BY a.query_id""")
+SQL["filter_batch_items"] = q(_FILTER_ROWS + """
+SELECT query_id, item_id FROM hit WHERE query_id % 20 = 0""")
+
+
+@register("prefilter_hits")
+def q_prefilter_hits(spark, d):
+    """The 20 nearest descriptions of every vector query among the items that
+    pass the query's own filters."""
+    from .operators.knn import modality_corpus
+    from .plans.search import filtered_hits, with_filter_columns
+    k = F.col("query_id")
+    asked = with_filter_columns(fx.vector_queries(spark, d)).select(
+        "query_id", "embedding", F.when(k % 3 == 0, F.lit("FRANCE")).alias("platform"), "genre", F.when(k % 2 == 0, F.lit(5.0)).alias("min_score"),
+        F.when(k % 5 == 0, F.lit(1995)).alias("min_year"), (k % 4 == 0).alias("scored_only"))
+    hits = filtered_hits(asked, modality_corpus(fx.item_vectors(spark, d), "description"), fx.items(spark, d), asked, 20)
+    return hits.select("query_id", "rank", "vec_id", "item_id", F.round("dist", 6).alias("dist"))
+
+
+SQL["prefilter_hits"] = q(f"""
+asked AS (
+  SELECT query_id, embedding, CASE WHEN query_id % 3 = 0 THEN 'FRANCE' END AS platform, NULL::VARCHAR AS genre,
+         CASE WHEN query_id % 2 = 0 THEN 5.0::DOUBLE END AS min_score, CASE WHEN query_id % 5 = 0 THEN 1995 END AS min_year,
+         query_id % 4 = 0 AS scored_only FROM vec_queries),
+pairs AS (
+  SELECT a.query_id, v.vec_id, v.item_id, {{sqdist}} AS dist
+  FROM asked a, item_vectors v JOIN items i ON i.item_id = v.item_id
+  WHERE v.modality = 'description' AND {_passes('a', 'i')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, item_id, round(dist, 6) AS dist FROM ranked WHERE rank <= 20""".replace(
+    "{sqdist}", sqdist("a.embedding", "v.embedding")))

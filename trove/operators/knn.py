@@ -41,6 +41,7 @@ QUERY_BLOCK = 512       # queries per distance block: 512 x 10k-row batch x 8 B
 RECALL = 0.95           # share of a sample's true neighbours that the visited buckets of approximate search must hold
 SAMPLE_QUERIES = 256    # queries of that sample
 PAIR = ["_group", "_tile", "_block"]
+AFTER = ["after_dist", "after_id"]      # a query's last hit, of queries that go on from there
 
 
 class DimensionMismatch(ValueError):
@@ -92,16 +93,24 @@ def _approx_block(Q, qn, C, cn, metric):
         return np.where(den > 0, 1.0 - g / den, 1.0)
 
 
-def _block_topk(Q, qn, C, k: int, metric: str):
+def _block_topk(Q, qn, C, k: int, metric: str, after=None):
     """Candidates (query row, corpus row, exact distance) covering the top k of
-    every query within one corpus batch, ties at the k-th distance included."""
+    every query within one corpus batch, ties at the k-th distance included.
+    With ``after``, a distance per query, the top k from there onward."""
     cn = np.einsum("ij,ij->i", C, C)
     n = C.shape[0]
     out_q, out_i = [], []
     for s in range(0, Q.shape[0], QUERY_BLOCK):
         Qb, qnb = Q[s:s + QUERY_BLOCK], qn[s:s + QUERY_BLOCK]
         D = _approx_block(Qb, qnb, C, cn, metric)
-        if n > k:
+        if after is not None:
+            lo = after[s:s + QUERY_BLOCK]
+            slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(lo), lo, 0.0))) + 1e-9 * (1.0 + qnb)
+            beyond = np.where(D > (lo + slack)[:, None], D, np.inf)
+            kth = np.partition(beyond, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(Qb), np.inf)
+            eps = np.where(np.isfinite(kth), 1e-9 * (1.0 + np.abs(kth)), 0.0) + 1e-9 * (1.0 + qnb)
+            qi, ci = np.nonzero((D >= (lo - slack)[:, None]) & (D <= (kth + eps)[:, None]))
+        elif n > k:
             kth = np.partition(D, k - 1, axis=1)[:, k - 1]
             eps = 1e-9 * (1.0 + np.abs(kth)) + 1e-9 * (1.0 + qnb)
             qi, ci = np.nonzero(D <= (kth + eps)[:, None])
@@ -129,13 +138,15 @@ class _Pair:
 
     def __init__(self, k: int, cid: str, keep: list[str], metric: str, decode=None):
         self.k, self.cid, self.keep, self.metric, self.decode = k, cid, keep, metric, decode
-        self.ids, self.vectors = [], []
+        self.ids, self.vectors, self.after = [], [], []
         self.Q = self.best = None
 
     def add_queries(self, rb: pa.RecordBatch) -> None:
         dim = self.vectors[0].shape[1] if self.vectors else None
         self.ids.append(rb.column("query_id"))
         self.vectors.append(_to_matrix(rb.column("_vec"), dim, "query"))
+        if AFTER[0] in rb.schema.names:
+            self.after.append(rb.select(AFTER))
 
     def add_corpus(self, rb: pa.RecordBatch) -> None:
         if not self.ids:
@@ -143,10 +154,20 @@ class _Pair:
         if self.Q is None:
             self.Q = np.concatenate(self.vectors)
             self.qn = np.einsum("ij,ij->i", self.Q, self.Q)
+            if self.after:
+                t = pa.Table.from_batches(self.after).combine_chunks()
+                self.after_dist = t.column(0).fill_null(-np.inf).to_numpy()
+                self.after_id = t.column(1)
         C = self.decode(rb) if self.decode else _to_matrix(rb.column("_vec"), self.Q.shape[1], "corpus")
         if C.shape[1] != self.Q.shape[1]:
             raise DimensionMismatch(f"query: vector of length {self.Q.shape[1]}, expected {C.shape[1]}")
-        qi, ci, dist = _block_topk(self.Q, self.qn, C, self.k, self.metric)
+        qi, ci, dist = _block_topk(self.Q, self.qn, C, self.k, self.metric, self.after_dist if self.after else None)
+        if self.after:
+            tied = np.flatnonzero(dist == self.after_dist[qi])
+            keep = dist > self.after_dist[qi]
+            own = pc.cast(rb.column(self.cid).take(pa.array(ci[tied], pa.int64())), self.after_id.type)
+            keep[tied] = pc.greater(own, self.after_id.take(pa.array(qi[tied], pa.int64()))).to_numpy(zero_copy_only=False)
+            qi, ci, dist = qi[keep], ci[keep], dist[keep]
         cand = pa.Table.from_batches([rb.select(self.keep).take(pa.array(ci, pa.int64()))]) \
             .add_column(0, "_row", pa.array(qi, pa.int64())).add_column(1, "dist", pa.array(dist, pa.float64()))
         best = cand if self.best is None else pa.concat_tables([self.best, cand])
@@ -230,6 +251,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id",
     columns. Order: distance, then corpus id. Vectors of a length other than
     the queries' raise ``DimensionMismatch``. With ``by``, a column of both
     sides, a query meets only the corpus rows with its value of that column.
+    Queries with the columns AFTER (null: none) get the k nearest rows that
+    come after that distance and id.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -241,7 +264,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, qid: str = "query_id",
     group = (F.col(by) if by else F.lit("")).cast("string").alias("_group")
     keep = list(dict.fromkeys([cid, *carry]))
     left = queries.select(group, _spread(F.lit(tiles), qid).alias("_tile"), _copies(F.lit(blocks)).alias("_block"),
-                          F.col(qid).alias("query_id"), F.col(qvec).alias("_vec"))
+                          F.col(qid).alias("query_id"), F.col(qvec).alias("_vec"), *[c for c in AFTER if c in queries.columns])
     right = corpus.select(group, _copies(F.lit(tiles)).alias("_tile"),
                           _spread(F.lit(blocks), cid, cvec).alias("_block"), F.col(cvec).alias("_vec"), *keep)
     if by:

@@ -12,6 +12,7 @@ from ..functions.shape import review_objects
 from ..operators.catalogue import (attach_reviews, order_by_score, project_result, rank_results, top_by_score,
                                     top_k_per_query)
 from ..operators.keyword import keyword_matches
+from ..session import write_scratch
 
 DEFAULT_LIMIT = 20          # fixed value: default result size of keyword search and the API
 FILTER_TYPES = {"platform": "string", "genre": "string", "min_score": "double",
@@ -101,6 +102,7 @@ def fetch_by_ids(items: DataFrame, reviews: DataFrame, ids: DataFrame,
 # ------------------------------------------------------------ vector searches
 
 FETCH_FACTOR = 2            # fixed value: vector hits fetched per wanted result
+GROWTH = 4                  # how many times more a round fetches than the one before
 SEMANTIC_K = 10             # fixed value: default result size (API asks for 20)
 DISPLAY_K = 5               # fixed value: result size of the display / RAG form
 
@@ -117,23 +119,57 @@ def with_embedding(queries: DataFrame, text_encoder=None, image_encoder=None) ->
 
 
 def _vector_hits(queries: DataFrame, item_vectors: DataFrame, modality: Optional[str], fetch: int,
-                 items: DataFrame, filters: Optional[Filters], filter_mode: str) -> DataFrame:
+                 items: DataFrame, filters: Optional[Filters], filter_mode: str, asked: Optional[DataFrame] = None) -> DataFrame:
     """Top ``fetch`` vectors per query with relative similarity, best hit per
     item (query_id, item_id, dist, vec_score). Without ``modality`` each query
-    names its own in a column."""
+    names its own in a column. With ``filter_mode='pre'`` only vectors of items
+    that pass count: the shared ``filters``, or each query's own in ``asked``
+    (query_id and the filter columns)."""
     from ..operators.knn import dedupe_hits, knn, modality_corpus, similarity_relative
     corpus = modality_corpus(item_vectors, modality) if modality else item_vectors
-    if filter_mode == "pre":
-        if filters is None:
-            raise ValueError("filter_mode='pre' needs a Filters value shared by all queries")
-        corpus = corpus.join(items.where(filters.predicate()).select("item_id"), "item_id", "left_semi")
-    elif filter_mode != "post":
+    by = None if modality else "modality"
+    if filter_mode == "pre" and filters is None:
+        hits = filtered_hits(queries, corpus, items, asked, fetch, by)
+    elif filter_mode in ("pre", "post"):
+        if filter_mode == "pre":
+            corpus = corpus.join(items.where(filters.predicate()).select("item_id"), "item_id", "left_semi")
+        hits = knn(queries, corpus, fetch, carry=["item_id"], by=by)
+    else:
         raise ValueError("filter_mode must be 'post' or 'pre'")
-    hits = knn(queries, corpus, fetch, carry=["item_id"], by=None if modality else "modality")
     hits = hits.withColumn("vec_score", similarity_relative(F.col("dist")))
     return dedupe_hits(hits).select("query_id", "item_id", "dist", "vec_score")
 
 
+def filtered_hits(queries: DataFrame, corpus: DataFrame, items: DataFrame, asked: DataFrame, fetch: int,
+                  by: Optional[str] = None) -> DataFrame:
+    """The ``fetch`` nearest vectors of every query among the items that pass
+    the query's own filters (query_id, rank, vec_id, dist, item_id).
+
+    Rounds: a round fetches further vectors only for queries that are still
+    short, from their last distance onward, GROWTH times as many as the round
+    before. A query is done when it has enough or has seen every vector, so
+    there are at most log(corpus / fetch) rounds, and most queries leave after
+    the first. Only ids, distances and filter columns are stored."""
+    from ..operators.knn import AFTER, TILE_ROWS, knn
+    qcols = asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in FILTER_COLUMNS])
+    facts = items.select("item_id", "platforms", "genres", "score", "release_date")
+    vectors = queries.select("query_id", "embedding", *([by] if by else []))
+    # A filter without any value lets every item pass; queries without filters are done in one round as well.
+    still, found, size = vectors, None, fetch
+    while True:
+        hits = write_scratch(knn(still, corpus, size, carry=["item_id"], by=by, tile_rows=max(16, TILE_ROWS * fetch // size)), "filtered-round")
+        passed = (hits.join(facts, "item_id").join(qcols, "query_id").where(batch_predicate("q_", ""))
+                  .select("query_id", "vec_id", "dist", "item_id"))
+        found = write_scratch(passed if found is None else found.unionByName(passed), "filtered-found")
+        last = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("seen"), F.max_by(F.struct("dist", "vec_id"), "rank").alias("last"))
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fetch).select("query_id")
+        last = write_scratch(last.where(F.col("seen") == size).join(enough, "query_id", "left_anti")
+                             .select("query_id", F.col("last.dist").alias(AFTER[0]), F.col("last.vec_id").alias(AFTER[1])), "filtered-open")
+        if last.isEmpty():
+            return top_k_per_query(found, fetch, [F.col("dist"), F.col("vec_id")])
+        still, size = vectors.join(last, "query_id"), size * GROWTH
+
+
 def _hits_with_items(hits: DataFrame, items: DataFrame, q: DataFrame, with_text: bool = False) -> DataFrame:
     """Hits joined to the catalogue (inner: hits without an item drop out)
     and filtered per query. Hits are queries x fetch rows, so AQE turns the
@@ -154,14 +190,16 @@ def semantic_search(items: DataFrame, reviews: DataFrame, item_vectors: DataFram
     ``queries``: query_id, text[, embedding][, filter columns]; texts without
     a ready embedding are encoded by ``encoder``. The candidate
     list is the ``fetch_factor`` x k nearest vectors; with ``filter_mode='post'``
-    the filters run after the fetch, so fewer than k results may come back.
+    the filters run after the fetch, so fewer than k results may come back. With
+    'pre' the list holds only items that pass the query's own (or the shared)
+    filters.
     Relevance = 0.7 x relative vector similarity + 0.3 x rerank score, also
     for a single candidate; ties keep catalogue order (score desc, id).
     """
     from ..operators.models import rerank_fuse, rerank_score_batch
     q = with_embedding(with_filter_columns(queries, filters), encoder)
     hits = _vector_hits(q.select("query_id", "embedding"), item_vectors, "description",
-                        fetch_factor * k, items, filters, filter_mode)
+                        fetch_factor * k, items, filters, filter_mode, q)
     cand = _hits_with_items(hits, items, q.select("query_id", "text", *FILTER_COLUMNS), with_text=True)
     cand = rerank_score_batch(cand, "q_text", "description", scorer=scorer)
     cand = cand.withColumn("relevance_score", rerank_fuse(F.col("vec_score"), F.col("rerank_score")))
