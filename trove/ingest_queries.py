@@ -206,33 +206,67 @@ def review_lines(spark, d) -> DataFrame:
         F.col("text").alias("citation"))).alias("value"))
     blank = fx.table(spark, d, "labels").select(F.col("doc_id").alias("line_no"), F.lit("  ").alias("value"))
     junk = fx.table(spark, d, "pages").select(F.col("page_id").alias("line_no"), F.col("html").alias("value"))
-    return good.unionByName(blank).unionByName(junk)
-
-
-REV_LINES_SQL = """
+    return good.unionByName(blank).unionByName(junk).unionByName(typed_id_lines(spark, d))
+
+
+#: Forms of an id in JSON, with N for a number of its own.
+ID_FORMS = ['"N.0"', 'N.9', 'true', '"1_N"', '[]', '[N]', '{}', '" N "', '"+N"', '0.0', '"0"', '1.5e2', '99999999999999999999', 'null',
+            '{"a":N}', '0.5', '-7.9', '"abc"', '""', 'false', '"1__0"', '-N', '12345678901.25', '0', '"-N"', '[ ]']
+
+
+def typed_id_lines(spark, d) -> DataFrame:
+    """A review line per document whose id has one of the forms, as the
+    review's or (every third) the game's."""
+    k = F.col("doc_id")
+    form = F.replace(F.get(F.array(*[F.lit(f) for f in ID_FORMS]), (k % len(ID_FORMS)).cast("int")), F.lit("N"), (k + 7).cast("string"))
+    rid, gid = F.when(k % 3 == 0, (k + 1).cast("string")).otherwise(form), F.when(k % 3 == 0, form).otherwise((k + 1).cast("string"))
+    return fx.table(spark, d, "documents").where(k.isNotNull()).select(k.alias("line_no"), F.concat(
+        F.lit('{"review_id": '), rid, F.lit(', "game_id": '), gid, F.lit(', "citation": "typed"}')).alias("value"))
+
+
+def _py_int_sql(field: str) -> tuple[str, str]:
+    """(falsy, integer) of a JSON field in SQL, by its JSON type."""
+    kind, text = f"json_type(value, '$.{field}')", f"json_extract_string(value, '$.{field}')"
+    bare = f"trim({text}, {WS})"
+    falsy = f"""CASE WHEN {kind} IS NULL OR {kind} = 'NULL' THEN true WHEN {kind} = 'VARCHAR' THEN {text} = ''
+              WHEN {kind} = 'BOOLEAN' THEN {text} = 'false' WHEN {kind} IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN CAST({text} AS DOUBLE) = 0
+              ELSE regexp_full_match({text}, '[\\[{{]\\s*[\\]}}]') END"""
+    whole = f"""CASE WHEN {kind} = 'BOOLEAN' THEN CASE WHEN {text} = 'true' THEN 1 ELSE 0 END
+              WHEN {kind} = 'VARCHAR' THEN CASE WHEN regexp_full_match({bare}, '[+-]?[0-9]+(_[0-9]+)*') THEN TRY_CAST(replace({bare}, '_', '') AS BIGINT) END
+              WHEN {kind} IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN TRY_CAST({text} AS BIGINT)
+              WHEN {kind} = 'DOUBLE' THEN CASE WHEN abs(CAST({text} AS DOUBLE)) < 9223372036854775808 THEN TRY_CAST(trunc(CAST({text} AS DOUBLE)) AS BIGINT) END END"""
+    return falsy, whole
+
+
+_RID, _GID = _py_int_sql("review_id"), _py_int_sql("game_id")
+_FORMS_SQL = "[" + ", ".join("'" + f + "'" for f in ID_FORMS) + "]"
+REV_LINES_SQL = f"""
+forms AS (
+  SELECT doc_id AS k, replace({_FORMS_SQL}[1 + doc_id % {len(ID_FORMS)}], 'N', CAST(doc_id + 7 AS VARCHAR)) AS f FROM documents WHERE doc_id IS NOT NULL),
 rev_lines AS (
   SELECT CAST(json_object('review_id', CASE WHEN role = 'system' THEN to_json('R-' || CAST(conv_id * 100 + turn AS VARCHAR))
                                        ELSE to_json(conv_id * 100 + turn) END,
                      'game_id', conv_id, 'citation', text) AS VARCHAR) AS value FROM conversations
   UNION ALL SELECT '  ' FROM labels
-  UNION ALL SELECT html FROM pages),
-rev_valid AS (SELECT value, json_valid(trim(value, {ws})) AS ok FROM rev_lines WHERE trim(value, {ws}) <> ''),
+  UNION ALL SELECT html FROM pages
+  UNION ALL SELECT '{{"review_id": ' || CASE WHEN k % 3 = 0 THEN CAST(k + 1 AS VARCHAR) ELSE f END || ', "game_id": ' ||
+                   CASE WHEN k % 3 = 0 THEN f ELSE CAST(k + 1 AS VARCHAR) END || ', "citation": "typed"}}' FROM forms),
+rev_valid AS (SELECT value, json_valid(trim(value, {WS})) AS ok FROM rev_lines WHERE trim(value, {WS}) <> ''),
+rev_good AS MATERIALIZED (SELECT value FROM rev_valid WHERE ok),
 rev_parsed AS (
-  SELECT value, ok,
-         CASE WHEN ok THEN json_extract_string(value, '$.review_id') END AS rid_raw,
-         CASE WHEN ok THEN json_extract_string(value, '$.game_id') END AS gid_raw,
-         coalesce(regexp_replace(regexp_replace(CASE WHEN ok THEN json_extract_string(value, '$.citation') END, '<[^\\n]*?>', '', 'g'),
-                                 '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '') AS cit
-  FROM rev_valid),
+  SELECT value, false AS ok, NULL::BOOLEAN AS no_rid, NULL::BOOLEAN AS no_gid, NULL::BIGINT AS review_id, NULL::BIGINT AS item_id, '' AS cit
+  FROM rev_valid WHERE NOT ok
+  UNION ALL
+  SELECT value, true, {_RID[0]}, {_GID[0]}, {_RID[1]}, {_GID[1]},
+         coalesce(regexp_replace(regexp_replace(json_extract_string(value, '$.citation'), '<[^\\n]*?>', '', 'g'),
+                                 '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '')
+  FROM rev_good),
 rev_out AS (
-  SELECT *, TRY_CAST(rid_raw AS BIGINT) AS review_id, TRY_CAST(gid_raw AS BIGINT) AS item_id,
-         CASE WHEN NOT ok THEN 'bad_json'
-              WHEN rid_raw IS NULL OR rid_raw IN ('', '0', 'false') OR gid_raw IS NULL OR gid_raw IN ('', '0', 'false')
-                   OR cit = '' THEN 'missing_field'
-              WHEN TRY_CAST(rid_raw AS BIGINT) IS NULL OR TRY_CAST(gid_raw AS BIGINT) IS NULL THEN 'bad_int' END AS reason
+  SELECT *, CASE WHEN NOT ok THEN 'bad_json' WHEN no_rid OR no_gid OR cit = '' THEN 'missing_field'
+                 WHEN review_id IS NULL OR item_id IS NULL THEN 'bad_int' END AS reason
   FROM rev_parsed),
 rev_res AS (SELECT *, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason = 'bad_int' THEN 'failed'
-                           ELSE 'skipped' END AS outcome FROM rev_out)""".replace("{ws}", WS)
+                           ELSE 'skipped' END AS outcome FROM rev_out)"""
 
 
 @register("read_reviews_jsonl")
@@ -517,25 +551,51 @@ x AS (SELECT 1)
 SELECT review_id, item_id IN (SELECT doc_id FROM labels) AS accepted FROM reviews""")
 
 
-@register("read_embeddings_ndjson")
-def q_read_embeddings_ndjson(spark, d):
-    iv = fx.item_vectors(spark, d)
+def vector_lines(spark, d) -> dict[str, DataFrame]:
+    """The lines of each modality: its vectors, and per supplier one line that
+    is broken, has its id as a string, no vector, no id or no number."""
+    iv, k = fx.item_vectors(spark, d), F.col("s_suppkey")
+    odd = fx.table(spark, d, "supplier")
     sources = {}
     for modality, field in J.EMBEDDING_FILES.items():
         part = iv.where(F.col("modality") == modality)
         cols = [F.col("item_id").alias("game_id"), F.col("embedding").alias(field)]
         if modality == "review":
             cols.append(F.col("review_id"))
-        sources[modality] = part.select(F.to_json(F.struct(*cols)).alias("value"))
-    out = J.read_embeddings_ndjson(sources)
+        own = F.concat(F.lit('{"game_id": "'), k + NEW_ID_BASE, F.lit('", "review_id": '), k, F.lit(f', "{field}": '))
+        line = (F.when(k % 6 == 0, F.lit("{broken")).when(k % 6 == 1, F.concat(own, F.lit("[1.5, 2]}"))).when(k % 6 == 2, F.concat(own, F.lit("null}")))
+                .when(k % 6 == 3, F.lit(f'{{"game_id": null, "{field}": [1]}}')).when(k % 6 == 4, F.concat(own, F.lit('[1, "x"]}')))
+                .otherwise(F.concat(own, F.lit("[]}"))))
+        sources[modality] = part.select(F.to_json(F.struct(*cols)).alias("value")).unionByName(odd.select(line.alias("value")))
+    return sources
+
+
+@register("read_embeddings_ndjson")
+def q_read_embeddings_ndjson(spark, d):
+    out = J.read_embeddings_ndjson(vector_lines(spark, d))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return out.select("modality", "vec_id", "item_id", F.size("embedding").alias("dim"), F.round(total, 4).alias("total"))
 
 
-SQL["read_embeddings_ndjson"] = q("""
+SQL["read_embeddings_ndjson"] = q(f"""
 x AS (SELECT 1)
 SELECT modality, vec_id, item_id, CAST(len(embedding) AS INTEGER) AS dim,
-       round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM item_vectors""")
+       round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM item_vectors
+UNION ALL
+SELECT m, CAST(CASE WHEN m = 'review' THEN s_suppkey ELSE s_suppkey + {NEW_ID_BASE} END AS VARCHAR), s_suppkey + {NEW_ID_BASE}, 2, 3.5
+FROM supplier, (SELECT unnest(['description', 'cover', 'screenshot', 'review']) AS m) WHERE s_suppkey % 6 = 1""")
+
+
+@register("embeddings_quarantine")
+def q_embeddings_quarantine(spark, d):
+    out = J.embeddings_ndjson_outcomes(vector_lines(spark, d))
+    return out.where("reason is not null").groupBy("modality", "reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+SQL["embeddings_quarantine"] = q("""
+x AS (SELECT 1)
+SELECT m AS modality, CASE s_suppkey % 6 WHEN 0 THEN 'bad_json' WHEN 3 THEN 'bad_id' ELSE 'bad_vector' END AS reason, count(*) AS lines
+FROM supplier, (SELECT unnest(['description', 'cover', 'screenshot', 'review']) AS m) WHERE s_suppkey % 6 <> 1 GROUP BY ALL""")
 
 
 @register("read_query_params")

@@ -19,10 +19,9 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 
-# Fusion weights and the reranker input limit.
+# Fusion weights.
 VECTOR_WEIGHT = 0.7
 RERANK_WEIGHT = 0.3
-RERANK_MAX_TOKENS = 512
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 DEFAULT_DIM = 64
 HIST_BINS = 64
@@ -124,11 +123,12 @@ def encode_image_batch(df: DataFrame, id_col: str, bytes_col: str,
     return with_image_embedding(df.select(id_col, bytes_col), bytes_col, encoder)
 
 
-def rerank_default(query: Column, passage: Column) -> Column:
-    """Share of the query's distinct tokens found among the passage's first
-    512 tokens; 0.0 for a query without tokens."""
+def rerank_default(query: Column, passage: Column, max_tokens: Optional[int] = None) -> Column:
+    """Share of the query's distinct tokens found in the passage (or, as a
+    model with an input limit would see it, among its first ``max_tokens``
+    tokens); 0.0 for a query without tokens."""
     qt = F.array_distinct(tokens(query))
-    pt = F.slice(tokens(passage), 1, RERANK_MAX_TOKENS)
+    pt = F.slice(tokens(passage), 1, max_tokens) if max_tokens else tokens(passage)
     hit = F.size(F.array_intersect(qt, pt))
     return F.when(F.size(qt) > 0, hit.cast("double") / F.size(qt)).otherwise(F.lit(0.0))
 
@@ -146,15 +146,16 @@ def logits_to_score(logits: np.ndarray) -> np.ndarray:
 
 def rerank_score_batch(pairs: DataFrame, query_col: str = "q_text", passage_col: str = "description",
                        scorer: Optional[Callable[[list, list], np.ndarray]] = None,
-                       out_col: str = "rerank_score") -> DataFrame:
+                       out_col: str = "rerank_score", max_tokens: Optional[int] = None) -> DataFrame:
     """(query, passage) -> score for every row.
 
     ``scorer`` returns logits for lists of queries and passages and runs in
     ``mapInPandas``; if it raises, the batch gets NULL scores and the fusion
-    falls back to the vector score. Default: ``rerank_default``.
+    falls back to the vector score. Default: ``rerank_default`` over whole
+    passages, or their first ``max_tokens`` tokens.
     """
     if scorer is None:
-        return pairs.withColumn(out_col, rerank_default(F.col(query_col), F.col(passage_col)))
+        return pairs.withColumn(out_col, rerank_default(F.col(query_col), F.col(passage_col), max_tokens))
     ship_package(pairs.sparkSession)
     schema = T.StructType(pairs.schema.fields + [T.StructField(out_col, T.DoubleType())])
 

@@ -31,11 +31,12 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: Sequence
     lacks are NULL). Duplicate keys in the source resolve to the last by
     ``order`` (the last write wins). Idempotent.
 
-    Physical plan by measured source size: a change batch under the bound is
-    broadcast, so the (large) target is streamed once through a broadcast
-    hash join and never shuffled; new keys are found with an anti join that
-    moves only the target's key column. A larger source uses a full outer
-    join (one shuffle of each side).
+    Physical plan by measured source size: the source is computed once and
+    stored. A change batch under the bound is broadcast, so the (large) target
+    is streamed through broadcast hash joins and never shuffled: one over its
+    rows, and one over its key column that finds which source keys it has; the
+    others are new. A larger source uses a full outer join (one shuffle of
+    each side); ``KeyedTable`` avoids that one as well.
     """
     from .sizing import measure
     if order is not None:
@@ -44,7 +45,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: Sequence
         source = agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != order])
     else:
         source = source.dropDuplicates([key])
-    s = source.select(key, *[F.col(c).alias(f"_s_{c}") for c in update_cols], F.lit(True).alias("_in_s"))
+    s = write_scratch(source.select(key, *[F.col(c).alias(f"_s_{c}") for c in update_cols], F.lit(True).alias("_in_s")), "upsert-source")
 
     def merged(j: DataFrame) -> DataFrame:
         out = []
@@ -59,7 +60,8 @@ def upsert(target: DataFrame, source: DataFrame, key: str, update_cols: Sequence
 
     if measure(s).fits(broadcast_rows, broadcast_bytes):
         kept = merged(target.join(F.broadcast(s), key, "left"))
-        new = s.join(target.select(key), key, "left_anti").select(
+        known = target.select(key).join(F.broadcast(s.select(key)), key, "left_semi").distinct()
+        new = s.join(known, key, "left_anti").select(
             key, *[F.col(f"_s_{c}").alias(c) for c in update_cols])
         return kept.unionByName(new, allowMissingColumns=True).select(*target.columns)
     return merged(target.join(s, key, "full_outer"))
@@ -180,7 +182,7 @@ def copy_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def write_vectors(vectors: DataFrame, path: str, dims: dict[str, int] | None = None) -> DataFrame:
     """Write item vectors partitioned by modality. Ids are unique within a
     modality: of rows that share both, the smallest (by the other columns in
-    order) is kept; a vector of the wrong length for its modality raises."""
+    order) is kept; a vector of the wrong length for its modality, or none at all, raises."""
     v = vectors
     if dims:
         expected = None
@@ -188,8 +190,8 @@ def write_vectors(vectors: DataFrame, path: str, dims: dict[str, int] | None = N
             expected = F.when(F.col("modality") == m, F.lit(d)) if expected is None else \
                 expected.when(F.col("modality") == m, F.lit(d))
         # a filter on the check itself: the optimizer cannot drop it
-        v = v.where(F.when(F.size("embedding") != expected,
-                           F.raise_error(F.lit("vector of wrong length")).cast("boolean")).otherwise(F.lit(True)))
+        v = v.where(F.when(expected.isNull() | (F.size("embedding") == expected), F.lit(True))
+                    .otherwise(F.raise_error(F.lit("vector of wrong length")).cast("boolean")))
     others = [c for c in v.columns if c not in ("modality", "vec_id")]
     first = v.groupBy("modality", "vec_id").agg(F.min(F.struct(*others)).alias("_r")) \
         .select(*[F.col(f"_r.{c}").alias(c) if c in others else F.col(c) for c in v.columns])

@@ -201,7 +201,7 @@ def tokens(x: str) -> str:
 
 def rerank(qtext: str, passage: str) -> str:
     qt = f"list_distinct({tokens(qtext)})"
-    pt = f"({tokens(passage)})[1:512]"
+    pt = f"({tokens(passage)})"
     return (f"CASE WHEN len({qt}) > 0 THEN CAST(len(list_intersect({qt}, {pt})) AS DOUBLE) / len({qt}) "
             f"ELSE 0.0 END")
 

@@ -130,22 +130,50 @@ def prepare_items(records: DataFrame, local_assets: DataFrame | None = None) ->
         C.prefer_local_list(F.col("screenshot_paths"), F.col("sample_screenshot_urls")).alias("screenshot_urls"))
 
 
+def _cut(x: Column) -> Column:
+    """A double cut towards zero, if that is a long."""
+    return F.when(F.abs(x) < F.lit(2.0 ** 63), x.cast("bigint"))
+
+
+def _typed(field: str) -> tuple[Column, Column]:
+    """(falsy, integer) of a field of ``_v``, the line as VARIANT, by the rules
+    of a dynamic language: null, '', 0, false, [] and {} are falsy; an integer
+    is itself, a fraction is cut towards zero, true is 1, and a string counts
+    if it is an integer with white space around it, a sign, or single
+    underscores between its digits. Anything else, or an integer that is no
+    long, has no integer."""
+    v = F.try_variant_get("_v", f"$.{field}", "variant")
+    text = F.try_variant_get("_v", f"$.{field}", "string")
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+    nested = F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT"))
+    falsy = (F.when(kind == "VOID", True).when(kind == "STRING", text == "")
+             .when(kind == "BOOLEAN", ~F.try_variant_get("_v", f"$.{field}", "boolean"))
+             .when(number, F.try_variant_get("_v", f"$.{field}", "double") == 0)
+             .when(nested, _get(field).rlike(r"^\s*(\[\s*\]|\{\s*\})\s*$")).otherwise(F.lit(False)))
+    bare = C.py_strip(text)
+    whole = (F.when(kind == "BOOLEAN", F.try_variant_get("_v", f"$.{field}", "boolean").cast("bigint"))
+             .when(kind == "STRING", F.when(bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(bare, F.lit("_"), F.lit("")).try_cast("bigint")))
+             .when((kind == "BIGINT") | kind.rlike(r"^DECIMAL\([0-9]+,0\)$"), F.regexp_extract(text, r"^-?[0-9]+", 0).try_cast("bigint"))
+             .when(number, _cut(F.try_variant_get("_v", f"$.{field}", "double"))))
+    return F.coalesce(falsy, F.lit(True)), whole
+
+
 def read_reviews_jsonl(lines: DataFrame) -> DataFrame:
     """Every non-blank line with its outcome.
 
     outcome 'accepted' (review_id, item_id, citation set), 'skipped'
     (bad JSON, or a falsy id / game / cleaned citation) or 'failed' (an id
-    that is present but not an integer). Blank lines are dropped, as the
-    reference never counts them.
+    that is present but is no integer). The JSON type of an id decides, see
+    ``_typed``: 7.9 is 7 and true is 1, but "6.0" fails. Blank lines are
+    dropped, as the reference never counts them.
     """
     p = _parsed(lines, ("review_id", "game_id", "citation")).where(~F.col("_blank"))
-    rid_raw, gid_raw = _get("review_id"), _get("game_id")
-    whole = lambda raw: F.regexp_replace(raw, r"^(-?\d+)\.0+$", "$1").try_cast("bigint")  # noqa: E731  int(6.0) is 6
-    rid, gid = whole(rid_raw), whole(gid_raw)
+    p = p.withColumn("_v", F.try_parse_json(C.py_strip(F.col("value"))))
+    (no_rid, rid), (no_gid, gid) = _typed("review_id"), _typed("game_id")
     cit = C.strip_html(_get("citation"))
-    falsy = lambda raw: raw.isNull() | raw.isin("", "false") | raw.rlike(r"^-?0+(\.0+)?$")
     reason = (F.when(~F.col("_ok"), "bad_json")
-               .when(falsy(rid_raw) | falsy(gid_raw) | (cit == ""), "missing_field")
+               .when(no_rid | no_gid | (cit == ""), "missing_field")
                .when(rid.isNull() | gid.isNull(), "bad_int"))
     outcome = F.when(reason.isNull(), "accepted").when(reason == "bad_int", "failed").otherwise("skipped")
     return p.select("line_no", "value", rid.alias("review_id"), gid.alias("item_id"),
@@ -167,29 +195,41 @@ EMBEDDING_FILES = {"description": "embedding", "cover": "cover_embedding",
                    "screenshot": "screenshot_embedding", "review": "embedding"}
 
 
-def read_embeddings_ndjson(sources: dict[str, DataFrame]) -> DataFrame:
-    """Union of the per-modality NDJSON line sets into item_vectors.
+def embeddings_ndjson_outcomes(sources: dict[str, DataFrame]) -> DataFrame:
+    """Every non-blank line of the per-modality NDJSON line sets: vec_id,
+    item_id, review_id, modality, embedding, and a reason if it is quarantined:
+    'bad_json' (not one object), 'bad_id' (an id is missing or no integer) or
+    'bad_vector' (missing, empty, or with an element that is no number).
 
     ``sources`` maps modality -> lines; the vector field name differs per
-    file (fixed in ``EMBEDDING_FILES``); review lines carry review_id too.
-    """
-    schema_for = lambda vec: T.StructType([
-        T.StructField("game_id", T.LongType()), T.StructField("review_id", T.LongType()),
-        T.StructField(vec, T.ArrayType(T.FloatType()))])
+    file (fixed in ``EMBEDDING_FILES``); review lines carry review_id too. Ids
+    may stand as numbers or as strings."""
     parts = []
     for modality, lines in sources.items():
         vec = EMBEDDING_FILES[modality]
-        rec = lines.select(F.from_json("value", schema_for(vec)).alias("r")).where(F.col("r").isNotNull())
-        vid = F.col("r.review_id") if modality == "review" else F.col("r.game_id")
-        parts.append(rec.select(vid.cast("string").alias("vec_id"), F.col("r.game_id").alias("item_id"),
-                                (F.col("r.review_id") if modality == "review" else F.lit(None).cast("bigint")).alias("review_id"),
-                                F.lit(modality).alias("modality"), F.col(f"r.{vec}").alias("embedding")))
+        p = _parsed(lines, ("game_id", "review_id")).where(~F.col("_blank")).withColumn("_v", F.try_parse_json(C.py_strip(F.col("value"))))
+        gid, rid = _typed("game_id")[1], _typed("review_id")[1]
+        vector = F.try_variant_get("_v", f"$.{vec}", "array<float>")
+        is_review = modality == "review"
+        vid = rid if is_review else gid
+        reason = (F.when(~F.col("_ok"), "bad_json")
+                   .when(gid.isNull() | vid.isNull(), "bad_id")
+                   .when(vector.isNull() | (F.size(vector) == 0) | F.exists(vector, lambda x: x.isNull()), "bad_vector"))
+        parts.append(p.select(vid.cast("string").alias("vec_id"), gid.alias("item_id"),
+                              (rid if is_review else F.lit(None).cast("bigint")).alias("review_id"),
+                              F.lit(modality).alias("modality"), vector.alias("embedding"), reason.alias("reason"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def read_embeddings_ndjson(sources: dict[str, DataFrame]) -> DataFrame:
+    """Union of the per-modality NDJSON line sets into item_vectors: the lines
+    that ``embeddings_ndjson_outcomes`` does not quarantine."""
+    return embeddings_ndjson_outcomes(sources).where("reason is null").drop("reason", "value")
+
+
 def read_query_params(raw: DataFrame) -> DataFrame:
     """Normalise request parameters (all strings): trim; blank query -> row
     rejected (error); 'All' / '' -> no platform / genre; score parsed or
