@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import write_scratch
 
+#: Edges in one file of a round.
+FILE_EDGES = 1 << 12
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -36,4 +39,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark["n"] == 0 or (mark["n"], mark["h"]) == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = (mark["n"], mark["h"])
-        now = write_scratch(_small_star(_large_star(now)), "edges")
+        # a round writes files in proportion to its edges, however many partitions a shuffle has
+        now = write_scratch(_small_star(_large_star(now)).coalesce(1 + mark["n"] // FILE_EDGES), "edges")
