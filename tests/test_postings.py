@@ -81,9 +81,12 @@ def test_search_reads_postings_and_no_text(spark, tmpdir_fresh):
 def test_postings_are_packed_differences():
     from trove.operators.postings import MARK, pack, triples, unpack
     rng = np.random.default_rng(1)
-    for n in (0, 1, 500):
-        numbers = np.sort(rng.choice(1 << 16, n, replace=False))
-        assert unpack(pack(numbers)).tolist() == numbers.tolist() and len(pack(numbers)) == 2 * n
+    lists = [np.sort(rng.choice(1 << 16, n, replace=False)) for n in (1, 500, 1, 1 << 16, 3)]
+    ends = np.cumsum([len(x) for x in lists])
+    packed = pack(np.concatenate(lists), ends - [len(x) for x in lists])
+    for x, end in zip(lists, ends):
+        assert unpack(packed[end - len(x):end].tobytes()).tolist() == x.tolist()
+    assert packed.itemsize == 2 and len(pack(np.zeros(0, int), np.zeros(0, int))) == 0
     assert triples("").tolist() == [] and len(triples("aaaa")) == 3
     assert triples("a").tolist() == [(97 << 42) | (MARK << 21) | MARK]
 

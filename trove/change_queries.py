@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ingest_queries import (CAT_LINES_SQL, NEW_ID_BASE, UPDATE_COLS, _item_source, _prep_sql, catalogue_lines, patch_lines)
 from .operators import fuzzy as FZ
 from .operators.bitmaps import BitmapIndex
-from .operators.keyed_table import KeyedTable
+from .operators.keyed_table import KeyedTable, cascade
 from .operators.keyword import keyword_matches
 from .operators.postings import PostingIndex
 from .oracle import SQL, q, sqdist
@@ -123,6 +123,74 @@ UNION ALL
 SELECT item_id, 'back', NULL, NULL, -1 FROM items WHERE item_id % 14 = 0""")
 
 
+@register("table_cascade")
+def q_table_cascade(spark, d):
+    """Items and reviews as keyed tables: labelled items go, their reviews with them."""
+    items = _item_table(spark, d)
+    reviews = KeyedTable.create(spark, scratch_path(spark, "reviews-table"), fx.reviews(spark, d), "review_id", BUCKETS)
+    cascade(items, reviews, fx.table(spark, d, "labels").select(F.col("doc_id").alias("item_id")), "item_id")
+    reviews.compact(range(BUCKETS))
+    left = items.read().select(F.lit("item").alias("kind"), F.col("item_id").alias("id"))
+    return left.unionByName(reviews.read().select(F.lit("review").alias("kind"), F.col("review_id").alias("id")))
+
+
+SQL["table_cascade"] = q("""
+x AS (SELECT 1)
+SELECT 'item' AS kind, item_id AS id FROM items WHERE item_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'review', review_id FROM reviews WHERE item_id NOT IN (SELECT doc_id FROM labels)""")
+
+
+@register("review_view_maintained")
+def q_review_view_maintained(spark, d):
+    """The view after edits, new reviews, reviews that move to another item and
+    deletes, kept up to date by changes."""
+    from .operators.review_view import ReviewView
+    reviews = fx.reviews(spark, d)
+    view = ReviewView.create(reviews, scratch_path(spark, "review-view"), BUCKETS)
+    edits = reviews.where(F.col("review_id") % 3 == 0).select("review_id", F.when(F.col("review_id") % 2 == 0, F.col("item_id") + 1).otherwise(F.col("item_id")).alias("item_id"),
+                                                              F.concat(F.lit("[edited] "), F.col("citation")).alias("citation"))
+    new = fx.table(spark, d, "benchmark").select((F.col("item_id") + NEW_ID_BASE).alias("review_id"), "item_id", F.col("text").alias("citation"))
+    view.apply(reviews, edits.unionByName(new), reviews.where(F.col("review_id") % 3 == 1).select("review_id"))
+    out = view.items_with_reviews(fx.items(spark, d).select("item_id"))
+    return out.select("item_id", "review_count", F.md5("reviews_concat").alias("concat_md5"), F.size("reviews_array").alias("n_array"))
+
+
+SQL["review_view_maintained"] = q(f"""
+after_change AS (
+  SELECT review_id, CASE WHEN review_id % 3 = 0 AND review_id % 2 = 0 THEN item_id + 1 ELSE item_id END AS item_id,
+         CASE WHEN review_id % 3 = 0 THEN '[edited] ' || citation ELSE citation END AS citation
+  FROM reviews WHERE review_id % 3 <> 1
+  UNION ALL SELECT item_id + {NEW_ID_BASE}, item_id, text FROM benchmark),
+agg AS (
+  SELECT item_id, count(*) AS n, nullif(string_agg(citation, ' | ' ORDER BY review_id), '') AS all_text FROM after_change GROUP BY item_id)
+SELECT i.item_id, coalesce(a.n, 0) AS review_count, md5(a.all_text) AS concat_md5, CAST(coalesce(a.n, 0) AS INTEGER) AS n_array
+FROM items i LEFT JOIN agg a ON a.item_id = i.item_id""")
+
+
+@register("copy_differences")
+def q_copy_differences(spark, d):
+    """A copy of the items with some rows changed, left out and added."""
+    from .operators.verify import copy_differences
+    k = F.col("item_id")
+    source = fx.items(spark, d).select("item_id", "title", "score", "cover_url")
+    copy = source.where(k % 77 != 5).withColumn("title", F.when(k % 50 == 1, F.concat("title", F.lit("."))).otherwise(F.col("title"))) \
+        .withColumn("score", F.when(k % 40 == 3, F.coalesce("score", F.lit(0.0)) + 1).otherwise(F.col("score")))
+    added = fx.table(spark, d, "benchmark").select((F.col("item_id") + NEW_ID_BASE).alias("item_id"), F.lit("more").alias("title"),
+                                                   F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("cover_url"))
+    out = copy_differences(source, copy.unionByName(added), "item_id", ["title", "score", "cover_url"])
+    return out.select("item_id", "status", list_str(F.col("columns")).alias("columns"))
+
+
+SQL["copy_differences"] = q(f"""
+x AS (SELECT 1)
+SELECT item_id, 'missing' AS status, NULL AS columns FROM items WHERE item_id % 77 = 5
+UNION ALL
+SELECT item_id, 'changed', concat_ws(', ', CASE WHEN item_id % 50 = 1 AND title IS NOT NULL THEN 'title' END, CASE WHEN item_id % 40 = 3 THEN 'score' END)
+FROM items WHERE item_id % 77 <> 5 AND ((item_id % 50 = 1 AND title IS NOT NULL) OR item_id % 40 = 3)
+UNION ALL
+SELECT item_id + {NEW_ID_BASE}, 'added', NULL FROM benchmark""")
+
+
 # ------------------------------------------------------------ streaming
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shape import date_str
+from ..session import write_scratch
 
 REVIEW_SEP = " | "          # fixed value: separator of the concatenated review text
 FACET_ALL = "All"           # fixed value: first facet choice
@@ -44,19 +45,18 @@ def items_with_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
         F.coalesce(F.col("reviews_array"), F.array().cast("array<string>")).alias("reviews_array"))
 
 
-def attach_reviews(hits: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews for a small result set: reviews are first cut to the hit ids
-    (semi join; AQE broadcasts the id set when it proves small), then
-    aggregated, so the full review table is never grouped for a search.
+def attach_reviews(hits: DataFrame, reviews: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Reviews for a result set: reviews are first cut to the hit ids (semi
+    join; AQE broadcasts the id set when it proves small), then aggregated, so
+    the full review table is never grouped for a search.
 
-    The hits feed both the id set and the join; they are a bounded result
-    set, so they are checkpointed into the shared checkpoint folder first
-    and the search that produced them runs once (otherwise each branch would
-    recompute it)."""
-    from ..session import cut_lineage
-    hits = cut_lineage(hits)
-    ids = hits.select("item_id").distinct()
-    r = reviews_by_item(reviews.join(ids, "item_id", "left_semi"))
+    ``ids`` (item_id) are the items that may be among the hits, where they are
+    known beforehand. Without them the hits, a few rows per query, are stored,
+    as they feed both the id set and the join and the search should run once."""
+    if ids is None:
+        hits = write_scratch(hits, "hits")
+        ids = hits
+    r = reviews_by_item(reviews.join(ids.select("item_id").distinct(), "item_id", "left_semi"))
     out = hits.join(r, "item_id", "left")
     return out.withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)).cast("bigint")) \
               .withColumn("reviews_array", F.coalesce(F.col("reviews_array"), F.array().cast("array<string>")))
@@ -121,16 +121,26 @@ def top_k_per_query(df: DataFrame, k, order: Sequence[Column], key: str = "query
 
 
 def rank_results(df: DataFrame, order: Sequence[Column], key: str = "query_id",
-                 rank_col: str = "rank") -> DataFrame:
+                 rank_col: str = "rank", row: str | None = None, needs: Sequence[str] = ()) -> DataFrame:
     """1-based position of every row in its query's result list.
 
     A global row number over (key, order), minus that of the key's first row:
-    range partitions split a query that holds a third of all rows."""
+    range partitions split a query that holds a third of all rows. If ``row``
+    names a column that identifies a row within its key, only the key, that
+    column and those that ``order`` ``needs`` are numbered and stored."""
     from .tables import global_row_number
-    numbered = global_row_number(df, [F.col(key).asc(), *order], "_rn")
-    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_rn").alias("_first"))
-    return numbered.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(
-        rank_col, (F.col("_rn") - F.col("_first") + 1).cast("int")).drop("_rn", "_key", "_first")
+    if row is None:
+        numbered = global_row_number(df, [F.col(key).asc(), *order], "_rn")
+        first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_rn").alias("_first"))
+        return numbered.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(
+            rank_col, (F.col("_rn") - F.col("_first") + 1).cast("int")).drop("_rn", "_key", "_first")
+    narrow = df.select(*dict.fromkeys([key, row, *needs]))
+    numbered = write_scratch(global_row_number(narrow, [F.col(key).asc(), *order], "_rn").select(
+        F.col(key).alias("_key"), F.col(row).alias("_row"), "_rn"), "ranks")
+    first = numbered.groupBy("_key").agg(F.min("_rn").alias("_first")).withColumnRenamed("_key", "_first_key")
+    ranks = numbered.join(first, F.col("_key").eqNullSafe(F.col("_first_key"))).select(
+        "_key", "_row", (F.col("_rn") - F.col("_first") + 1).cast("int").alias(rank_col))
+    return df.join(ranks, F.col(key).eqNullSafe(F.col("_key")) & F.col(row).eqNullSafe(F.col("_row"))).drop("_key", "_row")
 
 
 def project_result(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -145,7 +155,7 @@ def project_result(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def review_positions(reviews: DataFrame) -> DataFrame:
     """Every review with its 1-based position among its item's reviews
     (ordered by review id), without gathering an item's reviews into one task."""
-    return rank_results(reviews, [F.col("review_id").asc()], key="item_id", rank_col="position")
+    return rank_results(reviews, [F.col("review_id").asc()], key="item_id", rank_col="position", row="review_id")
 
 
 def explode_reviews(reviews: DataFrame) -> DataFrame:

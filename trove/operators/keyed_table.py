@@ -195,6 +195,10 @@ class KeyedTable:
         return self._commit({"kind": "change", "folder": folder, "buckets": touched, "stream": stream, "epoch": epoch},
                             lambda s: not done(s))
 
+    def delete(self, keys: DataFrame) -> int | None:
+        """One change that removes the rows with these keys."""
+        return self.append(keys.select(self.state().key).distinct(), delete=True)
+
     def due(self, state: State | None = None) -> list[int]:
         """Buckets that ``compact`` should merge."""
         state = state or self.state()
@@ -303,3 +307,16 @@ class KeyedTable:
         new = resolved.where("_alive").join(known, key, "left_anti").select(
             *[F.col(c) if c == key else F.col(f"_new_{c}")["v"].alias(c) for c in schema.names])
         return kept.unionByName(new)
+
+
+def cascade(parents: KeyedTable, children: KeyedTable, keys: DataFrame, foreign_key: str) -> None:
+    """Deletes parents by key and the children that refer to them: two changes
+    of keys only. The children's keys come from one scan of their two key
+    columns against the (measured) set of parents."""
+    parent_key, child_key = parents.state().key, children.state().key
+    gone = write_scratch(keys.select(parent_key).where(F.col(parent_key).isNotNull()).distinct(), "cascade-keys")
+    named = gone.withColumnRenamed(parent_key, foreign_key)
+    named = F.broadcast(named) if measure(named).fits() else named
+    orphans = children.read().select(child_key, foreign_key).join(named, foreign_key, "left_semi").select(child_key)
+    children.delete(orphans)
+    parents.delete(gone)

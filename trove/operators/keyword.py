@@ -4,7 +4,7 @@ The items' texts are indexed once (``postings``): a query set reads the
 postings of its rarest character triples, which gives the candidates, and only
 these are checked against the texts (``contains``, or ``LIKE`` with
 wildcards). An index that is kept serves any number of query sets and is
-extended by new items only; without one a scratch index is made for the call.
+extended by new items only; without one it is made for the call.
 
 A query without any literal character ("%") asks for every item: it meets the
 items block by block, and no other way.
@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import py_strip
 from ..functions.filters import filter_keyword
-from ..session import scratch_path, write_scratch
+from ..session import write_scratch
 from .postings import BLOCK_ITEMS, PostingIndex
 
 
 def candidates(items: DataFrame, queries: DataFrame, wildcards: bool = False, index: PostingIndex | None = None) -> DataFrame:
     """(query_id, item_id) pairs that may match; every match is among them.
     ``queries``: query_id, _q (lower-case text)."""
-    index = index or PostingIndex(items.sparkSession, scratch_path(items.sparkSession, "keyword-index")).add(items)
+    index = index or PostingIndex(items.sparkSession).add(items)
     special = r"[%_\\]+"
     parts = F.filter(F.split("_q", special, -1), lambda x: x != "") if wildcards else F.array("_q")
     # all pieces of three characters or more, else the longest one

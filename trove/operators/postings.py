@@ -52,16 +52,19 @@ def triples(text: str) -> np.ndarray:
     return np.unique(c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:])
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Sorted distinct item numbers (below BLOCK_ITEMS) as differences of two bytes."""
-    return np.diff(numbers, prepend=0).astype("<u2").tobytes()
+def pack(numbers: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Item numbers (below BLOCK_ITEMS), sorted within lists that begin at
+    ``start``, as differences of two bytes; a list's first is the number itself."""
+    step = np.diff(numbers, prepend=0)
+    step[start] = numbers[start]
+    return step.astype("<u2")
 
 
 def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, "<u2"), dtype=np.int64)
 
 
-def _block_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def _block_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(triples, postings, counts) of a block from its items' triples."""
     size = np.array([len(t) for t in texts])
     gram, item = np.concatenate(texts), np.repeat(np.arange(len(texts)), size)
@@ -69,7 +72,9 @@ def _block_rows(texts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], np.nd
     gram, item = gram[order], item[order]
     start = np.flatnonzero(np.diff(gram, prepend=-1))
     ends = np.append(start[1:], len(gram)) if len(gram) else start
-    return gram[start], [pack(item[a:b]) for a, b in zip(start.tolist(), ends.tolist())], ends - start
+    offsets = np.append(start, len(gram)).astype(np.int32) * 2
+    data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(pack(item, start).tobytes())])
+    return gram[start], data, ends - start
 
 
 def _part(triple: Column) -> Column:
@@ -80,16 +85,21 @@ def _part(triple: Column) -> Column:
 
 class PostingIndex:
     """The index in a folder: ``postings`` (part, triple, block, n, items) and
-    ``blocks`` (block, ids: the items by number)."""
+    ``blocks`` (block, ids: the items by number). Without a folder the index
+    serves a single call: its rows stay as the tasks wrote them, not dealt into
+    parts."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.rows = spark, path and path.rstrip("/"), None
 
     def add(self, items: DataFrame, item_id: str = "item_id", texts: tuple[str, ...] = ("title", "description")) -> "PostingIndex":
         """Indexes the items' texts (null: none); returns the index itself."""
         ship_package(self.spark)
         kind = items.schema[item_id].dataType
         src = items.select(F.col(item_id).alias("id"), *[F.lower(F.coalesce(F.col(t), F.lit(""))).alias(f"t{k}") for k, t in enumerate(texts)])
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(src.inputFiles()) < 4 * cores:               # few files have few splits; many need no spreading
+            src = src.repartition(cores)
         segment, n_texts = uuid.uuid4().hex[:16], len(texts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +109,11 @@ class PostingIndex:
             def close(id_type):
                 name = f"{segment}-{task}-{number}"
                 gram, data, counts = _block_rows(held)
-                rows = len(gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (rows + 1)), pa.array([None, *gram.tolist()], pa.int64()), pa.array([len(ids), *counts.tolist()], pa.int32()),
-                     pa.array([None, *data], pa.binary()), pa.array([ids, *[None] * rows], pa.list_(id_type))],
-                    names=["block", "triple", "n", "items", "ids"])
+                names, rows = ["block", "triple", "n", "items", "ids"], len(gram)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int64()), pa.array([len(ids)], pa.int32()), pa.nulls(1, pa.binary()),
+                                                  pa.array([ids], pa.list_(id_type))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * rows, pa.string()), pa.array(gram), pa.array(counts, pa.int32()), data,
+                                                  pa.nulls(rows, pa.list_(id_type))], names=names)
             for rb in batches:
                 for row in zip(*(c.to_pylist() for c in rb.columns)):
                     own = [triples(t) for t in row[1:1 + n_texts]]
@@ -120,12 +130,22 @@ class PostingIndex:
         schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("triple", T.LongType()), T.StructField("n", T.IntegerType()),
                                T.StructField("items", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
         rows = write_scratch(src.mapInArrow(run, schema), "postings")
+        if self.path is None:
+            self.rows = rows if self.rows is None else self.rows.unionByName(rows)
+            return self
         rows.where("triple is null").select("block", "ids").write.mode("append").parquet(f"{self.path}/blocks")
         rows.where("triple is not null").select(_part(F.col("triple")).alias("part"), "triple", "block", "n", "items") \
             .repartitionByRange("part", "triple", "block").sortWithinPartitions("part", "triple") \
             .write.mode("append").partitionBy("part").parquet(f"{self.path}/postings")
         return self
 
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        """(postings, blocks)."""
+        if self.path is None:
+            return (self.rows.where("triple is not null").select("triple", "block", "n", "items", _part(F.col("triple")).alias("part")),
+                    self.rows.where("triple is null").select("block", "ids"))
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/blocks")
+
     def _wanted(self, pieces: DataFrame) -> DataFrame:
         """(query_id, triple, upto): the ranges of triples that a query's
         literal ``piece`` asks for: each of its triples, or for a shorter piece
@@ -148,20 +168,21 @@ class PostingIndex:
         query's ``piece`` (lower-case, one character or more)."""
         ship_package(self.spark)
         wanted = write_scratch(self._wanted(pieces), "posting-wanted")
-        postings, blocks = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/blocks")
+        postings, blocks = self._tables()
         whole = wanted.where("triple = upto").select("query_id", "triple")
-        parts = [r[0] for r in wanted.select(F.explode(F.sequence(_part(F.col("triple")), _part(F.col("upto"))))).distinct().collect()]   # PARTS at most
-        postings = postings.where(F.col("part").isin(parts))
+        if self.path:
+            parts = [r[0] for r in wanted.select(F.explode(F.sequence(_part(F.col("triple")), _part(F.col("upto"))))).distinct().collect()]   # PARTS at most
+            postings = postings.where(F.col("part").isin(parts))
         # how many items each asked triple has: one narrow pass over the asked parts
         asked = whole.select("triple").distinct()
-        asked = F.broadcast(asked) if measure(asked).fits() else asked
+        small = F.broadcast if measure(asked).fits() else lambda df: df
+        asked = small(asked)
         counts = postings.join(asked, "triple", "left_semi").groupBy("triple").agg(F.sum("n").alias("items"))
         ranked = whole.join(counts, "triple", "left").groupBy("query_id").agg(
             F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "triple"))), 1, TRIPLES).alias("best"))
         rarest = write_scratch(ranked.where(F.col("best")[0]["items"] > 0)
                                .select("query_id", F.size("best").alias("of"), F.explode("best.triple").alias("triple")), "posting-rarest")
-        keys = rarest.select("triple").distinct()
-        keys = F.broadcast(keys) if measure(keys).fits() else keys
+        keys = small(rarest.select("triple").distinct())             # some of the asked ones
         met = (postings.join(keys, "triple", "left_semi").select("triple", "block", "items").join(rarest, "triple")
                .groupBy("query_id", "block").agg(F.max("of").alias("of"), F.collect_list("items").alias("lists"))      # TRIPLES lists at most
                .where(F.size("lists") == F.col("of")).select("query_id", "block", "lists"))

@@ -170,8 +170,17 @@ def one_page(df: DataFrame, order: Sequence[Column], page_size: int, page: int)
 
 
 def reassign_surrogate_key(df: DataFrame, old_key: str, new_key: str) -> DataFrame:
-    """Copy rows in ``old_key`` order and number them 1..N (a serial key)."""
-    return global_row_number(df, [F.col(old_key).asc()], new_key)
+    """Copy rows in ``old_key`` order and number them 1..N (a serial key).
+
+    Only the keys are numbered and stored, and joined back to the rows; a key
+    that several rows have (or no row may have: null) is numbered once per row
+    with the rows stored beside it, as the key does not tell them apart."""
+    keys = df.select(F.col(old_key).alias("_old"))
+    unique = keys.groupBy("_old").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _old is null").isEmpty()
+    if not unique:
+        return global_row_number(df, [F.col(old_key).asc()], new_key)
+    numbers = write_scratch(global_row_number(keys, [F.col("_old").asc()], new_key), "numbers")
+    return df.join(numbers, df[old_key] == numbers["_old"]).drop("_old")
 
 
 def copy_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -117,6 +117,42 @@ def verify_copy(src_items: DataFrame, src_reviews: DataFrame, dst_items: DataFra
     return s.join(t, "metric", "full_outer").withColumn("match", F.col("source") == F.col("target"))
 
 
+def _leaf_sums(df: DataFrame, key: str, columns: Sequence[str], buckets: int, side: str) -> DataFrame:
+    """(leaf, rows, sums of two row hashes) of every bucket of keys."""
+    cols = [F.col(key), *[F.col(c) for c in columns]]
+    whole = lambda h: F.sum(h.cast("decimal(20,0)"))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("leaf")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), whole(F.xxhash64(*cols)).alias("a"), whole(F.xxhash64(F.lit(7), *cols)).alias("b")).alias(side))
+
+
+def copy_differences(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str], buckets: int = 4096, fan: int = 64) -> DataFrame:
+    """The rows in which a copy differs: key, status ('missing' in the target,
+    'added', or 'changed') and the names of the changed columns.
+
+    A checksum tree of two levels: row hashes are summed per bucket of keys,
+    and the buckets' sums per ``fan`` buckets. The comparison descends only
+    into branches and then buckets whose sums differ, and only the rows of
+    those buckets meet in a join; of equal buckets nothing but the sums is
+    compared. Keys are unique."""
+    from ..session import write_scratch
+    leaves = write_scratch(_leaf_sums(source, key, columns, buckets, "s").join(_leaf_sums(target, key, columns, buckets, "t"), "leaf", "full_outer"), "leaf-sums")
+    branch = F.floor(F.col("leaf") / fan)
+    up = lambda side: F.struct(*[F.sum(F.col(f"{side}.{f}").cast("decimal(38,0)")).alias(f) for f in ("n", "a", "b")])
+    branches = leaves.groupBy(branch.alias("branch")).agg(up("s").alias("s"), up("t").alias("t")).where(~F.col("s").eqNullSafe(F.col("t")))
+    apart = leaves.join(F.broadcast(branches.select("branch")), branch == F.col("branch"), "left_semi") \
+        .where(~F.col("s").eqNullSafe(F.col("t"))).select("leaf")
+    apart = F.broadcast(write_scratch(apart, "leaves-apart"))                # ``buckets`` rows at most
+
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        own = df.select(F.col(key).alias(f"{side}_key"), F.struct(*columns).alias(side), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("leaf"))
+        return own.join(apart, "leaf", "left_semi").drop("leaf")
+    met = rows(source, "s").join(rows(target, "t"), F.col("s_key").eqNullSafe(F.col("t_key")), "full_outer")
+    status = F.when(F.col("t").isNull(), "missing").when(F.col("s").isNull(), "added").otherwise("changed")
+    changed = F.filter(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    return met.select(F.coalesce("s_key", "t_key").alias(key), status.alias("status"), F.when(status == "changed", changed).alias("columns")) \
+        .where((F.col("status") != "changed") | (F.size("columns") > 0))
+
+
 def sample_rows(items: DataFrame, n: int = 3, title_chars: int = 50) -> DataFrame:
     """First n items (by id) that have a cover: title cut to 50 characters
     and the number of screenshots (0 when none)."""

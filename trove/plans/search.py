@@ -12,6 +12,7 @@ from ..functions.shape import review_objects
 from ..operators.catalogue import (attach_reviews, order_by_score, project_result, rank_results, top_by_score,
                                     top_k_per_query)
 from ..operators.keyword import keyword_matches
+from ..operators.postings import PostingIndex
 from ..session import write_scratch
 
 DEFAULT_LIMIT = 20          # fixed value: default result size of keyword search and the API
@@ -56,20 +57,24 @@ def search_by_values(items: DataFrame, values: Optional[DataFrame], column: str,
 
 def keyword_search(items: DataFrame, reviews: DataFrame, queries: DataFrame,
                    limit: int = DEFAULT_LIMIT, filters: Optional[Filters] = None,
-                   wildcards: bool = False, with_reviews: bool = True) -> DataFrame:
+                   wildcards: bool = False, with_reviews: bool = True, texts: Optional[DataFrame] = None,
+                   index: Optional[PostingIndex] = None) -> DataFrame:
     """Keyword search for every row of ``queries`` (query_id, text[, filters]).
 
-    Plan: shared ``filters`` on the catalogue (pushed to its scans) -> match
-    -> per-query filters (row predicate after an equi-join on
-    query_id) -> top ``limit`` per query by score desc NULLS LAST, item id
-    -> full records and reviews fetched for the surviving hits only.
+    Plan: match -> shared ``filters`` on the catalogue (pushed to its scans)
+    and per-query filters (row predicate after an equi-join on query_id) ->
+    top ``limit`` per query by score desc NULLS LAST, item id -> reviews
+    fetched for the surviving hits only. ``texts`` (item_id, title,
+    description of all items) serves the match where it can be read without
+    the rest of the catalogue; ``index`` is a kept index of the texts.
     """
     q = with_filter_columns(queries)
     if filters is not None:
         items = items.where(filters.predicate())
-    # Whole records ride along with the matches (only matching rows leave
-    # the match task), so the catalogue is scanned once and not re-joined.
-    m = keyword_matches(items, q, list(items.columns), wildcards=wildcards)
+    if texts is None:
+        m = keyword_matches(items, q, list(items.columns), wildcards=wildcards, index=index)
+    else:
+        m = keyword_matches(texts, q, ["item_id"], wildcards=wildcards, index=index).join(items, "item_id")
     m = m.join(_prefixed_filters(q), "query_id").where(batch_predicate("q_", ""))
     full = top_k_per_query(m, limit, order_by_score())
     if with_reviews:
@@ -89,9 +94,10 @@ def fetch_by_ids(items: DataFrame, reviews: DataFrame, ids: DataFrame,
     q = with_filter_columns(ids.select("query_id").distinct(), filters)
     hits = ids.select("query_id", "item_id").distinct().join(items, "item_id")
     hits = hits.join(_prefixed_filters(q), "query_id").where(batch_predicate("q_", ""))
-    ranked = rank_results(hits, order_by_score())
+    # ids are distinct within a query, so ranks are settled on (query, item, score) alone
+    ranked = rank_results(hits, order_by_score(), row="item_id", needs=["score"])
     if with_reviews:
-        ranked = attach_reviews(ranked, reviews)
+        ranked = attach_reviews(ranked, reviews, ids)
         ranked = ranked.withColumn("reviews", review_objects(F.col("reviews_array")))
         extra = ["review_count", "reviews"]
     else:

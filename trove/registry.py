@@ -41,7 +41,7 @@ def result_report(df: DataFrame, extra: list = ()) -> DataFrame:
 @register("keyword_search")
 def q_keyword_search(spark: SparkSession, d: str) -> DataFrame:
     items, reviews = fx.items(spark, d), fx.reviews(spark, d)
-    res = search.keyword_search(items, reviews, fx.keyword_queries(spark, d))
+    res = search.keyword_search(items, reviews, fx.keyword_queries(spark, d), texts=fx.item_texts(spark, d))
     return result_report(res, ["review_count", reviews_str(F.col("reviews")).alias("reviews")])
 
 

@@ -102,6 +102,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
+def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, title and description of all items, from the documents alone."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), first_line(F.col("text")).alias("title"), F.col("text").alias("description"))
+
+
 @_memo
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
