@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,31 +64,97 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+# Open scopes of scratch tables, innermost last: each a list of paths.
+_SCOPES: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared checkpoint folder for a written table.
+    """A fresh folder below the shared checkpoint folder, for tables to be
+    written inside it.
 
-    The name is unique (uuid4), nothing is created here: Spark's writers make
-    the folder through the Hadoop FileSystem, so any scheme works and no
-    driver-local folder is ever touched."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    The name is unique (uuid4); the folder is made through the Hadoop
+    FileSystem, so any scheme works and no driver-local folder is touched. It
+    goes when its scope ends (``scratch_scope``) or else with the application."""
+    path = _new_path(spark, name)
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through the Hadoop FileSystem."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def write_scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: the lineage is cut, a lost executor costs nothing, and every later
-    branch reads the stored rows instead of computing them again."""
-    path = scratch_path(df.sparkSession, name)
+    branch reads the stored rows instead of computing them again. The table
+    goes when its scope ends or else with the application."""
+    spark = df.sparkSession
+    path = _new_path(spark, name)
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the table of a frame that ``write_scratch`` returned."""
+    drop_path(df.sparkSession, df.scratch)
+    for scope in _SCOPES:
+        if df.scratch in scope:
+            scope.remove(df.scratch)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables and folders made inside are deleted at the end. What
+    outlives the scope must not read them: store it in the outer scope with
+    ``stored_result``."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            drop_path(spark, path)
+
+
+def stored_result(fn: Callable[..., DataFrame], spark: SparkSession, *args, name: str = "result", always: bool = False) -> DataFrame:
+    """``fn(spark, *args)`` without leftovers: if it made scratch tables, its
+    result is stored and they are deleted; the stored result belongs to the
+    caller's scope (or the application). A result that reads none is returned
+    as it is, still lazy, unless it shall be stored ``always``."""
+    with scratch_scope(spark) as paths:
+        df = fn(spark, *args)
+        if not paths and not always:
+            return df
+        outer = _SCOPES.pop()                   # the result's table belongs one scope further out
+        try:
+            return write_scratch(df, name)
+        finally:
+            _SCOPES.append(outer)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
