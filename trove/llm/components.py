@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_scratch
+from ..session import drop_scratch, write_scratch
 
 #: Edges in one file of a round.
 FILE_EDGES = 1 << 12
@@ -40,4 +40,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = (mark["n"], mark["h"])
         # a round writes files in proportion to its edges, however many partitions a shuffle has
-        now = write_scratch(_small_star(_large_star(now)).coalesce(1 + mark["n"] // FILE_EDGES), "edges")
+        before, now = now, write_scratch(_small_star(_large_star(now)).coalesce(1 + mark["n"] // FILE_EDGES), "edges")
+        drop_scratch(before)
