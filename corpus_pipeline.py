@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trove.llm import exact_dedup, packing, pii, quality, simhash
 from trove.llm.common import TEXT_KEYS, read_table, text_keys
-from trove.session import write_scratch
+from trove.session import drop_scratch, stored_result, write_scratch
 
 #: Rows of a key table (up to 100 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1 << 18
@@ -111,5 +111,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = write_scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored_result(stage, spark, docs, sf_dir, name=f"pipeline-{name}", always=True)
+        if name != STAGES[0][0]:
+            drop_scratch(before)                # the next stage's table does not read it any more
     return STAGES[-1][1](spark, docs, sf_dir)
