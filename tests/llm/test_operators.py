@@ -69,6 +69,43 @@ def test_counting_quotient_filter_is_lossless():
     assert dict(zip(prints.tolist(), counts.tolist())) == dict(want) and (np.diff(prints.astype(float)) > 0).all()
 
 
+def test_quotient_filters_are_smaller_than_their_fingerprints():
+    from trove.llm.exact_dedup import CountingQuotientFilter as Cqf
+    from trove.llm.exact_dedup import _build_filters
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    import pyarrow as pa
+    batches = list(_build_filters(5)(iter([pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64))], names=["fp"])])))
+    blobs = [(r, x) for b in batches for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sum(len(x) for _, x in blobs) < 0.85 * 8 * len(prints)
+    back = np.concatenate([(Cqf.from_bytes(x).entries()[0] >> np.uint64(5)) | (np.uint64(r) << np.uint64(59)) for r, x in blobs])
+    assert sorted(back.tolist()) == sorted(set(prints.tolist()))
+    # many filters of one range, in any order, counts added
+    parts = [np.unique(rng.choice(prints, 900)) for _ in range(11)]
+    got, counts = Cqf.merge([Cqf.from_bytes(Cqf.build(p, np.full(len(p), 3), 9).to_bytes()) for p in parts])
+    want = Counter(np.concatenate(parts).tolist())
+    assert got.tolist() == sorted(want) and counts.tolist() == [3 * want[x] for x in sorted(want)]
+    assert [len(x) for x in Cqf.merge([])] == [0, 0]
+
+
+def test_memos_keep_no_long_pieces():
+    from trove.llm import bpe
+    from trove.llm.common import MEMO_KEY, tokenizer_path, vocabulary_bytes
+    v = bpe.load(vocabulary_bytes(tokenizer_path("byte_bpe_50k.json")))
+    long = "x" * 5000 + " " + "AbC1" * 900
+    counter, encoder = bpe.ByteCounter(v), bpe.ByteEncoder(v)
+    want = v.library.encode(long, add_special_tokens=False).ids
+    for _ in range(2):
+        assert counter.count(long) == len(want) and encoder.encode(long).tolist() == want
+    assert all(len(k) <= MEMO_KEY for m in (counter.tokens, counter.inner, counter.first, encoder.inner, encoder.first) for k in m)
+    w = bpe.load(vocabulary_bytes(tokenizer_path("word_bpe_49k.json")))
+    pairs = bpe.PairIndexEncoder(w)
+    first = pairs.encode([long, "a b", long])
+    assert first == pairs.encode([long, "a b", long])
+    assert all(len(k) <= MEMO_KEY for m in (pairs.known, pairs.word_runs) for k in m)
+    assert " ".join(r[1] for r in first[0] if r[1]).split() == [str(i) for i in w.library.encode(long, add_special_tokens=False).ids]
+
+
 def simhash(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[k:k + 3]) for k in range(max(1, len(w) - 2))] if w else []

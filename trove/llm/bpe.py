@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import regex
 
-from .common import MEMO_LIMIT
+from .common import MEMO_KEY, MEMO_LIMIT
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,14 +205,18 @@ class ByteCounter:
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks; emptied when it grows large."""
+    """A dictionary that computes what it lacks; emptied when it grows large.
+    Keys of over MEMO_KEY characters (unbroken code, base64) are computed each
+    time, so that its bytes are bounded and not its entries alone."""
 
     def __init__(self, fn):
         super().__init__()
         self.fn = fn
 
     def __missing__(self, key):
-        value = self[key] = self.fn(key)
+        value = self.fn(key)
+        if len(key) <= MEMO_KEY:
+            self[key] = value
         return value
 
     def trim(self, limit: int = MEMO_LIMIT) -> None:
@@ -366,6 +370,11 @@ class PairIndexEncoder:
                 else:
                     runs.append(x)
             out.append(runs)
+        # what is long is known for this call only, so that the memos' bytes are bounded
+        for memo, fresh_keys in ((known, new), (runs_of, fresh_words)):
+            for key in fresh_keys:
+                if len(key) > MEMO_KEY:
+                    memo.pop(key, None)
         return out
 
 

@@ -15,6 +15,8 @@ from ..session import ship_package
 WHITE = b" \t\n\x0b\f\r"
 #: Entries kept in a worker's per-word memo before it starts afresh.
 MEMO_LIMIT = 600_000
+#: Characters of the longest key that is kept there.
+MEMO_KEY = 128
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,20 +39,46 @@ RANGE_ROWS = 1 << 17
 BROADCAST_ROWS = 1 << 20
 
 
+def _pack_bits(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, one after the other."""
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - width:]
+    return np.packbits(bits).tobytes()
+
+
+def _unpack_bits(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, 64 - width:] = np.unpackbits(raw, count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1).reshape(-1).view(">u8").astype(np.uint64)
+
+
+def _merge_two(a: tuple, b: tuple) -> tuple:
+    """Union of two sorted (fingerprints, counts), counts added: the shorter
+    one's entries are placed among the longer one's, nothing is sorted."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(a[0], b[0])
+    same = a[0][np.minimum(at, len(a[0]) - 1)] == b[0] if len(a[0]) else np.zeros(len(b[0]), bool)
+    counts = a[1].copy()
+    counts[at[same]] += b[1][same]
+    return np.insert(a[0], at[~same], b[0][~same]), np.insert(counts, at[~same], b[1][~same])
+
+
 class CountingQuotientFilter:
     """Sorted (quotient, remainder) slots with run ends and counters.
 
     ``occupied`` has a bit for each quotient that owns a run, ``run_end`` a bit
-    for each slot that ends one, ``remainders`` the slots in order, and
-    ``extra`` (place, count) for slots counted more than once."""
+    for each slot that ends one, ``remainders`` the slots in order, stored in
+    as many bits as they have, and ``extra`` (place, count) for slots counted
+    more than once. ``spare`` low bits of every fingerprint are zero and are
+    not stored."""
 
-    def __init__(self, quotient_bits: int, occupied, run_end, remainders, extra_at, extra_count):
-        self.q = quotient_bits
+    def __init__(self, quotient_bits: int, spare: int, occupied, run_end, remainders, extra_at, extra_count):
+        self.q, self.spare = quotient_bits, spare
         self.occupied, self.run_end = occupied, run_end
         self.remainders, self.extra_at, self.extra_count = remainders, extra_at, extra_count
 
     @classmethod
-    def build(cls, prints: np.ndarray, counts: np.ndarray, quotient_bits: int) -> "CountingQuotientFilter":
+    def build(cls, prints: np.ndarray, counts: np.ndarray, quotient_bits: int, spare: int = 0) -> "CountingQuotientFilter":
         """From sorted distinct fingerprints (uint64) and their counts."""
         shift = np.uint64(64 - quotient_bits)
         quotient = prints >> shift
@@ -61,8 +87,8 @@ class CountingQuotientFilter:
         run_end = np.ones(len(prints), dtype=bool)
         run_end[:-1] = quotient[1:] != quotient[:-1]
         at = np.flatnonzero(counts > 1)
-        return cls(quotient_bits, np.packbits(occupied), np.packbits(run_end),
-                   (prints & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint64), at.astype(np.uint32), counts[at].astype(np.int64))
+        remainders = (prints & ((np.uint64(1) << shift) - np.uint64(1))) >> np.uint64(spare)
+        return cls(quotient_bits, spare, np.packbits(occupied), np.packbits(run_end), remainders, at.astype(np.uint32), counts[at].astype(np.int64))
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """Back to sorted fingerprints and counts: nothing is lost."""
@@ -72,31 +98,32 @@ class CountingQuotientFilter:
         run = np.concatenate([[0], np.cumsum(ends)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
         counts = np.ones(n, dtype=np.int64)
         counts[self.extra_at] = self.extra_count
-        return (owners[run] << np.uint64(64 - self.q)) | self.remainders, counts
+        return (owners[run] << np.uint64(64 - self.q)) | (self.remainders << np.uint64(self.spare)), counts
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.q, len(self.remainders), len(self.extra_at)], dtype="<i8").tobytes()
-        return b"".join([head, self.occupied.tobytes(), self.run_end.tobytes(), self.remainders.astype("<u8").tobytes(),
+        head = np.array([self.q, self.spare, len(self.remainders), len(self.extra_at)], dtype="<i8").tobytes()
+        return b"".join([head, self.occupied.tobytes(), self.run_end.tobytes(), _pack_bits(self.remainders, 64 - self.q - self.spare),
                          self.extra_at.astype("<u4").tobytes(), self.extra_count.astype("<i8").tobytes()])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "CountingQuotientFilter":
-        q, n, m = (int(x) for x in np.frombuffer(raw, "<i8", 3))
-        at, out = 24, []
-        for kind, size in (("u1", ((1 << q) + 7) // 8), ("u1", (n + 7) // 8), ("<u8", n), ("<u4", m), ("<i8", m)):
+        q, spare, n, m = (int(x) for x in np.frombuffer(raw, "<i8", 4))
+        width = 64 - q - spare
+        at, out = 32, []
+        for kind, size in (("u1", ((1 << q) + 7) // 8), ("u1", (n + 7) // 8), ("u1", (n * width + 7) // 8), ("<u4", m), ("<i8", m)):
             out.append(np.frombuffer(raw, kind, size, at))
             at += np.dtype(kind).itemsize * size
-        return cls(q, *out)
+        out[2] = _unpack_bits(out[2], width, n)
+        return cls(q, spare, *out)
 
     @classmethod
     def merge(cls, filters: list["CountingQuotientFilter"]) -> tuple[np.ndarray, np.ndarray]:
-        """Union by sorted remainders with counts added."""
-        parts = [f.entries() for f in filters]
-        prints, counts = np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
-        order = np.argsort(prints, kind="stable")
-        prints, counts = prints[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-        return prints[first], np.add.reduceat(counts, first) if len(first) else counts
+        """Union with counts added. The slots of a filter are in order, so
+        neighbours are merged pair by pair until one sequence is left."""
+        parts = [f.entries() for f in filters] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        while len(parts) > 1:
+            parts = [_merge_two(*parts[i:i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
 
 
 def normalised(text: Column) -> Column:
@@ -121,7 +148,7 @@ def _fingerprints(batches):
              pa.array(sha, pa.string()), *b.columns[2:]], names=["doc_id", "n_chars", "fp", "text_sha256", "row", *TEXT_KEYS])
 
 
-def _build_filters(range_bits: int, quotient_bits: int):
+def _build_filters(range_bits: int):
     """Partition -> rows (range, filter bytes)."""
     def flush(held):
         prints, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -130,9 +157,10 @@ def _build_filters(range_bits: int, quotient_bits: int):
         rows, blobs = [], []
         for a, b in zip(cuts, cuts[1:]):
             rows.append(int(ranges[a]))
-            # the range number leads every quotient of the cut, so it is left out of the slots
-            blobs.append(CountingQuotientFilter.build(prints[a:b] << np.uint64(range_bits), counts[a:b],
-                                                      quotient_bits).to_bytes())
+            # the range number leads every quotient of the cut, so it is left out of the slots;
+            # about as many quotients as slots keep the remainders short
+            bits = max(1, min(30, int(b - a).bit_length() - 1))
+            blobs.append(CountingQuotientFilter.build(prints[a:b] << np.uint64(range_bits), counts[a:b], bits, range_bits).to_bytes())
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["range", "filter"])
 
     def run(batches):
@@ -162,7 +190,7 @@ def _merge_range(range_bits: int):
 def repeated_fingerprints(meta: DataFrame, n_rows: int) -> DataFrame:
     """fp, n of the fingerprints that the merged filters count more than once."""
     range_bits = max(5, int(np.ceil(np.log2(max(1, n_rows / RANGE_ROWS)))))
-    filters = map_batches(meta.select("fp"), _build_filters(range_bits, 10), "range long, filter binary")
+    filters = map_batches(meta.select("fp"), _build_filters(range_bits), "range long, filter binary")
     return filters.groupBy("range").applyInPandas(_merge_range(range_bits), "fp long, n long")
 
 
