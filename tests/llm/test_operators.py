@@ -26,6 +26,10 @@ def frame(spark, rows):
 
 @pytest.fixture(scope="module")
 def corpus():
+    return corpus_rows()
+
+
+def corpus_rows():
     rng = random.Random(3)
     words = ["alpha", "beta,", "Gamma", "delta.", "été", "straße", "über", "no", "it's", "42", "x1", "!!"]
     base = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(40)]
