@@ -235,22 +235,22 @@ SELECT item_id + {NEW_ID_BASE}, trim(split_part(text, chr(10), 1), ' ' || chr(9)
 @register("keyword_index_search")
 def q_keyword_index_search(spark, d):
     """One index, made from the items with even ids and extended by the others,
-    answers two query sets: the passages, and every twentieth item's title."""
-    items = fx.items(spark, d).select("item_id", "title", "description")
+    answers two query sets: the passages, and the first three words of each."""
+    items = fx.item_texts(spark, d)
     index = PostingIndex(spark, scratch_path(spark, "posting-index"))
     index.add(items.where(F.col("item_id") % 2 == 0)).add(items.where(F.col("item_id") % 2 != 0))
-    titles = items.where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("title").alias("text"))
-    first = keyword_matches(items, fx.keyword_queries(spark, d), ["item_id"], index=index).withColumn("query_set", F.lit("passages"))
-    return first.unionByName(keyword_matches(items, titles, ["item_id"], index=index).withColumn("query_set", F.lit("titles")))
+    passages = fx.keyword_queries(spark, d)
+    words = passages.select("query_id", F.substring_index("text", " ", 3).alias("text"))
+    first = keyword_matches(items, passages, ["item_id"], index=index).withColumn("query_set", F.lit("passages"))
+    return first.unionByName(keyword_matches(items, words, ["item_id"], index=index).withColumn("query_set", F.lit("words")))
 
 
 SQL["keyword_index_search"] = q("""
 asked AS (
   SELECT 'passages' AS query_set, query_id, text FROM kw_queries
-  UNION ALL SELECT 'titles', item_id, title FROM items
-  WHERE item_id % 20 = 0 AND trim(coalesce(title, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> '')
+  UNION ALL SELECT 'words', query_id, array_to_string(string_split(text, ' ')[1:3], ' ') FROM kw_queries)
 SELECT a.query_id, i.item_id, a.query_set FROM asked a JOIN items i
-  ON contains(lower(i.title), lower(a.text)) OR contains(lower(i.description), lower(a.text))""")
+  ON trim(a.text) <> '' AND (contains(lower(i.title), lower(a.text)) OR contains(lower(i.description), lower(a.text)))""")
 
 
 def filter_rows(spark, d):
