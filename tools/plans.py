@@ -14,24 +14,24 @@ from contextlib import redirect_stdout
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-HEADLINE = ["keyword_search", "items_with_reviews", "filter_min_year", "knn_descriptions", "semantic_search",
-            "upsert_items", "page_slice", "encode_text_batch"]
+HEADLINE = ["keyword_search", "items_with_reviews", "filter_min_year", "knn_descriptions", "knn_approx", "semantic_search",
+            "prefilter_hits", "fuzzy_title_match", "filter_batch_counts", "upsert_items", "table_upsert", "page_slice", "encode_text_batch"]
 KEEP = ("Exchange", "Join", "Broadcast", "WindowGroupLimit", "MapInArrow", "MapInPandas", "HashAggregate",
         "ObjectHashAggregate", "TakeOrderedAndProject", "Scan parquet", "Window", "ExistingRDD")
 
 
 def main() -> None:
     from trove.session import get_spark
-    import __spark_entry__ as entry
+    from trove.registry import QUERIES
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("trove-plans", master="local[8]", shuffle_partitions=8,
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="trove-plans-")})
     out = ["# Physical plans of the headline queries", "",
            f"Final adaptive plans at `{sf}` (operators that shape the work; full plans via `explain('formatted')`).",
-           "A `Scan ExistingRDD` is a checkpointed intermediate (e.g. search hits, numbered rows): the work",
-           "before it ran once in the checkpoint job and is not repeated by the branches that read it.", ""]
+           "A scan of a scratch table (search hits, candidates, changes, stored keys) reads an intermediate that",
+           "was written once to the shared folder; the branches that read it do not repeat the work before it.", ""]
     for name in HEADLINE:
-        df = entry.queries()[name](spark, sf)
+        df = QUERIES[name](spark, sf)         # as the operators return it, before its result is stored
         df.write.format("noop").mode("overwrite").save()
         buf = io.StringIO()
         with redirect_stdout(buf):
