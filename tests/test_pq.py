@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,8 +83,16 @@ def test_recall_without_clusters(spark, tmpdir_fresh):
     true = {(r.query_id, r.vec_id) for r in knn(queries, corpus, 20).collect()}
     got = {(r.query_id, r.vec_id) for r in index.search(queries, 20).collect()}
     assert len(got) == len(true) == 2000 and len(got & true) >= 0.95 * len(true)
-    size = lambda p: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(p) for f in fs if f.endswith(".parquet"))
-    assert size(f"{tmpdir_fresh}/index/codes") < size(f"{tmpdir_fresh}/corpus") / 6
+    import pyarrow.parquet as pq_files
+    size = Counter()
+    for d, _, files in os.walk(f"{tmpdir_fresh}/index/rows"):
+        for f in files:
+            if f.endswith(".parquet"):
+                meta = pq_files.ParquetFile(os.path.join(d, f)).metadata
+                for g in range(meta.num_row_groups):
+                    for c in range(meta.num_columns):
+                        size[meta.row_group(g).column(c).path_in_schema.split(".")[0]] += meta.row_group(g).column(c).total_compressed_size
+    assert size["code"] < size["vector"] / 6
 
 
 def test_search_reads_the_parts_it_needs(spark, tmpdir_fresh, monkeypatch):
@@ -94,7 +103,7 @@ def test_search_reads_the_parts_it_needs(spark, tmpdir_fresh, monkeypatch):
     one = index.search(frame(spark, X[:1], "query_id"), 1, shortlist=2)
     assert [r.vec_id for r in one.collect()] == ["0"]
     plan = one._jdf.queryExecution().executedPlan().toString()
-    wanted = re.search(r"/vectors\], PartitionFilters: \[part#\d+ IN \(([^)]*)\)|PartitionFilters: \[.*?\(?part#\d+ = (\d+)", plan)
+    wanted = re.search(r"/rows\], PartitionFilters: \[part#\d+ IN \(([^)]*)\)|PartitionFilters: \[.*?\(?part#\d+ = (\d+)", plan)
     assert index.parts == 30 and wanted and len((wanted[1] or wanted[2]).split(",")) <= 2
 
 

@@ -8,10 +8,10 @@ every query, and ranks those by the exact distance to their full vectors. So a
 search moves the codes of the corpus and the vectors of the shortlists only.
 The rule is the same at every size and needs no clusters in the data.
 
-An index is a folder: ``codebook`` (a row per word), ``codes`` (id, code) and
-``vectors`` (id, vector), the latter in parts by a hash of the id, of which a
-search reads those that hold a shortlisted id. It is written once and serves
-any number of searches.
+An index is a folder: ``codebook`` (a row per word) and ``rows`` (id, code,
+vector) in parts by a hash of the id. A search reads the column of codes of
+all parts, and the column of vectors of those parts that hold a shortlisted
+id. It is written once and serves any number of searches.
 
 Training: the ``SAMPLE`` vectors with the smallest md5 of their id; the first
 of them are the words at first, then ``ROUNDS`` times every word becomes the
@@ -99,30 +99,28 @@ class PqIndex:
         src = corpus.select(F.col(cid).alias("id"), F.col(cvec).alias("vector"))
         sample = src.orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE).collect()          # bounded by SAMPLE
         books = train(_to_matrix(pa.array([r.vector for r in sample], pa.list_(pa.float64())), None, "corpus")) if sample else []
-        spark.createDataFrame([(s, w, [float(x) for x in c]) for s, C in enumerate(books) for w, c in enumerate(C)],
-                              "subspace int, word int, centre array<double>").write.parquet(f"{path}/codebook")
+        rows = src.count()
+        parts = max(1, min(MAX_PARTS, -(-rows // PART_ROWS)))
         dim = sum(C.shape[1] for C in books)
         shared = spark.sparkContext.broadcast(books)                                                # WORDS x dimensions doubles
 
         def run(batches):
             for rb in batches:
                 codes = encode(shared.value, _to_matrix(rb.column(1), dim, "corpus"))
-                yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "code"])
-        schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("code", T.BinaryType())])
-        src.mapInArrow(run, schema).write.parquet(f"{path}/codes")
-        rows = spark.read.parquet(f"{path}/codes").count()
-        parts = max(1, min(MAX_PARTS, -(-rows // PART_ROWS)))
-        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-        src.withColumn("part", part).repartition(min(parts, 512), "part").write.partitionBy("part").parquet(f"{path}/vectors")
-        spark.createDataFrame([(rows, parts)], "rows long, parts int").write.parquet(f"{path}/size")
+                yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), rb.column(1)], names=["id", "code", "vector"])
+        schema = T.StructType([src.schema["id"], T.StructField("code", T.BinaryType()), src.schema["vector"]])
+        coded = src.mapInArrow(run, schema).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        coded.repartition(min(parts, 512), "part").write.partitionBy("part").parquet(f"{path}/rows")
+        words = [(rows, parts, s, w, [float(x) for x in c]) for s, C in enumerate(books) for w, c in enumerate(C)]
+        spark.createDataFrame(words or [(0, 1, None, None, None)], "rows long, parts int, subspace int, word int, centre array<double>") \
+            .coalesce(1).write.parquet(f"{path}/codebook")
         return cls(spark, path, books, rows, parts)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "PqIndex":
-        size = spark.read.parquet(f"{path}/size").first()
-        words = spark.read.parquet(f"{path}/codebook").orderBy("subspace", "word").collect()
-        books = [np.array([r.centre for r in words if r.subspace == s]) for s in sorted({r.subspace for r in words})]
-        return cls(spark, path, books, size.rows, size.parts)
+        words = spark.read.parquet(f"{path}/codebook").orderBy("subspace", "word").collect()            # WORDS x subspaces at most
+        books = [np.array([r.centre for r in words if r.subspace == s]) for s in sorted({r.subspace for r in words if r.subspace is not None})]
+        return cls(spark, path, books, words[0].rows, words[0].parts)
 
     def search(self, queries: DataFrame, k: int, shortlist: int | None = None, qid: str = "query_id", qvec: str = "embedding",
                metric: str = "sqeuclidean", cid: str = "vec_id", tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -142,24 +140,24 @@ class PqIndex:
             code = rb.column("code")
             flat = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(code), n)
             return decode(books, flat)
-        tiles = slice_count(measure(asked), tile_rows, TILE_BYTES)
+        size = measure(asked)
+        tiles = slice_count(size, tile_rows, TILE_BYTES)
         blocks = slice_count(SideSize(self.rows, 0), block_rows, DEFAULT_MAX_BYTES)
         one = F.lit("").alias("_group")
-        codes = self.spark.read.parquet(f"{self.path}/codes")
+        codes = self.spark.read.parquet(f"{self.path}/rows").select("id", "code")
         left = asked.select(one, _spread(F.lit(tiles), "query_id").alias("_tile"), _copies(F.lit(blocks)).alias("_block"), "query_id", "_vec")
         right = codes.select(one, _copies(F.lit(tiles)).alias("_tile"), _spread(F.lit(blocks), "id").alias("_block"), "id", "code")
         most = max(k, shortlist or SHORTLIST * k)
         near = write_scratch(_merge(_search_pairs(left, right, most, "id", ["id"], metric, looked_up), most, "id").select("query_id", "id"), "pq-shortlist")
-        return self._ranked(near, asked, k, metric).withColumnRenamed("id", cid)
+        return self._ranked(near, asked, k, metric, SideSize(size.rows * most, size.rows * most * 64).fits()).withColumnRenamed("id", cid)
 
-    def _ranked(self, near: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
-        """Exact distances of the shortlists. Parts of the vectors without a
-        shortlisted id are not read."""
-        small = measure(near).fits()
+    def _ranked(self, near: DataFrame, asked: DataFrame, k: int, metric: str, small: bool) -> DataFrame:
+        """Exact distances of the shortlists, which are broadcast if ``small``.
+        Parts of the vectors without a shortlisted id are not read."""
         near = near.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(self.parts)).cast("int"))
         parts = [r.part for r in near.select("part").distinct().collect()]                             # MAX_PARTS at most
-        vectors = self.spark.read.parquet(f"{self.path}/vectors").where(F.col("part").isin(parts))
-        pairs = vectors.drop("part").join((F.broadcast if small else lambda x: x)(near.drop("part")), "id").join(asked, "query_id")
+        vectors = self.spark.read.parquet(f"{self.path}/rows").where(F.col("part").isin(parts)).select("id", "vector")
+        pairs = vectors.join((F.broadcast if small else lambda x: x)(near.drop("part")), "id").join(asked, "query_id")
         schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", near.schema["id"].dataType),
                                T.StructField("dist", T.DoubleType())])
 
