@@ -97,9 +97,8 @@ class PostingIndex:
         ship_package(self.spark)
         kind = items.schema[item_id].dataType
         src = items.select(F.col(item_id).alias("id"), *[F.lower(F.coalesce(F.col(t), F.lit(""))).alias(f"t{k}") for k, t in enumerate(texts)])
-        cores = self.spark.sparkContext.defaultParallelism
-        if len(src.inputFiles()) < 4 * cores:               # few files have few splits; many need no spreading
-            src = src.repartition(cores)
+        if len(src.inputFiles()) < 4 * self.spark.sparkContext.defaultParallelism:
+            src = src.hint("rebalance")                     # few files may have few splits: dealt anew by size
         segment, n_texts = uuid.uuid4().hex[:16], len(texts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
