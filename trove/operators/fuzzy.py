@@ -155,8 +155,11 @@ def fuzzy_title_match(queries: DataFrame, items: DataFrame, max_edits: int = 2,
     titles = text_classes(items, item_id, title)
     asked = text_classes(queries, query_id, query_text).withColumnRenamed("t", "q")
     pairs = candidate_pairs(titles.select("t", "text"), asked.select("q", "text"), d)
+    # the distances are the work: few bytes, which Spark would otherwise put into a task or two
+    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (pairs.join(titles.select("t", F.col("text").alias("title"), F.col("id").alias("title_id"), F.col("n").alias("n_items")), "t")
             .join(asked.select("q", "text", F.col("id").alias("query_id"), F.col("n").alias("n_queries")), "q")
+            .repartition(spread, "t", "q")
             .withColumn("distance", F.levenshtein("text", "title", d)).where("distance >= 0")
             .select("query_id", "n_queries", "title_id", "n_items", "distance"))
 
