@@ -156,3 +156,22 @@ def test_empty_table(spark, tmpdir_fresh):
     assert t.read().count() == 0
     t.append(spark.createDataFrame([], "k long, a string"), ["a"])
     assert t.read().count() == 0 and t.read().columns == ["k", "a"]
+
+
+def test_changes_of_long_texts_are_not_broadcast(spark, tmpdir_fresh):
+    """What a change weighs counts, not its number of rows: beyond the bound nothing of it passes through the driver."""
+    t = make(spark, f"{tmpdir_fresh}/t", rows=60)
+    long = F.repeat(F.lit("x"), F.lit(1 << 20))
+    t.append(spark.range(20, 100).select(F.col("id").alias("k"), long.alias("a")), ["a"])
+    t.append(spark.range(25, 30).select(F.col("id").alias("k")), delete=True)
+    out = t.read()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.n, r.b) for r in out.select("k", F.length("a").alias("n"), "b").collect()}
+    assert got == {**{i: (len(f"v{i}"), 1) for i in range(20)}, **{i: (1 << 20, 1) for i in range(20, 60) if not 25 <= i < 30},
+                   **{i: (1 << 20, None) for i in range(60, 100)}}
+
+
+def test_structs_are_measured_with_their_texts(spark):
+    from trove.operators.sizing import measure
+    df = spark.range(10).select(F.struct(F.repeat(F.lit("x"), F.lit(1000)).alias("v"), F.lit(None).cast("string").alias("w")).alias("s"))
+    assert measure(df).rows == 10 and measure(df).bytes >= 10_000

@@ -12,9 +12,10 @@ Layout of a table's folder:
 ``append`` writes the changed rows only, so its bytes follow the batch and not
 the table. ``read`` merges: each key's latest change of every column over the
 base row. ``compact`` merges the buckets with changes into a new base and
-leaves the files of all others as they are. The base is never shuffled: the
-resolved changes of a group of buckets are broadcast, and there are as many
-groups as it takes for each to stay below the bound of ``sizing``.
+leaves the files of all others as they are. Changes below the bound of
+``sizing`` are broadcast, so that the base is not shuffled; larger ones meet
+the base of their buckets in a shuffle on the key, and none of their rows pass
+through the driver.
 
 Commits are numbered; two writers that take the same number collide on the
 file name, and the later one takes the next. A commit that carries a stream's
@@ -280,8 +281,9 @@ class KeyedTable:
                           *[F.when(F.coalesce(F.col(c)["n"], F.lit(-1)) > dead, F.struct(F.col(c)["v"].alias("v"))).alias(f"_new_{c}") for c in cols])
 
     def _merged(self, state: State, buckets: Iterable[int]) -> DataFrame:
-        """Base and changes of some buckets. Base rows are read as they lie and
-        joined with a broadcast of the changes of their group of buckets."""
+        """Base and changes of some buckets. Base rows of buckets without
+        changes are read as they lie; the others join their changes, which are
+        broadcast if they fit."""
         wanted, schema = sorted(buckets), self._schema(state)
         base_of = lambda some: self._files(schema, [(state.base[b], b) for b in some if b in state.base])
         changed = [b for b in wanted if b in state.changes]
@@ -290,24 +292,28 @@ class KeyedTable:
         if resolved is None:
             return out
         resolved = write_scratch(resolved, "keyed-changes")
-        groups = min(len(changed), slice_count(measure(resolved)))
-        for g in range(groups):
-            some = changed[g::groups]
-            own = resolved.where(self._bucket(state.key, state.buckets).isin(some)) if groups > 1 else resolved
-            out = out.unionByName(self._merge_group(base_of(some), own, state.key, schema))
-        return out
+        merge = self._merge_small if slice_count(measure(resolved)) == 1 else self._merge_large
+        return out.unionByName(merge(base_of(changed), resolved, state.key, schema))
 
     @staticmethod
-    def _merge_group(base: DataFrame, resolved: DataFrame, key: str, schema: T.StructType) -> DataFrame:
-        small = F.broadcast(resolved)
-        j = base.join(small, key, "left").where(F.coalesce("_alive", F.lit(True)))
+    def _values(key: str, schema: T.StructType) -> list[Column]:
+        """The columns of a base row (or none) beside its change (or none)."""
         over = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")["v"]).when(~F.coalesce("_cut", F.lit(False)), F.col(c))
-        kept = j.select(*[F.col(c) if c == key else over(c).alias(c) for c in schema.names])
+        return [F.col(c) if c == key else over(c).alias(c) for c in schema.names]
+
+    @classmethod
+    def _merge_small(cls, base: DataFrame, resolved: DataFrame, key: str, schema: T.StructType) -> DataFrame:
+        kept = base.join(F.broadcast(resolved), key, "left").where(F.coalesce("_alive", F.lit(True))).select(*cls._values(key, schema))
         known = base.select(key).join(F.broadcast(resolved.select(key)), key, "left_semi")
         new = resolved.where("_alive").join(known, key, "left_anti").select(
             *[F.col(c) if c == key else F.col(f"_new_{c}")["v"].alias(c) for c in schema.names])
         return kept.unionByName(new)
 
+    @classmethod
+    def _merge_large(cls, base: DataFrame, resolved: DataFrame, key: str, schema: T.StructType) -> DataFrame:
+        met = base.join(resolved, key, "full_outer")
+        return met.where(F.coalesce("_alive", F.lit(True))).select(*cls._values(key, schema))
+
 
 def cascade(parents: KeyedTable, children: KeyedTable, keys: DataFrame, foreign_key: str) -> None:
     """Deletes parents by key and the children that refer to them: two changes
