@@ -46,6 +46,12 @@ def test_prompt_has_blocks(spark):
     assert 'the query: "cats"' in p and "1. **Cat** (1999)" in p and ("x" * 300 + "...") in p
 
 
+def test_repeated_sentences_split_a_text_once(spark):
+    df = spark.createDataFrame([("A. A. B. " * 3 + "B",), ("",), (None,), (". ",)], "t string").select(R.drop_repeated_sentences(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == ["A. B. A. B. A. B", "", None, ""]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1       # not again for every part
+
+
 def test_stream_upsert(spark, tmpdir_fresh):
     from trove.streaming.upsert import latest_version, stream_upsert
     src = os.path.join(tmpdir_fresh, "in")

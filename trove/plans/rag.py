@@ -150,9 +150,10 @@ def rag_answers(queries: DataFrame, results: DataFrame, generator=None) -> DataF
 
 def drop_repeated_sentences(text: Column) -> Column:
     """Split on '. ', drop a part equal to the one before it, join again."""
-    parts = F.split(text, r"\. ")
-    kept = F.filter(parts, lambda x, i: (i == 0) | (x != F.get(parts, i - 1)))
-    return F.array_join(kept, SENTENCE_SEP)
+    # The parts are a lambda's variable: the text is split once, and not again for every part.
+    once = F.array(F.split(text, r"\. "))
+    kept = F.transform(once, lambda parts: F.filter(parts, lambda x, i: (i == 0) | (x != F.get(parts, i - 1))))
+    return F.array_join(F.get(kept, 0), SENTENCE_SEP)
 
 
 def _pre_match_len(text: Column, pattern: str) -> Column:
