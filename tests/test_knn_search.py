@@ -237,3 +237,31 @@ def test_display_score_rounds_the_binary_value(spark):
     none = F.lit(None).cast("double")
     got = [r[0] for r in df.select(display_score(F.col("x"), none, none)).collect()]
     assert got == [f"{v:.2f}" for v in (0.075, 0.125, 0.376)]
+
+
+def test_a_pair_holds_little_beside_its_best_rows():
+    """A tile of queries against one Arrow batch, with the long lists of a shortlist: neither the distances of the whole
+    batch nor the vectors of all candidates are held at once. Ties across corpus blocks go to the smaller id."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    Q, X = rng.normal(size=(4096, 16)), rng.normal(size=(10_000, 16))
+    X[7000:7300] = X[0]
+    names = [f"v{i:05d}" for i in range(len(X))]
+    lists = lambda M: pa.array(list(M), pa.list_(pa.float64()))
+    queries = pa.record_batch([pa.array(range(len(Q)), pa.int64()), lists(Q)], names=["query_id", "_vec"])
+    corpus = pa.record_batch([lists(X), pa.array(names)], names=["_vec", "vec_id"])
+    tracemalloc.start()
+    pair = K._Pair(160, "vec_id", ["vec_id"], "sqeuclidean")
+    pair.add_queries(queries)
+    pair.add_corpus(corpus)
+    got = pa.Table.from_batches(pair.result())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    for q in (0, 600, 4095):
+        d = ((Q[q] - X) ** 2).sum(1)
+        want = sorted(zip(d.round(9), names))[:160]
+        own = got.filter(pa.array(got.column("query_id").to_numpy() == q))
+        assert sorted(own.column("vec_id").to_pylist()) == sorted(n for _, n in want)
