@@ -81,3 +81,30 @@ def test_per_query_filters_before_the_fetch(spark, monkeypatch):
     assert set(by) == {i for i, h in want.items() if h} and all(len(by[i]) == min(3, len(want[i])) and by[i] <= {int(v) for _, v in want[i]} for i in by)
     with pytest.raises(ValueError):
         SE.semantic_search(items, None, vectors, q, filter_mode="sometimes")
+
+
+def test_narrow_filters_do_not_fetch_every_vector(spark, monkeypatch):
+    """Queries that few items satisfy end with a search of what passes: no round asks for more than 4 x fetch."""
+    n, fetch = 600, 5
+    gen = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, ["PC"] if i % 100 == 7 else ["Mac"], ["g"], 1.0) for i in range(n)],
+                                  "item_id long, platforms array<string>, genres array<string>, score double").withColumn("release_date", F.lit(None).cast("date"))
+    X = {f"{i}": gen.normal(size=4).tolist() for i in range(n)}
+    X["8"] = X["7"]
+    vectors = spark.createDataFrame([(v, int(v), x) for v, x in X.items()], "vec_id string, item_id long, embedding array<double>")
+    asked = [(q, ["PC", "Mac", "none", None][q % 4], None, None, None, False) for q in range(40)]
+    Q = {q: gen.normal(size=4).tolist() for q, *_ in asked}
+    q = spark.createDataFrame([(*a, Q[a[0]]) for a in asked], "query_id long, platform string, genre string, min_score double, min_year int, scored_only boolean, embedding array<double>")
+    sizes, real = [], K.knn
+
+    def counted(queries, corpus, k, **kw):
+        sizes.append(k)
+        return real(queries, corpus, k, **kw)
+    monkeypatch.setattr(K, "knn", counted)
+    got = {}
+    for r in SE.filtered_hits(q.select("query_id", "embedding"), vectors, items, q, fetch).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    platform = lambda v: "PC" if int(v) % 100 == 7 else "Mac"
+    want = {i: [v for _, v in h if asked[i][1] in (None, platform(v))][:fetch] for i, h in brute(Q, X).items()}
+    assert got == {i: h for i, h in want.items() if h}
+    assert sizes == [fetch, 4 * fetch]

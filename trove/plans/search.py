@@ -108,6 +108,7 @@ def fetch_by_ids(items: DataFrame, reviews: DataFrame, ids: DataFrame,
 # ------------------------------------------------------------ vector searches
 
 FETCH_FACTOR = 2            # fixed value: vector hits fetched per wanted result
+MAX_FILTERS = 64            # different filters that are applied to the corpus before the search
 GROWTH = 4                  # how many times more a round fetches than the one before
 SEMANTIC_K = 10             # fixed value: default result size (API asks for 20)
 DISPLAY_K = 5               # fixed value: result size of the display / RAG form
@@ -155,15 +156,33 @@ def filtered_hits(queries: DataFrame, corpus: DataFrame, items: DataFrame, asked
     short, from their last distance onward, GROWTH times as many as the round
     before. A query is done when it has enough or has seen every vector, so
     there are at most log(corpus / fetch) rounds, and most queries leave after
-    the first. Only ids, distances and filter columns are stored."""
+    the first. From the second round on, as soon as the open queries have no
+    more than MAX_FILTERS different filters, each filter is applied to the
+    corpus once and its queries search what passes: that round is the last,
+    and its hits are as many as it fetches, however few items a filter leaves.
+    The rounds before it store ids, distances and filter columns only."""
     from ..operators.knn import AFTER, TILE_ROWS, knn
-    qcols = asked.select("query_id", *[F.col(c).alias(f"q_{c}") for c in FILTER_COLUMNS])
     facts = items.select("item_id", "platforms", "genres", "score", "release_date")
+    own = F.to_json(F.struct(*FILTER_COLUMNS), {"ignoreNullFields": "false"}).alias("_filter")
+    qcols = asked.select("query_id", own, *[F.col(c).alias(f"q_{c}") for c in FILTER_COLUMNS]) \
+        .withColumn("_asked", F.to_json(F.struct("query_id", "_filter")))
     vectors = queries.select("query_id", "embedding", *([by] if by else []))
     # A filter without any value lets every item pass; queries without filters are done in one round as well.
-    still, found, size = vectors, None, fetch
+    still, found, size, last = vectors, None, fetch, None
     while True:
-        hits = write_scratch(knn(still, corpus, size, carry=["item_id"], by=by, tile_rows=max(16, TILE_ROWS * fetch // size)), "filtered-round")
+        tile_rows = max(16, TILE_ROWS * fetch // size)
+        if last is not None:
+            open_filters = write_scratch(qcols.join(last.select("query_id"), "query_id", "left_semi")
+                                         .drop("query_id", "_asked").distinct(), "filtered-filters")
+            if open_filters.limit(MAX_FILTERS + 1).count() <= MAX_FILTERS:
+                kind = F.concat_ws("|", "_filter", *([by] if by else [])).alias("_kind")
+                passing = write_scratch(corpus.join(facts, "item_id").join(F.broadcast(open_filters), batch_predicate("q_", ""))
+                                        .select(*corpus.columns, kind), "filtered-passing")
+                searches = still.join(qcols.select("query_id", "_filter", "_asked").distinct(), "query_id").select("_asked", *still.columns, kind)
+                hits = knn(searches, passing, size, qid="_asked", carry=["item_id"], by="_kind", tile_rows=tile_rows)
+                more = hits.withColumnRenamed("query_id", "_asked").join(qcols.select("query_id", "_asked"), "_asked")
+                return top_k_per_query(found.unionByName(more.select(*found.columns)), fetch, [F.col("dist"), F.col("vec_id")])
+        hits = write_scratch(knn(still, corpus, size, carry=["item_id"], by=by, tile_rows=tile_rows), "filtered-round")
         passed = (hits.join(facts, "item_id").join(qcols, "query_id").where(batch_predicate("q_", ""))
                   .select("query_id", "vec_id", "dist", "item_id"))
         found = write_scratch(passed if found is None else found.unionByName(passed), "filtered-found")
