@@ -29,8 +29,8 @@ NEW_ID_BASE = 1_000_000_000     # ids of catalogue entries that are new to the t
 
 def catalogue_lines(spark, d) -> DataFrame:
     i = fx.items(spark, d)
-    pages = fx.table(spark, d, "pages").select(F.col("page_id").alias("item_id"), "html")
-    labels = fx.table(spark, d, "labels").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("lab"))
+    pages = fx.side(spark, d, "pages", "page_id", "html").select(F.col("page_id").alias("item_id"), "html")
+    labels = fx.side(spark, d, "labels", "doc_id").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("lab"))
     j = i.join(pages, "item_id", "left").join(labels, "item_id", "left")
     date = F.when(F.col("cover_url").isNotNull(), F.date_format("release_date", "MM/dd/yyyy")) \
             .otherwise(F.date_format("release_date", "yyyy-MM-dd"))
@@ -367,7 +367,7 @@ SELECT count_of, rows FROM m""")
 def _item_source(spark, d) -> DataFrame:
     """Corrections for labelled items plus new entries from the benchmark."""
     i = fx.items(spark, d)
-    lab = fx.table(spark, d, "labels").select(F.col("doc_id").alias("item_id"))
+    lab = fx.side(spark, d, "labels", "doc_id").select(F.col("doc_id").alias("item_id"))
     fixes = i.join(lab, "item_id", "left_semi").select(
         "item_id", F.concat(F.lit("v2 "), F.col("title")).alias("title"), "description", "release_date",
         (F.col("score") + F.lit(0.5)).alias("score"), "platforms", "genres", "developers", "publishers", "source_url")
