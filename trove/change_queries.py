@@ -13,7 +13,7 @@ from .operators.keyword import keyword_matches
 from .operators.postings import PostingIndex
 from .oracle import SQL, q, sqdist
 from .registry import list_str, register
-from .session import scratch_path
+from .session import scratch_path, write_scratch
 from .sources import fixtures as fx
 from .sources import jsonl as J
 
@@ -172,7 +172,7 @@ def q_copy_differences(spark, d):
     """A copy of the items with some rows changed, left out and added."""
     from .operators.verify import copy_differences
     k = F.col("item_id")
-    source = fx.items(spark, d).select("item_id", "title", "score", "cover_url")
+    source = write_scratch(fx.items(spark, d).select("item_id", "title", "score", "cover_url"), "copy-source")    # both sides are read twice
     copy = source.where(k % 77 != 5).withColumn("title", F.when(k % 50 == 1, F.concat("title", F.lit("."))).otherwise(F.col("title"))) \
         .withColumn("score", F.when(k % 40 == 3, F.coalesce("score", F.lit(0.0)) + 1).otherwise(F.col("score")))
     added = fx.table(spark, d, "benchmark").select((F.col("item_id") + NEW_ID_BASE).alias("item_id"), F.lit("more").alias("title"),
