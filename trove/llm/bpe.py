@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import regex
 
-from .common import MEMO_KEY, MEMO_LIMIT
+from .common import MEMO_KEY, MEMO_LIMIT, worker_cache
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,7 +112,7 @@ def from_letters(word: str) -> bytes:
     return bytes(map(_LETTER_BYTE.__getitem__, word))
 
 
-_LOADED: dict[bytes, Vocabulary] = {}
+_LOADED: dict[bytes, Vocabulary] = worker_cache()
 
 
 def load(raw: bytes) -> Vocabulary:

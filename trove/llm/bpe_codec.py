@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_slices, texts_of, tokenizer_path, vocabulary_bytes
+from .common import map_batches, text_slices, texts_of, tokenizer_path, vocabulary_bytes, worker_cache
 
-_ENCODERS: dict = {}
+_ENCODERS = worker_cache()
 
 
 def _encoder(raw: bytes):
     from . import bpe
     v = bpe.load(raw)
-    if id(v) not in _ENCODERS:      # v lives as long as the worker, in bpe._LOADED
+    if id(v) not in _ENCODERS:      # v lives as long as this, in bpe._LOADED
         _ENCODERS[id(v)] = bpe.PairIndexEncoder(v)
     return _ENCODERS[id(v)]
 

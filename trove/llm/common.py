@@ -41,17 +41,47 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias(TEXT_KEYS[0]), F.xxhash64(F.lit(1), text).alias(TEXT_KEYS[1])]
 
 
+# Tables that a worker keeps between its tasks, and the operator they belong to.
+_CACHES: list[dict] = []
+_OWNER: list[str] = []
+
+
+def worker_cache(cache: dict | None = None) -> dict:
+    """A dictionary for what an operator keeps between tasks (a vocabulary, a
+    memo); it is emptied when the worker goes on to another operator."""
+    _CACHES.append({} if cache is None else cache)
+    return _CACHES[-1]
+
+
+def begin_task(owner: str) -> None:
+    """A worker serves one operator after the other; it keeps the tables of the
+    present one only."""
+    if _OWNER != [owner]:
+        for cache in _CACHES:
+            cache.clear()
+        _OWNER[:] = [owner]
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    """mapInArrow with this package shipped to the workers."""
+    """mapInArrow with this package shipped to the workers. Between tasks a
+    worker keeps no memory but its operator's tables."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches):
+        begin_task(owner)
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return df.mapInArrow(run, schema)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_slices(batch: pa.RecordBatch, column: str | int = "text", chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of consecutive rows with about ``chars`` characters,
     so that the Python objects of a batch never exist all at once."""
-    col = batch.column(batch.schema.get_field_index(column))
+    col = batch.column(column)
     start, held, size = 0, [], 0
     for i in range(len(col)):
         t = col[i].as_py() or ""
@@ -64,6 +94,13 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 2_000_
         yield start, held
 
 
+def batch_slices(batch: pa.RecordBatch, at: int, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The rows of ``text_slices`` of column ``at`` as batches (views of
+    ``batch``) and their texts: what is made of them can leave piece by piece."""
+    for start, texts in text_slices(batch, at, chars):
+        yield batch.slice(start, len(texts)), texts
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary files lie: TROVE_TOKENIZERS if set, else the
     ``public_tokenizers`` package."""

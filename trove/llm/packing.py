@@ -35,20 +35,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import map_batches, text_slices, texts_of, tokenizer_path, vocabulary_bytes
+from .common import batch_slices, map_batches, texts_of, tokenizer_path, vocabulary_bytes, worker_cache
 
 #: Rounds whose packets are ranked together: about ROUNDS * window tokens.
 ROUNDS = 1024
 #: Blocks of rounds that are added up together.
 BLOCKS = 4096
 
-_ENCODERS: dict = {}
+_ENCODERS = worker_cache()
 
 
 def _encoder(raw: bytes):
     from . import bpe
     v = bpe.load(raw)
-    if id(v) not in _ENCODERS:      # v lives as long as the worker, in bpe._LOADED
+    if id(v) not in _ENCODERS:      # v lives as long as this, in bpe._LOADED
         _ENCODERS[id(v)] = bpe.ByteEncoder(v)
     return _ENCODERS[id(v)]
 
@@ -66,22 +66,20 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
         for b in batches:
             encoder = _encoder(raw.value)
             kind = "<u2" if max(encoder.v.token_of) < 65536 and end_id < 65536 else "<u4"
-            queues = b.column(2).to_pylist()
-            before, counts, blobs = [], [], []
-            for at, texts in text_slices(b):
-                for k, t in enumerate(texts, at):
+            for rows, texts in batch_slices(b, 1):
+                before, counts, blobs = [], [], []
+                for q, t in zip(rows.column(2).to_pylist(), texts):
                     ids = np.append(encoder.encode(t), np.uint32(end_id))
-                    q = queues[k]
                     before.append(earned.get(q, 0))
                     earned[q] = before[-1] + len(ids)
                     counts.append(len(ids))
                     blobs.append(ids.astype(kind).tobytes())
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
-                 pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
-                names=["doc_id", "queue", "part", "row", "before", "n", "ids"])
-            row += n
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(2), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
+                     pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
+                    names=["doc_id", "queue", "part", "row", "before", "n", "ids"])
+                row += n
 
     src = texts_of(docs, id_col, text_col, source_col).toDF("doc_id", "text", "queue")
     src = src.withColumn("queue", F.when(F.col("queue").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("queue").cast("string"))))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_batches, texts_of
+from .common import batch_slices, map_batches, texts_of
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -363,10 +363,10 @@ def find_and_replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     """doc_id, text (with pseudonyms), n_found, kinds ("card:1,email:2")."""
     def run(batches):
         p = Pseudonyms(key)
-        for b in batches:
+        for b, texts in (x for b in batches for x in batch_slices(b, 1)):
             text, n, kinds = [], [], []
-            for t in b.column(1):
-                text.append(p.replace(t.as_py()))
+            for t in texts:
+                text.append(p.replace(t))
                 n.append(sum(p.found.values()))
                 kinds.append(",".join(f"{k}:{c}" for k, c in sorted(p.found.items())))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kinds, pa.string())],
@@ -381,8 +381,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
 
     def run(batches):
         p = Pseudonyms(key, undo)
-        for b in batches:
-            text = pa.array([p.replace(t.as_py() or "") for t in b.column(at)], pa.string())
+        for b, texts in (x for b in batches for x in batch_slices(b, at)):
+            text = pa.array([p.replace(t) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
     schema = T.StructType([T.StructField(f.name, T.StringType() if i == at else f.dataType) for i, f in enumerate(docs.schema.fields)])
     return map_batches(docs, run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import batch_slices, map_batches, texts_of
 
 MAX_TRAIN = 20_000
 BINS, TREES, DEPTH, RATE, L2 = 64, 60, 4, 0.2, 1.0
@@ -197,12 +197,9 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", column: str =
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(at)
-            out = np.empty(len(texts))
-            for k in range(0, len(texts), 2048):
-                x = np.array([statistics(t.as_py() or "") for t in texts[k:k + 2048]]).reshape(-1, N_STATISTICS)
-                out[k:k + 2048] = model.value.score(x)
+        for b, texts in (x for b in batches for x in batch_slices(b, at)):
+            x = (np.array([statistics(t) for t in texts[k:k + 2048]]) for k in range(0, len(texts), 2048))
+            out = np.concatenate([model.value.score(rows) for rows in x])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
 
     from pyspark.sql import types as T

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_scratch
-from .common import MEMO_LIMIT, map_batches, text_slices, texts_of
+from .common import MEMO_LIMIT, map_batches, text_slices, texts_of, worker_cache
 
 #: Keys (8 or 16 bytes) up to which a semi-join is broadcast; beyond it the
 #: same join shuffles.
@@ -90,7 +90,7 @@ class _WordMemo(dict):
         return value
 
 
-_MEMO = _WordMemo()
+_MEMO = worker_cache(_WordMemo())
 
 
 def _hashes(words: list[bytes]) -> WordHashes:
