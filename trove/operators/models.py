@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, write_scratch
 
 # Fusion weights.
 VECTOR_WEIGHT = 0.7
@@ -47,6 +47,12 @@ def _bucket_vectors(buckets: pa.Array, dim: int) -> np.ndarray:
     return counts / np.where(norm > 0, norm, 1.0)[:, None]
 
 
+def stored_vectors(vectors: DataFrame) -> DataFrame:
+    """Encoded vectors, stored: a search counts its corpus before it reads it,
+    and would encode every text or image once for each."""
+    return write_scratch(vectors, "encoded-vectors")
+
+
 def with_text_embedding(df: DataFrame, text_col: str = "text", encoder: Optional[Callable[[list], np.ndarray]] = None,
                         dim: int = DEFAULT_DIM, out_col: str = "embedding") -> DataFrame:
     """Every row with the vector of its whole text; row-local, no shuffle.

@@ -116,13 +116,14 @@ DISPLAY_K = 5               # fixed value: result size of the display / RAG form
 
 def with_embedding(queries: DataFrame, text_encoder=None, image_encoder=None) -> DataFrame:
     """Queries with an ``embedding`` column: given ready, or encoded here from
-    the query's image bytes (``bytes``), else from its whole ``text``."""
+    the query's image bytes (``bytes``), else from its whole ``text``. Encoded
+    ones are stored: a search counts its queries before it reads them."""
     from ..operators.models import with_image_embedding, with_text_embedding
     if "embedding" in queries.columns:
         return queries
     if "bytes" in queries.columns:
-        return with_image_embedding(queries, "bytes", image_encoder)
-    return with_text_embedding(queries, "text", text_encoder)
+        return write_scratch(with_image_embedding(queries, "bytes", image_encoder), "encoded-queries")
+    return write_scratch(with_text_embedding(queries, "text", text_encoder), "encoded-queries")
 
 
 def _vector_hits(queries: DataFrame, item_vectors: DataFrame, modality: Optional[str], fetch: int,
