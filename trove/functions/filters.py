@@ -68,14 +68,18 @@ def filter_keyword(title: Column, description: Column, query, wildcards: bool =
     act as LIKE wildcards, as the plain ``LIKE '%q%'`` form does.
     """
     q = query if isinstance(query, Column) else F.lit(query)
-    lq = F.lower(q)
+    return has_keyword(F.lower(title), F.lower(description), F.lower(q), wildcards)
+
+
+def has_keyword(title: Column, description: Column, query: Column, wildcards: bool = False) -> Column:
+    """``filter_keyword`` on texts and a query that are lower-case already."""
     if wildcards:
-        pat = F.concat(F.lit("%"), lq, F.lit("%"))
-        hit_t = F.like(F.lower(title), pat)
-        hit_d = F.like(F.lower(description), pat)
+        pat = F.concat(F.lit("%"), query, F.lit("%"))
+        hit_t = F.like(title, pat)
+        hit_d = F.like(description, pat)
     else:
-        hit_t = F.contains(F.lower(title), lq)
-        hit_d = F.contains(F.lower(description), lq)
+        hit_t = F.contains(title, query)
+        hit_d = F.contains(description, query)
     return F.coalesce(hit_t, F.lit(False)) | F.coalesce(hit_d, F.lit(False))
 
 

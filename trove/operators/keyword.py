@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import py_strip
-from ..functions.filters import filter_keyword
+from ..functions.filters import filter_keyword, has_keyword
 from ..session import write_scratch
 from .postings import BLOCK_ITEMS, PostingIndex
 
@@ -47,7 +47,11 @@ def keyword_matches(items: DataFrame, queries: DataFrame, carry: list[str], wild
     the query text, case-insensitively. Queries of white space only match
     nothing. ``index`` must hold the items' titles and descriptions."""
     q = queries.where(py_strip(F.coalesce(F.col("text"), F.lit(""))) != "").select("query_id", F.lower("text").alias("_q"))
-    cols = list(dict.fromkeys(["item_id", "title", "description", *carry]))
     found = write_scratch(candidates(items, q, wildcards, index), "keyword-candidates").join(q, "query_id")
+    if not {"title", "description"} & set(carry):
+        # lower-cased once an item, before the join, not once a candidate
+        texts = items.select("item_id", F.lower("title").alias("_title"), F.lower("description").alias("_description"), *[c for c in dict.fromkeys(carry) if c != "item_id"])
+        return found.join(texts, "item_id").where(has_keyword(F.col("_title"), F.col("_description"), F.col("_q"), wildcards)).select("query_id", *carry)
+    cols = list(dict.fromkeys(["item_id", "title", "description", *carry]))
     hit = filter_keyword(F.col("title"), F.col("description"), F.col("_q"), wildcards=wildcards)
     return found.join(items.select(*cols), "item_id").where(hit).select("query_id", *carry)
