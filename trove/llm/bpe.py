@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from functools import lru_cache
 
 import regex
@@ -25,12 +24,20 @@ from .common import MEMO_KEY, MEMO_LIMIT, worker_cache
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same pre-tokens without needless backtracking, for a matcher that has look-ahead.
+BYTE_PATTERN_POSSESSIVE = r"'(?:[sdmt]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Characters on which every Unicode version agrees; others go to the library.
 _PLAIN = r"\x20-\x7e\n\t\r¡-įı-ɏ‐-‧€"
 _ODD_CHAR = re.compile(f"[^{_PLAIN}]")
-_ODD_SPACE = re.compile(r" [ \n\t\r]|[\n\t\r] |^ | $")
+_ODD_SPACES = ("  ", " \n", " \t", " \r", "\n ", "\t ", "\r ")
+
+#: Characters of the longest text whose words are merged with those of others.
+LONG_TEXT = 16_000_000
+#: Runs of so much white space could use up the stack of a matcher with look-ahead.
+LONG_SPACE = 1000
+_LONG_SPACE = re.compile(r"[ \n\t\r]{%d}" % LONG_SPACE)
 
 
 @lru_cache(maxsize=1)
@@ -129,7 +136,7 @@ def plain(text: str) -> bool:
 
 
 def spaced_plainly(text: str) -> bool:
-    return _ODD_CHAR.search(text) is None and _ODD_SPACE.search(text) is None
+    return not (text[:1] == " " or text[-1:] == " " or any(s in text for s in _ODD_SPACES)) and _ODD_CHAR.search(text) is None
 
 
 class ByteCounter:
@@ -381,32 +388,71 @@ class PairIndexEncoder:
 class ByteEncoder:
     """Token ids of a byte-level vocabulary, as its own library gives them.
 
-    Plain pieces are merged by the rank file of the same vocabulary (the ids
-    are the ranks) and remembered; other text goes to the library whole."""
+    Plain text is merged by the rank file of the same vocabulary (the ids are
+    the ranks); other text goes to the library whole. Of many texts, those that
+    are spaced plainly are cut at spaces, and each distinct word of the call is
+    merged once: a memo of words does not help where most words are new."""
+
+    MARK, CUT = "\0", "\1"                     # neither is a plain character
 
     def __init__(self, vocabulary: Vocabulary):
+        import numpy as np
         import tiktoken
         self.v = vocabulary
         apart = set(vocabulary.special.values())
         ranks = {from_letters(t): i for t, i in vocabulary.ids.items() if i not in apart}
-        self.merge = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.inner = _Memo(lambda piece: array("I", self.merge(" " + piece)).tobytes())
-        self.first = _Memo(lambda piece: array("I", self.merge(piece)).tobytes())
+        self.mark = max(vocabulary.token_of) + 1
+        self.width = np.zeros(self.mark + 1, np.int32)          # bytes of a token
+        self.width[list(ranks.values())] = list(map(len, ranks))
+        self.width[self.mark] = 1
+        own = tiktoken.Encoding("own", pat_str=BYTE_PATTERN_POSSESSIVE, mergeable_ranks=ranks, special_tokens={self.MARK: self.mark})
+        self.merge = lambda text: own.encode_to_numpy(text, allowed_special={self.MARK}, disallowed_special=())
 
     def encode(self, text: str):
         import numpy as np
-        out: list[bytes] = []
+        out = []
         for k, part in enumerate(self.v.parts(text)):
             if k % 2:
-                out.append(array("I", [self.v.special[part]]).tobytes())
+                out.append([self.v.special[part]])
             elif not part:
                 continue
-            elif spaced_plainly(part):
-                pieces = part.split(" ")
-                out.append(self.first[pieces[0]])
-                out.extend(map(self.inner.__getitem__, pieces[1:]))
+            elif plain(part) and not _LONG_SPACE.search(part):
+                out.append(self.merge(part))
             else:
-                out.append(array("I", self.v.library.encode(part, add_special_tokens=False).ids).tobytes())
-        self.inner.trim()
-        self.first.trim()
-        return np.frombuffer(b"".join(out), dtype=np.uint32)
+                out.append(self.v.library.encode(part, add_special_tokens=False).ids)
+        return np.concatenate([np.zeros(0, np.uint32), *out]).astype(np.uint32)
+
+    def encode_all(self, texts: list[str]) -> list:
+        """The ids of every text, as ``encode`` gives them."""
+        import numpy as np
+        easy = [len(t) <= LONG_TEXT and len(self.v.parts(t)) == 1 and spaced_plainly(t) for t in texts]
+        merged = iter(self._words_merged([t for t, e in zip(texts, easy) if e]))
+        return [next(merged) if e else self.encode(t) for t, e in zip(texts, easy)]
+
+    def _words_merged(self, texts: list[str]) -> list:
+        """The ids of texts that are spaced plainly. Every word keeps the space
+        before it and the first of a text has a mark instead, so that all
+        distinct words in a row are merged as each would be alone."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array([self.MARK + t.replace(" ", self.CUT + " ") for t in texts], pa.large_string()), self.CUT)
+        first_word = np.asarray(cut.offsets)[:-1]
+        coded = cut.flatten().dictionary_encode()
+        word_of, words = np.asarray(coded.indices), coded.dictionary
+        length = pc.binary_length(words).to_numpy()
+        if any(_LONG_SPACE.search(words[int(i)].as_py()) for i in np.flatnonzero(length >= LONG_SPACE)):
+            return [self.encode(t) for t in texts]
+        ids = self.merge(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar("", words.type))[0].as_py())
+        at, ends = np.cumsum(self.width[ids]), np.cumsum(length)    # where each token and each word ends
+        stop = np.searchsorted(at, ends) + 1                    # tokens up to the end of each word
+        start = np.concatenate([[0], stop[:-1]])
+        start += ids[start] == self.mark
+        n = (stop - start)[word_of]
+        upto = np.cumsum(n)
+        places = np.repeat(start[word_of] - (upto - n), n)
+        places += np.arange(len(places))
+        counts = np.add.reduceat(n, first_word)
+        return np.split(ids[places], np.cumsum(counts)[:-1])

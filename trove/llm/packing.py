@@ -68,8 +68,8 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
             kind = "<u2" if max(encoder.v.token_of) < 65536 and end_id < 65536 else "<u4"
             for rows, texts in batch_slices(b, 1):
                 before, counts, blobs = [], [], []
-                for q, t in zip(rows.column(2).to_pylist(), texts):
-                    ids = np.append(encoder.encode(t), np.uint32(end_id))
+                for q, own in zip(rows.column(2).to_pylist(), encoder.encode_all(texts)):
+                    ids = np.append(own, np.uint32(end_id))
                     before.append(earned.get(q, 0))
                     earned[q] = before[-1] + len(ids)
                     counts.append(len(ids))
