@@ -389,9 +389,10 @@ class ByteEncoder:
     """Token ids of a byte-level vocabulary, as its own library gives them.
 
     Plain text is merged by the rank file of the same vocabulary (the ids are
-    the ranks); other text goes to the library whole. Of many texts, those that
-    are spaced plainly are cut at spaces, and each distinct word of the call is
-    merged once: a memo of words does not help where most words are new."""
+    the ranks), one text by itself through a memo of its pieces; other text goes
+    to the library whole. Of many texts, those that are spaced plainly are cut
+    at spaces, and each distinct word of the call is merged once: a memo does
+    not help where most words are new."""
 
     MARK, CUT = "\0", "\1"                     # neither is a plain character
 
@@ -407,20 +408,28 @@ class ByteEncoder:
         self.width[self.mark] = 1
         own = tiktoken.Encoding("own", pat_str=BYTE_PATTERN_POSSESSIVE, mergeable_ranks=ranks, special_tokens={self.MARK: self.mark})
         self.merge = lambda text: own.encode_to_numpy(text, allowed_special={self.MARK}, disallowed_special=())
+        self.inner = _Memo(lambda piece: self.merge(" " + piece).tobytes())
+        self.first = _Memo(lambda piece: self.merge(piece).tobytes())
 
     def encode(self, text: str):
         import numpy as np
-        out = []
+        out: list[bytes] = []
         for k, part in enumerate(self.v.parts(text)):
             if k % 2:
-                out.append([self.v.special[part]])
+                out.append(np.uint32(self.v.special[part]).tobytes())
             elif not part:
                 continue
-            elif plain(part) and not _LONG_SPACE.search(part):
-                out.append(self.merge(part))
+            elif not plain(part) or _LONG_SPACE.search(part):
+                out.append(np.array(self.v.library.encode(part, add_special_tokens=False).ids, np.uint32).tobytes())
+            elif spaced_plainly(part):
+                pieces = part.split(" ")
+                out.append(self.first[pieces[0]])
+                out.extend(map(self.inner.__getitem__, pieces[1:]))
             else:
-                out.append(self.v.library.encode(part, add_special_tokens=False).ids)
-        return np.concatenate([np.zeros(0, np.uint32), *out]).astype(np.uint32)
+                out.append(self.merge(part).tobytes())
+        self.inner.trim()
+        self.first.trim()
+        return np.frombuffer(b"".join(out), dtype=np.uint32)
 
     def encode_all(self, texts: list[str]) -> list:
         """The ids of every text, as ``encode`` gives them."""
