@@ -13,7 +13,7 @@ from .operators.keyword import keyword_matches
 from .operators.postings import PostingIndex
 from .oracle import SQL, q, sqdist
 from .registry import list_str, register
-from .session import scratch_path, write_scratch
+from .session import scratch_path, shuffles_dropped, write_scratch
 from .sources import fixtures as fx
 from .sources import jsonl as J
 
@@ -207,11 +207,13 @@ def q_stream_upsert(spark, d):
     first = F.col("line_no") % 3 == 0
 
     def arrive(rows, folder: str) -> None:
-        rows.select("value").write.mode("append").text(f"{at}/{folder}")
+        with shuffles_dropped(spark):
+            rows.select("value").write.mode("append").text(f"{at}/{folder}", compression="snappy")
 
     def run(folder: str) -> None:
         stream_upsert(spark, f"{at}/{folder}", f"{at}/items", checkpoint=f"{at}/checkpoint-{folder}",
-                      quarantine_path=f"{at}/quarantine", max_files_per_trigger=4, buckets=BUCKETS).awaitTermination()
+                      quarantine_path=f"{at}/quarantine", max_files_per_trigger=4, buckets=BUCKETS,
+                      keep_s=0).awaitTermination()              # nobody else has the table
 
     arrive(lines.where(first), "lines")
     run("lines")
@@ -219,7 +221,7 @@ def q_stream_upsert(spark, d):
     run("lines")
     arrive(new, "more")
     run("more")
-    return latest_version(spark, f"{at}/items").select(
+    return latest_version(spark, f"{at}/items", ["title", "score", "cover_url", "platforms"]).select(
         "item_id", "title", "score", "cover_url", list_str(F.col("platforms")).alias("platforms"))
 
 

@@ -27,14 +27,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import write_scratch
+from ..session import drop_scratch, write_scratch
 from .sizing import measure, slice_count
 
 #: Columns of a change: its own columns, which of them it sets, and whether it deletes the key.
@@ -43,6 +43,8 @@ SET, GONE, ORDER = "_set", "_gone", "_commit"
 SNAPSHOT = 32
 #: Buckets with more changes than this, or all once this many commits are live, are due for ``compact``.
 MAX_CHANGES, MAX_COMMITS = 8, 32
+#: Bytes of the files that ``compact`` merges at once, about; one bucket at least.
+MERGE_BYTES = 256 * 1024 * 1024
 
 
 @dataclass
@@ -207,16 +209,47 @@ class KeyedTable:
         most = MAX_CHANGES if len(commits) <= MAX_COMMITS else 0
         return sorted(b for b, xs in state.changes.items() if len(xs) > most)
 
-    def compact(self, buckets: Iterable[int] | None = None) -> list[int]:
+    def compact(self, buckets: Iterable[int] | None = None, keep_s: float | None = None) -> list[int]:
         """Merges the changes of ``buckets`` (default: those that are due) into
-        new base files; every other bucket keeps its files. Returns the
-        buckets that were merged: none if another writer has merged one of
-        them meanwhile."""
+        new base files; every other bucket keeps its files. Buckets of many
+        bytes are merged some at a time, each lot in a commit of its own, and
+        with ``keep_s`` what a lot has merged is vacuumed before the next.
+        Returns the buckets that were merged, without lots of which another
+        writer has merged a bucket meanwhile."""
         state = self.state()
         wanted = sorted(set(self.due(state) if buckets is None else buckets) & set(state.changes))
+        done: list[int] = []
+        for lot in self._lots(state, wanted):
+            done += self._compact(lot)
+            if keep_s is not None:
+                self.vacuum(keep_s)
+        return done
+
+    def _lots(self, state: State, buckets: list[int]) -> list[list[int]]:
+        """Buckets in lots of about ``MERGE_BYTES``."""
+        lots: list[list[int]] = []
+        fill = MERGE_BYTES
+        for b in buckets:
+            size = 0
+            for folder in {f for f in [state.base.get(b), *(f for _, f in state.changes.get(b, []))] if f}:
+                fs, p = self._hadoop(f"{self.path}/{folder}/bucket={b}")
+                size += fs.getContentSummary(p).getLength()
+            if fill + size > MERGE_BYTES:
+                lots.append([])
+                fill = 0
+            lots[-1].append(b)
+            fill += size
+        return lots
+
+    def _compact(self, buckets: list[int]) -> list[int]:
+        state = self.state()
+        wanted = sorted(set(buckets) & set(state.changes))
         if not wanted:
             return []
-        folder, touched = self._write(self._merged(state, wanted), state.key, state.buckets)
+        rows = self._merged(state, wanted)
+        folder, touched = self._write(rows, state.key, state.buckets)
+        if hasattr(rows, "resolved"):
+            drop_scratch(rows.resolved)
         seen = {b: (state.base.get(b), state.changes[b][0]) for b in wanted}
         entry = {"kind": "base", "folder": folder, "buckets": touched, "merged": wanted, "upto": state.number}
         number = self._commit(entry, lambda s: all((s.base.get(b), (s.changes.get(b) or [None])[0]) == x for b, x in seen.items()))
@@ -224,16 +257,24 @@ class KeyedTable:
 
     def vacuum(self, older_than_s: float = 7 * 24 * 3600) -> list[str]:
         """Removes data folders that the table no longer names (merged changes,
-        failed writes) and that are older than any reader or writer may need."""
+        failed writes), also those of single buckets, that are older than any
+        reader or writer may need."""
         state = self.state()
-        live = {f for f in state.base.values()} | {f for xs in state.changes.values() for _, f in xs}
-        fs, p = self._hadoop(f"{self.path}/data")
+        live = {f"{f}/bucket={b}" for b, f in state.base.items()} | {f"{f}/bucket={b}" for b, xs in state.changes.items() for _, f in xs}
+        folders = {x.rsplit("/", 1)[0] for x in live}
+        fs, _ = self._hadoop(self.path)
         now, gone = self.spark._jvm.System.currentTimeMillis(), []
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            name = f"data/{s.getPath().getName()}"
-            if name not in live and now - s.getModificationTime() > older_than_s * 1000:
-                fs.delete(s.getPath(), True)
-                gone.append(name)
+
+        def sweep(folder: str, keep: set[str], only: str = "") -> None:
+            _, p = self._hadoop(f"{self.path}/{folder}")
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                name = f"{folder}/{s.getPath().getName()}"
+                if name not in keep and s.getPath().getName().startswith(only) and now - s.getModificationTime() > older_than_s * 1000:
+                    fs.delete(s.getPath(), True)
+                    gone.append(name)
+        sweep("data", folders)
+        for folder in sorted(folders):
+            sweep(folder, live, "bucket=")
         return gone
 
     # ------------------------------------------------------------ reading
@@ -242,9 +283,13 @@ class KeyedTable:
     def _schema(state: State) -> T.StructType:
         return T.StructType.fromJson(json.loads(state.schema))
 
-    def read(self) -> DataFrame:
-        """The rows of the table as of now."""
+    def read(self, columns: Sequence[str] | None = None) -> DataFrame:
+        """The rows of the table as of now; with ``columns`` only the key and
+        these are read, merged and stored on the way."""
         state = self.state()
+        if columns is not None:
+            wanted = {state.key, *columns}
+            state = replace(state, schema=T.StructType([f for f in self._schema(state).fields if f.name in wanted]).json())
         return self._merged(state, range(state.buckets))
 
     def _files(self, schema: T.StructType, folders: list[tuple[str, int]]) -> DataFrame:
@@ -293,7 +338,9 @@ class KeyedTable:
             return out
         resolved = write_scratch(resolved, "keyed-changes")
         merge = self._merge_small if slice_count(measure(resolved)) == 1 else self._merge_large
-        return out.unionByName(merge(base_of(changed), resolved, state.key, schema))
+        out = out.unionByName(merge(base_of(changed), resolved, state.key, schema))
+        out.resolved = resolved                             # may be dropped once the rows are stored
+        return out
 
     @staticmethod
     def _values(key: str, schema: T.StructType) -> list[Column]:

@@ -9,7 +9,8 @@ many changes are merged now and then; no other file is written again. The
 commit carries the stream's id and epoch, so a retried epoch is applied once,
 and another stream (a new checkpoint has a new id) that starts again at epoch
 0 is applied too. Quarantined lines are written before the commit, into a
-folder of their stream and epoch that a retry replaces. The stream's progress
+folder of their stream and epoch that a retry replaces. What an epoch stores
+for itself, and its shuffle files, go when it ends. The stream's progress
 lives in a checkpoint under the shared checkpoint folder.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed_table import KeyedTable
-from ..session import checkpoint_dir, write_scratch
+from ..session import checkpoint_dir, drop_scratch, shuffles_dropped, write_scratch
 from ..sources import jsonl as J
 
 
@@ -32,10 +33,10 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
-def latest_version(spark: SparkSession, path: str) -> Optional[DataFrame]:
-    """The table of ``stream_upsert`` as of now; None before the first epoch."""
+def latest_version(spark: SparkSession, path: str, columns: Optional[Sequence[str]] = None) -> Optional[DataFrame]:
+    """The table of ``stream_upsert`` as of now, or its key and some columns; None before the first epoch."""
     table = KeyedTable(spark, path)
-    return table.read() if table.exists() else None
+    return table.read(columns) if table.exists() else None
 
 
 def catalogue_batch(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +51,12 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
                                                 "cover_url", "screenshot_urls"),
                   prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = catalogue_batch,
                   quarantine_path: Optional[str] = None, checkpoint: Optional[str] = None,
-                  available_now: bool = True, max_files_per_trigger: int = 1000, buckets: int = 64):
+                  available_now: bool = True, max_files_per_trigger: int = 1000, buckets: int = 64, keep_s: Optional[float] = None):
     """Start the stream; returns the StreamingQuery.
 
+    With ``keep_s`` the table is vacuumed of older files when it has been
+    compacted: nobody may still read or write files of the table that are older.
+
     ``target_path`` holds a ``KeyedTable``; the first epoch of any stream
     creates it with the columns of ``prepare`` and ``buckets`` buckets.
     Listing goes through the Hadoop FileSystem of the path, so it may live on
@@ -74,7 +78,14 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
             return  # replayed epoch of this stream: already applied
         lines = batch.select("value", F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
                                                F.monotonically_increasing_id().alias("pos")).alias("line_no"))
-        prepared, bad = prepare(write_scratch(lines, "stream-lines"))
+        with shuffles_dropped(session):
+            stored = write_scratch(lines, "stream-lines")
+            try:
+                upsert(session, table, *prepare(stored), stream, epoch_id)
+            finally:
+                drop_scratch(stored)
+
+    def upsert(session: SparkSession, table: KeyedTable, prepared: DataFrame, bad: DataFrame, stream: str, epoch_id: int) -> None:
         if quarantine_path:
             bad.withColumn("line_no", F.to_json("line_no")).write.mode("overwrite") \
                .parquet(f"{quarantine_path.rstrip('/')}/stream={stream}/epoch={epoch_id}")
@@ -86,7 +97,7 @@ def stream_upsert(spark: SparkSession, source_dir: str, target_path: str, key: s
         first = not table.state().epochs
         cols = [c for c in prepared.columns if c != key and (first or c in update_cols)]
         table.append(prepared.select(key, *cols), cols, stream=stream, epoch=epoch_id)
-        table.compact()
+        table.compact(keep_s=keep_s)
 
     w = raw.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
